@@ -193,7 +193,7 @@ def _collapsed_rows(to_bytes: Callable[[str | None], bytes | None]):
     return run
 
 
-def _count_bucket(key, table: pa.Table) -> pa.Table:
+def _count_bucket(key, table):
     trie = Trie()
     skip = int(key[1].as_py()) if len(key) > 1 else 0
     for data, digest, n, first in zip(*[table.column(c).to_pylist() for c in ("data", "digest", "n", "first")]):

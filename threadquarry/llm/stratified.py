@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadquarry.runtime import Scratch
@@ -73,8 +74,8 @@ def choose(pdf: pd.DataFrame, target: int, shares: dict[str, float], minimum: di
     """Positions of the chosen candidates: least keys first, then repair of what strata lack by exchange.
 
     A candidate that lies in several strata serves each. An exchange takes the least-key outsider of the stratum that lacks
-    most, and gives up the greatest-key insider whose strata all stay above their needs; with none to give up it is added
-    only up to the target.
+    most, and gives up the greatest-key insider from outside that stratum whose strata all stay at their needs, so what
+    is lacking falls with every exchange; with none to give up it is added only up to the target.
     """
     order = pdf["key"].to_numpy().argsort(kind="stable")
     strata = [set(x) & set(shares) for x in pdf["strata"]]
@@ -94,7 +95,7 @@ def choose(pdf: pd.DataFrame, target: int, shares: dict[str, float], minimum: di
             stuck.add(s)
             continue
         if len(inside) >= target:
-            spare = [i for i in reversed(order) if int(i) in inside and all(have[x] - 1 >= want[x] for x in strata[i] if x not in strata[new])]
+            spare = [i for i in reversed(order) if int(i) in inside and s not in strata[i] and all(have[x] - 1 >= want[x] for x in strata[i] if x not in strata[new])]
             if not spare:
                 stuck.add(s)
                 continue
@@ -157,8 +158,6 @@ def stratified_sample(records: DataFrame, requests: DataFrame, scope: list[str],
     # Of each request and stratum only the target's number of least keys can be chosen: ranked in salted parts first.
     per_stratum = keyed.withColumn("s", F.explode_outer("strata")).withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(SALTS)))
     slim = per_stratum.join(requests.select("request_id", "target"), "request_id")
-    from pyspark.sql import Window as W
-
     slim = slim.withColumn("k", F.row_number().over(W.partitionBy("request_id", "s", "salt").orderBy("key", "record"))).where("k <= target")
     slim = slim.withColumn("k", F.row_number().over(W.partitionBy("request_id", "s").orderBy("key", "record"))).where("k <= target")
     candidates = slim.select("request_id", "record", "strata", "weight", "key").distinct()
