@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadquarry.llm import annotators, copies, mixing, packing, splits, stratified, tokens
+from threadquarry.llm import annotators, copies, mixing, packing, quality, splits, stratified, tokens
 from threadquarry.runtime import Scratch, table
 
 # ---------------------------------------------------------------- problem 1: splits
@@ -261,7 +261,34 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+# ---------------------------------------------------------------- problem 10: quality
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    common: dict[str, list[str]] = {}
+    for r in table(spark, d, "common_words").where("lang is not null and word is not null").collect():  # fixed table of 118 rows
+        common.setdefault(r["lang"].lower(), []).append(r["word"])
+    return Scratch(spark, "p10").keep(quality.measure(table(spark, d, "documents"), common), "measured")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in a tail of some statistic that the exact rules read as list, table or junk."""
+    return quality.flagged(_measured(spark, d)).where((F.size("tails") > 0) & F.col("kind").isNotNull()).select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every statistic of every document that is not blank, with the tails it lies in."""
+    return quality.flagged(_measured(spark, d)).drop("kind").withColumn("tails", F.array_join("tails", ","))
+
+
+def p10_sketches(spark: SparkSession, d: str) -> DataFrame:
+    out = quality.sketches(_measured(spark, d))
+    return out.select("language", "documents", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("q")) for s in quality.STATISTICS])).alias("x")).select(
+        "language", "documents", "x.statistic", *[F.col("x.q")[i].alias(n) for i, n in enumerate(("p01", "p05", "p25", "p50", "p75", "p95", "p99"))])
+
+
 QUERIES = {
+    "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_sketches": p10_sketches,
     "p1_found": p1_found, "p1_groups": p1_groups, "p1_video_split": p1_video_split, "p1_record_split": p1_record_split, "p1_shares": p1_shares,
     "p4_found": p4_found, "p4_calls": p4_calls, "p4_fill": p4_fill,
     "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_reliability": p5_reliability, "p5_agreement": p5_agreement,
