@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadquarry.llm import annotators, copies, mixing, packing, quality, splits, stratified, tokens
+from threadquarry.llm import annotators, copies, mixing, packing, pii, quality, splits, stratified, tokens
 from threadquarry.runtime import Scratch, table
 
 # ---------------------------------------------------------------- problem 1: splits
@@ -81,6 +81,28 @@ reach AS (SELECT v, v AS w FROM vs UNION SELECT r.v, e2.b FROM reach r JOIN e2 O
 groups AS (SELECT v AS video_id, min(w) AS group_id FROM reach GROUP BY v)
 """
 
+# ---------------------------------------------------------------- problem 2: personal information
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    comments = table(spark, d, "raw_comments").select(F.lit("comment_text").alias("field"), F.col("arrival_seq").alias("row_key"), "text")
+    videos = table(spark, d, "raw_videos")
+    for c in ("title", "description"):
+        comments = comments.unionByName(videos.select(F.lit(f"video_{c}").alias("field"), F.col("capture_seq").alias("row_key"), F.col(c).alias("text")))
+    return comments
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d)
+    return pii.find(texts, pii.learn(texts.select("text")))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders in place of what was found, and all else unchanged."""
+    texts = _texts(spark, d)
+    return pii.redact(texts, pii.learn(texts.select("text"))).select("field", "row_key", "redacted", F.array_join("kinds", ",").alias("kinds"))
+
+
 # ---------------------------------------------------------------- problem 4: packing
 
 
@@ -288,6 +310,7 @@ def p10_sketches(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_redacted": p2_redacted,
     "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_sketches": p10_sketches,
     "p1_found": p1_found, "p1_groups": p1_groups, "p1_video_split": p1_video_split, "p1_record_split": p1_record_split, "p1_shares": p1_shares,
     "p4_found": p4_found, "p4_calls": p4_calls, "p4_fill": p4_fill,
