@@ -8,7 +8,7 @@ by exchange against the categories with most to spare. Residual gaps are reporte
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from threadquarry.runtime import Scratch
 #: Parts a request's records are ranked in before their winners meet in one task.
 SALTS = 32
 IPF_ROUNDS = 50
-IPF_TOLERANCE = 1e-9
+IPF_TOLERANCE = 1e-5
 
 
 def stratum_name(c: Column) -> Column:
@@ -52,17 +52,17 @@ def rake(counts: np.ndarray, member: list[tuple[np.ndarray, np.ndarray]]) -> np.
     return np.maximum(w, 1e-9)
 
 
-def _rake_request(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """pdf: the cells of one request (few: subsets of its strata times the other margin)."""
-    targets = dict(zip(pdf["t_names"].iloc[0], pdf["t_shares"].iloc[0]))
+def _rake_request(key, cells):
+    """The cells of one request (few: subsets of its strata times the other margin), as an Arrow table."""
+    strata, sides = cells.column("strata").to_pylist(), cells.column("side").to_pylist()
+    targets = dict(zip(cells.column("t_names")[0].as_py(), cells.column("t_shares")[0].as_py()))
     names = sorted(targets)
-    inc = np.array([[1.0 if s in set(c) else 0.0 for c in pdf["strata"]] for s in names])
+    inc = np.array([[1.0 if s in c else 0.0 for c in map(set, strata)] for s in names])
     shares = np.array([targets[s] for s in names], dtype=float)
-    counts = pdf["n"].to_numpy(dtype=float)
-    side = sorted(pdf["side"].unique())
-    inc2 = np.array([[1.0 if x == s else 0.0 for x in pdf["side"]] for s in side])
+    counts = np.array(cells.column("n").to_pylist(), dtype=float)
+    inc2 = np.array([[1.0 if x == s else 0.0 for x in sides] for s in sorted(set(sides))])
     w = rake(counts, [(inc2, inc2 @ counts / counts.sum()), (inc, shares)])
-    return pd.DataFrame({"request_id": pdf["request_id"], "strata": pdf["strata"], "side": pdf["side"], "weight": w})
+    return pa.table({"request_id": cells.column("request_id"), "strata": cells.column("strata"), "side": cells.column("side"), "weight": w})
 
 
 def needs(target: int, shares: dict[str, float], minimum: dict[str, int]) -> dict[str, float]:
@@ -70,36 +70,36 @@ def needs(target: int, shares: dict[str, float], minimum: dict[str, int]) -> dic
     return {s: max(minimum.get(s) or 0, target * (p or 0.0)) for s, p in shares.items()}
 
 
-def choose(pdf: pd.DataFrame, target: int, shares: dict[str, float], minimum: dict[str, int]) -> list[int]:
-    """Positions of the chosen candidates: least keys first, then repair of what strata lack by exchange.
+def choose(candidates: list[set[str]], target: int, shares: dict[str, float], minimum: dict[str, int]) -> list[int]:
+    """Positions of the chosen ``candidates`` (the strata of each, least key first): the first ones, then repair of what
+    strata lack by exchange.
 
     A candidate that lies in several strata serves each. An exchange takes the least-key outsider of the stratum that lacks
     most, and gives up the greatest-key insider from outside that stratum whose strata all stay at their needs, so what
     is lacking falls with every exchange; with none to give up it is added only up to the target.
     """
-    order = pdf["key"].to_numpy().argsort(kind="stable")
-    strata = [set(x) & set(shares) for x in pdf["strata"]]
-    chosen = [int(i) for i in order[:target]]
-    inside = set(chosen)
+    strata = [x & shares.keys() for x in candidates]
+    inside = set(range(min(target, len(candidates))))
     want = {s: int(np.ceil(n - 1e-9)) if s in minimum and n == (minimum[s] or 0) else int(np.floor(n + 1e-9)) for s, n in needs(target, shares, minimum).items()}
-    have = {s: sum(1 for i in inside if s in strata[i]) for s in shares}
-    queue = {s: [int(i) for i in order if s in strata[i]] for s in shares}
+    have = {s: 0 for s in shares}
+    for i in inside:
+        for s in strata[i]:
+            have[s] += 1
     stuck: set[str] = set()
     while True:
         lacking = [(have[s] - want[s], s) for s in shares if have[s] < want[s] and s not in stuck]
         if not lacking:
             break
         s = min(lacking)[1]
-        new = next((i for i in queue[s] if i not in inside), None)
+        new = next((i for i, x in enumerate(strata) if s in x and i not in inside), None)
         if new is None:
             stuck.add(s)
             continue
         if len(inside) >= target:
-            spare = [i for i in reversed(order) if int(i) in inside and s not in strata[i] and all(have[x] - 1 >= want[x] for x in strata[i] if x not in strata[new])]
-            if not spare:
+            out = next((i for i in range(len(strata) - 1, -1, -1) if i in inside and s not in strata[i] and all(have[x] > want[x] for x in strata[i] - strata[new])), None)
+            if out is None:
                 stuck.add(s)
                 continue
-            out = int(spare[0])
             inside.discard(out)
             for x in strata[out]:
                 have[x] -= 1
@@ -109,13 +109,12 @@ def choose(pdf: pd.DataFrame, target: int, shares: dict[str, float], minimum: di
     return sorted(inside)
 
 
-def _choose_request(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    first = pdf.iloc[0]
-    shares = dict(zip(first["t_names"], first["t_shares"]))
-    minimum = dict(zip(first["t_names"], first["t_mins"]))
-    pdf = pdf.sort_values(["key", "record"], kind="stable").reset_index(drop=True)
-    at = choose(pdf, int(first["target"]), shares, minimum)
-    return pdf.loc[at, ["request_id", "record", "strata", "weight"]]
+def _choose_request(key, rows):
+    rows = rows.sort_by([("key", "ascending"), ("record", "ascending")])
+    names = rows.column("t_names")[0].as_py()
+    shares, minimum = dict(zip(names, rows.column("t_shares")[0].as_py())), dict(zip(names, rows.column("t_mins")[0].as_py()))
+    at = choose([set(x) for x in rows.column("strata").to_pylist()], rows.column("target")[0].as_py(), shares, minimum)
+    return rows.select(["request_id", "record", "strata", "weight"]).take(pa.array(at, pa.int64()))
 
 
 def requests_of(targets: DataFrame, scope: list[str]) -> DataFrame:
@@ -148,7 +147,7 @@ def stratified_sample(records: DataFrame, requests: DataFrame, scope: list[str],
         F.array_sort(F.collect_set("stratum")).alias("strata"), F.max(F.col(side).cast("string")).alias("side"))
     pool = scratch.keep(pool.withColumn("side", F.coalesce("side", F.lit("?"))), "pool")
     cells = pool.groupBy(*scope, "strata", "side").agg(F.count("*").alias("n"))
-    raked = cells.join(requests, scope).groupBy("request_id").applyInPandas(_rake_request, "request_id string, strata array<string>, side string, weight double")
+    raked = cells.join(requests, scope).groupBy("request_id").applyInArrow(_rake_request, "request_id string, strata array<string>, side string, weight double")
     raked = scratch.keep(raked, "raked")
     unit = (F.pmod(F.xxhash64("request_id", "record", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     keyed = (
@@ -162,7 +161,7 @@ def stratified_sample(records: DataFrame, requests: DataFrame, scope: list[str],
     slim = slim.withColumn("k", F.row_number().over(W.partitionBy("request_id", "s").orderBy("key", "record"))).where("k <= target")
     candidates = slim.select("request_id", "record", "strata", "weight", "key").distinct()
     chosen = scratch.keep(
-        candidates.join(requests.drop(*scope), "request_id").groupBy("request_id").applyInPandas(_choose_request, "request_id string, record string, strata array<string>, weight double"),
+        candidates.join(requests.drop(*scope), "request_id").groupBy("request_id").applyInArrow(_choose_request, "request_id string, record string, strata array<string>, weight double"),
         "chosen",
     )
     have = chosen.select("request_id", F.explode("strata").alias("s")).groupBy("request_id", "s").agg(F.count("*").alias("chosen"))
