@@ -42,7 +42,7 @@ def plan_batches(items: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFra
     status = known.join(used, "plan_id", "left").select(
         "plan_id", F.coalesce("items", F.lit(0)).cast("bigint").alias("items"), "batches", "used",
         F.when(F.col("items").isNull(), "empty").when(F.col("fixed") + F.col("largest") > F.col("limit"), "item_exceeds_call")
-        .when(F.col("batches") > F.greatest(F.col("max_calls") - 1, F.lit(0)), "calls_exhausted").when(F.col("batches").isNull() | (F.col("used") > F.col("budget")), "budget_exhausted").otherwise("planned").alias("status"),
+        .when(F.col("max_calls").isNotNull() & (F.col("batches") > F.greatest(F.col("max_calls") - 1, F.lit(0))), "calls_exhausted").when(F.col("batches").isNull() | (F.col("used") > F.col("budget")), "budget_exhausted").otherwise("planned").alias("status"),
     )
     good = status.where("status = 'planned'").select("plan_id")
     return packed.join(good, "plan_id", "left_semi").drop("fixed"), status
