@@ -39,7 +39,7 @@ def comment_lines(spark: SparkSession, root: str) -> DataFrame:
 
     A file is one directory's comments, so its text is a row; lines become rows at once, and nothing but the file is gathered.
     """
-    files = spark.read.option("wholetext", "true").text(f"{root}/*/*/comments.jsonl").select(F.col("_metadata.file_path").alias("_file"), F.col("value"))
+    files = spark.read.text(f"{root}/*/*/comments.jsonl", wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.col("value"))
     body = F.regexp_replace("value", r"\n\z", "")
     lines = _with_path(files).where(F.length("value") > 0).select("platform", "raw_video_id", F.posexplode(F.split(body, "\n", -1)).alias("pos", "body"))
     return read_lines(lines.select("platform", "raw_video_id", (F.col("pos") + 1).alias("line_number"), "body"))
