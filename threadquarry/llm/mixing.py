@@ -71,7 +71,7 @@ _UNITS = "mix_id bigint, source string, doc_id bigint, tokens bigint, p double"
 
 
 def _fly(seed: int, last: bool):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
         rng = np.random.default_rng(zlib.crc32(f"{seed}/{key[0]}/{key[1]}/{key[2]}".encode()))
         order = rng.permutation(len(pdf))

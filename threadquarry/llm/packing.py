@@ -100,7 +100,7 @@ def pack(sizes: list[int], capacity: int) -> tuple[list[int], np.ndarray]:
 _PACKED = "grp string, item string, part int, size bigint, capacity bigint, shard int, bin int, fill bigint, bounds array<double>"
 
 
-def _pack_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack_group(key, pdf):
     pdf = pdf.sort_values(["item", "part"], kind="stable").reset_index(drop=True)
     cap = int(pdf["capacity"].iloc[0])
     sizes = [int(x) for x in pdf["size"]]

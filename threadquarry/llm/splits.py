@@ -102,7 +102,7 @@ def difference(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack_shard(bins: int):
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key, pdf):
         pdf = pdf.sort_values(["weight", "component"], ascending=[False, True], kind="stable")
         w = np.zeros((len(pdf), bins))
         w[:, 0] = pdf["weight"].to_numpy()
@@ -114,7 +114,7 @@ def _pack_shard(bins: int):
 
 
 def _merge_shards(bins: int):
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key, pdf):
         shards = np.sort(pdf["shard"].unique())
         at = {s: i for i, s in enumerate(shards)}
         w = np.zeros((len(shards), bins))

@@ -65,47 +65,52 @@ def _rake_request(key, cells):
     return pa.table({"request_id": cells.column("request_id"), "strata": cells.column("strata"), "side": cells.column("side"), "weight": w})
 
 
-def needs(target: int, shares: dict[str, float], minimum: dict[str, int]) -> dict[str, float]:
-    """What each stratum must reach: the larger of its minimum and its share of the target."""
-    return {s: max(minimum.get(s) or 0, target * (p or 0.0)) for s, p in shares.items()}
-
-
 def choose(candidates: list[set[str]], target: int, shares: dict[str, float], minimum: dict[str, int]) -> list[int]:
-    """Positions of the chosen ``candidates`` (the strata of each, least key first): the first ones, then repair of what
-    strata lack by exchange.
+    """Positions of the chosen ``candidates`` (the strata of each, least key first): the first ones, then repair by exchange,
+    of minimums first and of shares after them.
 
     A candidate that lies in several strata serves each. An exchange takes the least-key outsider of the stratum that lacks
-    most, and gives up the greatest-key insider from outside that stratum whose strata all stay at their needs, so what
-    is lacking falls with every exchange; with none to give up it is added only up to the target.
+    most, and gives up an insider from outside that stratum: while minimums are repaired the one whose strata have most to
+    spare and stay at their minimums, afterwards the greatest-key one whose strata stay at what they should have. So what is
+    lacking falls with every exchange; with none to give up a candidate is added only up to the target.
     """
     strata = [x & shares.keys() for x in candidates]
     inside = set(range(min(target, len(candidates))))
-    want = {s: int(np.ceil(n - 1e-9)) if s in minimum and n == (minimum[s] or 0) else int(np.floor(n + 1e-9)) for s, n in needs(target, shares, minimum).items()}
+    least = {s: minimum.get(s) or 0 for s in shares}
+    share = {s: max(least[s], int(np.floor(target * (p or 0.0) + 1e-9))) for s, p in shares.items()}
     have = {s: 0 for s in shares}
     for i in inside:
         for s in strata[i]:
             have[s] += 1
-    stuck: set[str] = set()
-    while True:
-        lacking = [(have[s] - want[s], s) for s in shares if have[s] < want[s] and s not in stuck]
-        if not lacking:
-            break
-        s = min(lacking)[1]
-        new = next((i for i, x in enumerate(strata) if s in x and i not in inside), None)
-        if new is None:
-            stuck.add(s)
-            continue
-        if len(inside) >= target:
-            out = next((i for i in range(len(strata) - 1, -1, -1) if i in inside and s not in strata[i] and all(have[x] > want[x] for x in strata[i] - strata[new])), None)
-            if out is None:
+
+    def giver(s: str, new: int, want: dict[str, int]) -> int | None:
+        fit = (i for i in range(len(strata) - 1, -1, -1) if i in inside and s not in strata[i] and all(have[x] > want[x] for x in strata[i] - strata[new]))
+        if want is share:
+            return next(fit, None)
+        return max(fit, key=lambda i: min((have[x] - share[x] for x in strata[i]), default=target), default=None)
+
+    for want in (least, share):
+        stuck: set[str] = set()
+        while True:
+            lacking = [(have[s] - want[s], s) for s in shares if have[s] < want[s] and s not in stuck]
+            if not lacking:
+                break
+            s = min(lacking)[1]
+            new = next((i for i, x in enumerate(strata) if s in x and i not in inside), None)
+            if new is None:
                 stuck.add(s)
                 continue
-            inside.discard(out)
-            for x in strata[out]:
-                have[x] -= 1
-        inside.add(new)
-        for x in strata[new]:
-            have[x] += 1
+            if len(inside) >= target:
+                out = giver(s, new, want)
+                if out is None:
+                    stuck.add(s)
+                    continue
+                inside.discard(out)
+                for x in strata[out]:
+                    have[x] -= 1
+            inside.add(new)
+            for x in strata[new]:
+                have[x] += 1
     return sorted(inside)
 
 
