@@ -20,7 +20,7 @@ LEAST_WEIGHT, MOST_WEIGHT = 0.05, 4.0
 TOLERANCE = 1e-3
 MAX_ROUNDS = 12
 #: One-sided normal deviate up to which agreement is no better than chance (many annotators are tested at once).
-CHANCE_Z = 4.0
+CHANCE_Z = 4.5
 
 
 def holding_labels(df: DataFrame, item: list[str], annotator: str, fields: list[str], latest: list[str], void: str = "unlabeled") -> DataFrame:
@@ -51,12 +51,19 @@ def agreement(labels: DataFrame, item: list[str]) -> DataFrame:
     """Per annotator and field, agreement with the others on the same items, against chance.
 
     pairs: (own label, another's label) couples; observed: share that agree; expected: share that would agree if own and
-    others' labels were independent; kappa and z follow from these. Annotators who share no item are absent.
+    others' labels were independent, which gives kappa. z sets the agreeing pairs against own labels dealt to the same items
+    at random (others' labels as they are, so that what others agree on weighs as it should); it is about normal under chance.
+    Annotators who share no item are absent.
     """
     own = labels.join(_tally(labels, item), [*item, "field"]).where("total > 1")
     own = own.withColumn("same", F.col("counts")[F.col("value")] - 1).withColumn("others", F.col("total") - 1)
-    base = own.groupBy("annotator", "field").agg(F.sum("others").alias("pairs"), F.sum("same").alias("agreed"))
-    mine = own.groupBy("annotator", "field", "value").agg(F.sum("others").alias("m"))
+    mine = own.groupBy("annotator", "field", "value").agg(F.sum("others").alias("m"), F.count("*").alias("k"))
+    parts = mine.groupBy("annotator", "field").agg(F.map_from_entries(F.collect_list(F.struct("value", "k"))).alias("_p"), F.sum("k").alias("_all"))  # bounded by the values
+    left = F.transform(F.map_entries("counts"), lambda e: F.struct((F.coalesce(F.try_element_at("_p", e["key"]), F.lit(0)) / F.col("_all")).alias("p"), (e["value"] - F.when(e["key"] == F.col("value"), 1).otherwise(0)).cast("double").alias("n")))
+    zero = F.lit(0.0)
+    own = own.join(parts, ["annotator", "field"]).withColumn("_l", left)
+    own = own.withColumn("_e", F.aggregate("_l", zero, lambda a, x: a + x["p"] * x["n"])).withColumn("_q", F.aggregate("_l", zero, lambda a, x: a + x["p"] * x["n"] * x["n"]))
+    base = own.groupBy("annotator", "field").agg(F.sum("others").alias("pairs"), F.sum("same").alias("agreed"), F.sum("_e").alias("_e"), F.sum(F.col("_q") - F.col("_e") * F.col("_e")).alias("_v"))
     theirs = (
         own.select("annotator", "field", F.col("value").alias("own"), F.explode("counts").alias("value", "n"))
         .groupBy("annotator", "field", "value").agg(F.sum(F.col("n") - F.when(F.col("own") == F.col("value"), 1).otherwise(0)).alias("t"))
@@ -67,8 +74,7 @@ def agreement(labels: DataFrame, item: list[str]) -> DataFrame:
     return out.select(
         "annotator", "field", "pairs", "observed", "expected",
         F.when(F.col("expected") < 1, (F.col("observed") - F.col("expected")) / (1 - F.col("expected"))).alias("kappa"),
-        F.when((F.col("expected") > 0) & (F.col("expected") < 1), (F.col("observed") - F.col("expected")) / F.sqrt(F.col("expected") * (1 - F.col("expected")) / F.col("pairs")))
-        .otherwise(F.when(F.col("observed") > F.col("expected"), F.lit(1e9)).otherwise(0.0)).alias("z"),
+        F.when(F.col("_v") > 1e-9, (F.col("agreed") - F.col("_e")) / F.sqrt("_v")).otherwise(F.lit(0.0)).alias("z"),
     )
 
 
