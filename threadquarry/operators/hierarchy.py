@@ -9,7 +9,7 @@ image of the doubled parent function shrinks until it holds ring nodes only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadquarry.runtime import Scratch
@@ -86,16 +86,16 @@ def resolve(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFram
             )
             .withColumn("hit", F.col("status").isNotNull())
         )
-        step = scratch.keep(step, f"step{rounds}", ["hit"])
+        seen = Observation()
+        step = scratch.keep(step.observe(seen, F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("rows")), f"step{rounds}", ["hit"])
         hit, miss = step.where("hit"), step.where("not hit").select(*scopes, "id", "ptr", "seg")
-        new = hit.select(*reached_cols)
-        counts = {r["hit"]: r["n"] for r in step.groupBy("hit").agg(F.count("*").alias("n")).collect()}
-        reached.append(new)
-        if not counts.get(True) and rounds > FRONTIER_ROUNDS:
-            waiting = miss
+        # What landed now is all that the next round can land on: every end was looked up before and had not been reached.
+        frontier = hit.select(*reached_cols)
+        hits, left = seen.get["hits"], seen.get["rows"] - seen.get["hits"]
+        reached.append(frontier)
+        waiting = miss
+        if not hits and rounds > FRONTIER_ROUNDS:
             break  # chains are contiguous: if no stretch landed, none ever will
-        left = counts.get(False, 0)
-        # Before doubling starts, misses hang at distance one; once strides double, a miss joins another miss.
         if doubling:
             waiting = (
                 miss.alias("w")
@@ -107,14 +107,6 @@ def resolve(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFram
                 )
             )
             waiting = scratch.keep(waiting, f"stride{rounds}")
-            frontier = reached[0]
-            for part in reached[1:]:
-                frontier = frontier.unionByName(part)
-            # Only reached nodes that a stretch can hang from matter.
-            ends = waiting.select(*scopes, F.col("ptr").alias("eid")).distinct()
-            frontier = frontier.alias("r").join(ends.alias("e"), _on("r", "e", scopes, "id", "eid"), "left_semi")
-        else:
-            waiting, frontier = miss, new
         rounds += 1
 
     # The stretches of ring nodes grew with the strides; start again from plain parents.
