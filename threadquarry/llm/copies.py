@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadquarry.runtime import BROADCAST_BYTES, Scratch
+from threadquarry.runtime import BROADCAST_BYTES, Scratch, spread
 
 #: Collapsed rows that one bucket may hold, bytes a split looks further, and bytes of the first split.
 BUCKET_ROWS = 40_000
@@ -231,7 +231,7 @@ def copy_groups(df: DataFrame, scope: list[str], key: str, body: str, to_bytes:
     whose canonical form is null, and rows without key, belong to no group; null scope values form a scope of their own.
     """
     scratch = Scratch(df.sparkSession, "copies")
-    collapsed = _scoped(df, scope, key, body).mapInArrow(_collapsed_rows(to_bytes), "data binary, digest binary, n bigint, first bigint")
+    collapsed = spread(_scoped(df, scope, key, body)).mapInArrow(_collapsed_rows(to_bytes), "data binary, digest binary, n bigint, first bigint")
     collapsed = scratch.keep(collapsed, "collapsed")
     buckets = radix_buckets(collapsed, scratch, bucket_rows)
     return scratch.keep(buckets.groupBy("prefix", "width").applyInArrow(_count_bucket, "digest binary, copies bigint, first_key bigint"), "groups")
@@ -245,5 +245,5 @@ def _scoped(df: DataFrame, scope: list[str], key: str, body: str) -> DataFrame:
 def copy_pairs(df: DataFrame, scope: list[str], key: str, body: str, to_bytes: Callable[[str | None], bytes | None] = text_bytes, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(first_key, copy_key) for each row that repeats another of its scope; linear in rows, never all pairs of a group."""
     groups = copy_groups(df, scope, key, body, to_bytes, bucket_rows).where("copies > 1").select("digest", "first_key")
-    rows = _scoped(df, scope, key, body).mapInArrow(_canonical_rows(to_bytes), "digest binary, key bigint")
+    rows = spread(_scoped(df, scope, key, body)).mapInArrow(_canonical_rows(to_bytes), "digest binary, key bigint")
     return rows.join(groups, "digest").where("key <> first_key").select("first_key", F.col("key").alias("copy_key"))

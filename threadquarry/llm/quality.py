@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadquarry.runtime import spread
+
 #: Robust z-score from which a statistic lies in a tail, and relative rank error of the sketches.
 TAIL_Z = 2.5
 SKETCH_ACCURACY = 2_000
@@ -242,7 +244,7 @@ def measure(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
             )
 
     schema = "doc_id bigint, language string, " + ", ".join(f"{k} double" for k in names) + ", kind string"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
 def sketches(measured: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadquarry.runtime import spread
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the pattern that splits text into words before merging, as published with the vocabulary.
@@ -173,7 +175,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
             flat = np.concatenate(ids).astype(np.int32) if len(ids) else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [key, "ids"])
 
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"{key} {kind.simpleString()}, ids array<int>")
+    return spread(docs.select(F.col(key), F.col(text).alias("text"))).mapInArrow(run, f"{key} {kind.simpleString()}, ids array<int>")
 
 
 def decode_corpus(encoded: DataFrame, key: str = "doc_id", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -203,7 +205,7 @@ def token_counts(docs: DataFrame, key: str, text: str = "text", tokenizers: str
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n, pa.int64())], [*keep, "tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return docs.mapInArrow(run, f"{schema}, tokens bigint")
+    return spread(docs).mapInArrow(run, f"{schema}, tokens bigint")
 
 
 _RANKS: dict[str, object] = {}
