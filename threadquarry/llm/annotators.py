@@ -17,6 +17,7 @@ SMOOTHING = 4.0
 PRIOR = 0.6
 #: Weights are log odds of the accuracy, held between these.
 LEAST_WEIGHT, MOST_WEIGHT = 0.05, 4.0
+#: Stable: accuracies move by less than this on average. (The largest single move never settles: ties flip to and fro.)
 TOLERANCE = 1e-3
 MAX_ROUNDS = 12
 #: One-sided normal deviate up to which agreement is no better than chance (many annotators are tested at once).
@@ -128,7 +129,7 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
         new = weights.select("annotator", "field", F.col("accuracy").alias("before")).join(score, ["annotator", "field"], "left").withColumn("accuracy", accuracy)
         new = new.withColumn("weight", F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.log(F.col("accuracy") / (1 - F.col("accuracy"))))))
         new = scratch.keep(new.select("annotator", "field", "accuracy", "weight", "before", F.coalesce("seen", F.lit(0)).cast("bigint").alias("labels")), f"weights{r}")
-        moved = new.agg(F.max(F.abs(F.col("accuracy") - F.col("before"))).alias("m")).first()["m"]
+        moved = new.agg(F.avg(F.abs(F.col("accuracy") - F.col("before"))).alias("m")).first()["m"]
         scratch.drop(weights)
         weights = new
         if moved is None or moved < TOLERANCE:
