@@ -25,7 +25,8 @@ def plan_batches(items: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFra
     no limit); one call is kept for merging. A plan fails, and has no batches, where an item exceeds a call, its calls or its
     budget run out. Items take a token at least, so a plan within its budget is a bounded group; others are never gathered.
     """
-    plans = plans.withColumn("limit", F.least("per_call", "budget"))
+    plans = plans.select("plan_id", *[F.col(c).cast("bigint").alias(c) for c in ("per_call", "budget", "fixed", "max_calls")]).withColumn("limit", F.least("per_call", "budget"))
+    items = items.withColumn("tokens", F.col("tokens").cast("bigint"))
     sums = items.groupBy("plan_id").agg(F.sum("tokens").alias("total"), F.max("tokens").alias("largest"), F.count("*").alias("items"))
     known = plans.join(sums, "plan_id", "left")
     fits = known.where(F.col("items").isNotNull() & (F.col("fixed") + F.col("largest") <= F.col("limit")) & (F.col("total") + F.col("fixed") <= F.col("budget")))

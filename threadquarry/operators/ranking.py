@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from threadquarry.functions.scalars import comment_scale
 
-#: Parts that a group's rows are ranked in before their winners meet.
-SALTS = 32
+#: Parts that a group's rows are ranked in before their winners (parts x limit rows at most) meet.
+SALTS = 512
 
 
 def least_per_group(df: DataFrame, keys: list[str], order: list[str], limit: str) -> DataFrame:
