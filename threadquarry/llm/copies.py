@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from threadquarry.runtime import BROADCAST_BYTES, Scratch, spread
 
-#: Collapsed rows that one bucket may hold, bytes a split looks further, and bytes of the first split.
+#: Collapsed rows and bytes that one bucket may hold, bytes a split looks further, and bytes of the first split.
 BUCKET_ROWS = 40_000
+BUCKET_BYTES = 64 << 20
 STRIDE = 3
 FIRST = 1
-#: Distinct contents a task collapses before it passes them on.
+#: Distinct contents, and their bytes, that a task collapses before it passes them on.
 COLLAPSE_ROWS = 50_000
+COLLAPSE_BYTES = 64 << 20
 
 
 def _width_table() -> dict[int, str]:
@@ -172,6 +174,7 @@ def _collapsed_rows(to_bytes: Callable[[str | None], bytes | None]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
+        held = 0
         for b in batches:
             for scope, key, body in zip(*[b.column(i).to_pylist() for i in range(3)]):
                 data = to_bytes(body)
@@ -181,13 +184,17 @@ def _collapsed_rows(to_bytes: Callable[[str | None], bytes | None]):
                 v = seen.get(data)
                 if v is None:
                     seen[data] = [1, key]
+                    held += len(data)
                 else:
                     v[0] += 1
                     if key < v[1]:
                         v[1] = key
+                if held >= COLLAPSE_BYTES:
+                    yield flush(seen)
+                    seen, held = {}, 0
             if len(seen) >= COLLAPSE_ROWS:
                 yield flush(seen)
-                seen = {}
+                seen, held = {}, 0
         yield flush(seen)
 
     return run
@@ -204,14 +211,14 @@ def _count_bucket(key, table):
 
 def radix_buckets(rows: DataFrame, scratch: Scratch, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``rows`` plus ``prefix`` (the bucket's leading bytes) and ``width``; no bucket holds more than ``bucket_rows`` rows
-    unless they are one content. Only rows of oversized buckets are counted by further bytes."""
+    or BUCKET_BYTES bytes unless they are one content. Only rows of oversized buckets are counted by further bytes."""
     lead = lambda w: F.substring(F.col("data"), 1, w)
     width = FIRST
     todo = rows
     oversized = []
     while True:
-        sized = todo.groupBy(lead(width).alias("prefix")).agg(F.count("*").alias("rows"), F.max(F.length("data")).alias("longest"))
-        big = scratch.keep(sized.where((F.col("rows") > bucket_rows) & (F.col("longest") > width)).select("prefix"), f"big{width}")
+        sized = todo.groupBy(lead(width).alias("prefix")).agg(F.count("*").alias("rows"), F.max(F.length("data")).alias("longest"), F.sum(F.length("data")).alias("bytes"))
+        big = scratch.keep(sized.where(((F.col("rows") > bucket_rows) | (F.col("bytes") > BUCKET_BYTES)) & (F.col("rows") > 1) & (F.col("longest") > width)).select("prefix"), f"big{width}")
         n = big.count()  # at most rows / bucket_rows
         if not n:
             break

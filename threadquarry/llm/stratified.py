@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from threadquarry.runtime import Scratch
 
-#: Parts a request's records are ranked in before their winners meet in one task.
-SALTS = 32
+#: Parts a request's records are ranked in before their winners (parts x target rows at most) meet in one task.
+SALTS = 512
 IPF_ROUNDS = 50
 IPF_TOLERANCE = 1e-5
 
