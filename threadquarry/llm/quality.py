@@ -202,7 +202,7 @@ def kind_of(text: str, m: dict[str, float]) -> str | None:
         return "junk"
     if m["cell_share"] >= 0.6 and m["repeat_ratio"] < 0.9:
         return "table"
-    if latin > 0.5 * chars and latin >= 16 and m["pair_share"] < 0.3:
+    if latin > 0.5 * chars and latin >= 16 and (m["pair_share"] < 0.3 or m["pair_share"] < 0.4 and m["common_share"] < 0.1):
         return "junk"
     if m["entry_share"] >= 0.6 and m["repeat_ratio"] < 0.8:
         lines = [x.strip() for x in p["line"].split(text) if x.strip()]
