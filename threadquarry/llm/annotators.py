@@ -22,6 +22,8 @@ TOLERANCE = 1e-3
 MAX_ROUNDS = 12
 #: One-sided normal deviate up to which agreement is no better than chance (many annotators are tested at once).
 CHANCE_Z = 4.5
+#: Agreement beyond chance from which few labels are no reason to doubt an annotator.
+CHANCE_KAPPA = 0.2
 
 
 def holding_labels(df: DataFrame, item: list[str], annotator: str, fields: list[str], latest: list[str], void: str = "unlabeled") -> DataFrame:

@@ -165,7 +165,7 @@ def _reliability(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Annotators whose agreement with the others does not exceed chance; their vote weight has sunk likewise."""
     _, rel = _reliability(spark, d)
-    return rel.where(F.col("z") <= annotators.CHANCE_Z).select(F.col("annotator").alias("annotator_id"), F.col("field").alias("label_field"))
+    return rel.where((F.col("z") <= annotators.CHANCE_Z) & (F.coalesce("kappa", F.lit(0.0)) < annotators.CHANCE_KAPPA)).select(F.col("annotator").alias("annotator_id"), F.col("field").alias("label_field"))
 
 
 def p5_consensus(spark: SparkSession, d: str) -> DataFrame:
@@ -336,8 +336,13 @@ own AS (SELECT l.a, l.f, l.v, n1.n - 1 AS same, n2.total - 1 AS others, l.video_
 p AS (SELECT a, f, v, count(*) / sum(count(*)) OVER (PARTITION BY a, f) AS p FROM own GROUP BY a, f, v),
 e AS (SELECT o.a, o.f, o.video_id, o.comment_id, any_value(o.same) AS same, sum(p.p * (n1.n - (n1.v = o.v)::INT)) AS e, sum(p.p * (n1.n - (n1.v = o.v)::INT) ** 2) AS q
   FROM own o JOIN n1 USING (video_id, comment_id, f) JOIN p ON p.a = o.a AND p.f = o.f AND p.v = n1.v GROUP BY ALL),
-z AS (SELECT a, f, sum(same) AS agreed, sum(e) AS e, sum(q - e * e) AS var FROM e GROUP BY a, f)
-SELECT a AS annotator_id, f AS label_field FROM z WHERE CASE WHEN var > 1e-9 THEN (agreed - e) / sqrt(var) ELSE 0 END <= 4.5""",
+z AS (SELECT a, f, sum(same) AS agreed, sum(e) AS e, sum(q - e * e) AS var FROM e GROUP BY a, f),
+base AS (SELECT a, f, sum(others) AS pairs, sum(same) / sum(others) AS po FROM own GROUP BY ALL),
+mine AS (SELECT a, f, v, sum(others) AS m FROM own GROUP BY ALL),
+their AS (SELECT o.a, o.f, n1.v, sum(n1.n - (n1.v = o.v)::INT) AS t FROM own o JOIN n1 USING (video_id, comment_id, f) GROUP BY ALL),
+ch AS (SELECT a, f, sum(m::DOUBLE * t) AS mt FROM mine JOIN their USING (a, f, v) GROUP BY ALL),
+k AS (SELECT a, f, CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END AS kappa FROM (SELECT a, f, po, coalesce(mt, 0) / (pairs::DOUBLE * pairs) AS pe FROM base LEFT JOIN ch USING (a, f)))
+SELECT a AS annotator_id, f AS label_field FROM z JOIN k USING (a, f) WHERE CASE WHEN var > 1e-9 THEN (agreed - e) / sqrt(var) ELSE 0 END <= 4.5 AND coalesce(kappa, 0) < 0.2""",
     "p5_agreement": _HELD + """, n1 AS (SELECT video_id, comment_id, f, v, count(*)::DOUBLE AS n FROM lab GROUP BY ALL),
 n2 AS (SELECT video_id, comment_id, f, sum(n) AS m FROM n1 GROUP BY ALL HAVING sum(n) > 1),
 x AS (SELECT n1.f, n1.v, n1.n, n2.m FROM n1 JOIN n2 USING (video_id, comment_id, f)),
