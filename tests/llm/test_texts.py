@@ -65,7 +65,7 @@ def test_encoding(spark):
         assert got[i] == (reference.encode_ordinary(t) if t else []), t
     back = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(tokens.encode_corpus(df)).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
-    counts = {r["doc_id"]: r["tokens"] for r in tokens.token_counts(df, "doc_id").collect()}
+    counts = {r["doc_id"]: r["tokens"] for r in tokens.token_counts(df.selectExpr("*", "-1 as tokens", "1 as ids"), "doc_id").collect()}
     assert counts == {i: len(x) for i, x in got.items()}
     assert tokens.encode_corpus(df.limit(0)).count() == 0
 

@@ -194,8 +194,10 @@ def decode_corpus(encoded: DataFrame, key: str = "doc_id", tokenizers: str = TOK
 
 
 def token_counts(docs: DataFrame, key: str, text: str = "text", tokenizers: str = TOKENIZERS, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """``docs``' columns without the text, plus ``tokens``: the number of tokens, 0 for null and empty texts."""
+    """``docs``' columns without the text, plus ``tokens``: the number of tokens, 0 for null and empty texts. A column of that name
+    is replaced."""
     path = f"{tokenizers}/{ranks}"
+    docs = docs.select(*[c for c in docs.columns if c != "tokens"])
     keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
