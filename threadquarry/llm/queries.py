@@ -321,7 +321,24 @@ QUERIES = {
     "p9_found": p9_found, "p9_mix": p9_mix, "p9_report": p9_report,
 }
 
+_WIDE, _NARROW = ("".join(chr(c + d) for c in range(0x21, 0x7F)) for d in (0xFEE0, 0))
+_DRESS = r"[\p{P}\p{Z}\s\p{Cc}\p{Cf}\x{85}\x{34F}\x{115F}\x{1160}\x{3164}\x{FE00}-\x{FE0F}]+"
+
+
+def _canonical(text: str) -> str:
+    wide, narrow = (x.replace("'", "''") for x in (_WIDE, _NARROW))
+    return f"regexp_replace(lower(nfc_normalize(translate({text}, '{wide}', '{narrow}'))), '{_DRESS}', '', 'g')"
+
+
+_LINE = ["raw_comment_id", "raw_author_id", "raw_parent_comment_id", "published_at", "collected_at", "like_count", "reply_count", "is_video_author", "source_stratum", "source_page_or_rank"]
+
 SQL = {
+    "p7_found": f"""WITH c AS (SELECT 'raw_comments' AS table_name, arrival_seq AS k, platform, raw_video_id, {_canonical('text')} AS t FROM raw_comments WHERE text IS NOT NULL),
+j AS (SELECT line_id, platform, raw_video_id, body::JSON AS b FROM comment_lines WHERE json_valid(body)),
+l AS (SELECT 'comment_lines' AS table_name, line_id AS k, platform, raw_video_id, coalesce(nullif('c' || {_canonical("(b->>'text')")}, 'c'), 'r' || (b->>'text')) AS t, {', '.join(f"b->>'{f}' AS f{i}" for i, f in enumerate(_LINE))} FROM j),
+p AS (SELECT table_name, k, min(k) OVER (PARTITION BY platform, raw_video_id, t) AS first_key FROM c WHERE t <> ''
+  UNION ALL SELECT table_name, k, min(k) OVER (PARTITION BY platform, raw_video_id, t, {', '.join(f"f{i}" for i in range(len(_LINE)))}) FROM l)
+SELECT table_name, first_key, k AS copy_key FROM p WHERE k <> first_key""",
     "p1_found": _GROUPS + """SELECT DISTINCT l.v AS video_id FROM listed l JOIN groups g ON g.video_id = l.v WHERE g.group_id IN (
   SELECT g2.group_id FROM listed l2 JOIN groups g2 ON g2.video_id = l2.v GROUP BY 1 HAVING count(DISTINCT l2.split) > 1)""",
     "p1_groups": _GROUPS + "SELECT video_id, group_id FROM groups",
