@@ -56,7 +56,7 @@ TOKENIZERS = pytest.mark.skipif(not os.path.isdir(tokens.TOKENIZERS), reason="no
 @TOKENIZERS
 def test_encoding(spark):
     reference = tokens._rank_encoding(f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken")
-    texts = [None, "", " ", "hello world", "aaaaaaaaaaaaaaa", "It's  \n\n  here<|endoftext|>", "之前买过类似的表格合并器，花了350块", "👨‍👩‍👧 é \x00￿", "x" * 5000, "🔥" * 700, "Ünïcode 123 4567", "hello world"]
+    texts = [None, "", " ", "hello world", "aaaaaaaaaaaaaaa", "It's  \n\n  here<|endoftext|>", "之前买过类似的表格合并器，花了350块", "👨‍👩‍👧 é \x00￿", "x" * 5000, "🔥" * 700, "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(3000)), "Qz7" * 2000, "Ünïcode 123 4567", "hello world"]
     rnd = random.Random(4)
     texts += ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(0x4E00, 0x9FFF), rnd.randrange(0x80, 0x2FF), 10, 32])) for _ in range(60)) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")

@@ -26,13 +26,12 @@ QUERY_BYTES = 120_000
 STEP_CHARS = 1_500_000
 REMEMBERED = 120_000
 
+#: Words of so many bytes go alone, each round a table of its own, so that rounds don't pile up in memory.
+LONG_WORD = 4_096
+
 #: One row per token position. A round finds each open word's least merge rank, contracts every occurrence of that pair
 #: from the left (in an overlapping run a a a the first, third, ...), and passes on only words that changed.
-_ENCODE = """
-WITH RECURSIVE t(it, wid, pos, tok) AS (
-  SELECT 0, wid, pos, tok FROM start
-  UNION ALL
-  SELECT it, wid, pos, tok FROM (
+_ROUND = """
     WITH pairs AS (
       SELECT it, wid, pos, tok, lead(tok) OVER (PARTITION BY wid ORDER BY pos) AS nxt FROM t),
     ranked AS (
@@ -46,7 +45,14 @@ WITH RECURSIVE t(it, wid, pos, tok) AS (
     taken AS (
       SELECT *, h AND row_number() OVER (PARTITION BY wid, h, run ORDER BY pos) % 2 = 1 AS c FROM runs)
     SELECT it + 1 AS it, wid, pos, CASE WHEN c THEN id ELSE tok END AS tok
-    FROM taken QUALIFY NOT coalesce(lag(c) OVER (PARTITION BY wid ORDER BY pos), false)))
+    FROM taken QUALIFY NOT coalesce(lag(c) OVER (PARTITION BY wid ORDER BY pos), false)
+"""
+
+_ENCODE = f"""
+WITH RECURSIVE t(it, wid, pos, tok) AS (
+  SELECT 0, wid, pos, tok FROM start
+  UNION ALL
+  SELECT it, wid, pos, tok FROM ({_ROUND}))
 SELECT wid, list(tok ORDER BY pos) AS ids FROM (SELECT * FROM t QUALIFY it = max(it) OVER (PARTITION BY wid)) GROUP BY wid ORDER BY wid
 """
 
@@ -106,12 +112,29 @@ class Encoder:
         flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
+    def _query_long(self, word: bytes) -> np.ndarray:
+        toks = self.byte_id[np.frombuffer(word, np.uint8)]
+        self.con.register("start", pa.table({"it": np.zeros(len(toks), np.int32), "wid": np.zeros(len(toks), np.int32), "pos": np.arange(len(toks), dtype=np.int32), "tok": toks}))
+        self.con.execute("CREATE OR REPLACE TEMP TABLE t AS SELECT * FROM start")
+        self.con.unregister("start")
+        while True:
+            self.con.execute(f"CREATE OR REPLACE TEMP TABLE next_t AS {_ROUND}")
+            if not self.con.execute("SELECT count(*) FROM next_t").fetchall()[0][0]:
+                break
+            self.con.execute("DROP TABLE t; ALTER TABLE next_t RENAME TO t")
+        ids = self.con.sql("SELECT tok FROM t ORDER BY pos").to_arrow_table().column("tok").to_numpy()
+        self.con.execute("DROP TABLE t; DROP TABLE IF EXISTS next_t")
+        return ids
+
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known = {}
         part: list[str] = []
         size = 0
         todo = sorted((w for w in words if w not in self.known), key=lambda w: (len(w), w))  # alike lengths end in alike rounds
+        while todo and len(todo[-1]) * 4 > LONG_WORD:
+            w = todo.pop()
+            self.known[w] = self._query_long(w.encode("utf-8", "surrogatepass")).astype(np.int32)
         for i, w in enumerate(todo):
             part.append(w)
             size += len(w) * 3
