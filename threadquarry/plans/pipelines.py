@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadquarry.functions import redaction, scalars
 from threadquarry.operators import batching, consensus, merging, model_step, profiling, ranking, sampling
+from threadquarry.plans.reference_sql import SQL as _ALL
 from threadquarry.runtime import Scratch, table
 
 VIDEO = ["platform", "raw_video_id"]
@@ -108,4 +109,4 @@ def analysis(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f"ref_{f.__name__}": f for f in (collection_status, prepared_splits, analysis)}
-SQL: dict[str, str] = {}
+SQL = {name: sql for name, sql in _ALL.items() if name in QUERIES}

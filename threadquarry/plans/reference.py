@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadquarry.functions import redaction, scalars
 from threadquarry.operators import batching, checks, consensus, evaluation, labels, merging, profiling, ranking, sampling
+from threadquarry.plans.reference_sql import SQL as _ALL
 from threadquarry.runtime import Scratch, table
 from threadquarry.sources import payloads
 
@@ -369,4 +370,4 @@ QUERIES = {
     )
 }
 
-from threadquarry.plans.reference_sql import SQL  # noqa: E402, F401
+SQL = {name: sql for name, sql in _ALL.items() if name in QUERIES}

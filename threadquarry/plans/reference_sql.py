@@ -133,7 +133,22 @@ _PADS = [bytes(b ^ x for b in _KEY).hex() for x in (0x36, 0x5C)]
 
 _SPACE = r"'[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'"
 
+
+
+def _pseudonym(kind: str, column: str) -> str:
+    """Keyed digest by hand: two nested digests over the padded key."""
+    return f"'{kind}_' || left(sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode('{kind}') || '\\x00'::BLOB || encode({column})))), 32)"
+
+
 SQL = {
+    "ref_video_urls": """SELECT capture_seq, CASE WHEN platform = 'bilibili' THEN 'https://search.bilibili.com/video?keyword=' || e || '&page=' || (p + 1) ELSE 'https://www.douyin.com/search/' || e || '?type=general&page=' || (p + 1) END AS next_url,
+  (p + 1)::BIGINT AS page, CASE WHEN platform = 'bilibili' THEN '/video' ELSE '/search/' || e END AS path
+FROM (SELECT capture_seq, platform, url_encode(title) AS e, capture_seq % 7 + 1 AS p FROM raw_videos WHERE platform IS NOT NULL AND title IS NOT NULL)""",
+    "ref_prepared_splits": f"""WITH v AS (SELECT DISTINCT {_pseudonym('video', 'raw_video_id')} AS video_id FROM raw_comments
+  SEMI JOIN (SELECT platform, raw_video_id FROM raw_videos WHERE platform = 'bilibili') USING (platform, raw_video_id)),
+r AS (SELECT video_id, row_number() OVER (ORDER BY sha256(video_id), video_id) AS r, count(*) OVER () AS n FROM v)
+SELECT video_id, CASE WHEN r <= CASE WHEN n = 24 THEN 10 ELSE ceil(n * 0.4::DOUBLE) END THEN 'development'
+  WHEN r <= CASE WHEN n = 24 THEN 17 ELSE ceil(n * 0.4::DOUBLE) + floor(n * 0.3::DOUBLE) END THEN 'calibration' ELSE 'holdout' END AS split FROM r""",
     "ref_comment_scale": "SELECT capture_seq, CASE WHEN total_comment_count <= 200 THEN 'up_to_200' WHEN total_comment_count <= 2000 THEN '201_to_2000' WHEN total_comment_count > 2000 THEN 'over_2000' END AS comment_scale FROM raw_videos",
     "ref_collection_target": f"SELECT capture_seq, {_TARGET} AS target FROM (SELECT capture_seq, total_comment_count AS t FROM raw_videos)",
     "ref_quality": f"WITH {_QUALITY} SELECT manifest_id, completion, page_rate, author_rate, duplicate_rate, status FROM q",
@@ -145,8 +160,7 @@ SQL = {
     "ref_response_kinds": """SELECT p.platform, u.url, CASE WHEN p.platform = 'bilibili' AND u.url LIKE 'https://api.bilibili.com/x/v2/reply/wbi/main%' THEN 'comments'
   WHEN p.platform = 'douyin' AND u.url LIKE 'https://www.douyin.com/aweme/v1/web/aweme/detail%' THEN 'video' END AS kind
 FROM (SELECT DISTINCT platform FROM raw_videos WHERE platform IS NOT NULL) p, (VALUES ('https://api.bilibili.com/x/v2/reply/wbi/main/'), ('https://www.douyin.com/aweme/v1/web/aweme/detail?x=1'), ('http://api.bilibili.com/x/v2/reply/reply'), ('https://notbilibili.com/x/v2/reply/reply')) u(url)""",
-    "ref_pseudonyms": f"""SELECT DISTINCT raw_author_id, 'author_' || left(sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode('author') || '\\x00'::BLOB || encode(raw_author_id)))), 32) AS author_id
-FROM raw_comments WHERE raw_author_id IS NOT NULL""",
+    "ref_pseudonyms": f"SELECT DISTINCT raw_author_id, {_pseudonym('author', 'raw_author_id')} AS author_id FROM raw_comments WHERE raw_author_id IS NOT NULL",
     "ref_profiles": f"""WITH r AS (SELECT platform, raw_video_id, sum(exact_duplicates) AS ex FROM {_run('raw_comments')} GROUP BY 1, 2), {_FIRSTS},
 st AS (SELECT platform, raw_video_id, string_agg(source_stratum || '=' || n, ',' ORDER BY source_stratum) AS strata FROM (SELECT platform, raw_video_id, source_stratum, count(*) AS n FROM firsts WHERE source_stratum IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)
 SELECT f.platform, f.raw_video_id, (count(*) + max(r.ex))::BIGINT AS collected_total, count(raw_author_id) AS author_id_present, count(DISTINCT raw_author_id) AS distinct_author_count, max(st.strata) AS strata, max(r.ex)::BIGINT AS exact_duplicate_count,
