@@ -1,7 +1,7 @@
 """Parent-child rows to full hierarchies: path, depth, root, descendants, and what has no root.
 
 Roots and the children of absent parents start a frontier that a few level-wise joins push down. Nearly every node is
-reached in those rounds. What is left (deep chains, rings and what hangs below rings) is finished by the same frontier
+reached in those rounds. Frontiers grow with the data, so their joins are sort-merge joins, never broadcasts. What is left (deep chains, rings and what hangs below rings) is finished by the same frontier
 join with doubled strides: an unreached node joins its current ancestor, and either lands on a reached node or doubles the
 stretch it knows, so a chain of depth d takes log2(d) joins. Nodes that no frontier reaches lead into a ring; there the
 image of the doubled parent function shrinks until it holds ring nodes only.
@@ -56,7 +56,7 @@ def resolve(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFram
     present = base.select(*scopes, F.col("id").alias("pid"))
     linked = (
         base.where("par is not null").alias("n")
-        .join(present.alias("p"), _on("n", "p", scopes, "par", "pid"), "left")
+        .join(present.hint("merge").alias("p"), _on("n", "p", scopes, "par", "pid"), "left")
         .select("n.*", F.col("p.pid").isNotNull().alias("held"))
     )
     reached_cols = [*scopes, "id", "status", "root", "depth", "path"]
@@ -77,7 +77,7 @@ def resolve(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFram
         doubling = rounds >= FRONTIER_ROUNDS
         step = (
             waiting.alias("w")
-            .join(frontier.select(*scopes, F.col("id").alias("fid"), "status", "root", "depth", "path").alias("f"), _on("w", "f", scopes, "ptr", "fid"), "left")
+            .join(frontier.select(*scopes, F.col("id").alias("fid"), "status", "root", "depth", "path").hint("merge").alias("f"), _on("w", "f", scopes, "ptr", "fid"), "left")
             .select(
                 *[F.col(f"w.{c}") for c in (*scopes, "id", "ptr", "seg")],
                 "status", "root",
@@ -99,7 +99,7 @@ def resolve(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFram
         if doubling:
             waiting = (
                 miss.alias("w")
-                .join(miss.alias("u"), _on("w", "u", scopes, "ptr", "id"), "left")
+                .join(miss.hint("merge").alias("u"), _on("w", "u", scopes, "ptr", "id"), "left")
                 .select(
                     *[F.col(f"w.{c}").alias(c) for c in (*scopes, "id")],
                     F.coalesce("u.ptr", "w.ptr").alias("ptr"),
@@ -111,14 +111,14 @@ def resolve(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFram
 
     # The stretches of ring nodes grew with the strides; start again from plain parents.
     ring = waiting.select(*scopes, "id").alias("w").join(
-        linked.select(*scopes, F.col("id").alias("lid"), "par").alias("l"), _on("w", "l", scopes, "id", "lid")
+        linked.select(*scopes, F.col("id").alias("lid"), "par").hint("merge").alias("l"), _on("w", "l", scopes, "id", "lid")
     ).select(*[F.col(f"w.{c}").alias(c) for c in scopes], F.col("w.id").alias("id"), F.col("par").alias("ptr"))
     ring = scratch.keep(ring, "ring")
     image = ring.select(*scopes, F.col("ptr").alias("id")).distinct()
     size = image.count()
     while size:
         doubled = scratch.keep(
-            ring.alias("a").join(ring.alias("b"), _on("a", "b", scopes, "ptr", "id")).select(*[F.col(f"a.{c}").alias(c) for c in (*scopes, "id")], F.col("b.ptr").alias("ptr")),
+            ring.alias("a").join(ring.hint("merge").alias("b"), _on("a", "b", scopes, "ptr", "id")).select(*[F.col(f"a.{c}").alias(c) for c in (*scopes, "id")], F.col("b.ptr").alias("ptr")),
             "ring",
         )
         image = doubled.select(*scopes, F.col("ptr").alias("id")).distinct()
@@ -128,7 +128,7 @@ def resolve(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFram
             break
         size = now
     unreached = (
-        ring.alias("a").join(image.select(*scopes, F.col("id").alias("iid")).alias("i"), _on("a", "i", scopes, "id", "iid"), "left")
+        ring.alias("a").join(image.select(*scopes, F.col("id").alias("iid")).hint("merge").alias("i"), _on("a", "i", scopes, "id", "iid"), "left")
         .select(
             *[F.col(f"a.{c}").alias(c) for c in (*scopes, "id")],
             F.when(F.col("iid").isNotNull(), "in_cycle").otherwise("below_cycle").alias("status"),
