@@ -1,10 +1,11 @@
 """Parent-child rows to full hierarchies: path, depth, root, descendants, and what has no root.
 
 Roots and the children of absent parents start a frontier that a few level-wise joins push down. Nearly every node is
-reached in those rounds. Frontiers grow with the data, so their joins are sort-merge joins, never broadcasts. What is left (deep chains, rings and what hangs below rings) is finished by the same frontier
+reached in those rounds. What is left (deep chains, rings and what hangs below rings) is finished by the same frontier
 join with doubled strides: an unreached node joins its current ancestor, and either lands on a reached node or doubles the
 stretch it knows, so a chain of depth d takes log2(d) joins. Nodes that no frontier reaches lead into a ring; there the
-image of the doubled parent function shrinks until it holds ring nodes only.
+image of the doubled parent function shrinks until it holds ring nodes only. Frontiers grow with the data, so their joins
+are sort-merge joins, never broadcasts.
 """
 
 from __future__ import annotations
