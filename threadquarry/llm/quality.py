@@ -7,6 +7,8 @@ the exact rules that tell lists, tables and junk.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,20 +49,31 @@ def _patterns():
 
         c = regex.compile
         _P.update(
-            line=c(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"), word=c(r"[\p{Latin}]+(?:['’][\p{Latin}]+)*"), han=c(r"\p{Han}"), digit=c(r"\p{N}"),
-            symbol=c(r"[\p{S}\p{Cn}\p{Co}]"), odd=c(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\p{Co}\p{Cn}�]|[¡-¿À-ÿ](?=[¡-¿À-ÿ])"),
+            line=c(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"), word=c(r"[\p{Latin}]+(?:['’][\p{Latin}]+)*"), han=c(r"\p{Han}"), digit=c(r"\p{N}+"),
+            symbol=c(r"[\p{S}\p{Cn}\p{Co}]+"), odd=c(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\p{Co}\p{Cn}�]|[¡-¿À-ÿ](?=[¡-¿À-ÿ])"),
             space=c(r"[\s\p{Cf}]+"), run=c(r"[^\s\p{Han}\p{P}]+|[A-Za-z0-9+/=_-]+"), end=c(r"""[.!?。！？…～~;；:：][\p{Pf}\p{Pe}"'\p{S}\s]*$"""),
             sentence=c(r"[。！？；]|[.!?;](?=\s|$)|[…～]"), pause=c(r"[，、,](?=\s|\p{Han})"),
             marker=c(r"^\s*(?:[-*+•·●○◦▪■□◆◇→>✓✔✅☑☐※★☆]\s*|\[[ xX✓]?\]\s*|[(（]?(?:\d{1,4}|[A-Za-z]|[一二三四五六七八九十百]{1,5}|[ivxIVX]{1,6})\s*[.、)）:：]\s*|[①-⑳]\s*)(?=\S)"),
             link=c(r"https?://\S+|www\.\S+|[#＃@＠][^\s#＃@＠]+"), cell=c(r"(?i)<t[dh][\s>]"), item=c(r"(?i)<li[\s>]"), tag=c(r"<[^<>\n]{1,80}>"), trail=c(r"[。；;.!！、,，]\s*$"),
             code=c(r"(?<![\p{L}\p{N}])(?:0x)?(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{6,}(?![\p{L}\p{N}])"),
-            rule=c(r"^[\s|│┃+\-=─━┌┐└┘├┤┬┴┼╔╗╚╝╠╣╦╩╬═║:]+$"), letters=c(r"[\p{L}\p{N}]"),
+            rule=c(r"^[\s|│┃+\-=─━┌┐└┘├┤┬┴┼╔╗╚╝╠╣╦╩╬═║:]+$"), letters=c(r"[\p{L}\p{N}]+"),
         )
     return _P
 
 
+_WIDE = re.compile("[\u2e80-\U0010ffff]+")
+_LATIN_LETTERS = re.compile("[A-Za-z]+")
+
+
 def _width(s: str) -> int:
-    return sum(2 if ord(c) >= 0x2E80 else 1 for c in s)
+    """Columns of a line: characters from the Han range on count two."""
+    return len(s) if s.isascii() else len(s) + sum(map(len, _WIDE.findall(s)))
+
+
+@functools.lru_cache(maxsize=1 << 15)
+def _is_rare(c: str) -> bool:
+    gb, big = c.encode("gb2312", "ignore"), c.encode("big5", "ignore")
+    return not (gb and gb[0] <= 0xD7) and not (big and big <= b"\xc6\x7e")
 
 
 def _cells(line: str) -> dict[str, int]:
@@ -136,22 +149,15 @@ def repeat_ratio(text: str) -> float:
     return 1 - len({t[i : i + k] for i in range(n)}) / n
 
 
-def language(text: str) -> str:
+def language(m: dict[str, float]) -> str:
     """zh where Han characters outnumber Latin words, else en; independent of the stated language."""
-    p = _patterns()
-    return "zh" if len(p["han"].findall(text)) > len(p["word"].findall(text)) else "en"
+    return "zh" if 2 * m["han"] > m["words"] else "en"
 
 
 def rare_share(text: str) -> float:
     """Share of Han characters outside the first levels (the commoner characters) of GB 2312 and Big5."""
     han = _patterns()["han"].findall(text)
-    rare = 0
-    for c, n in Counter(han).items():
-        gb = c.encode("gb2312", "ignore")
-        big = c.encode("big5", "ignore")
-        if not (gb and gb[0] <= 0xD7) and not (big and big <= b"\xc6\x7e"):
-            rare += n
-    return rare / len(han) if han else 0.0
+    return sum(n for c, n in Counter(han).items() if _is_rare(c)) / len(han) if han else 0.0
 
 
 def pair_share(words: list[str]) -> float:
@@ -177,9 +183,9 @@ class Measures:
         han = len(p["han"].findall(text))
         common = sum(1 for w in words if w in self.en) + (sum(len(x) for x in self.zh.findall(text)) if self.zh and han else 0)
         return {
-            "words": float(len(words) + han), "lines": float(len(lines)), "chars": float(len(flat)),
+            "han": float(han), "words": float(len(words) + han), "lines": float(len(lines)), "chars": float(len(flat)),
             "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
-            "symbol_ratio": len(p["symbol"].findall(flat)) / n, "digit_ratio": len(p["digit"].findall(flat)) / n,
+            "symbol_ratio": sum(map(len, p["symbol"].findall(flat))) / n, "digit_ratio": sum(map(len, p["digit"].findall(flat))) / n,
             "ending_share": sum(1 for x in lines if p["end"].search(x)) / max(1, len(lines)),
             "common_share": common / max(1, len(words) + han), "mean_line_length": sum(_width(x) for x in lines) / max(1, len(lines)),
             "entry_share": entry_share(lines), "cell_share": table_share(lines), "repeat_ratio": repeat_ratio(text),
@@ -192,8 +198,8 @@ def kind_of(text: str, m: dict[str, float]) -> str | None:
     """The exact rules for a flagged text: table, list, junk, or null for running text."""
     p = _patterns()
     chars, words = m["chars"], m["words"]
-    letters = len(p["letters"].findall(text))
-    latin = sum(1 for c in text if c.isascii() and c.isalpha())
+    letters = sum(map(len, p["letters"].findall(text)))
+    latin = sum(map(len, _LATIN_LETTERS.findall(text)))
     if m["odd_ratio"] > 0.15 or m["code_share"] > 0.3:
         return "junk"
     if m["rare_share"] > 0.25 and len(p["han"].findall(text)) > max(8, 0.4 * chars):
@@ -234,7 +240,7 @@ def measure(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
                     continue
                 m = measures.of(t)
                 ids.append(i)
-                langs.append(language(t))
+                langs.append(language(m))
                 kinds.append(kind_of(t, m))
                 for k in names:
                     cols[k].append(m[k])
