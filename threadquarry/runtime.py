@@ -33,8 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files make fewer partitions than there are cores: costly functions of rows should not
-    wait for one task. Tables with enough partitions stay as they are."""
+    wait for one task. Tables with enough partitions, and what comes out of a shuffle, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # shuffled anyway; counting its partitions would run it
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
