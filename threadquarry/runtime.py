@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
 import shutil
 import tempfile
@@ -40,6 +42,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+@functools.cache
+def _own_dir() -> str:
+    """A folder for this process alone, gone with it."""
+    path = tempfile.mkdtemp(prefix="threadquarry-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests on one machine)."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -47,7 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "threadquarry-shared")
+    return "file://" + _own_dir()
 
 
 class Scratch:
