@@ -60,17 +60,32 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir()
 
 
+_ROOTS: list[tuple[object, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Remove what this process wrote, as far as its JVM still answers; the owner of the folder clears the rest."""
+    for jvm, root in _ROOTS:
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the process is ending
+            return
+
+
 class Scratch:
     """Written intermediate tables: each cuts the lineage, and survives the loss of executors.
 
     ``keep`` writes a table below the shared folder and returns it as a fresh scan. ``drop`` removes a superseded one.
-    What an operator returns may still read its last tables, so those stay until the owner of the folder clears it.
+    What an operator returns may still read its last tables, so those stay until the process ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _ROOTS.append((spark.sparkContext._jvm, self.root))
 
     def path(self, name: str) -> str:
         self._n += 1
