@@ -108,6 +108,14 @@ def test_shapes():
         assert {k for k, _, _ in model.find(pii.normalize(text)[0])} == want, text
 
 
+@pytest.mark.parametrize("text, kind", [
+    ("mary.jones ( at ) corp.com", "email"), ("mary.jones [ AT ] corp.com", "email"), ("at 221B Baker Street now", "address"), ("ship to 12 Harrow\nBend\nStreet", "address"),
+    ("no 7 " + "Averylongword" * 6 + " Street", "address"), ("it cost 5 coins, then " + "on and on " * 9 + "we came to 9 Harrow Bend Dr.", "address"),
+])
+def test_looks_are_implied_by_shapes(text, kind):
+    assert {k for k, _, _ in pii.Model([], [], [], [], [], [], []).find(pii.normalize(text)[0])} == {kind}
+
+
 def test_bootstrap(spark):
     families, given = ["阮", "麦", "司空", "缪", "芮", "桑"], ["若溪", "听澜", "怀舟", "竹筠", "棠", "以宁"]
     rnd = random.Random(6)

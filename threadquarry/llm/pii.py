@@ -103,7 +103,9 @@ _ADDRESSES = [
 _LEAD_IN = re.compile("^.{0,3}?(?:住在|寄到|寄往|收货|就在|店在|家在|送到|发到|位于|搬到|来到|地址)(?=..)")
 #: Cheap looks that decide whether the shapes are tried at all; each holds wherever its shapes can match.
 _SEVEN_DIGITS = re.compile(r"\d(?:[^\dA-Za-z]{0,4}\d){6}")
-_EN_STREET = re.compile(r"\d\s+\S.{1,60}?\b(?:street|st|road|rd|avenue|ave|lane|ln|drive|dr|boulevard|blvd|court|ct|way|place|pl|terrace|square|close|crescent)\b", re.I)
+_AT_LOOK = re.compile(r"at\s?[)\]}>]", re.I)
+_HOUSE_LOOK = re.compile(r"\d[A-Za-z]?\s")
+_STREET_LOOK = re.compile(r"\b(?:street|st|road|rd|avenue|ave|lane|ln|drive|dr|boulevard|blvd|court|ct|way|place|pl|terrace|square|close|crescent)\b", re.I)
 _STREET_HINT = re.compile("[路街巷道弄同]")
 
 
@@ -310,7 +312,7 @@ class Model:
                 got.append((kind, a, b))
 
         low = t.lower()
-        if "@" in t or "dot" in low or "at)" in low or "at]" in low or "at}" in low or "at>" in low:
+        if "@" in t or "dot" in low or _AT_LOOK.search(t):
             for p in _EMAILS:
                 for m in p.finditer(t):
                     put("email", m.start(), m.end())
@@ -318,7 +320,9 @@ class Model:
             for kind, a, b, strong in numbers(t):
                 if strong or _context(t, a) not in self.refused:
                     put(kind, a, b)
-        if _EN_STREET.search(t):
+        # The first number and any street word after it, each looked for once: a text takes linear time.
+        house = _HOUSE_LOOK.search(t)
+        if house and _STREET_LOOK.search(t, house.end()):
             for p in _ADDRESSES[1:]:
                 for m in p.finditer(t):
                     put("address", m.start(), m.end())
