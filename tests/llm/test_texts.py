@@ -94,6 +94,29 @@ def test_quality_edges(spark):
     assert quality.flagged(quality.measure(df.limit(0), COMMON)).count() == 0
 
 
+def test_a_tag_ends_with_its_sentence():
+    m = quality.Measures(COMMON)
+    for text in ("上周我看了视频，太多#️⃣功能反而学不会。后来他想了个办法，把稿子先导出一遍，再交给表格处理。换到别人那里，答案完全不一样。", "我用了 #番茄钟，后来他想了个办法，把稿子先导出一遍，再交给表格处理。换到别人那里，答案完全不一样。"):
+        assert quality.kind_of(text, m.of(text)) is None
+    assert quality.kind_of("#番茄钟 #录屏 @夜班同事 #表格合并器", m.of("#番茄钟 #录屏 @夜班同事 #表格合并器")) == "junk"
+
+
+def test_common_kinds_are_found(spark, tmp_path):
+    """Two fifths lists, a fifth tables and a fifth junk: what a document is doesn't depend on how common its kind is."""
+    from threadquarry.llm import queries
+
+    lists = ["\n".join(f"- {w} {(i * k) % 9}" for k, w in enumerate(("番茄钟", "录屏工具", "表格合并器", "夜间模式", "离线处理", "价格曲线"))) for i in range(40)]
+    tables, junk = [[f"{t} {i}" if t.startswith("名称") else t + str(i) for i in range(20)] for t in (CASES[5][1], CASES[10][1])]
+    texts = lists + tables + junk + [CASES[0][1] + f"第{i}遍我才看懂了。" for i in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws], "lang string, word string").write.parquet(f"{tmp_path}/common_words.parquet")
+    m = quality.Measures(COMMON)
+    want = {i: k for i, t in enumerate(texts) if (k := quality.kind_of(t, m.of(t)))}
+    assert [want.get(i) for i in (0, 39, 40, 60, 80)] == ["list", "list", "table", "junk", None]
+    assert {r["doc_id"]: r["kind"] for r in queries.p10_found(spark, str(tmp_path)).collect()} == want
+    assert "letter_share" not in queries.p10_statistics(spark, str(tmp_path)).columns
+
+
 FINDS = [
     ("发到 Moss.Kite＠example.org 谢谢", {"email"}), ("mail a_b (at) shop [dot] example", {"email"}), ("tin-roof at box dot invalid please", {"email"}), ("kiln855(at)corpdotlettersdotexample", {"email"}), ("meet @ 8.30 pm", set()), ("@dusk_6277 来看", set()),
     ("打１６０１２３４５６７８找我", {"phone"}), ("电话 (0998)5559359", {"phone"}), ("+86 160-1234-5678", {"phone"}), ("拨 一六八六四四零五三五零", {"phone"}), ("call (555) 555-0194", {"phone"}), ("163****4974", set()), ("2026-05-01 09:12", set()), ("QQ群948267882", set()),

@@ -1,8 +1,9 @@
 """Per-document text quality statistics, corpus percentiles, and what is not running text.
 
 One pass computes the statistics of each text. Mergeable quantile sketches per language (Spark's approximate percentiles)
-turn them into robust z-scores, and documents in a distribution tail are flagged. Only flagged documents are then read by
-the exact rules that tell lists, tables and junk.
+turn them into robust z-scores, and documents in a distribution tail are flagged. A common kind widens its statistics' own
+scale until it lies in no tail, so absolute cuts that the rules need flag documents too, however common their kind is. What
+flagged documents are is told by the exact rules for lists, tables and junk.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ LEAST_SCALE = {
     "entry_share": 0.1, "cell_share": 0.1, "repeat_ratio": 0.05, "odd_ratio": 0.01, "longest_run": 8.0, "rare_share": 0.03, "pair_share": 0.05, "code_share": 0.03,
 }
 STATISTICS = list(LEAST_SCALE)
+#: What the exact rules read beside the statistics.
+SHARES = ["letter_share", "link_share"]
 #: An entry of a list is at most this long (a Han character counts two); more marks of running text make it no entry.
 ENTRY_WIDTH = 64
 #: The commonest letter pairs of English, by which words are told from keyboard noise.
@@ -54,7 +57,7 @@ def _patterns():
             space=c(r"[\s\p{Cf}]+"), run=c(r"[^\s\p{Han}\p{P}]+|[A-Za-z0-9+/=_-]+"), end=c(r"""[.!?。！？…～~;；:：][\p{Pf}\p{Pe}"'\p{S}\s]*$"""),
             sentence=c(r"[。！？；]|[.!?;](?=\s|$)|[…～]"), pause=c(r"[，、,](?=\s|\p{Han})"),
             marker=c(r"^\s*(?:[-*+•·●○◦▪■□◆◇→>✓✔✅☑☐※★☆]\s*|\[[ xX✓]?\]\s*|[(（]?(?:\d{1,4}|[A-Za-z]|[一二三四五六七八九十百]{1,5}|[ivxIVX]{1,6})\s*[.、)）:：]\s*|[①-⑳]\s*)(?=\S)"),
-            link=c(r"https?://\S+|www\.\S+|[#＃@＠][^\s#＃@＠]+"), cell=c(r"(?i)<t[dh][\s>]"), item=c(r"(?i)<li[\s>]"), tag=c(r"<[^<>\n]{1,80}>"), trail=c(r"[。；;.!！、,，]\s*$"),
+            link=c(r"https?://\S+|www\.\S+|[#＃@＠](?!\uFE0F?\u20E3)[^\s#＃@＠，。！？；：、,!?;]+"), cell=c(r"(?i)<t[dh][\s>]"), item=c(r"(?i)<li[\s>]"), tag=c(r"<[^<>\n]{1,80}>"), trail=c(r"[。；;.!！、,，]\s*$"),
             code=c(r"(?<![\p{L}\p{N}])(?:0x)?(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{6,}(?![\p{L}\p{N}])"),
             rule=c(r"^[\s|│┃+\-=─━┌┐└┘├┤┬┴┼╔╗╚╝╠╣╦╩╬═║:]+$"), letters=c(r"[\p{L}\p{N}]+"),
         )
@@ -190,6 +193,7 @@ class Measures:
             "common_share": common / max(1, len(words) + han), "mean_line_length": sum(_width(x) for x in lines) / max(1, len(lines)),
             "entry_share": entry_share(lines), "cell_share": table_share(lines), "repeat_ratio": repeat_ratio(text),
             "rare_share": rare_share(text), "pair_share": pair_share(words), "code_share": sum(map(len, p["code"].findall(text))) / n,
+            "letter_share": sum(map(len, p["letters"].findall(text))) / n, "link_share": sum(map(len, p["link"].findall(text))) / n,
             "odd_ratio": len(p["odd"].findall(text)) / n, "longest_run": float(max((len(x) for x in p["run"].findall(text)), default=0)),
         }
 
@@ -198,13 +202,12 @@ def kind_of(text: str, m: dict[str, float]) -> str | None:
     """The exact rules for a flagged text: table, list, junk, or null for running text."""
     p = _patterns()
     chars, words = m["chars"], m["words"]
-    letters = sum(map(len, p["letters"].findall(text)))
     latin = sum(map(len, _LATIN_LETTERS.findall(text)))
     if m["odd_ratio"] > 0.15 or m["code_share"] > 0.3:
         return "junk"
     if m["rare_share"] > 0.25 and len(p["han"].findall(text)) > max(8, 0.4 * chars):
         return "junk"
-    if sum(map(len, p["link"].findall(text))) > 0.6 * chars:
+    if m["link_share"] > 0.6:
         return "junk"
     if m["cell_share"] >= 0.6 and m["repeat_ratio"] < 0.9:
         return "table"
@@ -212,12 +215,12 @@ def kind_of(text: str, m: dict[str, float]) -> str | None:
         return "junk"
     if m["entry_share"] >= 0.6 and m["repeat_ratio"] < 0.8:
         lines = [x.strip() for x in p["line"].split(text) if x.strip()]
-        if len(set(lines)) > 0.4 * len(lines) and letters > 0.3 * chars:
+        if len(set(lines)) > 0.4 * len(lines) and m["letter_share"] > 0.3:
             return "list"
     # The same bit over and over: little that is distinct, however long. Long prose repeats phrases, yet goes on.
     if chars >= 12 and (m["repeat_ratio"] > 0.9 or m["repeat_ratio"] > 0.6 and (1 - m["repeat_ratio"]) * chars < 400):
         return "junk"
-    if letters < 0.35 * chars and chars >= 6:
+    if m["letter_share"] < 0.35 and chars >= 6:
         return "junk"
     if words >= 30 and m["common_share"] < 0.02:
         return "junk"
@@ -228,7 +231,7 @@ def kind_of(text: str, m: dict[str, float]) -> str | None:
 
 def measure(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
     """(doc_id, language, statistics..., kind) of every text that is not blank; kind is what the exact rules make of it."""
-    names = ["words", "lines", "chars", *STATISTICS]
+    names = ["words", "lines", "chars", *STATISTICS, *SHARES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = Measures(common)
@@ -259,6 +262,15 @@ def sketches(measured: DataFrame) -> DataFrame:
     return measured.groupBy("language").agg(F.count("*").alias("documents"), *[F.percentile_approx(s, cuts, SKETCH_ACCURACY).alias(s) for s in STATISTICS])
 
 
+def marked() -> F.Column:
+    """Whether a document meets an absolute cut. Every rule of ``kind_of`` needs one of them."""
+    c = F.col
+    return (
+        (c("odd_ratio") > 0.15) | (c("code_share") > 0.3) | (c("rare_share") > 0.25) | (c("link_share") > 0.6) | (c("cell_share") >= 0.6) | (c("pair_share") < 0.4)
+        | (c("entry_share") >= 0.6) | (c("repeat_ratio") > 0.6) | (c("letter_share") < 0.35) | (c("common_share") < 0.02) | (c("longest_run") > 0.5 * c("chars"))
+    )
+
+
 def flagged(measured: DataFrame) -> DataFrame:
     """``measured`` plus ``tails``: the statistics whose robust z-score lies beyond TAIL_Z, each with its sign."""
     s = sketches(measured).select("language", *[F.col(c).alias(f"q_{c}") for c in STATISTICS])

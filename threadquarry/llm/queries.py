@@ -294,13 +294,13 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents in a tail of some statistic that the exact rules read as list, table or junk."""
-    return quality.flagged(_measured(spark, d)).where((F.size("tails") > 0) & F.col("kind").isNotNull()).select("doc_id", "kind")
+    """Documents in a tail of some statistic, or beyond an absolute cut, that the exact rules read as list, table or junk."""
+    return quality.flagged(_measured(spark, d)).where(((F.size("tails") > 0) | quality.marked()) & F.col("kind").isNotNull()).select("doc_id", "kind")
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Every statistic of every document that is not blank, with the tails it lies in."""
-    return quality.flagged(_measured(spark, d)).drop("kind").withColumn("tails", F.array_join("tails", ","))
+    return quality.flagged(_measured(spark, d)).drop("kind", *quality.SHARES).withColumn("tails", F.array_join("tails", ","))
 
 
 def p10_sketches(spark: SparkSession, d: str) -> DataFrame:
