@@ -139,6 +139,24 @@ def test_looks_are_implied_by_shapes(text, kind):
     assert {k for k, _, _ in pii.Model([], [], [], [], [], [], []).find(pii.normalize(text)[0])} == {kind}
 
 
+def test_names_in_text_of_any_length(spark):
+    families, given = ["阮", "麦", "司空", "缪", "芮", "李"], ["若溪", "听澜", "怀舟", "小明", "棠", "以宁"]
+    rnd = random.Random(7)
+    name = lambda: rnd.choice(families) + rnd.choice(given)
+    texts = [f"{p}{name()}" for p in ("收件人", "户名 ", "联系人：") for _ in range(20)] + ["收件人李小明", "户名麦棠"] + [f"大家好我是新来的我叫{name()}请多关照" for _ in range(12)]
+    texts += ["这件事很高兴也很方便", "高兴就好", "我叫安排的人去办", "快安排一下吧", "请安排好", "都安排上了"] * 3
+    model = pii.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    finds = lambda t: [t[a:b] for k, a, b in model.find(t) if k == "name"]
+    assert "我叫" in model.left and "请多" in model.right
+    for text, want in [
+        ("大家好我是新来的我叫李小明请多关照", "李小明"), ("我叫李小明家住上海", "李小明"), ("李小明，13800138000", "李小明"), ("麦棠，13800138000", "麦棠"), ("那天下午是司空听澜给我们开的门", "司空听澜"),
+        ("前天来的那位说我叫阮知非请多关照", "阮知非"), ("前天来的那位新同事说我叫阮知非", "阮知非"),
+    ]:
+        assert finds(text) == [want], text
+    for text in ("这件事很高兴也很方便", "高兴，就好", "我叫安排的人去办", "大家好我是新来的我叫李老师请多关照", "刘老师讲得好"):
+        assert finds(text) == [], text
+
+
 def test_bootstrap(spark):
     families, given = ["阮", "麦", "司空", "缪", "芮", "桑"], ["若溪", "听澜", "怀舟", "竹筠", "棠", "以宁"]
     rnd = random.Random(6)

@@ -26,6 +26,8 @@ PATTERN_SCORE = 0.4
 CONTEXT_SCORE = 0.35
 #: Bounds of the learned model that tasks receive: patterns, refusing contexts, family and given names, best first.
 MODEL_PATTERNS, MODEL_CONTEXTS, MODEL_FAMILIES, MODEL_GIVEN = 500, 500, 1_000, 20_000
+#: Characters of a context inside longer text, before and after a name.
+BEFORE, AFTER = 4, 2
 #: Pairs a task collects before it passes them on.
 COLLECT_PAIRS = 30_000
 
@@ -175,7 +177,7 @@ def is_full_name(s: str, learned: frozenset[str] = frozenset()) -> bool:
 
 
 def clauses(t: str) -> Iterator[tuple[str, int, int]]:
-    """Short stretches of Han characters between separators, also over one or two spaces or colons: (letters, start, end)."""
+    """Stretches of Han characters between separators, also over one or two spaces or colons: (letters, start, end)."""
     at = 0
     for m in [*_CLAUSE.finditer(t), None]:
         end = m.start() if m else len(t)
@@ -186,15 +188,13 @@ def clauses(t: str) -> Iterator[tuple[str, int, int]]:
                 if j > i and (words[j][1] - words[j - 1][2] > 3 or _LATIN.search(t, words[j - 1][2], words[j][1])):
                     break
                 s += words[j][0]
-                if len(s) > 12:
-                    break
                 if len(s) >= 2:
                     yield s, words[i][1], words[j][2]
         at = m.end() if m else end
 
 
 def splits(s: str) -> Iterator[tuple[str, str, str]]:
-    """(before, name, after) readings of a clause; at least one side is text."""
+    """(before, name, after) readings of a whole short clause; at least one side is text. Longer ones are for ``slides``."""
     n = len(s)
     for k in (2, 3, 4):
         for i in range(0, min(6, n - k) + 1):
@@ -203,6 +203,20 @@ def splits(s: str) -> Iterator[tuple[str, str, str]]:
                 yield s[:i], s[i : i + k], s[i + k :]
 
 
+def slides(s: str, learned: frozenset[str] = frozenset()) -> Iterator[tuple[int, list[str]]]:
+    """Where in a stretch of any length a family name stands, and the full names it may begin there."""
+    for i in range(len(s) - 1):
+        if s[i] in FAMILIES_1 or s[i : i + 2] in FAMILIES_2 or s[i] in learned:
+            names = [s[i : i + k] for k in (2, 3, 4) if i + k <= len(s) and is_full_name(s[i : i + k], learned)]
+            if names:
+                yield i, names
+
+
+def _titled(s: str, at: int) -> bool:
+    """Whether a title stands at ``at``; those of one character only where the stretch ends with them."""
+    return any(s.startswith(x, at) and (len(x) > 1 or at + 1 == len(s)) for x in TITLES)
+
+
 def _collect_pairs():
     """Batches of texts to counted (kind, before, after, instance, seed) pairs of patterns and instances."""
 
@@ -219,6 +233,14 @@ def _collect_pairs():
                 for before, inst, after in splits(s):
                     # Instances without a known family name are kept only beside the context, where they speak against it.
                     seen["zh", before, after, inst, is_full_name(inst)] += n
+                for i, names in slides(s):
+                    for k in range(1, min(BEFORE, i) + 1):
+                        seen["open", s[i - k : i], "", s[i : i + 4], True] += n
+                    if i == 0:
+                        seen["open", "^", "", s[:4], True] += n
+                    for x in names:
+                        if after := s[i + len(x) : i + len(x) + AFTER]:
+                            seen["open", "", after, x, True] += n
             stretches.clear()
 
         for b in batches:
@@ -268,7 +290,7 @@ def _en_candidates(t: str) -> Iterator[tuple[str, str, str]]:
 class Model:
     """What tasks need of the scored graph; every part is bounded."""
 
-    def __init__(self, patterns, families, given, en_patterns, en_given, en_family, refused):
+    def __init__(self, patterns, families, given, en_patterns, en_given, en_family, refused, left=(), right=(), sure=(), common=()):
         self.patterns = {(b, a): s for b, a, s in patterns}
         self.families = frozenset(families)
         self.given = frozenset(given)
@@ -276,24 +298,58 @@ class Model:
         self.leads = _leads(sorted(self.en_patterns, key=lambda b: (-len(b), b))) if self.en_patterns else None
         self.en_given, self.en_family = frozenset(en_given), frozenset(en_family)
         self.refused = frozenset(refused)
-        hints = {b for b, _ in self.patterns if b} | {a for b, a in self.patterns if not b}
-        self.hint = re.compile("|".join(sorted(map(re.escape, {h[:2] for h in hints}), key=len, reverse=True))) if hints else None
+        self.left, self.right, self.sure, self.common = dict(left), dict(right), frozenset(sure), frozenset(common)
+        # Each name begins with one of these.
+        self.starts = re.compile("[" + "".join(sorted(FAMILIES_1 | self.families | {f[0] for f in FAMILIES_2})) + "]")
+        self.read: dict[str, list[tuple[int, int]]] = {}
+
+    def stretch(self, s: str) -> list[tuple[int, int]]:
+        """(first character, length) of the names in a stretch. What was read is remembered, for speed only."""
+        if s not in self.read:
+            if len(self.read) >= COLLECT_PAIRS:
+                self.read.clear()
+            self.read[s] = sorted({*self.whole(s), *self.inside(s)}, key=lambda x: (-x[1], x[0]))  # of overlapping ones the longest holds
+        return self.read[s]
+
+    def whole(self, s: str) -> Iterator[tuple[int, int]]:
+        best = None
+        for before, inst, after in splits(s):
+            score = self.patterns.get((before, after))
+            if score is None or not is_full_name(inst, self.families):
+                continue
+            rest = inst[len(family_of(inst, self.families)):]
+            # Of several readings the longest name holds: a given name's end is no context.
+            if (score >= 0.75 or rest in self.given) and (best is None or len(inst) > best[1]):
+                best = (len(before), len(inst))
+        if best:
+            yield best
+
+    def inside(self, s: str) -> Iterator[tuple[int, int]]:
+        """Names in text of any length: believed ones and those of known parts by themselves, others beside open contexts."""
+        for i, names in slides(s, self.families):
+            left = max([self.left.get(s[i - k : i], 0.0) for k in range(1, min(BEFORE, i) + 1)], default=0.0)
+            f = len(family_of(names[0], self.families))
+            titled = _titled(s, i + f)
+            best = 0
+            for x in names:
+                end = i + len(x)
+                right = self.right.get(s[end : end + AFTER], 0.0) if end < len(s) else 0.0
+                known = x[f:] in self.given or x in self.sure
+                if known and (len(x) - f > 1 or left or right) or x in self.sure and len(x) == len(s):
+                    best = len(x)
+                elif not titled and not known and (left and right or left >= 0.75 and end == len(s) or i == 0 and right >= 0.75):
+                    best = max(best, len(x))
+            # After a strong context a name that nobody else bears has two characters, if what begins there isn't a common word.
+            if not best and left >= 0.75 and not titled and s[i : i + 2] not in self.common:
+                best = min(f + 2, len(names[-1]))
+            if best:
+                yield i, best
 
     def names(self, t: str) -> Iterator[tuple[str, int, int, bool]]:
-        # Spaces may stand inside a context, so its first two characters are looked for without them.
-        if self.hint and self.hint.search(t.replace(" ", "")):
+        if self.starts.search(t):
             for s, a, b in clauses(t):
-                best = None
-                for before, inst, after in splits(s):
-                    score = self.patterns.get((before, after))
-                    if score is None or not is_full_name(inst, self.families):
-                        continue
-                    rest = inst[len(family_of(inst, self.families)):]
-                    # Of several readings the longest name holds: a given name's end is no context.
-                    if (score >= 0.75 or rest in self.given) and (best is None or len(inst) > best[1]):
-                        best = (len(before), len(inst))
-                if best:
-                    yield "name", *_han_span(t, a, b, *best), True
+                for skip, length in self.stretch(s):
+                    yield "name", *_han_span(t, a, b, skip, length), True
         for m in self.leads.finditer(t) if self.leads else ():
             before = " ".join(m[1].lower().split())
             if before in self.en_patterns:
@@ -371,7 +427,7 @@ def learn(texts: DataFrame) -> Model:
     refused = numeric.where(f"before <> '' and all >= 2 and good < {CONTEXT_SCORE} * all").orderBy(F.desc("all"), "before").limit(MODEL_CONTEXTS)
 
     seeds = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b, a in SEED_PATTERNS])
-    names = pairs.where("kind <> 'number'")
+    names = pairs.where("kind in ('zh', 'en')")
     # Only contexts with some valid instance can become patterns; what else they hold counts against them.
     some = names.groupBy("kind", "before", "after").agg(F.count_if("valid").alias("good"), F.count("*").alias("all"), F.sum(F.when(F.col("valid"), F.col("n")).otherwise(0)).alias("obs"))
     some = some.withColumn("seed", F.array_contains(seeds, F.struct(F.col("before").alias("b"), F.col("after").alias("a")))).where(f"seed or good >= 2 and good >= {PATTERN_SCORE / 2} * all")
@@ -391,18 +447,35 @@ def learn(texts: DataFrame) -> Model:
     good = scored.where(f"seed or score >= {PATTERN_SCORE} and mass >= 1.2").orderBy(F.desc("mass"), "before", "after").limit(MODEL_PATTERNS)
     good = scratch.keep(good, "good")
     held = good.collect()  # at most MODEL_PATTERNS rows
-    believed = pairs.where("kind <> 'number'").join(good.select("kind", "before", "after", "score"), ["kind", "before", "after"])
+    believed = names.join(good.select("kind", "before", "after", "score"), ["kind", "before", "after"])
     given = believed.where("kind = 'zh' and valid").select("instance").distinct()
     given = given.withColumn("g", F.when(F.substring("instance", 1, 2).isin(*sorted(FAMILIES_2)), F.expr("substring(instance, 3)")).otherwise(F.expr("substring(instance, 2)")))
     given = scratch.keep(given.groupBy("g").agg(F.count("*").alias("m")).where("m >= 2").orderBy(F.desc("m"), "g").limit(MODEL_GIVEN), "given")
     # A character is a family name if most of what follows it in name contexts are given names that others bear too.
     fresh = believed.where("kind = 'zh' and not valid and score >= 0.7").select(F.substring("instance", 1, 1).alias("c"), F.expr("substring(instance, 2)").alias("g")).distinct().join(given, "g", "left")
     families = fresh.groupBy("c").agg(F.count("m").alias("m"), F.count("*").alias("all")).where("m >= 3 and m >= 0.25 * all").orderBy(F.desc("m"), "c").limit(MODEL_FAMILIES)
+    sure = believed.where("kind = 'zh' and valid").select("instance", "score", F.when(F.substring("instance", 1, 2).isin(*sorted(FAMILIES_2)), F.expr("substring(instance, 3)")).otherwise(F.expr("substring(instance, 2)")).alias("g"))
+    sure = scratch.keep(sure.join(given, "g", "left").where("score >= 0.75 or m is not null").select("instance").distinct().withColumn("hit", F.lit(True)), "sure")
+    # Open contexts are scored by the believed names beside them; what else begins or ends like a name there speaks against them.
+    windows = pairs.where("kind = 'open' and before <> ''").select("before", "instance", "n")
+    starts = windows.select("before", "instance", F.explode(F.array(*[F.substring("instance", 1, k) for k in (2, 3, 4)])).alias("p")).join(sure.withColumnRenamed("instance", "p"), "p", "left")
+    starts = starts.groupBy("before", "instance").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
+    led = F.col("before").isin(*[b for b, _ in SEED_PATTERNS if b and not b.isascii()])
+    keep = f"seed or good >= 2 and score >= {PATTERN_SCORE}"
+    left = starts.where("before <> '^'").groupBy("before").agg(F.count_if("hit").alias("good"), (F.count_if("hit") / F.count("*")).alias("score")).withColumn("seed", led).where(keep)
+    left = scratch.keep(left.select("before", F.when(F.col("seed"), F.greatest("score", F.lit(0.8))).otherwise(F.col("score")).alias("score")), "left")
+    ends = pairs.where("kind = 'open' and before = ''").select("after", "instance").join(sure, "instance", "left").groupBy("after").agg(F.count_if("hit").alias("good"), (F.count_if("hit") / F.count("*")).alias("score"))
+    right = scratch.keep(ends.withColumn("seed", F.lit(False)).where(keep).select("after", "score"), "right")
+    # Words that begin like a name after an open context, yet stand elsewhere more often.
+    begin = F.substring("instance", 1, 2).alias("w")
+    led = windows.join(left, "before", "left_semi").groupBy(begin, F.length("before").alias("l")).agg(F.sum("n").alias("n")).groupBy("w").agg(F.max("n").alias("led"))
+    common = windows.where("length(before) = 1").groupBy(begin).agg(F.sum("n").alias("all")).join(led, "w").where("2 * led < all").select("w")
     words = believed.where("kind = 'en' and valid").select("instance").distinct().select(F.substring_index("instance", " ", 1).alias("g"), F.substring_index("instance", " ", -1).alias("f"))
     pick = lambda c: [r[0] for r in words.groupBy(c).agg(F.count("*").alias("m")).where("m >= 2").orderBy(F.desc("m"), c).limit(MODEL_GIVEN).collect()]
     return Model(
         [(r["before"], r["after"], r["score"]) for r in held if r["kind"] == "zh"], [r["c"] for r in families.collect()], [r["g"] for r in given.collect()],
         [(r["before"], r["score"]) for r in held if r["kind"] == "en"], pick("g"), pick("f"), [r["before"] for r in refused.collect()],
+        [tuple(r) for r in left.collect()], [tuple(r) for r in right.collect()], [r["instance"] for r in sure.collect()], [r["w"] for r in common.collect()],
     )
 
 
