@@ -157,6 +157,24 @@ def test_names_in_text_of_any_length(spark):
         assert finds(text) == [], text
 
 
+def test_english_contexts_are_induced(spark):
+    given, family = ["John", "Alice", "Maren", "Orrin", "Talia", "Quill"], ["Smith", "Brown", "Veldkamp", "Harrowby", "Quistad"]
+    rnd = random.Random(8)
+    name = lambda: f"{rnd.choice(given)} {rnd.choice(family)}"
+    texts = [f"{p} {name()}." for p in ("my name is", "contact person", "Signed:") for _ in range(15)] + ["my name is John Smith", "my name is Alice Brown", "my name is Zadie Lark", "contact person Zadie Lark."]
+    texts += [f"I spoke to our agent, {name()}, at noon" for _ in range(12)] + [f"{name()} runs the desk" for _ in range(12)] + ["Great Video and Dark Theme", "The Dark Theme runs well", "Great Video, my friend"] * 3
+    model = pii.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    finds = lambda t: [t[a:b] for k, a, b in model.find(t) if k == "name"]
+    assert {"alice", "john"} <= model.en_given and "agent ," in model.en_left and "runs the" in model.en_right
+    for text, want in [
+        ("John Smith will call you", "John Smith"), ("Name: Alice Brown", "Alice Brown"), ("spoke to our agent, Alice Brown", "Alice Brown"), ("We saw Zadie Lark's shop", "Zadie Lark"),
+        ("spoke to our agent, Wendel Oakes", "Wendel Oakes"), ("Alice Oakes runs the desk", "Alice Oakes"),
+    ]:
+        assert finds(text) == [want], text
+    for text in ("Great Video and Dark Theme", "The Dark Theme runs well", "Please try Dark Theme", "Alice Theme is great"):
+        assert finds(text) == [], text
+
+
 def test_bootstrap(spark):
     families, given = ["阮", "麦", "司空", "缪", "芮", "桑"], ["若溪", "听澜", "怀舟", "竹筠", "棠", "以宁"]
     rnd = random.Random(6)

@@ -253,6 +253,14 @@ def _collect_pairs():
                 for before, g, f in _en_candidates(t):
                     caps = g[0].isupper() and f[0].isupper() and g[1:].islower() and f[1:].islower()
                     seen["en", before, "", f"{g.lower()} {f.lower()}", caps] += 1
+                for m in _EN_CAPS.finditer(t):
+                    f = _bare(m[2])
+                    before, after = _around(t, m.start(1), m.start(2) + len(f))
+                    x = f"{m[1].lower()} {f.lower()}"
+                    for c in before:
+                        seen["eopen", c, "", x, True] += 1
+                    for c in after:
+                        seen["eopen", "", c, x, True] += 1
                 for m in _NUMBER.finditer(t):
                     d = re.sub(r"\D", "", m[0])
                     if len(d) in (11, 15, 17, 18) and m[0].isdigit():
@@ -268,7 +276,7 @@ def _collect_pairs():
     return run
 
 
-#: Words that may lead to a name in English; which of them do is learned.
+#: Words that may lead to a name in English and start the search; which of them do, and what else does, is learned.
 _EN_WORDS = tuple("ask for|my name is|contact person|this is|call me|attn|regards|signed|name is|speak to|talk to|email to|dear|sincerely|thanks to|i am|i'm|it's|from|by|with|to|for|and|is".split("|"))
 
 
@@ -287,10 +295,27 @@ def _en_candidates(t: str) -> Iterator[tuple[str, str, str]]:
             yield " ".join(m[1].lower().split()), m[2], m[3]
 
 
+_EN_PAIR = re.compile(r"(?<![A-Za-z'\-])([A-Za-z][A-Za-z'\-]{1,20})\s+(?=([A-Za-z][A-Za-z'\-]{1,24}))")
+_EN_CAPS = re.compile(r"(?<![A-Za-z'\-])([A-Z][a-z'\-]{1,20})\s+(?=([A-Z][a-z'\-]{1,24})(?![A-Za-z]))")
+_TOKEN = re.compile(r"[a-z']+|[^\sa-z]")
+
+
+def _bare(family: str) -> str:
+    """A family name without the mark of a possessive or a quotation."""
+    return family.removesuffix("'s").rstrip("'-")
+
+
+def _around(t: str, a: int, b: int) -> tuple[list[str], list[str]]:
+    """Contexts in English of what stands from a to b: the one and two words or signs before it, and after it. One must be a word."""
+    before, after = _TOKEN.findall(t[max(0, a - 40) : a].lower())[-2:], _TOKEN.findall(t[b : b + 40].lower())[:2]
+    some = lambda xs: [x for x in dict.fromkeys(xs) if any("a" <= c <= "z" for c in x)]
+    return some([" ".join(before[-k:]) for k in (1, 2)]), some([" ".join(after[:k]) for k in (1, 2)])
+
+
 class Model:
     """What tasks need of the scored graph; every part is bounded."""
 
-    def __init__(self, patterns, families, given, en_patterns, en_given, en_family, refused, left=(), right=(), sure=(), common=()):
+    def __init__(self, patterns, families, given, en_patterns, en_given, en_family, refused, left=(), right=(), sure=(), common=(), en_left=(), en_right=(), en_sure=()):
         self.patterns = {(b, a): s for b, a, s in patterns}
         self.families = frozenset(families)
         self.given = frozenset(given)
@@ -299,6 +324,7 @@ class Model:
         self.en_given, self.en_family = frozenset(en_given), frozenset(en_family)
         self.refused = frozenset(refused)
         self.left, self.right, self.sure, self.common = dict(left), dict(right), frozenset(sure), frozenset(common)
+        self.en_left, self.en_right, self.en_sure = dict(en_left), dict(en_right), frozenset(en_sure)
         # Each name begins with one of these.
         self.starts = re.compile("[" + "".join(sorted(FAMILIES_1 | self.families | {f[0] for f in FAMILIES_2})) + "]")
         self.read: dict[str, list[tuple[int, int]]] = {}
@@ -358,6 +384,26 @@ class Model:
                 known = (g.lower() in self.en_given) + (f.lower() in self.en_family)
                 if known == 2 or caps and _EN_END.match(t, m.end()) and (known or self.en_patterns[before] >= 0.5):
                     yield "name", m.start(2), m.end(3), True
+        yield from self.en_names(t)
+
+    def en_names(self, t: str) -> Iterator[tuple[str, int, int, bool]]:
+        """Believed names and pairs of known parts anywhere, other capitalised pairs beside learned contexts."""
+        if not (self.en_sure or self.en_given or self.en_left or self.en_right):
+            return
+        for m in _EN_PAIR.finditer(t):
+            g, f = m[1], _bare(m[2])
+            a, b = m.start(1), m.start(2) + len(f)
+            low = (g.lower(), f.lower())
+            known = (low[0] in self.en_given) + (low[1] in self.en_family)
+            caps = g[0].isupper() and f[0].isupper()
+            if known == 2 or caps and " ".join(low) in self.en_sure:
+                yield "name", a, b, True
+            elif caps and g[1:].islower() and f[1:].islower():
+                before, after = _around(t, a, b)
+                left = max([self.en_left.get(c, 0.0) for c in before], default=0.0)
+                right = max([self.en_right.get(c, 0.0) for c in after], default=0.0)
+                if known and (left or right) or left >= 0.5 and (right or _EN_END.match(t, b)):
+                    yield "name", a, b, True
 
     def find(self, t: str) -> list[tuple[str, int, int]]:
         """Disjoint (kind, start, end) in a normalised text, by start."""
@@ -472,10 +518,19 @@ def learn(texts: DataFrame) -> Model:
     common = windows.where("length(before) = 1").groupBy(begin).agg(F.sum("n").alias("all")).join(led, "w").where("2 * led < all").select("w")
     words = believed.where("kind = 'en' and valid").select("instance").distinct().select(F.substring_index("instance", " ", 1).alias("g"), F.substring_index("instance", " ", -1).alias("f"))
     pick = lambda c: [r[0] for r in words.groupBy(c).agg(F.count("*").alias("m")).where("m >= 2").orderBy(F.desc("m"), c).limit(MODEL_GIVEN).collect()]
+    # English contexts are induced likewise: of the capitalised pairs beside them, enough must be believed.
+    en_sure = scratch.keep(believed.where("kind = 'en' and valid and score >= 0.5").select("instance").distinct().withColumn("hit", F.lit(True)), "en_sure")
+    beside = pairs.where("kind = 'eopen'").join(en_sure, "instance", "left")
+
+    def induced(c: str) -> list:
+        got = beside.where(F.col(c) != "").groupBy(c).agg(F.count_if(F.col("hit")).alias("good"), (F.count_if(F.col("hit")) / F.count("*")).alias("score"))
+        return [tuple(r) for r in got.where(f"good >= 2 and score >= {PATTERN_SCORE}").select(c, "score").collect()]
+
     return Model(
         [(r["before"], r["after"], r["score"]) for r in held if r["kind"] == "zh"], [r["c"] for r in families.collect()], [r["g"] for r in given.collect()],
         [(r["before"], r["score"]) for r in held if r["kind"] == "en"], pick("g"), pick("f"), [r["before"] for r in refused.collect()],
         [tuple(r) for r in left.collect()], [tuple(r) for r in right.collect()], [r["instance"] for r in sure.collect()], [r["w"] for r in common.collect()],
+        induced("before"), induced("after"), [r["instance"] for r in en_sure.collect()],
     )
 
 
