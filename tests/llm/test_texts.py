@@ -175,6 +175,22 @@ def test_english_contexts_are_induced(spark):
         assert finds(text) == [], text
 
 
+def test_every_learned_row_is_kept_and_joined(spark):
+    """More refusing contexts than the former bound, and a model that is joined finds what a held one does."""
+    han = [chr(0x4E00 + i) for i in range(0, 6000, 10)]
+    texts = [f"{c}号2{i:010d}" for c in han for i in range(2)] + [f"{c}号16012345678" for c in han[-3:]]
+    texts += [f"{p}{f}{g}" for p in ("收件人", "户名 ") for f in ("阮", "麦", "司空") for g in ("听澜", "怀舟", "棠")] + [f"my name is {g} {f}" for g in ("John", "Alice") for f in ("Smith", "Brown")]
+    texts += ["那天下午是司空听澜给我们开的门", "John Smith will call you", "a@b.example", "", None]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "field string, row_key bigint, text string")
+    held, joined = pii.learn(df.select("text")), pii.learn(df.select("text"), 0)
+    assert len(held.refused) >= len(han) and isinstance(joined, pii.SpreadModel)
+    for f in (pii.find, pii.redact):
+        a, b = (sorted(map(str, f(df, m).collect())) for m in (held, joined))
+        assert a == b
+    kinds = {(r["row_key"], r["kind"]) for r in pii.find(df, joined).collect()}
+    assert {k for _, k in kinds} == {"name", "email"} and (len(texts) - 5, "name") in kinds and (len(texts) - 4, "name") in kinds
+
+
 def test_bootstrap(spark):
     families, given = ["阮", "麦", "司空", "缪", "芮", "桑"], ["若溪", "听澜", "怀舟", "竹筠", "棠", "以宁"]
     rnd = random.Random(6)

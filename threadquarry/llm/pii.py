@@ -24,8 +24,11 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity": "[IDENTITY]"
 ROUNDS = 3
 PATTERN_SCORE = 0.4
 CONTEXT_SCORE = 0.35
-#: Bounds of the learned model that tasks receive: patterns, refusing contexts, family and given names, best first.
-MODEL_PATTERNS, MODEL_CONTEXTS, MODEL_FAMILIES, MODEL_GIVEN = 500, 500, 1_000, 20_000
+#: Rows of the learned model up to which each task receives all of it; a larger one is joined with what each text looks up.
+MODEL_ROWS = 200_000
+#: The parts of the model that grow with the corpus. Family names of one character and English lead words have an end.
+PARTS = ("patterns", "given", "refused", "left", "right", "sure", "common", "en_given", "en_family", "en_left", "en_right", "en_sure")
+_SCORED = ("left", "right", "en_left", "en_right")
 #: Characters of a context inside longer text, before and after a name.
 BEFORE, AFTER = 4, 2
 #: Pairs a task collects before it passes them on.
@@ -313,7 +316,7 @@ def _around(t: str, a: int, b: int) -> tuple[list[str], list[str]]:
 
 
 class Model:
-    """What tasks need of the scored graph; every part is bounded."""
+    """What tasks need of the scored graph."""
 
     def __init__(self, patterns, families, given, en_patterns, en_given, en_family, refused, left=(), right=(), sure=(), common=(), en_left=(), en_right=(), en_sure=()):
         self.patterns = {(b, a): s for b, a, s in patterns}
@@ -329,6 +332,37 @@ class Model:
         self.starts = re.compile("[" + "".join(sorted(FAMILIES_1 | self.families | {f[0] for f in FAMILIES_2})) + "]")
         self.read: dict[str, list[tuple[int, int]]] = {}
 
+    def hold(self, entries) -> Model:
+        """Replace the parts that grow by ``entries`` (part, key, score), all of them or those that a text looks up."""
+        by: dict[str, dict[str, float]] = {p: {} for p in PARTS}
+        for part, key, score in entries:
+            by[part][key] = score
+        self.patterns = {tuple(k.split("\x1f")): v for k, v in by.pop("patterns").items()}
+        for part, held in by.items():
+            setattr(self, part, held if part in _SCORED else frozenset(held))
+        self.read = {}
+        return self
+
+    def lookups(self, t: str) -> set[tuple[str, str]]:
+        """(part, key) of all that ``find`` may ask the model about a normalised text."""
+        out = {("refused", _context(t, a)) for _, a, _, _ in numbers(t)}
+        for s in {s for s, _, _ in clauses(t)} if self.starts.search(t) else ():
+            for before, x, after in splits(s):
+                if is_full_name(x, self.families):
+                    out |= {("patterns", f"{before}\x1f{after}"), ("given", x[len(family_of(x, self.families)):])}
+            for i, names in slides(s, self.families):
+                out |= {("left", s[i - k : i]) for k in range(1, min(BEFORE, i) + 1)} | {("common", s[i : i + 2])}
+                f = len(family_of(names[0], self.families))
+                for x in names:
+                    out |= {("sure", x), ("given", x[f:]), ("right", s[i + len(x) : i + len(x) + AFTER])}
+        for m in self.leads.finditer(t) if self.leads else ():
+            out |= {("en_given", m[2].lower()), ("en_family", m[3].lower())}
+        for m in _EN_PAIR.finditer(t):
+            g, f = m[1].lower(), _bare(m[2]).lower()
+            before, after = _around(t, m.start(1), m.start(2) + len(f))
+            out |= {("en_given", g), ("en_family", f), ("en_sure", f"{g} {f}")} | {("en_left", c) for c in before} | {("en_right", c) for c in after}
+        return out
+
     def stretch(self, s: str) -> list[tuple[int, int]]:
         """(first character, length) of the names in a stretch. What was read is remembered, for speed only."""
         if s not in self.read:
@@ -461,8 +495,15 @@ def _han_span(t: str, a: int, b: int, skip: int, length: int) -> tuple[int, int]
 # ---------------------------------------------------------------- scoring in Spark
 
 
-def learn(texts: DataFrame) -> Model:
-    """Score the graph of patterns and instances of a one-column text table, and keep what is believed."""
+class SpreadModel:
+    """A model too large for a task: ``base`` has what is bounded, ``entries`` (part, key, score) the rest."""
+
+    def __init__(self, base: Model, entries: DataFrame):
+        self.base, self.entries = base, entries
+
+
+def learn(texts: DataFrame, most_rows: int | None = None) -> Model | SpreadModel:
+    """Score the graph of patterns and instances of a one-column text table, and keep all that is believed."""
     scratch = Scratch(texts.sparkSession, "pii")
     pairs = spread(texts).mapInArrow(_collect_pairs(), "kind string, before string, after string, instance string, valid boolean, n bigint")
     pairs = pairs.groupBy("kind", "before", "after", "instance").agg(F.max("valid").alias("valid"), F.sum("n").alias("n"))
@@ -470,7 +511,7 @@ def learn(texts: DataFrame) -> Model:
 
     numeric = pairs.where("kind = 'number'").groupBy("before").agg(F.count("*").alias("all"), F.count_if("valid").alias("good"))
     # Digits alone prove little: a context counts as refusing once it mostly holds other numbers.
-    refused = numeric.where(f"before <> '' and all >= 2 and good < {CONTEXT_SCORE} * all").orderBy(F.desc("all"), "before").limit(MODEL_CONTEXTS)
+    refused = numeric.where(f"before <> '' and all >= 2 and good < {CONTEXT_SCORE} * all")
 
     seeds = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b, a in SEED_PATTERNS])
     names = pairs.where("kind in ('zh', 'en')")
@@ -490,16 +531,16 @@ def learn(texts: DataFrame) -> Model:
         part = named.join(known, ["kind", "instance"]).groupBy("kind", "part").agg(F.count("*").alias("m"), F.avg("own").alias("shared")).where("m >= 2").drop("m")
         belief = scratch.keep(
             named.join(known, ["kind", "instance"]).join(part, ["kind", "part"], "left").select("kind", "instance", F.greatest(F.col("own"), F.coalesce("shared", F.lit(0.0)), F.lit(0.0)).alias("belief")), f"belief{r}")
-    good = scored.where(f"seed or score >= {PATTERN_SCORE} and mass >= 1.2").orderBy(F.desc("mass"), "before", "after").limit(MODEL_PATTERNS)
+    good = scored.where(f"seed or score >= {PATTERN_SCORE} and mass >= 1.2")
     good = scratch.keep(good, "good")
-    held = good.collect()  # at most MODEL_PATTERNS rows
+    en = good.where("kind = 'en'").collect()  # at most a row for each of _EN_WORDS
     believed = names.join(good.select("kind", "before", "after", "score"), ["kind", "before", "after"])
     given = believed.where("kind = 'zh' and valid").select("instance").distinct()
     given = given.withColumn("g", F.when(F.substring("instance", 1, 2).isin(*sorted(FAMILIES_2)), F.expr("substring(instance, 3)")).otherwise(F.expr("substring(instance, 2)")))
-    given = scratch.keep(given.groupBy("g").agg(F.count("*").alias("m")).where("m >= 2").orderBy(F.desc("m"), "g").limit(MODEL_GIVEN), "given")
+    given = scratch.keep(given.groupBy("g").agg(F.count("*").alias("m")).where("m >= 2"), "given")
     # A character is a family name if most of what follows it in name contexts are given names that others bear too.
     fresh = believed.where("kind = 'zh' and not valid and score >= 0.7").select(F.substring("instance", 1, 1).alias("c"), F.expr("substring(instance, 2)").alias("g")).distinct().join(given, "g", "left")
-    families = fresh.groupBy("c").agg(F.count("m").alias("m"), F.count("*").alias("all")).where("m >= 3 and m >= 0.25 * all").orderBy(F.desc("m"), "c").limit(MODEL_FAMILIES)
+    families = fresh.groupBy("c").agg(F.count("m").alias("m"), F.count("*").alias("all")).where("m >= 3 and m >= 0.25 * all")
     sure = believed.where("kind = 'zh' and valid").select("instance", "score", F.when(F.substring("instance", 1, 2).isin(*sorted(FAMILIES_2)), F.expr("substring(instance, 3)")).otherwise(F.expr("substring(instance, 2)")).alias("g"))
     sure = scratch.keep(sure.join(given, "g", "left").where("score >= 0.75 or m is not null").select("instance").distinct().withColumn("hit", F.lit(True)), "sure")
     # Open contexts are scored by the believed names beside them; what else begins or ends like a name there speaks against them.
@@ -517,45 +558,86 @@ def learn(texts: DataFrame) -> Model:
     led = windows.join(left, "before", "left_semi").groupBy(begin, F.length("before").alias("l")).agg(F.sum("n").alias("n")).groupBy("w").agg(F.max("n").alias("led"))
     common = windows.where("length(before) = 1").groupBy(begin).agg(F.sum("n").alias("all")).join(led, "w").where("2 * led < all").select("w")
     words = believed.where("kind = 'en' and valid").select("instance").distinct().select(F.substring_index("instance", " ", 1).alias("g"), F.substring_index("instance", " ", -1).alias("f"))
-    pick = lambda c: [r[0] for r in words.groupBy(c).agg(F.count("*").alias("m")).where("m >= 2").orderBy(F.desc("m"), c).limit(MODEL_GIVEN).collect()]
     # English contexts are induced likewise: of the capitalised pairs beside them, enough must be believed.
     en_sure = scratch.keep(believed.where("kind = 'en' and valid and score >= 0.5").select("instance").distinct().withColumn("hit", F.lit(True)), "en_sure")
     beside = pairs.where("kind = 'eopen'").join(en_sure, "instance", "left")
 
-    def induced(c: str) -> list:
+    def induced(c: str) -> DataFrame:
         got = beside.where(F.col(c) != "").groupBy(c).agg(F.count_if(F.col("hit")).alias("good"), (F.count_if(F.col("hit")) / F.count("*")).alias("score"))
-        return [tuple(r) for r in got.where(f"good >= 2 and score >= {PATTERN_SCORE}").select(c, "score").collect()]
+        return got.where(f"good >= 2 and score >= {PATTERN_SCORE}").select(c, "score")
+
+    def shared(c: str) -> DataFrame:
+        return words.groupBy(c).agg(F.count("*").alias("m")).where("m >= 2")
+
+    parts = {
+        "patterns": good.where("kind = 'zh'").select(F.concat_ws("\x1f", "before", "after"), "score"), "given": given.select("g"), "refused": refused.select("before"), "left": left, "right": right,
+        "sure": sure.select("instance"), "common": common, "en_given": shared("g").select("g"), "en_family": shared("f").select("f"), "en_left": induced("before"), "en_right": induced("after"), "en_sure": en_sure.select("instance"),
+    }
+    entries = None
+    for part, df in parts.items():
+        rows = df.select(F.lit(part).alias("part"), F.col(df.columns[0]).alias("key"), (F.col("score") if "score" in df.columns else F.lit(1.0)).alias("score"))
+        entries = rows if entries is None else entries.unionByName(rows)
+    entries = scratch.keep(entries, "entries")
+    # Family names are single characters, of which there are few.
+    base = Model([], [r["c"] for r in families.collect()], [], [(r["before"], r["score"]) for r in en], [], [], [])
+    if entries.count() > (MODEL_ROWS if most_rows is None else most_rows):
+        return SpreadModel(base, entries)
+    return base.hold(entries.collect())  # at most MODEL_ROWS rows
+
+
+def _with_entries(texts: DataFrame, model: Model | SpreadModel) -> tuple[DataFrame, Model]:
+    """The texts over all cores, each with the entries that it looks up where the model is too large for a task."""
+    texts = texts.select("field", "row_key", "text")
+    if isinstance(model, Model):
+        return spread(texts), model
+    base = model.base
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(t, *x) for t in b.column(0).to_pylist() for x in sorted(base.lookups(normalize(t)[0]))]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["text", "part", "key"])
+
+    asked = spread(texts.where("text <> ''").select("text").distinct()).mapInArrow(run, "text string, part string, key string")
+    held = asked.join(model.entries, ["part", "key"]).groupBy("text").agg(F.collect_list(F.struct("part", "key", "score")).alias("entries"))  # bounded by the text
+    return texts.join(held, "text", "left").select("field", "row_key", "text", "entries"), base
 
-    return Model(
-        [(r["before"], r["after"], r["score"]) for r in held if r["kind"] == "zh"], [r["c"] for r in families.collect()], [r["g"] for r in given.collect()],
-        [(r["before"], r["score"]) for r in held if r["kind"] == "en"], pick("g"), pick("f"), [r["before"] for r in refused.collect()],
-        [tuple(r) for r in left.collect()], [tuple(r) for r in right.collect()], [r["instance"] for r in sure.collect()], [r["w"] for r in common.collect()],
-        induced("before"), induced("after"), [r["instance"] for r in en_sure.collect()],
-    )
 
+def _models(b: pa.RecordBatch, model: Model) -> Iterator[Model]:
+    """The model of each row of a batch."""
+    if "entries" not in b.schema.names:
+        yield from (model for _ in range(b.num_rows))
+        return
+    for e in b.column("entries").to_pylist():
+        yield model.hold((x["part"], x["key"], x["score"]) for x in e or ())
 
-def redact(texts: DataFrame, model: Model) -> DataFrame:
+
+def redact(texts: DataFrame, model: Model | SpreadModel) -> DataFrame:
     """(field, row_key, text) to (field, row_key, text, redacted, kinds array<string>). A null text stays null with no kinds;
     empty texts stay empty; all characters outside of what is replaced stay as they are."""
 
+    texts, model = _with_entries(texts, model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [model.redact(t) if t else (t, []) for t in b.column("text").to_pylist()]
+            done = [m.redact(t) if t else (t, []) for t, m in zip(b.column("text").to_pylist(), _models(b, model))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("field"), b.column("row_key"), b.column("text"), pa.array([x[0] for x in done], pa.string()), pa.array([sorted(set(x[1])) for x in done], pa.list_(pa.string()))],
                 ["field", "row_key", "text", "redacted", "kinds"],
             )
 
-    return spread(texts.select("field", "row_key", "text")).mapInArrow(run, "field string, row_key bigint, text string, redacted string, kinds array<string>")
+    return texts.mapInArrow(run, "field string, row_key bigint, text string, redacted string, kinds array<string>")
 
 
-def find(texts: DataFrame, model: Model) -> DataFrame:
+def find(texts: DataFrame, model: Model | SpreadModel) -> DataFrame:
     """(field, row_key, text) to one (field, row_key, kind) row per row and kind present."""
 
+    texts, model = _with_entries(texts, model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(f, k, kind) for f, k, t in zip(*[b.column(c).to_pylist() for c in ("field", "row_key", "text")]) if t for kind in sorted({x[0] for x in model.find(normalize(t)[0])})]
+            rows = [(f, k, kind) for f, k, t, m in zip(*[b.column(c).to_pylist() for c in ("field", "row_key", "text")], _models(b, model)) if t for kind in sorted({x[0] for x in m.find(normalize(t)[0])})]
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["field", "row_key", "kind"])
 
-    return spread(texts.select("field", "row_key", "text")).mapInArrow(run, "field string, row_key bigint, kind string")
+    return texts.mapInArrow(run, "field string, row_key bigint, kind string")
