@@ -41,3 +41,15 @@ def test_analyse(spark):
     got = pipelines.analyse(c, videos, KeywordGateway({"slow": "pain"}), per_call=60, budget=1000).collect()
     assert [(r["cluster_id"], r["authors"], r["passed"]) for r in got] == [("pain/slow", 4, True)]
     assert pipelines.analyse(c, videos, KeywordGateway({"slow": "pain"}, forge="zzz"), per_call=60, budget=1000).count() == 0
+
+
+def test_analysis_status(spark):
+    texts = {"fine": ["it is slow"] * 3, "long": ["slow " * 2000, "slow"], "both": ["slow and white"] * 3, "blank": [None]}
+    c = spark.createDataFrame([(v, f"{v}{i}", f"a{i}", t, T0) for v, ts in texts.items() for i, t in enumerate(ts)], "video_id string, comment_id string, author_id string, text string, first_collected_at timestamp")
+    videos = spark.createDataFrame([(v, "owner") for v in [*texts, "unseen"]], "video_id string, author_id string")
+    words = {"slow": "pain", "white": "pain"}
+    clusters, status = pipelines.analyse_all(c, videos, KeywordGateway(words), budget=5000)
+    assert {r["video_id"]: r["status"] for r in status.collect()} == {"fine": "complete", "long": "item_exceeds_call", "both": "complete", "blank": "complete", "unseen": "no_comments"}
+    assert {(r["video_id"], r["authors"]) for r in clusters.collect()} == {("fine", 3), ("both", 3)}
+    _, status = pipelines.analyse_all(c.where("video_id = 'fine'"), videos.where("video_id = 'fine'"), KeywordGateway(words, forge="zzz"))
+    assert [(r["status"], r["rejected"], r["codes"], r["clusters"]) for r in status.collect()] == [("answer_rejected", 1, "comment_not_in_batch", 0)]

@@ -30,7 +30,7 @@ class TransientError(Exception):
 
 
 class KeywordGateway:
-    """A deterministic stand-in: a signal for each comment that holds one of the words; ``forge`` adds an id of its own, and
+    """A deterministic stand-in: a signal for each comment that holds one of the words, of the first such word; ``forge`` adds an id of its own, and
     ``fail_first`` makes first attempts fail."""
 
     def __init__(self, words: dict[str, str], forge: str | None = None, fail_first: bool = False):
@@ -39,10 +39,8 @@ class KeywordGateway:
     def invoke(self, request: dict, attempt: int) -> str:
         if self.fail_first and attempt == 1:
             raise TransientError("rate_limited")
-        out = [
-            {"comment_id": c["comment_id"], "kind": kind, "summary": word, "disputed": False}
-            for c in request["comments"] for word, kind in self.words.items() if word in (c["text"] or "")
-        ]
+        held = ((c, next((w for w in self.words if w in (c["text"] or "")), None)) for c in request["comments"])
+        out = [{"comment_id": c["comment_id"], "kind": self.words[w], "summary": w, "disputed": False} for c, w in held if w is not None]
         if self.forge:
             out.append({"comment_id": self.forge, "kind": "need", "summary": "forged", "disputed": False})
         return json.dumps({"signals": out}, ensure_ascii=False)
@@ -52,7 +50,7 @@ def requests(batches: DataFrame, comments: DataFrame) -> DataFrame:
     """(batch_id, request): ids and text of a batch between markers of untrusted data. A batch is bounded by its call."""
     rows = batches.join(comments.select("comment_id", "text"), "comment_id")
     listed = F.array_sort(F.collect_list(F.struct("comment_id", "text")))
-    return rows.groupBy("batch_id").agg(F.to_json(F.struct(F.first("batch_id").alias("batch_id"), listed.alias("comments"))).alias("request"))
+    return rows.groupBy("batch_id").agg(F.to_json(F.struct(F.first("batch_id").alias("batch_id"), listed.alias("comments")), {"ignoreNullFields": "false"}).alias("request"))  # a comment without text keeps its field
 
 
 def invoke(requests: DataFrame, gateway: Gateway, retries: int = 2) -> DataFrame:

@@ -65,17 +65,39 @@ def analyse(comments: DataFrame, videos: DataFrame, gateway: model_step.Gateway,
     """Batches, calls, verified signals, clusters of like signals and their consensus: one row per cluster.
 
     ``comments``: video_id, comment_id, author_id, text, first_collected_at; ``videos``: video_id, author_id. Signals of one
-    kind and summary in a video form a cluster. A batch whose answer can't be trusted adds nothing.
+    kind and summary in a video form a cluster. A batch whose answer can't be trusted adds nothing; ``analyse_all`` says so.
+    """
+    return analyse_all(comments, videos, gateway, per_call, budget, version)[0]
+
+
+def analyse_all(comments: DataFrame, videos: DataFrame, gateway: model_step.Gateway, per_call: int = 800, budget: int = 12_000, version: str = "v1") -> tuple[DataFrame, DataFrame]:
+    """The clusters of ``analyse``, and one row per video of either table: how far it came.
+
+    status: no_comments, what stopped its plan (item_exceeds_call, budget_exhausted), model_failed or answer_rejected where some
+    batch has no answer or an untrusted one, else complete; with counts of batches, and the codes of rejected answers.
     """
     scratch = Scratch(comments.sparkSession, "analyse")
     items = comments.select(F.col("video_id").alias("plan_id"), F.col("comment_id").alias("item_id"), scalars.text_tokens(F.col("text")).alias("tokens")).where("tokens is not null")
     plans = items.select("plan_id").distinct().select("plan_id", F.lit(per_call).alias("per_call"), F.lit(budget).alias("budget"), F.lit(32).alias("fixed"), F.lit(None).cast("bigint").alias("max_calls"))
-    packed, _ = batching.plan_batches(items, plans)
+    packed, planned = batching.plan_batches(items, plans)
     batches = scratch.keep(packed.select(F.concat_ws("/", "plan_id", "batch").alias("batch_id"), F.col("item_id").alias("comment_id"), F.col("plan_id").alias("video_id")), "batches")
     answers = scratch.keep(model_step.invoke(model_step.requests(batches, comments), gateway), "answers")
-    signals, _ = model_step.trusted_signals(answers, batches, version)
+    signals, rejected = model_step.trusted_signals(answers, batches, version)
     members = signals.join(batches.select("batch_id", "comment_id", "video_id"), ["batch_id", "comment_id"]).select("video_id", F.concat_ws("/", "kind", "summary").alias("cluster_id"), "comment_id")
-    return consensus.decide(scratch.keep(members, "members"), comments.select("video_id", "comment_id", "author_id", "first_collected_at"), videos)
+    members = scratch.keep(members, "members")
+    decided = consensus.decide(members, comments.select("video_id", "comment_id", "author_id", "first_collected_at"), videos)
+
+    answered = answers.where("status = 'ok'").select("batch_id").distinct().withColumn("ok", F.lit(True))
+    codes = rejected.groupBy("batch_id").agg(F.collect_set("code").alias("codes"))  # of four codes
+    calls = batches.select("batch_id", "video_id").distinct().join(answered, "batch_id", "left").join(codes, "batch_id", "left")
+    calls = calls.groupBy("video_id").agg(
+        F.count("*").alias("calls"), F.count_if(F.col("ok").isNull()).alias("failed"), F.count_if(F.col("codes").isNotNull()).alias("rejected"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
+    clusters = members.groupBy("video_id").agg(F.count_distinct("cluster_id").alias("clusters"))
+    every = comments.select("video_id").unionByName(videos.select("video_id")).where("video_id is not null").distinct()
+    got = every.join(planned.select(F.col("plan_id").alias("video_id"), "items", F.col("status").alias("plan")), "video_id", "left").join(calls, "video_id", "left").join(clusters, "video_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    status = F.when(F.col("plan").isNull(), "no_comments").when(F.col("plan") != "planned", F.col("plan")).when(F.col("failed") > 0, "model_failed").when(F.col("rejected") > 0, "answer_rejected").otherwise("complete")
+    return decided, got.select("video_id", count("items"), count("calls"), count("failed"), count("rejected"), F.coalesce(F.array_join("codes", ","), F.lit("")).alias("codes"), count("clusters"), status.alias("status"))
 
 
 # ---------------------------------------------------------------- queries
@@ -97,16 +119,25 @@ def prepared_splits(spark: SparkSession, d: str) -> DataFrame:
     return prepare(table(spark, d, "raw_comments"), videos, videos.where("platform = 'bilibili'").select(*VIDEO), b"0123456789abcdef0123456789abcdef")[2]
 
 
-def analysis(spark: SparkSession, d: str) -> DataFrame:
-    """The analysis of up to 200 comments a video, chosen over its strata, with the keyword stand-in for a model."""
+def _analysis(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, d, "raw_comments").where("raw_video_id is not null and raw_comment_id is not null").groupBy(F.col("raw_video_id").alias("video_id"), F.col("raw_comment_id").alias("comment_id")).agg(
         F.min_by("raw_author_id", "arrival_seq").alias("author_id"), F.min_by("text", "arrival_seq").alias("text"), F.min_by("source_stratum", "arrival_seq").alias("stratum"), F.min("collected_at").alias("first_collected_at"))
     pool = c.select("video_id", "stratum", F.col("comment_id").alias("id"))
     chosen = sampling.select(pool, c.select("video_id").distinct().withColumn("target", F.lit(200).cast("bigint")), ["video_id"], sampling.sampling_quotas, ["id"])
     c = c.join(chosen.select("video_id", F.col("id").alias("comment_id")), ["video_id", "comment_id"], "left_semi").drop("stratum")
     v = table(spark, d, "raw_videos").groupBy(F.col("raw_video_id").alias("video_id")).agg(F.max(F.when(~F.col("raw_author_id").isin("0", "unknown"), F.col("raw_author_id"))).alias("author_id"))
-    return analyse(c, v, model_step.KeywordGateway({"闪退": "pain", "白屏": "pain", "希望": "need", "wish": "need"}), budget=64_000)
+    return analyse_all(c, v, model_step.KeywordGateway({"闪退": "pain", "白屏": "pain", "希望": "need", "wish": "need"}), budget=64_000)
+
+
+def analysis(spark: SparkSession, d: str) -> DataFrame:
+    """The analysis of up to 200 comments a video, chosen over its strata, with the keyword stand-in for a model."""
+    return _analysis(spark, d)[0]
+
+
+def analysis_status(spark: SparkSession, d: str) -> DataFrame:
+    """How far that analysis came with each video, and what stopped it."""
+    return _analysis(spark, d)[1]
 
 
-QUERIES = {f"ref_{f.__name__}": f for f in (collection_status, prepared_splits, analysis)}
+QUERIES = {f"ref_{f.__name__}": f for f in (collection_status, prepared_splits, analysis, analysis_status)}
 SQL = {name: sql for name, sql in _ALL.items() if name in QUERIES}
