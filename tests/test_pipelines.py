@@ -53,3 +53,14 @@ def test_analysis_status(spark):
     assert {(r["video_id"], r["authors"]) for r in clusters.collect()} == {("fine", 3), ("both", 3)}
     _, status = pipelines.analyse_all(c.where("video_id = 'fine'"), videos.where("video_id = 'fine'"), KeywordGateway(words, forge="zzz"))
     assert [(r["status"], r["rejected"], r["codes"], r["clusters"]) for r in status.collect()] == [("answer_rejected", 1, "comment_not_in_batch", 0)]
+
+
+def test_pipelines_are_registered_whole(spark):
+    d = "/root/testdata/sf0.001"
+    out = {n: pipelines.QUERIES[f"ref_{n}"](spark, d).cache() for n in ("collected_comments", "prepared_comments", "prepared_profiles", "prepared_splits_all")}
+    assert {r["platform"] for r in out["prepared_comments"].select("platform").distinct().collect()} >= {"bilibili", "douyin"}
+    videos = {r[0] for r in out["prepared_comments"].select("video_id").distinct().collect()}
+    assert {r[0] for r in out["prepared_splits_all"].select("video_id").collect()} == videos == {r[0] for r in out["prepared_profiles"].select("video_id").collect()}
+    key = ["platform", "raw_video_id", "raw_comment_id"]
+    merged = out["collected_comments"]
+    assert merged.count() == merged.select(*key).distinct().count() > 0

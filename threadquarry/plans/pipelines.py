@@ -119,6 +119,31 @@ def prepared_splits(spark: SparkSession, d: str) -> DataFrame:
     return prepare(table(spark, d, "raw_comments"), videos, videos.where("platform = 'bilibili'").select(*VIDEO), b"0123456789abcdef0123456789abcdef")[2]
 
 
+def collected_comments(spark: SparkSession, d: str) -> DataFrame:
+    """The comments that the collection leaves behind, merged with the previous run."""
+    return collect(*_cut(spark, d))[0]
+
+
+def _prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The preparation of all captured videos."""
+    videos = merging.first_per_key(table(spark, d, "raw_videos"), VIDEO, "capture_seq")
+    approved = videos.where("platform is not null and raw_video_id is not null").select(*VIDEO)
+    return prepare(table(spark, d, "raw_comments"), videos, approved, b"0123456789abcdef0123456789abcdef")
+
+
+def prepared_comments(spark: SparkSession, d: str) -> DataFrame:
+    return _prepared(spark, d)[0]
+
+
+def prepared_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return _prepared(spark, d)[1]
+
+
+def prepared_splits_all(spark: SparkSession, d: str) -> DataFrame:
+    """The splits over the videos of all platforms; ``prepared_splits`` is one platform's data set."""
+    return _prepared(spark, d)[2]
+
+
 def _analysis(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, d, "raw_comments").where("raw_video_id is not null and raw_comment_id is not null").groupBy(F.col("raw_video_id").alias("video_id"), F.col("raw_comment_id").alias("comment_id")).agg(
         F.min_by("raw_author_id", "arrival_seq").alias("author_id"), F.min_by("text", "arrival_seq").alias("text"), F.min_by("source_stratum", "arrival_seq").alias("stratum"), F.min("collected_at").alias("first_collected_at"))
@@ -139,5 +164,5 @@ def analysis_status(spark: SparkSession, d: str) -> DataFrame:
     return _analysis(spark, d)[1]
 
 
-QUERIES = {f"ref_{f.__name__}": f for f in (collection_status, prepared_splits, analysis, analysis_status)}
+QUERIES = {f"ref_{f.__name__}": f for f in (collection_status, collected_comments, prepared_splits, prepared_comments, prepared_profiles, prepared_splits_all, analysis, analysis_status)}
 SQL = {name: sql for name, sql in _ALL.items() if name in QUERIES}
