@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -46,12 +47,38 @@ def test_consensus_and_reliability(spark):
     assert sum(got[c] == v for c, v in truth.items()) > 0.9 * len(truth)
     acc = {r["annotator"]: r["accuracy"] for r in rel.where("field = 'need_signal'").collect()}
     assert max(acc["guess1"], acc["guess2"]) < min(v for a, v in acc.items() if not a.startswith("guess"))
-    z = {(r["annotator"], r["field"]): r["z"] for r in annotators.agreement(labels, ["video_id", "comment_id"]).collect()}
-    assert {k[0] for k, v in z.items() if v <= annotators.CHANCE_Z} == {"guess1", "guess2"}
+    z = {(r["annotator"], r["field"]): r["z"] for r in rel.collect()}
+    assert {k[0] for k, v in z.items() if v <= NormalDist().inv_cdf(1 - annotators.CHANCE_ERROR)} == {"guess1", "guess2"}
+    moved, steady = brute_votes(labels.where("field = 'need_signal'").collect())
+    assert moved < annotators.TOLERANCE and all(abs(steady[a] - acc[a]) < 1e-9 for a in acc)
     empty = annotators.consensus(labels.limit(0), ["video_id", "comment_id"])
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+def brute_votes(rows):
+    """The voting over dictionaries: (largest last move, accuracies)."""
+    said = [((r["video_id"], r["comment_id"]), r["annotator"], r["value"]) for r in rows]
+    acc = {a: annotators.PRIOR for _, a, _ in said}
+    weight = dict.fromkeys(acc, 1.0)
+    while True:
+        hits, seen = dict.fromkeys(acc, 0.0), dict.fromkeys(acc, 0)
+        for i, a, v in said:
+            votes = {}
+            for j, b, w in said:
+                if i == j and a != b:
+                    votes[w] = votes.get(w, 0.0) + weight[b]
+            if votes:
+                lead = votes.get(v, 0.0) - max([x for w, x in votes.items() if w != v], default=0.0)
+                hits[a] += min(1.0, max(0.0, 0.5 + lead / (2 * annotators.MARGIN)))
+                seen[a] += 1
+        new = {a: (hits[a] + annotators.SMOOTHING * annotators.PRIOR) / (seen[a] + annotators.SMOOTHING) for a in acc}
+        moved = max(abs(new[a] - acc[a]) for a in acc)
+        acc = new
+        weight = {a: min(annotators.MOST_WEIGHT, max(annotators.LEAST_WEIGHT, float(np.log(x / (1 - x))))) for a, x in acc.items()}
+        if moved < annotators.TOLERANCE:
+            return moved, acc
+
+
 def test_agreement_against_pairs(spark):
     _, rows = label_rows(3)
     lab = [(a, c, v) for _, a, c, v, _, _, _ in rows]

@@ -1,7 +1,8 @@
 """Consensus from several annotators' labels.
 
 Iteratively reweighted voting: a consensus per item and field by weighted votes, then a smoothed accuracy per annotator
-and field against the consensus of the *others* on the same items, weights from those accuracies, until stable. Agreement
+and field against the consensus of the *others* on the same items, weights from those accuracies, until stable. What the
+last round's leave-one-out hits exceed those of labels dealt at random tells who agrees no better than chance. Agreement
 is chance corrected from value counts per item, which copes with missing ratings and never forms pairs of labels.
 """
 
@@ -10,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadquarry.runtime import Scratch
+from threadquarry.runtime import BROADCAST_BYTES, Scratch
 
 #: Pseudo-counts of the smoothed accuracy, and the accuracy they stand for.
 SMOOTHING = 4.0
 PRIOR = 0.6
 #: Weights are log odds of the accuracy, held between these.
 LEAST_WEIGHT, MOST_WEIGHT = 0.05, 4.0
-#: Stable: accuracies move by less than this on average. (The largest single move never settles: ties flip to and fro.)
+#: A lead of so much vote weight is a full hit, the same lag none, a tie half a hit. So no tie flips to and fro.
+MARGIN = 0.5
+#: Stable: no annotator's accuracy in any field moves by more than this.
 TOLERANCE = 1e-3
-MAX_ROUNDS = 12
-#: One-sided normal deviate up to which agreement is no better than chance (many annotators are tested at once).
-CHANCE_Z = 4.5
-#: Agreement beyond chance from which few labels are no reason to doubt an annotator.
-CHANCE_KAPPA = 0.2
+MAX_ROUNDS = 50
+#: Share of the annotators who label at random that p5_found may miss: its one-sided normal deviate is the cut.
+CHANCE_ERROR = 1e-4
 
 
 def holding_labels(df: DataFrame, item: list[str], annotator: str, fields: list[str], latest: list[str], void: str = "unlabeled") -> DataFrame:
@@ -94,52 +95,96 @@ def field_agreement(labels: DataFrame, item: list[str]) -> DataFrame:
 
 
 def _best(entries):
-    """Of (value, weight) entries the heaviest value; ties go to the least value."""
+    """Of (value, w, ..) entries the heaviest value; ties go to the least value."""
     return F.aggregate(
         entries, F.struct(F.lit(None).cast("string").alias("value"), F.lit(-1.0).alias("w")),
         lambda acc, e: F.when((e["w"] > acc["w"] + 1e-9) | ((F.abs(e["w"] - acc["w"]) <= 1e-9) & (e["value"] < acc["value"])), F.struct(e["value"].alias("value"), e["w"].alias("w"))).otherwise(acc),
     )
 
 
+def _credit(others, value):
+    """How far ``value`` leads the other entries of a vote (field, value, w), as a hit from 0 to 1."""
+    own = F.aggregate(others, F.lit(0.0), lambda a, v: F.when(v["value"] == value, v["w"]).otherwise(a))
+    rest = F.aggregate(others, F.lit(0.0), lambda a, v: F.when(v["value"] != value, F.greatest(a, v["w"])).otherwise(a))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + (own - rest) / (2 * MARGIN)))
+
+
+def _numbered(df: DataFrame, columns: list[str], name: str, scratch: Scratch) -> DataFrame:
+    """Distinct rows of ``columns`` with a number, written so that the number stays."""
+    return scratch.keep(df.select(*columns).distinct().withColumn(name, F.monotonically_increasing_id()), name)
+
+
+def _small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Consensus (item.., field, value, share, labels) and reliability (annotator, field, labels, accuracy, weight).
+    """Consensus (item.., field, value, share, labels) and reliability (annotator, field, labels, accuracy, weight, hits, dealt, z).
+
+    ``labels``: one row per item, annotator and field. share is the consensus value's part of the vote weight. An item with one
+    label takes it; ties go to the least value. labels and accuracy of an annotator count only items that others labelled too;
+    without such items the prior stays. hits: leave-one-out hits; dealt: those expected of the same labels dealt to the same
+    items at random; z: hits beyond dealt in standard deviations, null without items or variation.
 
-    share is the consensus value's part of the vote weight. An item with one label takes it; ties go to the least value.
-    accuracy counts only items that others labelled too; an annotator without such items keeps the prior.
+    Items and annotators are numbered once, and rounds move numbers: an item's votes are one sum per value, so a hot item or
+    annotator combines before it moves, and an annotator's weights are broadcast only while they are small.
     """
-    spark = labels.sparkSession
-    scratch = Scratch(spark, "annotators")
-    labels = scratch.keep(labels, "labels")
-    weights = scratch.keep(labels.select("annotator", "field").distinct().withColumn("accuracy", F.lit(PRIOR)).withColumn("weight", F.lit(1.0)), "weights")
+    scratch = Scratch(labels.sparkSession, "annotators")
+    labels = scratch.keep(labels.select(*item, "annotator", "field", "value"), "labels")
+    items = _numbered(labels, item, "it", scratch)
+    people = _numbered(labels, ["annotator"], "an", scratch)
+    count = people.count()
+    # An annotator's fields of an item are one row: a few short strings.
+    rows = labels.groupBy(*item, "annotator").agg(F.collect_list(F.struct("field", "value")).alias("said")).join(items, item).join(_small(people, count, 96), "annotator")
+    rows = scratch.keep(rows.select("it", "an", "said"), "rows")
+    state = scratch.keep(labels.select("annotator", "field").distinct().join(people, "annotator").select("an", "field", F.lit(PRIOR).alias("accuracy"), F.lit(1.0).alias("weight")), "state")
     votes = None
     for r in range(MAX_ROUNDS):
-        weighted = labels.join(weights.select("annotator", "field", "weight"), ["annotator", "field"])
+        weights = state.groupBy("an").agg(F.map_from_entries(F.collect_list(F.struct("field", "weight"))).alias("w"))
+        weighted = rows.join(_small(weights, count, 256), "an")
+        cast = weighted.select("it", "w", F.explode("said").alias("s")).groupBy("it", "s.field", "s.value").agg(F.sum(F.col("w")[F.col("s.field")]).alias("w"), F.count("*").alias("n"))
         scratch.drop(votes)
-        votes = scratch.keep(
-            weighted.groupBy(*item, "field", "value").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
-            .groupBy(*item, "field").agg(F.collect_list(F.struct("value", "w", "n")).alias("votes")),
-            f"votes{r}",
-        )
-        # The vote of the others: own weight taken from own value, and that value gone if nobody else gave it.
-        others = F.filter(
-            F.transform("votes", lambda v: F.struct(v["value"].alias("value"), (v["w"] - F.when(v["value"] == F.col("value"), F.col("weight")).otherwise(0.0)).alias("w"), (v["n"] - F.when(v["value"] == F.col("value"), 1).otherwise(0)).alias("n"))),
-            lambda v: v["n"] > 0,
-        )
-        judged = weighted.join(votes, [*item, "field"]).withColumn("o", others).where(F.size("o") > 0).withColumn("hit", (_best(F.col("o"))["value"] == F.col("value")).cast("int"))
-        score = judged.groupBy("annotator", "field").agg(F.sum("hit").alias("hits"), F.count("*").alias("seen"))
-        accuracy = (F.coalesce("hits", F.lit(0)) + SMOOTHING * PRIOR) / (F.coalesce("seen", F.lit(0)) + SMOOTHING)
-        new = weights.select("annotator", "field", F.col("accuracy").alias("before")).join(score, ["annotator", "field"], "left").withColumn("accuracy", accuracy)
+        votes = scratch.keep(cast.groupBy("it").agg(F.collect_list(F.struct("field", "value", "w", "n")).alias("votes")), f"votes{r}")  # bounded by the values
+        judged = _judged(weighted, votes)
+        score = judged.groupBy("an", "field").agg(F.sum(_credit(F.col("others"), F.col("value"))).alias("hits"), F.count("*").alias("seen"))
+        accuracy = (F.coalesce("hits", F.lit(0.0)) + SMOOTHING * PRIOR) / (F.coalesce("seen", F.lit(0)) + SMOOTHING)
+        new = state.select("an", "field", F.col("accuracy").alias("before"), F.col("weight").alias("used")).join(score, ["an", "field"], "left").withColumn("accuracy", accuracy)
         new = new.withColumn("weight", F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.log(F.col("accuracy") / (1 - F.col("accuracy"))))))
-        new = scratch.keep(new.select("annotator", "field", "accuracy", "weight", "before", F.coalesce("seen", F.lit(0)).cast("bigint").alias("labels")), f"weights{r}")
-        moved = new.agg(F.avg(F.abs(F.col("accuracy") - F.col("before"))).alias("m")).first()["m"]
-        scratch.drop(weights)
-        weights = new
+        new = scratch.keep(new.select("an", "field", "accuracy", "weight", "before", "used", F.coalesce("seen", F.lit(0)).cast("bigint").alias("labels")), f"state{r}")
+        moved = new.agg(F.max(F.abs(F.col("accuracy") - F.col("before"))).alias("m")).first()["m"]
+        scratch.drop(state)
+        state = new
         if moved is None or moved < TOLERANCE:
             break
+    # The last votes with the weights they were cast by: own labels dealt at random to the same items, value by value.
+    used = state.groupBy("an").agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("used").alias("weight")))).alias("w"))
+    final = _judged(rows.join(_small(used, count, 256), "an"), votes)
+    final = scratch.keep(final.select("an", "field", "value", F.transform("others", lambda v: F.struct(v["value"].alias("value"), _credit(F.col("others"), v["value"]).alias("c"))).alias("c")), "judged")
+    habit = final.groupBy("an", "field", "value").agg(F.count("*").alias("k")).groupBy("an", "field").agg(F.map_from_entries(F.collect_list(F.struct("value", "k"))).alias("k"), F.sum("k").alias("all"))  # bounded by the values
+    p = lambda x: F.coalesce(F.try_element_at("k", x["value"]), F.lit(0)) / F.col("all")
+    dealt = (
+        final.join(_small(habit, 4 * count, 256), ["an", "field"])
+        .withColumn("e", F.aggregate("c", F.lit(0.0), lambda a, x: a + p(x) * x["c"])).withColumn("q", F.aggregate("c", F.lit(0.0), lambda a, x: a + p(x) * x["c"] * x["c"]))
+        .withColumn("hit", F.aggregate("c", F.lit(0.0), lambda a, x: F.when(x["value"] == F.col("value"), x["c"]).otherwise(a)))
+        .groupBy("an", "field").agg(F.sum("hit").alias("hits"), F.sum("e").alias("dealt"), F.sum(F.col("q") - F.col("e") * F.col("e")).alias("v"))
+    )
+    reliability = state.join(people, "an").join(dealt, ["an", "field"], "left").select(
+        "annotator", "field", "labels", "accuracy", "weight", "hits", "dealt", F.when(F.col("v") > 1e-9, (F.col("hits") - F.col("dealt")) / F.sqrt("v")).alias("z"))
+    each = votes.join(items, "it").select(*item, F.explode(F.array_distinct(F.transform("votes", lambda v: v["field"]))).alias("field"), "votes")
+    each = each.withColumn("votes", F.filter("votes", lambda v: v["field"] == F.col("field")))
     best = _best(F.col("votes"))
-    agreed = votes.select(
+    agreed = each.select(
         *item, "field", best["value"].alias("value"),
         (best["w"] / F.aggregate("votes", F.lit(0.0), lambda a, v: a + v["w"])).alias("share"),
         F.aggregate("votes", F.lit(0).cast("bigint"), lambda a, v: a + v["n"]).alias("labels"),
     )
-    return agreed, weights.select("annotator", "field", "labels", "accuracy", "weight")
+    return agreed, reliability
+
+
+def _judged(weighted: DataFrame, votes: DataFrame) -> DataFrame:
+    """Each label (an, field, value) with the vote of the others on its item: own weight taken from own value, and that value
+    gone if nobody else gave it. Labels that nobody else's label meets are left out."""
+    said = weighted.join(votes, "it").select("an", "w", "votes", F.explode("said").alias("s")).select("an", "s.field", "s.value", F.col("w")[F.col("s.field")].alias("w"), "votes")
+    mine = lambda v: v["value"] == F.col("value")
+    others = F.transform(F.filter("votes", lambda v: (v["field"] == F.col("field")) & ((v["n"] > 1) | ~mine(v))), lambda v: F.struct(v["value"].alias("value"), (v["w"] - F.when(mine(v), F.col("w")).otherwise(0.0)).alias("w")))
+    return said.select("an", "field", "value", others.alias("others")).where(F.size("others") > 0)

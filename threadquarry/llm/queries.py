@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,24 +160,25 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 def _reliability(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     labels = Scratch(spark, "p5").keep(_labels(spark, d), "labels")
     agreed, weights = annotators.consensus(labels, ITEM)
-    seen = annotators.agreement(labels, ITEM)
+    seen = annotators.agreement(labels, ITEM).drop("z")
     return agreed, weights.join(seen, ["annotator", "field"], "left")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Annotators whose agreement with the others does not exceed chance; their vote weight has sunk likewise."""
-    _, rel = _reliability(spark, d)
-    return rel.where((F.col("z") <= annotators.CHANCE_Z) & (F.coalesce("kappa", F.lit(0.0)) < annotators.CHANCE_KAPPA)).select(F.col("annotator").alias("annotator_id"), F.col("field").alias("label_field"))
+    """Annotators whose labels hit the reweighted vote of the others no more often than the same labels dealt at random would,
+    by a test that misses CHANCE_ERROR of those who label at random."""
+    _, rel = annotators.consensus(_labels(spark, d), ITEM)
+    return rel.where(F.col("z").isNotNull() & (F.col("z") <= NormalDist().inv_cdf(1 - annotators.CHANCE_ERROR))).select(F.col("annotator").alias("annotator_id"), F.col("field").alias("label_field"))
 
 
 def p5_consensus(spark: SparkSession, d: str) -> DataFrame:
-    agreed, _ = _reliability(spark, d)
+    agreed, _ = annotators.consensus(_labels(spark, d), ITEM)
     return agreed.select(*ITEM, F.col("field").alias("label_field"), "value", "share", "labels")
 
 
 def p5_reliability(spark: SparkSession, d: str) -> DataFrame:
     _, rel = _reliability(spark, d)
-    return rel.select(F.col("annotator").alias("annotator_id"), F.col("field").alias("label_field"), "labels", "accuracy", "weight", "pairs", "observed", "expected", "kappa", "z")
+    return rel.select(F.col("annotator").alias("annotator_id"), F.col("field").alias("label_field"), "labels", "accuracy", "weight", "hits", "dealt", "z", "pairs", "observed", "expected", "kappa")
 
 
 def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
