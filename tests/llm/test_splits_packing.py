@@ -65,14 +65,24 @@ def test_balanced_splits(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=40))
 def test_packers(sizes):
-    for f in (packing.best_fit_decreasing, packing.least_slack):
-        at = f(sizes, 50)
-        used = {}
-        for s, b in zip(sizes, at):
-            used[b] = used.get(b, 0) + s
-        assert len(at) == len(sizes) and all(u <= 50 for u in used.values())
-        if sizes:
-            assert packing.bound(packing.dff_sums(np.array(sizes), 50)) <= len(used) == max(at) + 1
+    down = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    low = packing.bound(packing.dff_sums(np.array(sizes), 50)) if sizes else 0
+    first = packing.best_fit(down, sizes, 50)
+    for bins in (first, packing.least_slack(down, sizes, 50), packing.pack(sizes, 50)[0] if sizes else []):
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        assert all(b and sum(sizes[i] for i in b) <= 50 for b in bins) and low <= len(bins)
+    assert not sizes or len(packing.pack(sizes, 50)[0]) <= len(first)
+
+
+def test_exchange_saves_bins():
+    rnd = random.Random(4)
+    first = last = low = 0
+    for _ in range(60):
+        sizes = [rnd.randrange(100, 700) for _ in range(rnd.randrange(20, 90))]
+        first += len(packing.pack(sizes, 1000, 0)[0])
+        bins, sums = packing.pack(sizes, 1000)
+        last, low = last + len(bins), low + packing.bound(sums)
+    assert low <= last < first and last - low < 0.6 * (first - low)
 
 
 def exact_bins(sizes, cap):

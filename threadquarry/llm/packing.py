@@ -1,16 +1,19 @@
 """Filling fixed-capacity containers with items.
 
-Groups that are too large for one task are packed in shards by best-fit decreasing. Dual-feasible functions bound the bin
-count of each group from below; groups above their bound reopen their gapped bins, exchange those items between shards
-(another hash) and pack them again, and a round is kept only where it saves bins.
+Groups are packed in shards by best-fit decreasing. Dual-feasible functions bound the bin count of each group from below. A
+shard above its bound repacks: handfuls of its gapped bins exchange their items and run best-fit decreasing again, until the
+bound is met or the tries end. Groups of several shards that are still above their bound reopen their gapped bins, exchange
+those items between shards (another hash) and pack them again, and a round is kept only where it saves bins.
 """
 
 from __future__ import annotations
 
+import random
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,14 @@ from threadquarry.runtime import Scratch
 SHARD_ITEMS = 2_000
 #: Rounds in which shards of a group exchange the items of gapped bins.
 EXCHANGES = 2
-#: A bin at least this full stays closed in an exchange.
+#: A bin at least this full stays closed in an exchange between shards.
 FULL = 0.995
+#: Exchanges within a shard above its bound, and the gapped bins that take part in each.
+TRIES, HANDFUL = 24, 8
+#: Items times capacity up to which an exchange fills its bins by subset sums every second time (memory of the sums, in bits).
+SUM_BITS = 1 << 24
+#: Full pieces of a cut item that one row becomes at once.
+CUT = 4_096
 #: Parameters of the dual-feasible functions: u_k rounds to k-ths, f_e drops items below e.
 DFF_K = tuple(range(1, 21))
 DFF_E = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5)
@@ -44,29 +53,25 @@ def bound(sums: np.ndarray) -> int:
     return int(np.ceil(np.max(sums) - 1e-7)) if len(sums) else 0
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each size; every size is at most the capacity."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+def best_fit(order: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Items in this order, each into the bin that it leaves least room in; every size is at most the capacity."""
     room: list[tuple[int, int]] = []  # (free, bin), sorted
-    at = [0] * len(sizes)
-    bins = 0
+    bins: list[list[int]] = []
     for i in order:
         j = bisect_left(room, (sizes[i], -1))
         if j < len(room):
             free, b = room.pop(j)
         else:
-            free, b = capacity, bins
-            bins += 1
-        at[i] = b
+            free, b = capacity, len(bins)
+            bins.append([])
+        bins[b].append(i)
         insort(room, (free - sizes[i], b))
-    return at
+    return bins
 
 
-def least_slack(sizes: list[int], capacity: int) -> list[int]:
-    """Bin after bin: the largest open item and, by subset sums over bit sets, the fill that leaves least room."""
-    open_items = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    at = [0] * len(sizes)
-    b = 0
+def least_slack(order: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bin after bin: the first open item and, by subset sums over bit sets, the fill that leaves least room."""
+    bins, open_items = [], list(order)
     mask = (1 << (capacity + 1)) - 1
     while open_items:
         first, rest = open_items[0], open_items[1:]
@@ -74,42 +79,79 @@ def least_slack(sizes: list[int], capacity: int) -> list[int]:
         for i in rest:
             sums.append((sums[-1] | sums[-1] << sizes[i]) & mask)
         fill = sums[-1].bit_length() - 1
-        chosen = {first}
+        chosen = [first]
         for n in range(len(rest), 0, -1):
             if not sums[n - 1] >> fill & 1:
-                chosen.add(rest[n - 1])
+                chosen.append(rest[n - 1])
                 fill -= sizes[rest[n - 1]]
-        for i in chosen:
-            at[i] = b
-        open_items = [i for i in open_items if i not in chosen]
-        b += 1
-    return at
+        bins.append(chosen)
+        gone = set(chosen)
+        open_items = [i for i in open_items if i not in gone]
+    return bins
 
 
-def pack(sizes: list[int], capacity: int) -> tuple[list[int], np.ndarray]:
+def pack(sizes: list[int], capacity: int, tries: int = TRIES) -> tuple[list[list[int]], np.ndarray]:
+    """Bins of items by best-fit decreasing, repacked while they are above their bound; and the sums of the bound."""
     sums = dff_sums(np.array(sizes), capacity)
-    at = best_fit_decreasing(sizes, capacity)
-    used = max(at) + 1 if at else 0
-    if used > bound(sums):
-        other = least_slack(sizes, capacity)
-        if max(other) + 1 < used:
-            at = other
-    return at, sums
-
-
-_PACKED = "grp string, item string, part int, size bigint, capacity bigint, shard int, bin int, fill bigint, bounds array<double>"
-
-
-def _pack_group(key, pdf):
-    pdf = pdf.sort_values(["item", "part"], kind="stable").reset_index(drop=True)
-    cap = int(pdf["capacity"].iloc[0])
-    sizes = [int(x) for x in pdf["size"]]
-    at, sums = pack(sizes, cap)
-    fill = np.bincount(np.array(at), weights=np.array(sizes, dtype=float)).astype("int64")
-    return pd.DataFrame({
-        "grp": pdf["grp"], "item": pdf["item"], "part": pdf["part"], "size": pdf["size"], "capacity": pdf["capacity"],
-        "shard": pdf["shard"], "bin": at, "fill": [int(fill[b]) for b in at], "bounds": [sums.tolist() if i == 0 else None for i in range(len(pdf))],
-    })
+    low = bound(sums)
+    down = lambda items: sorted(items, key=lambda i: (-sizes[i], i))
+    bins = best_fit(down(range(len(sizes))), sizes, capacity)
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    rnd = random.Random(len(sizes))
+    for t in range(tries):
+        gapped = [j for j, f in enumerate(fill) if f < capacity]
+        if len(bins) <= low or len(gapped) < 2:
+            break
+        # The emptiest bin and some others exchange all they hold; what gathers the room in fewer bins is kept.
+        emptiest = min(gapped, key=lambda j: (fill[j], j))
+        some = {emptiest, *rnd.sample([j for j in gapped if j != emptiest], min(HANDFUL - 1, len(gapped) - 1))}
+        items = [i for j in sorted(some) for i in bins[j]]
+        if t % 2 or len(items) * capacity > SUM_BITS:
+            again = best_fit(sorted(items, key=lambda i: -sizes[i] * (1 + rnd.random())), sizes, capacity)
+        else:
+            again = least_slack(down(items), sizes, capacity)
+        new = [sum(sizes[i] for i in b) for b in again]
+        if (-len(again), sum(f * f for f in new)) >= (-len(some), sum(fill[j] ** 2 for j in some)):
+            keep = [j for j in range(len(bins)) if j not in some]
+            bins, fill = [bins[j] for j in keep] + again, [fill[j] for j in keep] + new
+    return bins, sums
+
+
+_PACKED = "grp string, item string, part bigint, size bigint, capacity bigint, shard int, bin int, fill bigint, bounds array<double>"
+
+
+def _pack_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by group, shard, item and part, to the same rows with their bins; a shard may span batches."""
+    schema = pa.schema([("grp", pa.string()), ("item", pa.string()), ("part", pa.int64()), ("size", pa.int64()), ("capacity", pa.int64()), ("shard", pa.int32()), ("bin", pa.int32()), ("fill", pa.int64()), ("bounds", pa.list_(pa.float64()))])
+    held: pa.Table | None = None
+
+    def packed(rows: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
+        sizes, caps = rows.column("size").to_pylist(), rows.column("capacity").to_pylist()
+        at, fills, bounds = [0] * len(sizes), [0] * len(sizes), [None] * len(sizes)
+        a = 0
+        for z in ends:
+            bins, sums = pack(sizes[a:z], caps[a])
+            bounds[a] = sums.tolist()
+            for b, items in enumerate(bins):
+                f = sum(sizes[a + i] for i in items)
+                for i in items:
+                    at[a + i], fills[a + i] = b, f
+            a = z
+        cols = [*[rows.column(c) for c in schema.names[:6]], pa.array(at, pa.int32()), pa.array(fills, pa.int64()), pa.array(bounds, schema.field("bounds").type)]
+        yield from pa.Table.from_arrays(cols, schema=schema).to_batches()
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]).select(schema.names[:6])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        grp, shard = rows.column("grp").to_pylist(), rows.column("shard").to_pylist()
+        ends = [i for i in range(1, len(grp)) if grp[i] != grp[i - 1] or shard[i] != shard[i - 1]]
+        if ends:
+            yield from packed(rows.slice(0, ends[-1]), ends)
+            held = rows.slice(ends[-1])
+        else:
+            held = rows
+    if held is not None and held.num_rows:
+        yield from packed(held, [held.num_rows])
 
 
 def _sharded(df: DataFrame, salt: int) -> DataFrame:
@@ -122,7 +164,8 @@ def _sharded(df: DataFrame, salt: int) -> DataFrame:
 
 
 def _packed(df: DataFrame, salt: int) -> DataFrame:
-    return _sharded(df, salt).select("grp", "item", "part", "size", "capacity", "shard").groupBy("grp", "shard").applyInPandas(_pack_group, _PACKED)
+    rows = _sharded(df, salt).select("grp", "item", F.col("part").cast("bigint").alias("part"), "size", "capacity", "shard")
+    return rows.repartition("grp", "shard").sortWithinPartitions("grp", "shard", "item", "part").mapInArrow(_pack_sorted, _PACKED)
 
 
 def pack_items(items: DataFrame, exchanges: int = EXCHANGES) -> tuple[DataFrame, DataFrame]:
@@ -135,16 +178,14 @@ def pack_items(items: DataFrame, exchanges: int = EXCHANGES) -> tuple[DataFrame,
     spark = items.sparkSession
     scratch = Scratch(spark, "packing")
     usable = items.where("grp is not null and item is not null and size > 0 and capacity > 0")
-    cut = usable.withColumn("_full", F.when(F.col("size") > F.col("capacity"), F.floor(F.col("size") / F.col("capacity"))).otherwise(0).cast("int"))
-    pieces = cut.select(
-        "grp", "item", "capacity",
-        F.explode(F.concat(
-            F.when(F.col("_full") > 0, F.transform(F.sequence(F.lit(1), F.col("_full")), lambda i: F.struct(i.alias("part"), F.col("capacity").alias("size"), F.lit(True).alias("whole")))).otherwise(
-                F.array().cast("array<struct<part:int,size:bigint,whole:boolean>>")),
-            F.when(F.col("size") - F.col("_full") * F.col("capacity") > 0, F.array(F.struct((F.col("_full") + 1).alias("part"), (F.col("size") - F.col("_full") * F.col("capacity")).alias("size"), F.lit(False).alias("whole")))).otherwise(
-                F.array().cast("array<struct<part:int,size:bigint,whole:boolean>>")),
-        )).alias("p"),
-    ).select("grp", "item", "capacity", "p.part", "p.size", "p.whole")
+    # An item of many times the capacity becomes rows in two steps, so that no row holds a long array.
+    full, cap, size = F.col("_full"), F.col("capacity"), F.col("size")
+    cut = usable.select("grp", "item", cap.cast("bigint").alias("capacity"), size.cast("bigint").alias("size"), F.when(size > cap, F.floor(size / cap)).otherwise(0).cast("bigint").alias("_full"))
+    parts = cut.where("_full > 0").select("grp", "item", "capacity", "_full", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((full - 1) / CUT))).alias("_b"))
+    parts = parts.select("grp", "item", "capacity", F.explode(F.sequence(F.col("_b") * CUT + 1, F.least(full, (F.col("_b") + 1) * CUT))).alias("part"))
+    rest = size - full * cap
+    pieces = cut.where(rest > 0).select("grp", "item", "capacity", (full + 1).alias("part"), rest.alias("size"), F.lit(False).alias("whole")).unionByName(
+        parts.select("grp", "item", "capacity", "part", F.col("capacity").alias("size"), F.lit(True).alias("whole")))
     pieces = scratch.keep(pieces, "pieces")
     full = pieces.where("whole").select("grp", "item", "part", "size", "capacity", F.concat(F.lit("w/"), "item", F.lit("/"), F.col("part").cast("string")).alias("bin"), F.col("size").alias("fill"))
     loose = pieces.where("not whole").drop("whole")
