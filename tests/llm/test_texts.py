@@ -80,25 +80,38 @@ CASES = [
 ]
 
 
-def test_kinds():
-    m = quality.Measures(COMMON)
-    for want, text in CASES:
-        assert quality.kind_of(text, m.of(text)) == want, text
+#: Running text that the cases are placed by.
+PROSE = [CASES[0][1] + f"第{i}遍我才看懂了。" for i in range(40)] + [CASES[1][1] + f"\nIt is the {i}. day of it and nobody has to know." for i in range(40)]
+
+
+def kinds(spark, texts, background=PROSE):
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*texts, *background])], "doc_id bigint, text string, source string")
+    rows = quality.flagged(quality.measure(df, COMMON)).select("doc_id", "tails", quality.kind().alias("kind")).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert all(r["kind"] is None or r["tails"] for r in rows)
+    return [got[i]["kind"] if i in got else "blank" for i in range(len(texts))]
+
+
+def test_kinds(spark):
+    assert kinds(spark, [t for _, t in CASES]) == [k for k, _ in CASES]
+
+
+def test_tails_decide(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TAIL_Z", 1e9)
+    assert set(kinds(spark, [t for _, t in CASES])) == {None}
 
 
 def test_quality_edges(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, " \n​"), (4, "好"), (5, "x" * 100_000), (6, "，，，"), (6, "，，，")] + [(10 + i, CASES[i % 2][1]) for i in range(30)] + [(50, CASES[2][1])], "doc_id bigint, text string")
-    measured = quality.measure(df, COMMON)
-    rows = {r["doc_id"]: r for r in quality.flagged(measured).collect()}
-    assert not {1, 2, 3} & rows.keys() and rows[4]["kind"] is None and rows[50]["kind"] == "list" and rows[50]["tails"] and rows[10]["tails"] == []
+    texts = [None, "", " \n​", "好", "x" * 100_000, "，，，", "，，，", CASES[2][1], CASES[0][1]]
+    assert kinds(spark, texts) == ["blank", "blank", "blank", None, "junk", None, None, "list", None]
+    df = spark.createDataFrame([(1, "好")], "doc_id bigint, text string")  # no sources, no running text
+    assert [r["tails"] for r in quality.flagged(quality.measure(df, COMMON)).collect()] == [[]]
     assert quality.flagged(quality.measure(df.limit(0), COMMON)).count() == 0
 
 
-def test_a_tag_ends_with_its_sentence():
-    m = quality.Measures(COMMON)
-    for text in ("上周我看了视频，太多#️⃣功能反而学不会。后来他想了个办法，把稿子先导出一遍，再交给表格处理。换到别人那里，答案完全不一样。", "我用了 #番茄钟，后来他想了个办法，把稿子先导出一遍，再交给表格处理。换到别人那里，答案完全不一样。"):
-        assert quality.kind_of(text, m.of(text)) is None
-    assert quality.kind_of("#番茄钟 #录屏 @夜班同事 #表格合并器", m.of("#番茄钟 #录屏 @夜班同事 #表格合并器")) == "junk"
+def test_a_tag_ends_with_its_sentence(spark):
+    texts = ("上周我看了视频，太多#️⃣功能反而学不会。后来他想了个办法，把稿子先导出一遍，再交给表格处理。换到别人那里，答案完全不一样。", "我用了 #番茄钟，后来他想了个办法，把稿子先导出一遍，再交给表格处理。换到别人那里，答案完全不一样。", "#番茄钟 #录屏 @夜班同事 #表格合并器")
+    assert kinds(spark, texts) == [None, None, "junk"]
 
 
 def test_common_kinds_are_found(spark, tmp_path):
@@ -110,11 +123,17 @@ def test_common_kinds_are_found(spark, tmp_path):
     texts = lists + tables + junk + [CASES[0][1] + f"第{i}遍我才看懂了。" for i in range(20)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws], "lang string, word string").write.parquet(f"{tmp_path}/common_words.parquet")
-    m = quality.Measures(COMMON)
-    want = {i: k for i, t in enumerate(texts) if (k := quality.kind_of(t, m.of(t)))}
-    assert [want.get(i) for i in (0, 39, 40, 60, 80)] == ["list", "list", "table", "junk", None]
+    want = dict.fromkeys(range(40), "list") | dict.fromkeys(range(40, 60), "table") | dict.fromkeys(range(60, 80), "junk")
     assert {r["doc_id"]: r["kind"] for r in queries.p10_found(spark, str(tmp_path)).collect()} == want
-    assert "letter_share" not in queries.p10_statistics(spark, str(tmp_path)).columns
+    assert "source" not in queries.p10_statistics(spark, str(tmp_path)).columns
+
+
+def test_a_large_source_of_tables(spark):
+    """A third of all rows are one source's tables: other sources' text stays text."""
+    tables = [CASES[5][1] + f" {i}" for i in range(60)]
+    df = spark.createDataFrame([(i, t, "tables" if i < 60 else f"s{i % 3}") for i, t in enumerate([*tables, *PROSE, *PROSE])], "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["kind"] for r in quality.flagged(quality.measure(df, COMMON)).select("doc_id", quality.kind().alias("kind")).collect()}
+    assert all((got[i] == "table") == (i < 60) and got[i] in (None, "table") for i in got)
 
 
 FINDS = [

@@ -1,9 +1,11 @@
-"""Per-document text quality statistics, corpus percentiles, and what is not running text.
-
-One pass computes the statistics of each text. Mergeable quantile sketches per language (Spark's approximate percentiles)
-turn them into robust z-scores, and documents in a distribution tail are flagged. A common kind widens its statistics' own
-scale until it lies in no tail, so absolute cuts that the rules need flag documents too, however common their kind is. What
-flagged documents are is told by the exact rules for lists, tables and junk.
+"""Per-document text quality statistics, their place in the corpus, and what is not running text.
+
+One pass computes the statistics of each text. Mergeable quantile sketches per language and source (Spark's approximate
+percentiles) give the reference. First of the share of common words, whose upper end says how much of them running text
+has; then of each statistic over the documents that have about so much. A statistic's centre is the median over sources of
+their medians, its scale that of their narrower quartile distances, so neither a source that holds a third of all rows nor a
+kind that makes up most of them moves it. Robust z-scores place each document, those beyond TAIL_Z lie in a tail, and the
+tails say what a document is: list, table, junk, or running text.
 """
 
 from __future__ import annotations
@@ -17,19 +19,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadquarry.llm.mixing import source_name
 from threadquarry.runtime import spread
 
 #: Robust z-score from which a statistic lies in a tail, and relative rank error of the sketches.
-TAIL_Z = 2.5
+TAIL_Z = 5.0
 SKETCH_ACCURACY = 2_000
+#: Quantile of the share of common words that running text is expected at, how far from it reference documents may be (as a
+#: factor), and the share below which a language has no running text. It is then placed by the other language's reference.
+PROSE_QUANTILE, PROSE_FACTOR, LEAST_COMMON = 0.9, 2.0, 0.05
+#: Documents of a language that a source needs to have a say in the reference; where none has so many, all have.
+LEAST_DOCUMENTS = 30
 #: Least scale of a statistic, so that a corpus of equal values doesn't turn dust into tails.
 LEAST_SCALE = {
     "mean_word_length": 0.5, "symbol_ratio": 0.01, "digit_ratio": 0.02, "ending_share": 0.1, "common_share": 0.03, "mean_line_length": 8.0,
     "entry_share": 0.1, "cell_share": 0.1, "repeat_ratio": 0.05, "odd_ratio": 0.01, "longest_run": 8.0, "rare_share": 0.03, "pair_share": 0.05, "code_share": 0.03,
+    "letter_share": 0.03, "link_share": 0.06,
 }
 STATISTICS = list(LEAST_SCALE)
-#: What the exact rules read beside the statistics.
-SHARES = ["letter_share", "link_share"]
+#: Amounts beside the statistics, which have no tails: what is too little proves nothing.
+AMOUNTS = ["words", "lines", "chars", "han", "latin", "distinct_lines"]
 #: An entry of a list is at most this long (a Han character counts two); more marks of running text make it no entry.
 ENTRY_WIDTH = 64
 #: The commonest letter pairs of English, by which words are told from keyboard noise.
@@ -187,6 +196,7 @@ class Measures:
         common = sum(1 for w in words if w in self.en) + (sum(len(x) for x in self.zh.findall(text)) if self.zh and han else 0)
         return {
             "han": float(han), "words": float(len(words) + han), "lines": float(len(lines)), "chars": float(len(flat)),
+            "latin": float(sum(map(len, _LATIN_LETTERS.findall(text)))), "distinct_lines": len({x.strip() for x in lines}) / max(1, len(lines)),
             "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
             "symbol_ratio": sum(map(len, p["symbol"].findall(flat))) / n, "digit_ratio": sum(map(len, p["digit"].findall(flat))) / n,
             "ending_share": sum(1 for x in lines if p["end"].search(x)) / max(1, len(lines)),
@@ -198,87 +208,84 @@ class Measures:
         }
 
 
-def kind_of(text: str, m: dict[str, float]) -> str | None:
-    """The exact rules for a flagged text: table, list, junk, or null for running text."""
-    p = _patterns()
-    chars, words = m["chars"], m["words"]
-    latin = sum(map(len, _LATIN_LETTERS.findall(text)))
-    if m["odd_ratio"] > 0.15 or m["code_share"] > 0.3:
-        return "junk"
-    if m["rare_share"] > 0.25 and len(p["han"].findall(text)) > max(8, 0.4 * chars):
-        return "junk"
-    if m["link_share"] > 0.6:
-        return "junk"
-    if m["cell_share"] >= 0.6 and m["repeat_ratio"] < 0.9:
-        return "table"
-    if latin > 0.5 * chars and latin >= 16 and (m["pair_share"] < 0.3 or m["pair_share"] < 0.4 and m["common_share"] < 0.1):
-        return "junk"
-    if m["entry_share"] >= 0.6 and m["repeat_ratio"] < 0.8:
-        lines = [x.strip() for x in p["line"].split(text) if x.strip()]
-        if len(set(lines)) > 0.4 * len(lines) and m["letter_share"] > 0.3:
-            return "list"
-    # The same bit over and over: little that is distinct, however long. Long prose repeats phrases, yet goes on.
-    if chars >= 12 and (m["repeat_ratio"] > 0.9 or m["repeat_ratio"] > 0.6 and (1 - m["repeat_ratio"]) * chars < 400):
-        return "junk"
-    if m["letter_share"] < 0.35 and chars >= 6:
-        return "junk"
-    if words >= 30 and m["common_share"] < 0.02:
-        return "junk"
-    if chars >= 24 and m["longest_run"] > 0.5 * chars:
-        return "junk"
-    return None
-
-
 def measure(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
-    """(doc_id, language, statistics..., kind) of every text that is not blank; kind is what the exact rules make of it."""
-    names = ["words", "lines", "chars", *STATISTICS, *SHARES]
+    """(doc_id, source, language, amounts.., statistics..) of every text that is not blank; a null source, or a table without
+    sources, counts as one."""
+    names = [*AMOUNTS, *STATISTICS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = Measures(common)
         for b in batches:
-            ids, langs, kinds = [], [], []
+            ids, sources, langs = [], [], []
             cols: dict[str, list[float]] = {k: [] for k in names}
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for i, t, s in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "source")]):
                 if not t or not _patterns()["space"].sub("", t):
                     continue
                 m = measures.of(t)
                 ids.append(i)
+                sources.append(s)
                 langs.append(language(m))
-                kinds.append(kind_of(t, m))
                 for k in names:
                     cols[k].append(m[k])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *[pa.array(cols[k], pa.float64()) for k in names], pa.array(kinds, pa.string())],
-                ["doc_id", "language", *names, "kind"],
-            )
+                [pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array(langs, pa.string()), *[pa.array(cols[k], pa.float64()) for k in names]], ["doc_id", "source", "language", *names])
 
-    schema = "doc_id bigint, language string, " + ", ".join(f"{k} double" for k in names) + ", kind string"
-    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, schema)
+    schema = "doc_id bigint, source string, language string, " + ", ".join(f"{k} double" for k in names)
+    source = F.coalesce(source_name(F.col("source")), F.lit("")) if "source" in docs.columns else F.lit("")
+    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", source.alias("source"))).mapInArrow(run, schema)
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Per language, quartiles and 1 %, 5 %, 95 %, 99 % of each statistic from mergeable sketches (two rows at most)."""
+    """Per language and source, quartiles and 1 %, 5 %, 95 %, 99 % of each statistic from mergeable sketches."""
     cuts = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    return measured.groupBy("language").agg(F.count("*").alias("documents"), *[F.percentile_approx(s, cuts, SKETCH_ACCURACY).alias(s) for s in STATISTICS])
+    return measured.groupBy("language", "source").agg(F.count("*").alias("documents"), *[F.percentile_approx(s, cuts, SKETCH_ACCURACY).alias(s) for s in STATISTICS])
 
 
-def marked() -> F.Column:
-    """Whether a document meets an absolute cut. Every rule of ``kind_of`` needs one of them."""
-    c = F.col
-    return (
-        (c("odd_ratio") > 0.15) | (c("code_share") > 0.3) | (c("rare_share") > 0.25) | (c("link_share") > 0.6) | (c("cell_share") >= 0.6) | (c("pair_share") < 0.4)
-        | (c("entry_share") >= 0.6) | (c("repeat_ratio") > 0.6) | (c("letter_share") < 0.35) | (c("common_share") < 0.02) | (c("longest_run") > 0.5 * c("chars"))
-    )
+def _voting(sketched: DataFrame) -> DataFrame:
+    most = sketched.groupBy("language").agg(F.max("documents").alias("_most"))  # a row per language, of which there are two
+    return sketched.join(F.broadcast(most), "language").where(F.col("documents") >= F.least(F.col("_most"), F.lit(LEAST_DOCUMENTS)))
 
 
-def flagged(measured: DataFrame) -> DataFrame:
-    """``measured`` plus ``tails``: the statistics whose robust z-score lies beyond TAIL_Z, each with its sign."""
-    s = sketches(measured).select("language", *[F.col(c).alias(f"q_{c}") for c in STATISTICS])
-    out = measured.join(F.broadcast(s), "language")  # one row per language, of which there are two
+def reference(measured: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Per language (two rows at most) centre and scale of each statistic; and the language each is placed by."""
+    share = measured.groupBy("language", "source").agg(F.count("*").alias("documents"), F.percentile_approx("common_share", PROSE_QUANTILE, SKETCH_ACCURACY).alias("p"))
+    levels = {r["language"]: r["level"] for r in _voting(share).groupBy("language").agg(F.percentile_approx("p", 0.5, SKETCH_ACCURACY).alias("level")).collect()}  # two rows at most
+    prose = {k: v for k, v in levels.items() if v >= LEAST_COMMON}
+    near = F.lit(not prose)
+    for k, v in prose.items():
+        near = near | ((F.col("language") == k) & F.col("common_share").between(v / PROSE_FACTOR, v * PROSE_FACTOR))
+    middle = lambda c, name: F.percentile_approx(c, 0.5, SKETCH_ACCURACY).alias(name)
+    q = F.col
+    out = _voting(sketches(measured.where(near))).groupBy("language").agg(
+        *[middle(q(s)[3], f"c_{s}") for s in STATISTICS], *[middle(F.least(q(s)[4] - q(s)[3], q(s)[3] - q(s)[2]), f"d_{s}") for s in STATISTICS])
+    out = out.select("language", *[f"c_{s}" for s in STATISTICS], *[F.greatest(F.col(f"d_{s}") / 0.6745, F.lit(v)).alias(f"d_{s}") for s, v in LEAST_SCALE.items()])
+    return out, {k: k if k in prose or not prose else min(prose) for k in levels}
 
-    def z(c: str):
-        q = F.col(f"q_{c}")
-        return (F.col(c) - q[3]) / F.greatest((q[4] - q[2]) / 1.349, F.lit(LEAST_SCALE[c]))
 
-    tails = F.array(*[F.when(z(c) > TAIL_Z, F.lit(f"+{c}")).when(z(c) < -TAIL_Z, F.lit(f"-{c}")) for c in STATISTICS])
-    return out.withColumn("tails", F.filter(tails, lambda x: x.isNotNull())).drop(*[f"q_{c}" for c in STATISTICS])
+def flagged(measured: DataFrame) -> DataFrame:
+    """``measured`` plus ``tails``: the statistics whose robust z-score lies beyond TAIL_Z, each with its sign."""
+    ref, by = reference(measured)
+    own = F.col("language")
+    for k, v in by.items():
+        own = F.when(F.col("language") == k, v).otherwise(own)
+    out = measured.withColumn("_by", own).join(F.broadcast(ref.withColumnRenamed("language", "_by")), "_by").drop("_by")
+    z = lambda s: (F.col(s) - F.col(f"c_{s}")) / F.col(f"d_{s}")
+    tails = F.array_compact(F.array(*[F.when(z(s) > TAIL_Z, F.lit(f"+{s}")).when(z(s) < -TAIL_Z, F.lit(f"-{s}")) for s in STATISTICS]))
+    return out.withColumn("tails", tails).drop(*[f"{k}_{s}" for s in STATISTICS for k in "cd"])
+
+
+def kind() -> F.Column:
+    """What the tails of a flagged document say: junk, table, list, or null for running text.
+
+    Noise comes first (odd characters, codes, rare characters, links), then rows of cells, words that no language spells,
+    entries, and last the same bit over and over, few letters, and runs without end. Amounts guard what a few characters
+    can't show: prose may repeat its phrases as long as it goes on.
+    """
+    c = F.col
+    tail = lambda t: F.array_contains("tails", t)
+    noise = tail("+odd_ratio") | tail("+code_share") | tail("+link_share") | (tail("+rare_share") & (c("han") > F.greatest(F.lit(8.0), 0.4 * c("chars"))))
+    unspelled = tail("-pair_share") & tail("-common_share") & (c("latin") > 0.5 * c("chars")) & (c("latin") >= 16)
+    entries = tail("+entry_share") & (c("repeat_ratio") < 0.8) & (c("distinct_lines") > 0.4) & (c("letter_share") > 0.3)
+    over = tail("+repeat_ratio") & (c("chars") >= 12) & ((c("repeat_ratio") > 0.9) | ((1 - c("repeat_ratio")) * c("chars") < 400))
+    empty = (tail("-letter_share") & (c("chars") >= 6)) | (tail("+longest_run") & (c("chars") >= 24))
+    return F.when(noise, "junk").when(tail("+cell_share") & (c("repeat_ratio") < 0.9), "table").when(unspelled, "junk").when(entries, "list").when(over | empty, "junk")

@@ -297,19 +297,19 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents in a tail of some statistic, or beyond an absolute cut, that the exact rules read as list, table or junk."""
-    return quality.flagged(_measured(spark, d)).where(((F.size("tails") > 0) | quality.marked()) & F.col("kind").isNotNull()).select("doc_id", "kind")
+    """Documents whose tails say that they are a list, a table or junk."""
+    return quality.flagged(_measured(spark, d)).where(F.size("tails") > 0).select("doc_id", quality.kind().alias("kind")).where("kind is not null")
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Every statistic of every document that is not blank, with the tails it lies in."""
-    return quality.flagged(_measured(spark, d)).drop("kind", *quality.SHARES).withColumn("tails", F.array_join("tails", ","))
+    return quality.flagged(_measured(spark, d)).drop("source").withColumn("tails", F.array_join("tails", ","))
 
 
 def p10_sketches(spark: SparkSession, d: str) -> DataFrame:
     out = quality.sketches(_measured(spark, d))
-    return out.select("language", "documents", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("q")) for s in quality.STATISTICS])).alias("x")).select(
-        "language", "documents", "x.statistic", *[F.col("x.q")[i].alias(n) for i, n in enumerate(("p01", "p05", "p25", "p50", "p75", "p95", "p99"))])
+    return out.select("language", "source", "documents", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("q")) for s in quality.STATISTICS])).alias("x")).select(
+        "language", "source", "documents", "x.statistic", *[F.col("x.q")[i].alias(n) for i, n in enumerate(("p01", "p05", "p25", "p50", "p75", "p95", "p99"))])
 
 
 QUERIES = {
