@@ -144,18 +144,43 @@ FINDS = [
 ]
 
 
+#: A model that believes every form and the endings of the cases.
+ALL_FORMS = {"forms": [(k, f) for k, fs in pii.FORMS.items() for f in fs], "typed": ["email|end|example", "email|end|invalid", "email|end|com"]}
+
+
 def test_shapes():
-    model = pii.Model([], [], [], [], [], [], ["单号", "编号"])
+    model = pii.Model([], [], [], [], [], [], ["单号", "编号"], **ALL_FORMS)
     for text, want in FINDS:
         assert {k for k, _, _ in model.find(pii.normalize(text)[0])} == want, text
 
 
+def test_only_seeds_without_a_model():
+    model = pii.Model([], [], [], [], [], [], [])
+    got = {k: [bool(model.find(pii.normalize(t)[0])) for t, want in FINDS if want == {k}] for k in pii.FORMS}
+    assert all(True in v and False in v for v in got.values()), got
+
+
+def test_forms_are_learned(spark):
+    """Seeds beside contexts make these admit other forms; contexts of impossible numbers refuse."""
+    rnd = random.Random(9)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    texts = [f"{p} +86 16{digits(9)} 谢谢" for p in ("电话", "手机", "打") for _ in range(10)] + [f"{p} 16{digits(9)} 谢谢" for p in ("电话", "手机", "打") for _ in range(10)]
+    texts += [f"{p}{w}{i}@box.example 求发" for i in range(8) for p, w in (("联系", "moss"), ("邮箱", "kiln"))] + [f"联系moss{i}(at)box[dot]example 求发" for i in range(8)] + ["邮箱finch7atboxdotexample", "邮箱finch7atboxdotorg"]
+    texts += [f"地址：雁汀市望湖区桂子路{i}号，放门口" for i in range(1, 9)] + [f"地址：桂子路{i}号，放门口" for i in range(1, 9)] + [f"单号2{digits(10)}" for _ in range(9)] + ["单号16012345678"]
+    model = pii.learn(spark.createDataFrame([(x,) for x in texts], "text string"))
+    finds = lambda x: {k for k, _, _ in model.find(pii.normalize(x)[0])}
+    assert {("phone", "mobile"), ("email", "bracketed"), ("address", "zh")} <= model.forms and "单号" in model.refused and "phone|l|手机" in model.typed and "email|end|example" in model.typed
+    assert [finds(x) for x in ("去问16012345678吧", "单号16012345678", "finch7(at)box[dot]example", "邮箱finch7atboxdotexample", "finch7atboxdotorg", "桂子路88号见")] == [{"phone"}, set(), {"email"}, {"email"}, set(), {"address"}]
+    blind = pii.Model([], [], [], [], [], [], [])
+    assert [bool(blind.find(x)) for x in ("16012345678", "finch7(at)box[dot]example", "桂子路88号见")] == [False] * 3
+
+
 @pytest.mark.parametrize("text, kind", [
     ("mary.jones ( at ) corp.com", "email"), ("mary.jones [ AT ] corp.com", "email"), ("at 221B Baker Street now", "address"), ("ship to 12 Harrow\nBend\nStreet", "address"),
     ("no 7 " + "Averylongword" * 6 + " Street", "address"), ("it cost 5 coins, then " + "on and on " * 9 + "we came to 9 Harrow Bend Dr.", "address"),
 ])
 def test_looks_are_implied_by_shapes(text, kind):
-    assert {k for k, _, _ in pii.Model([], [], [], [], [], [], []).find(pii.normalize(text)[0])} == {kind}
+    assert {k for k, _, _ in pii.Model([], [], [], [], [], [], [], **ALL_FORMS).find(pii.normalize(text)[0])} == {kind}
 
 
 def test_names_in_text_of_any_length(spark):

@@ -1,10 +1,13 @@
 """Personal information inside free text: found, and replaced by typed placeholders.
 
-Bootstrapped contextual extraction. Seed shapes (addresses of mail, numbers of phones and papers, streets with house
-numbers) and seed contexts of names yield instances; the contexts they stand in become patterns. Spark counts the graph of
-patterns and instances over the whole corpus and scores both sides in turn: a pattern by the share of its distinct
-instances that are believed, an instance by the patterns that name it. High-confidence patterns find names that no seed
-covers, contexts that mostly hold other numbers (orders, parcels, groups) refuse number shapes.
+Bootstrapped contextual extraction. Seed entities start the search: plain mail addresses, phone numbers with a country code,
+identity numbers whose check digit holds, addresses in full, and names after seed contexts. Whatever else has a loose shape
+of its kind is a candidate. Candidates and seeds are instances, linked to lexical patterns: how they are written (form), the
+words before and after them, the ending of a mail host. Spark counts that graph over the whole corpus and scores both sides
+in turn: a pattern by the share of its distinct instances that are believed, an instance by the patterns that hold it, with
+seeds believed and impossible numbers disbelieved throughout. High-confidence patterns admit the candidates that no seed
+covers, contexts that mostly hold other numbers (orders, parcels, groups) refuse them. Without a learned model only seeds
+are found.
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity": "[IDENTITY]"
 ROUNDS = 3
 PATTERN_SCORE = 0.4
 CONTEXT_SCORE = 0.35
+#: Least scores of forms and of contexts that admit candidates of their kind, and rounds of that graph.
+FORM_SCORE, ADMIT_SCORE = 0.5, 0.6
+FORM_ROUNDS = 4
 #: Rows of the learned model up to which each task receives all of it; a larger one is joined with what each text looks up.
 MODEL_ROWS = 200_000
 #: The parts of the model that grow with the corpus. Family names of one character and English lead words have an end.
-PARTS = ("patterns", "given", "refused", "left", "right", "sure", "common", "en_given", "en_family", "en_left", "en_right", "en_sure")
+PARTS = ("patterns", "given", "refused", "left", "right", "sure", "common", "en_given", "en_family", "en_left", "en_right", "en_sure", "typed")
 _SCORED = ("left", "right", "en_left", "en_right")
 #: Characters of a context inside longer text, before and after a name.
 BEFORE, AFTER = 4, 2
@@ -89,9 +95,9 @@ _DOT = r"(?:\s*(?:[(\[{<]\s*dot\s*[)\]}>])\s*|\s+dot\s+)"
 _EMAILS = [
     re.compile(_LOCAL + r"(?:\s{0,3}@\s{0,3}|\s{0,2}[(\[{<]\s?at\s?[)\]}>]\s{0,2})" + _LABEL + r"(?:\." + _LABEL + r")*\.[A-Za-z]{2,24}(?![A-Za-z0-9])", re.I),
     re.compile(_LOCAL + _AT + _LABEL + "(?:(?:" + _DOT + r"|\.)" + _LABEL + ")*" + _DOT + r"[A-Za-z]{2,24}(?![A-Za-z0-9])", re.I),
-    # Glued spellings: whatever is not a letter around "at" and "dot" may be missing.
-    re.compile(_LOCAL + _AT + r"[A-Za-z0-9\-]{1,40}?(?:dot[A-Za-z0-9\-]{2,30}?){0,3}dot(?:com|org|net|edu|gov|cn|io|co|me|invalid|test|example|local|info)(?![A-Za-z0-9])", re.I),
-    re.compile(r"(?<![A-Za-z0-9._+\-*•])[A-Za-z0-9][A-Za-z0-9._+\-]{1,60}?at[A-Za-z0-9\-]{1,40}?(?:(?:" + _DOT + r"|dot|\.)[A-Za-z0-9\-]{2,30}?){0,3}(?:" + _DOT + r"|dot)(?:com|org|net|edu|gov|cn|io|co|me|invalid|test|example|local|info)(?![A-Za-z0-9])", re.I),
+    # Glued spellings: whatever is not a letter around "at" and "dot" may be missing. They need an ending that mail hosts have.
+    re.compile(_LOCAL + _AT + r"[A-Za-z0-9\-]{1,40}?(?:dot[A-Za-z0-9\-]{2,30}?){0,3}dot[A-Za-z]{2,12}(?![A-Za-z0-9])", re.I),
+    re.compile(r"(?<![A-Za-z0-9._+\-*•])[A-Za-z0-9][A-Za-z0-9._+\-]{1,60}?at[A-Za-z0-9\-]{1,40}?(?:(?:" + _DOT + r"|dot|\.)[A-Za-z0-9\-]{2,30}?){0,3}(?:" + _DOT + r"|dot)[A-Za-z]{2,12}(?![A-Za-z0-9])", re.I),
 ]
 _H = "一-鿿㐀-䶿"
 _HOUSE = r"(?:第\s?)?(?:\d{1,5}|[零〇一二三四五六七八九十百千两]{1,7})(?:\s?[-–—之/]\s?\d{1,4})?\s?(?:弄|号)(?!线|发货|方案|公交|字|店铺?号)"
@@ -158,6 +164,85 @@ def zh_phones(t: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
+# ---------------------------------------------------------------- candidates
+
+_CHECK = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)  # fixed value: weights of an identity number's check digit
+_ABROAD = re.compile(r"[(\s]*(?:\+|00\s?86)")
+_AT_WORD = re.compile(r"[(\[{<]\s*at\s*[)\]}>]|\sat\s|@")
+_DOT_WORD = re.compile("dot")
+#: What candidates are written like, by kind. A fixed few, so that each is scored by many instances.
+FORMS = {
+    "email": ("plain", "spaced", "bracketed", "worded", "glued"), "phone": ("abroad", "mobile", "mobile_cut", "other", "other_cut", "han"),
+    "identity": ("checked", "new", "new_cut", "old", "old_cut", "han"), "address": ("full", "zh", "zh_han", "en", "en_other"),
+}
+SEED_FORMS = {("email", "plain"), ("phone", "abroad"), ("identity", "checked"), ("address", "full"), ("address", "en")}
+
+
+def checked(number: str) -> bool:
+    """Whether the last digit of an 18-digit identity number is its check digit."""
+    return len(number) == 18 and number[:17].isdigit() and "10X98765432"[sum(int(d) * w for d, w in zip(number, _CHECK)) % 11] == number[17]
+
+
+def _mail_form(i: int, s: str) -> str:
+    return "glued" if i > 1 else "bracketed" if re.search(r"[(\[{<]\s*(?:at|dot)", s, re.I) else "worded" if i else "spaced" if re.search(r"\s", s) else "plain"
+
+
+def _number_form(kind: str, s: str) -> tuple[str, str]:
+    """Form and digits of a number."""
+    digits = re.sub(r"[^\dXx]", "", s).upper()
+    cut = "_cut" if re.search(r"\d[^\dXx]+[\dXx]", s) else ""
+    if kind == "identity":
+        return ("checked" if checked(digits) else ("new" if len(digits) == 18 else "old") + cut), digits
+    if _ABROAD.match(s):
+        return "abroad", re.sub("^(?:00)?86(?=1)", "", digits)
+    return ("mobile" if len(digits) == 11 and digits[0] == "1" else "other") + cut, digits
+
+
+def candidates(t: str) -> Iterator[tuple[str, int, int, str, str, bool, str]]:
+    """(kind, start, end, form, instance, weak, ending) of whatever has a loose shape of its kind in a normalised text, those
+    that take precedence first. Weak ones are digits without structure; the ending is a mail host's."""
+    low = t.lower()
+    if "@" in t or "dot" in low or _AT_LOOK.search(t):
+        for i, p in enumerate(_EMAILS):
+            for m in p.finditer(t):
+                x = m[0].lower()
+                end = re.search("[a-z]+$", x)[0] if i < 2 else x[x.rindex("dot") + 3:].strip(" )]}>")
+                yield "email", m.start(), m.end(), _mail_form(i, m[0]), re.sub("[^a-z0-9]", "", _DOT_WORD.sub("", _AT_WORD.sub("", x))), False, end
+    if _SEVEN_DIGITS.search(t):
+        for kind, a, b, strong in numbers(t):
+            yield kind, a, b, *_number_form(kind, t[a:b]), not strong, ""
+    # The first number and any street word after it, each looked for once: a text takes linear time.
+    house = _HOUSE_LOOK.search(t)
+    if house and _STREET_LOOK.search(t, house.end()):
+        for i, p in enumerate(_ADDRESSES[1:]):
+            for m in p.finditer(t):
+                yield "address", m.start(), m.end(), "en_other" if i or not _EN_FULL.search(m[0]) else "en", re.sub("[^a-z0-9]", "", m[0].lower()), False, ""
+    if not t.isascii():
+        for kind, a, b, _ in zh_phones(t):
+            yield kind, a, b, "han", "".join(_DIGITS.get(c, "") for c in t[a:b]), False, ""
+        if _STREET_HINT.search(t) and ("号" in t or "弄" in t):
+            for m in _ADDRESSES[0].finditer(t):
+                lead = _LEAD_IN.match(m[0])
+                a = m.start() + (lead.end() if lead else 0)
+                x = re.sub(r"[\s,]", "", t[a : m.end()])
+                yield "address", a, m.end(), "full" if _ZH_FULL.match(x) else "zh" if re.search(r"\d", x) else "zh_han", x, False, ""
+
+
+_EN_FULL = re.compile(r"\b(?:Street|Road|Avenue|Lane|Drive)\b")
+_ZH_FULL = re.compile(rf"[{_H}]{{2,}}[省市州区县].*\d")
+
+
+def _after(t: str, end: int) -> str:
+    """The letters just after a candidate: the right side of its pattern."""
+    right = re.sub(r"[^A-Za-z一-鿿]+", "", t[end : end + 8]).lower()
+    return right[:4] if right.isascii() else right[:2]
+
+
+def _typed_keys(kind: str, t: str, a: int, b: int) -> list[str]:
+    """The contexts of a candidate as keys of the model."""
+    return [f"{kind}|{side}|{c}" for side, c in (("l", _context(t, a)), ("r", _after(t, b))) if c]
+
+
 # ---------------------------------------------------------------- names
 
 _CLAUSE = re.compile(r"[，。；！？、,;!?…~\n\r\t\"“”「」【】\[\]<>|]+|\.(?=\s|$|[^\x00-\x7f])|\.{2,}")
@@ -264,11 +349,18 @@ def _collect_pairs():
                         seen["eopen", c, "", x, True] += 1
                     for c in after:
                         seen["eopen", "", c, x, True] += 1
+                for kind, a, z, form, x, _, ending in candidates(t):
+                    inst, seed = f"{kind}:{x}", True if (kind, form) in SEED_FORMS else None
+                    for key in (f"{kind}|form|{form}", *([f"{kind}|end|{ending}"] if ending else []), *_typed_keys(kind, t, a, z)):
+                        seen["typed", key, "", inst, seed] += 1
                 for m in _NUMBER.finditer(t):
                     d = re.sub(r"\D", "", m[0])
-                    if len(d) in (11, 15, 17, 18) and m[0].isdigit():
+                    if len(d) in (11, 15, 17, 18) and m[0].isdigit() and (c := _context(t, m.start())):
                         ok = bool(re.fullmatch(r"1[3-9]\d{9}", d)) if len(d) == 11 else any(k == "identity" for k, *_ in numbers(m[0]))
-                        seen["number", _context(t, m.start()), "", d, ok] += 1
+                        # Digits alone: what can be no number of its kind is disbelieved, and speaks against its context.
+                        kind = "phone" if len(d) == 11 else "identity"
+                        for key in (f"number|l|{c}", f"{kind}|l|{c}"):
+                            seen["typed", key, "", f"{kind}:{d}", None if ok else False] += 1
             if len(stretches) + len(seen) >= COLLECT_PAIRS:
                 spread()
                 yield flush(seen)
@@ -318,7 +410,7 @@ def _around(t: str, a: int, b: int) -> tuple[list[str], list[str]]:
 class Model:
     """What tasks need of the scored graph."""
 
-    def __init__(self, patterns, families, given, en_patterns, en_given, en_family, refused, left=(), right=(), sure=(), common=(), en_left=(), en_right=(), en_sure=()):
+    def __init__(self, patterns, families, given, en_patterns, en_given, en_family, refused, left=(), right=(), sure=(), common=(), en_left=(), en_right=(), en_sure=(), forms=(), typed=()):
         self.patterns = {(b, a): s for b, a, s in patterns}
         self.families = frozenset(families)
         self.given = frozenset(given)
@@ -328,6 +420,7 @@ class Model:
         self.refused = frozenset(refused)
         self.left, self.right, self.sure, self.common = dict(left), dict(right), frozenset(sure), frozenset(common)
         self.en_left, self.en_right, self.en_sure = dict(en_left), dict(en_right), frozenset(en_sure)
+        self.forms, self.typed = frozenset(forms), frozenset(typed)  # admitted (kind, form), and keys of contexts and endings
         # Each name begins with one of these.
         self.starts = re.compile("[" + "".join(sorted(FAMILIES_1 | self.families | {f[0] for f in FAMILIES_2})) + "]")
         self.read: dict[str, list[tuple[int, int]]] = {}
@@ -345,7 +438,9 @@ class Model:
 
     def lookups(self, t: str) -> set[tuple[str, str]]:
         """(part, key) of all that ``find`` may ask the model about a normalised text."""
-        out = {("refused", _context(t, a)) for _, a, _, _ in numbers(t)}
+        out = set()
+        for kind, a, b, _, _, weak, ending in candidates(t):
+            out |= {("typed", k) for k in _typed_keys(kind, t, a, b)} | ({("refused", _context(t, a))} if weak else set()) | ({("typed", f"{kind}|end|{ending}")} if ending else set())
         for s in {s for s, _, _ in clauses(t)} if self.starts.search(t) else ():
             for before, x, after in splits(s):
                 if is_full_name(x, self.families):
@@ -447,32 +542,21 @@ class Model:
             if not any(x < b and a < y for _, x, y in got):
                 got.append((kind, a, b))
 
-        low = t.lower()
-        if "@" in t or "dot" in low or _AT_LOOK.search(t):
-            for p in _EMAILS:
-                for m in p.finditer(t):
-                    put("email", m.start(), m.end())
-        if _SEVEN_DIGITS.search(t):
-            for kind, a, b, strong in numbers(t):
-                if strong or _context(t, a) not in self.refused:
-                    put(kind, a, b)
-        # The first number and any street word after it, each looked for once: a text takes linear time.
-        house = _HOUSE_LOOK.search(t)
-        if house and _STREET_LOOK.search(t, house.end()):
-            for p in _ADDRESSES[1:]:
-                for m in p.finditer(t):
-                    put("address", m.start(), m.end())
-        if not t.isascii():
-            for kind, a, b, _ in zh_phones(t):
+        for kind, a, b, form, _, weak, ending in candidates(t):
+            if self.admits(kind, form, t, a, b, ending) and not (weak and _context(t, a) in self.refused):
                 put(kind, a, b)
-            if _STREET_HINT.search(t) and ("号" in t or "弄" in t):
-                for m in _ADDRESSES[0].finditer(t):
-                    lead = _LEAD_IN.match(m[0])
-                    put("address", m.start() + (lead.end() if lead else 0), m.end())
         for kind, a, b, _ in self.names(t):
             put(kind, a, b)
         return sorted(got, key=lambda x: x[1])
 
+    def admits(self, kind: str, form: str, t: str, a: int, b: int, ending: str) -> bool:
+        """Whether a candidate is a seed, or written or placed as believed instances of its kind are."""
+        if (kind, form) in SEED_FORMS:
+            return True
+        if form == "glued" and f"{kind}|end|{ending}" not in self.typed:
+            return False
+        return (kind, form) in self.forms or any(k in self.typed for k in _typed_keys(kind, t, a, b))
+
     def redact(self, text: str) -> tuple[str, list[str]]:
         t, at = normalize(text)
         found = self.find(t)
@@ -502,16 +586,40 @@ class SpreadModel:
         self.base, self.entries = base, entries
 
 
+def _typed_patterns(pairs: DataFrame, scratch: Scratch) -> tuple[list[tuple[str, str]], DataFrame, DataFrame]:
+    """Admitted forms, and keys of admitted contexts and endings and of refusing contexts (one column each)."""
+    said = pairs.groupBy("instance").agg(F.max("valid").alias("seed"))  # a seed anywhere holds; what can be no number is one nowhere
+    graph = scratch.keep(pairs.select(F.col("before").alias("pattern"), "instance").distinct().join(said, "instance"), "typed")
+    belief = graph.select("instance", "seed").distinct().withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(0.0))
+    for r in range(FORM_ROUNDS + 1):
+        scored = graph.join(belief.select("instance", "belief"), "instance").groupBy("pattern").agg(F.sum("belief").alias("mass"), F.count("*").alias("all"))
+        scored = scratch.keep(scored.withColumn("score", F.col("mass") / (F.col("all") + 0.5)), f"typed{r}")
+        if r < FORM_ROUNDS:
+            # What refuses has no say in what is believed: number patterns repeat the contexts of both kinds.
+            own = graph.where("pattern not like 'number|%'").join(scored.select("pattern", "score"), "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.95)))))).alias("own"))
+            belief = scratch.keep(own.select("instance", F.when(F.col("seed"), 1.0).when(~F.col("seed"), 0.0).otherwise(F.col("own")).alias("belief")), f"said{r}")
+    kept = scored.where(f"pattern not like 'number|%' and score >= case when pattern like '%|form|%' then {FORM_SCORE} else {ADMIT_SCORE} end and all >= 2")
+    forms = [tuple(r["pattern"].split("|form|")) for r in kept.where("pattern like '%|form|%'").collect()]  # at most those of FORMS
+    refused = scored.where(f"pattern like 'number|l|%' and all >= 2 and mass < {CONTEXT_SCORE} * all").select(F.substring_index("pattern", "|", -1).alias("key"))
+    return forms, kept.where("pattern not like '%|form|%'").select("pattern"), refused
+
+
 def learn(texts: DataFrame, most_rows: int | None = None) -> Model | SpreadModel:
     """Score the graph of patterns and instances of a one-column text table, and keep all that is believed."""
+    base, entries = learned(texts)
+    if entries.count() > (MODEL_ROWS if most_rows is None else most_rows):
+        return SpreadModel(base, entries)
+    return base.hold(entries.collect())  # at most MODEL_ROWS rows
+
+
+def learned(texts: DataFrame) -> tuple[Model, DataFrame]:
+    """The bounded part of the model, and all that grows with the corpus as (part, key, score)."""
     scratch = Scratch(texts.sparkSession, "pii")
     pairs = spread(texts).mapInArrow(_collect_pairs(), "kind string, before string, after string, instance string, valid boolean, n bigint")
     pairs = pairs.groupBy("kind", "before", "after", "instance").agg(F.max("valid").alias("valid"), F.sum("n").alias("n"))
     pairs = scratch.keep(pairs, "pairs")
 
-    numeric = pairs.where("kind = 'number'").groupBy("before").agg(F.count("*").alias("all"), F.count_if("valid").alias("good"))
-    # Digits alone prove little: a context counts as refusing once it mostly holds other numbers.
-    refused = numeric.where(f"before <> '' and all >= 2 and good < {CONTEXT_SCORE} * all")
+    forms, typed, refused = _typed_patterns(pairs.where("kind = 'typed'"), scratch)
 
     seeds = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b, a in SEED_PATTERNS])
     names = pairs.where("kind in ('zh', 'en')")
@@ -570,7 +678,7 @@ def learn(texts: DataFrame, most_rows: int | None = None) -> Model | SpreadModel
         return words.groupBy(c).agg(F.count("*").alias("m")).where("m >= 2")
 
     parts = {
-        "patterns": good.where("kind = 'zh'").select(F.concat_ws("\x1f", "before", "after"), "score"), "given": given.select("g"), "refused": refused.select("before"), "left": left, "right": right,
+        "patterns": good.where("kind = 'zh'").select(F.concat_ws("\x1f", "before", "after"), "score"), "given": given.select("g"), "refused": refused, "typed": typed, "left": left, "right": right,
         "sure": sure.select("instance"), "common": common, "en_given": shared("g").select("g"), "en_family": shared("f").select("f"), "en_left": induced("before"), "en_right": induced("after"), "en_sure": en_sure.select("instance"),
     }
     entries = None
@@ -579,10 +687,8 @@ def learn(texts: DataFrame, most_rows: int | None = None) -> Model | SpreadModel
         entries = rows if entries is None else entries.unionByName(rows)
     entries = scratch.keep(entries, "entries")
     # Family names are single characters, of which there are few.
-    base = Model([], [r["c"] for r in families.collect()], [], [(r["before"], r["score"]) for r in en], [], [], [])
-    if entries.count() > (MODEL_ROWS if most_rows is None else most_rows):
-        return SpreadModel(base, entries)
-    return base.hold(entries.collect())  # at most MODEL_ROWS rows
+    base = Model([], [r["c"] for r in families.collect()], [], [(r["before"], r["score"]) for r in en], [], [], [], forms=forms)
+    return base, entries
 
 
 def _with_entries(texts: DataFrame, model: Model | SpreadModel) -> tuple[DataFrame, Model]:

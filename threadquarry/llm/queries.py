@@ -105,6 +105,13 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(texts, pii.learn(texts.select("text"))).select("field", "row_key", "redacted", F.array_join("kinds", ",").alias("kinds"))
 
 
+def p2_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """What the graph of patterns and instances believes in: contexts, endings and parts of names with their scores, and forms."""
+    base, entries = pii.learned(_texts(spark, d).select("text"))
+    forms = spark.createDataFrame([("forms", f"{k}|{f}", 1.0) for k, f in sorted(base.forms)], "part string, key string, score double")
+    return entries.select("part", F.regexp_replace("key", "\x1f", " _ ").alias("key"), "score").unionByName(forms)
+
+
 # ---------------------------------------------------------------- problem 4: packing
 
 
@@ -313,7 +320,7 @@ def p10_sketches(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_redacted": p2_redacted,
+    "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_patterns": p2_patterns,
     "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_sketches": p10_sketches,
     "p1_found": p1_found, "p1_groups": p1_groups, "p1_video_split": p1_video_split, "p1_record_split": p1_record_split, "p1_shares": p1_shares,
     "p4_found": p4_found, "p4_calls": p4_calls, "p4_fill": p4_fill,
