@@ -105,16 +105,29 @@ def test_rake():
     assert np.allclose(a @ mass, [0.3, 0.7], atol=1e-3) and np.allclose(b @ mass, [0.5, 0.5], atol=1e-3)
 
 
-def test_choose_terminates_and_meets_needs():
+def test_settle_meets_needs():
     rnd = random.Random(3)
     names = ["top", "recent", "replies", "long_tail"]
-    for _ in range(200):
-        pool = [set(rnd.sample(names, rnd.choice([0, 1, 1, 1, 2, 4]))) for _ in range(rnd.randrange(0, 60))]
-        target = rnd.randrange(0, 30)
+    for _ in range(300):
+        strata = [set(x) for x in {tuple(sorted(rnd.sample(names, rnd.choice([0, 1, 1, 1, 2, 4])))) for _ in range(8)}]
+        buckets = [[(b, rnd.randrange(1, 5)) for b in sorted(rnd.sample(range(40), rnd.randrange(1, 9)))] for _ in strata]
+        size = [sum(n for _, n in x) for x in buckets]
+        target = rnd.randrange(0, 60)
         shares = dict(zip(names, (0.4, 0.3, 0.2, 0.1)))
         minimum = {s: rnd.choice([0, 0, 3, 9]) for s in names}
-        got = stratified.choose(pool, target, shares, minimum)
-        assert len(got) == len(set(got)) == min(target, len(pool)) if target else not got
+        k = stratified.settle(strata, buckets, target, shares, minimum)
+        assert sum(k) == min(target, sum(size)) and all(0 <= x <= n for x, n in zip(k, size))
+        for s in names:  # a minimum is missed only where all of its records are in, or none outside it can go
+            have = {x: sum(n for n, y in zip(k, strata) if x in y) for x in names}
+            if have[s] < min(minimum[s], target):
+                free = [i for i, x in enumerate(strata) if s in x and k[i] < size[i]]
+                gives = [i for i, x in enumerate(strata) if k[i] and s not in x and all(have[y] > minimum[y] for y in x)]
+                assert not free or not gives
+
+
+def test_least_keys_win():
+    # Without needs the least keys win, and of the last bucket cells give in proportion.
+    assert stratified.settle([{"a"}, {"b"}], [[(1, 3), (5, 10)], [(2, 1), (5, 20)]], 10, {"a": 0.0, "b": 0.0}, {}) == [5, 5]
 
 
 def test_sample(spark):

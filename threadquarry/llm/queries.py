@@ -216,10 +216,10 @@ def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Strata of which the video has fewer comments than asked, from the sample's report, under the targets' own spelling."""
+    """Strata that the sample left short because the video has fewer comments of them than asked, under the targets' own spelling."""
     _, report = _sample(spark, d)
     own = table(spark, d, "sampling_targets").where("request_id is not null").select("request_id", "source_stratum", stratified.stratum_name(F.col("source_stratum")).alias("s")).distinct()
-    gaps = report.where(F.col("available") < F.col("needed")).select("request_id", F.col("source_stratum").alias("s"))
+    gaps = report.where((F.col("chosen") < F.col("needed")) & (F.col("available") < F.col("needed"))).select("request_id", F.col("source_stratum").alias("s"))
     return own.join(gaps, ["request_id", "s"]).select("request_id", "source_stratum")
 
 
