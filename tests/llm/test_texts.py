@@ -50,6 +50,23 @@ def test_copy_pairs(spark, bucket_rows):
     assert copies.copy_pairs(df.limit(0), ["scope"], "seq", "text").count() == 0
 
 
+def test_shared_beginnings_cost_one_round(spark, monkeypatch):
+    """Long common beginnings, one content of most rows, and contents that begin another, in buckets of at most eight rows."""
+    rnd = random.Random(5)
+    texts = ["x" * 300 + w for w in ("", "a", "ab", "abc", "b" * 90, *(str(i) for i in range(60)))] + ["买过" * 40 + str(i % 50) for i in range(200)]
+    rows = [("v", i, rnd.choice(texts)) for i in range(900)] + [("w", 1000 + i, "x" * 300) for i in range(400)]
+    df = spark.createDataFrame(rows, "scope string, seq bigint, text string").repartition(64)
+    rounds = []
+    keep = copies.Scratch.keep
+    monkeypatch.setattr(copies.Scratch, "keep", lambda self, d, name, *a: (rounds.append(name), keep(self, d, name, *a))[1])
+    got = {(r["first_key"], r["copies"]) for r in copies.copy_groups(df, ["scope"], "seq", "text", bucket_rows=8).collect()}
+    groups = {}
+    for v, i, t in rows:
+        groups.setdefault((v, copies.text_bytes(t)), []).append(i)
+    assert got == {(min(g), len(g)) for g in groups.values()}
+    assert rounds.count("split") <= 4
+
+
 TOKENIZERS = pytest.mark.skipif(not os.path.isdir(tokens.TOKENIZERS), reason="no vocabularies")
 
 

@@ -1,8 +1,10 @@
 """Copies hidden by formatting differences.
 
-Records become canonical bytes. Each partition first collapses its own copies, so a group of any size sends one row per
-partition. Buckets are leading bytes; a bucket that holds too many rows is split by its next bytes, again and again, until
-each fits, and one task per bucket counts its contents in a byte trie whose terminals carry count and first key.
+Records become canonical bytes, once. Each partition first collapses its own copies, so a group of any size sends one row per
+partition. Buckets are leading bytes; a bucket that holds too many rows is split by further bytes, again and again, until
+each fits, and one task per bucket counts its contents in a byte trie whose terminals carry count and first key. A split
+skips the bytes that all of its bucket share, so long common beginnings cost one round, and only rows of buckets that are
+still too large take part in it.
 """
 
 from __future__ import annotations
@@ -12,16 +14,17 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadquarry.runtime import BROADCAST_BYTES, Scratch, spread
 
-#: Collapsed rows and bytes that one bucket may hold, bytes a split looks further, and bytes of the first split.
+#: Collapsed rows and bytes that one bucket may hold, bytes a split looks beyond what its bucket shares, and bytes of the
+#: first split.
 BUCKET_ROWS = 40_000
 BUCKET_BYTES = 64 << 20
-STRIDE = 3
-FIRST = 1
+STRIDE = 4
+FIRST = 4
 #: Distinct contents, and their bytes, that a task collapses before it passes them on.
 COLLAPSE_ROWS = 50_000
 COLLAPSE_BYTES = 64 << 20
@@ -147,35 +150,23 @@ def _digest(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
-def _canonical_rows(to_bytes: Callable[[str | None], bytes | None]):
-    """Batches of (scope, key, body) to (digest, key): what pairs are found by, without the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, digests = [], []
-            for scope, key, body in zip(*[b.column(i).to_pylist() for i in range(3)]):
-                data = to_bytes(body)
-                if data is not None and key is not None:
-                    keys.append(key)
-                    digests.append(_digest(data + b"\x00" + scope.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keys, pa.int64())], ["digest", "key"])
-
-    return run
-
-
 def _collapsed_rows(to_bytes: Callable[[str | None], bytes | None]):
-    """Batches of (scope, key, body) to one (data, digest, n, first) per content and stretch of the partition."""
+    """Batches of (scope, key, body) to a row (null, digest, 0, key) for each record, and one (data, digest, n, first) per
+    content and stretch of the partition."""
 
-    def flush(seen: dict) -> pa.RecordBatch:
+    def flush(seen: dict, keys: list, digests: list) -> pa.RecordBatch:
+        none = len(keys)
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.binary()), pa.array([_digest(x) for x in seen], pa.binary()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())],
+            [pa.array([None] * none + list(seen), pa.binary()), pa.array(digests + [v[2] for v in seen.values()], pa.binary()), pa.array([0] * none + [v[0] for v in seen.values()], pa.int64()),
+             pa.array(keys + [v[1] for v in seen.values()], pa.int64())],
             ["data", "digest", "n", "first"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
+        seen: dict[bytes, list] = {}
         held = 0
         for b in batches:
+            keys, digests = [], []
             for scope, key, body in zip(*[b.column(i).to_pylist() for i in range(3)]):
                 data = to_bytes(body)
                 if data is None or key is None:
@@ -183,52 +174,102 @@ def _collapsed_rows(to_bytes: Callable[[str | None], bytes | None]):
                 data = data + b"\x00" + scope.encode("utf-8", "surrogatepass")
                 v = seen.get(data)
                 if v is None:
-                    seen[data] = [1, key]
+                    v = seen[data] = [1, key, _digest(data)]
                     held += len(data)
                 else:
                     v[0] += 1
                     if key < v[1]:
                         v[1] = key
+                keys.append(key)
+                digests.append(v[2])
                 if held >= COLLAPSE_BYTES:
-                    yield flush(seen)
-                    seen, held = {}, 0
-            if len(seen) >= COLLAPSE_ROWS:
-                yield flush(seen)
+                    yield flush(seen, keys, digests)
+                    seen, held, keys, digests = {}, 0, [], []
+            full = len(seen) >= COLLAPSE_ROWS
+            yield flush(seen if full else {}, keys, digests)
+            if full:
                 seen, held = {}, 0
-        yield flush(seen)
+        yield flush(seen, [], [])
 
     return run
 
 
-def _count_bucket(key, table):
-    trie = Trie()
-    skip = int(key[1].as_py()) if len(key) > 1 else 0
-    for data, digest, n, first in zip(*[table.column(c).to_pylist() for c in ("data", "digest", "n", "first")]):
-        trie.add(data[skip:], first, n, digest)
-    rows = list(trie.terminals())
-    return pa.table({"digest": pa.array([r[0] for r in rows], pa.binary()), "copies": pa.array([r[1] for r in rows], pa.int64()), "first_key": pa.array([r[2] for r in rows], pa.int64())})
+def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (prefix, width, data, digest, n, first), sorted by bucket, to (digest, copies, first_key): one trie at a time."""
+    trie, at, rows = Trie(), None, []
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["digest", "copies", "first_key"])
+
+    for b in batches:
+        for prefix, width, data, digest, n, first in zip(*[b.column(c).to_pylist() for c in ("prefix", "width", "data", "digest", "n", "first")]):
+            if (prefix, width) != at:
+                rows.extend(trie.terminals())
+                trie, at = Trie(), (prefix, width)
+            trie.add(data[width:], first, n, digest)
+        if len(rows) >= COLLAPSE_ROWS:
+            yield flush()
+            rows = []
+    rows.extend(trie.terminals())
+    yield flush()
 
 
 def radix_buckets(rows: DataFrame, scratch: Scratch, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``rows`` plus ``prefix`` (the bucket's leading bytes) and ``width``; no bucket holds more than ``bucket_rows`` rows
-    or BUCKET_BYTES bytes unless they are one content. Only rows of oversized buckets are counted by further bytes."""
-    lead = lambda w: F.substring(F.col("data"), 1, w)
-    width = FIRST
-    todo = rows
-    oversized = []
+    """``rows`` plus ``width``, the leading bytes that name the row's bucket; no bucket holds more than ``bucket_rows`` rows or
+    BUCKET_BYTES bytes unless they are one content.
+
+    ``todo`` are the rows of oversized buckets alone; what they settle into never comes back.
+    """
+    lead = F.expr("substring(data, 1, width)")
+    todo, settled = rows.withColumn("width", F.lit(FIRST)), None
     while True:
-        sized = todo.groupBy(lead(width).alias("prefix")).agg(F.count("*").alias("rows"), F.max(F.length("data")).alias("longest"), F.sum(F.length("data")).alias("bytes"))
-        big = scratch.keep(sized.where(((F.col("rows") > bucket_rows) | (F.col("bytes") > BUCKET_BYTES)) & (F.col("rows") > 1) & (F.col("longest") > width)).select("prefix"), f"big{width}")
-        n = big.count()  # at most rows / bucket_rows
+        named = todo.withColumn("prefix", lead)
+        sized = named.groupBy("prefix", "width").agg(F.count("*").alias("rows"), F.sum(F.length("data")).alias("bytes"))
+        big = scratch.keep(sized.where(((F.col("rows") > bucket_rows) | (F.col("bytes") > BUCKET_BYTES)) & (F.col("rows") > 1)).select("prefix", "width"), "big")
+        n, longest = big.agg(F.count("*"), F.max("width")).first()  # at most rows / bucket_rows buckets
         if not n:
-            break
-        oversized.append((width, F.broadcast(big) if n * (width + 64) <= BROADCAST_BYTES else big))
-        todo = rows.withColumn("prefix", lead(width)).join(oversized[-1][1], "prefix", "left_semi").select(*rows.columns)
-        width += STRIDE
-    out = rows.withColumn("width", F.lit(FIRST))
-    for w, big in oversized:
-        out = out.join(big.select(F.col("prefix").alias("_p")), lead(w) == F.col("_p"), "left").withColumn("width", F.when(F.col("_p").isNotNull(), F.lit(w + STRIDE)).otherwise(F.col("width"))).drop("_p")
-    return out.withColumn("prefix", F.expr("substring(data, 1, width)"))
+            return todo if settled is None else settled.unionByName(todo)
+        small = F.broadcast if n * (longest + 64) <= BROADCAST_BYTES else lambda x: x
+        inside = named.join(small(big), ["prefix", "width"])
+        # What a bucket's least and greatest contents share, all of it shares: the next split starts behind that.
+        ends = inside.groupBy("prefix", "width").agg(F.min("data").alias("lo"), F.max("data").alias("hi"))
+        ends = scratch.keep(ends.select("prefix", "width", _shared(F.col("lo"), F.col("hi")).alias("shared"), (F.col("lo") == F.col("hi")).alias("one")), "ends")
+        done = named.join(small(big), ["prefix", "width"], "left_anti").unionByName(named.join(small(ends.where("one")), ["prefix", "width"], "left_semi").select(*named.columns))
+        done = done.select(*todo.columns)
+        split = named.join(small(ends.where("not one").withColumnRenamed("shared", "_s")), ["prefix", "width"]).select(*rows.columns, F.greatest(F.col("_s") + STRIDE, F.col("width") + 1).alias("width"))
+        done = scratch.keep(done, "settled")
+        settled = done if settled is None else settled.unionByName(done)
+        todo = scratch.keep(split, "split")
+
+
+def _shared(lo: Column, hi: Column) -> Column:
+    """How many leading bytes two binaries share."""
+    # Differing hex digits in pairs: the first one's byte. Bytes beyond the shorter one differ.
+    a, b = F.hex(lo), F.hex(hi)
+    size = F.least(F.length(lo), F.length(hi))
+    bits = F.aggregate(
+        F.sequence(F.lit(0), F.lit(31)), F.struct(F.lit(0).alias("lo"), size.cast("int").alias("hi")),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(_halved(s, a, b)))
+    return bits["lo"]
+
+
+def _halved(s: Column, a: Column, b: Column) -> Column:
+    """One step of a binary search for the longest shared beginning."""
+    mid = ((s["lo"] + s["hi"] + 1) / 2).cast("int")
+    same = a.substr(F.lit(1), mid * 2) == b.substr(F.lit(1), mid * 2)
+    return F.struct(F.when(same, mid).otherwise(s["lo"]).alias("lo"), F.when(same, s["hi"]).otherwise(mid - 1).alias("hi"))
+
+
+def _contents(df: DataFrame, scope: list[str], key: str, body: str, to_bytes, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(digest, copies, first_key) per content, and (digest, key) per record, from one reading of the texts."""
+    scratch = Scratch(df.sparkSession, "copies")
+    rows = spread(_scoped(df, scope, key, body)).mapInArrow(_collapsed_rows(to_bytes), "data binary, digest binary, n bigint, first bigint")
+    rows = scratch.keep(rows, "rows")
+    buckets = radix_buckets(rows.where("n > 0"), scratch, bucket_rows)
+    buckets = buckets.withColumn("prefix", F.expr("substring(data, 1, width)")).repartition("prefix", "width").sortWithinPartitions("prefix", "width")
+    groups = buckets.mapInArrow(_count_buckets, "digest binary, copies bigint, first_key bigint")
+    return scratch.keep(groups, "groups"), rows.where("n = 0").select("digest", F.col("first").alias("key"))
 
 
 def copy_groups(df: DataFrame, scope: list[str], key: str, body: str, to_bytes: Callable[[str | None], bytes | None] = text_bytes, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -237,11 +278,7 @@ def copy_groups(df: DataFrame, scope: list[str], key: str, body: str, to_bytes:
     ``digest`` is 128 bits of scope and canonical bytes; contents are told apart by all their bytes, in the tries. Records
     whose canonical form is null, and rows without key, belong to no group; null scope values form a scope of their own.
     """
-    scratch = Scratch(df.sparkSession, "copies")
-    collapsed = spread(_scoped(df, scope, key, body)).mapInArrow(_collapsed_rows(to_bytes), "data binary, digest binary, n bigint, first bigint")
-    collapsed = scratch.keep(collapsed, "collapsed")
-    buckets = radix_buckets(collapsed, scratch, bucket_rows)
-    return scratch.keep(buckets.groupBy("prefix", "width").applyInArrow(_count_bucket, "digest binary, copies bigint, first_key bigint"), "groups")
+    return _contents(df, scope, key, body, to_bytes, bucket_rows)[0]
 
 
 def _scoped(df: DataFrame, scope: list[str], key: str, body: str) -> DataFrame:
@@ -251,6 +288,5 @@ def _scoped(df: DataFrame, scope: list[str], key: str, body: str) -> DataFrame:
 
 def copy_pairs(df: DataFrame, scope: list[str], key: str, body: str, to_bytes: Callable[[str | None], bytes | None] = text_bytes, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(first_key, copy_key) for each row that repeats another of its scope; linear in rows, never all pairs of a group."""
-    groups = copy_groups(df, scope, key, body, to_bytes, bucket_rows).where("copies > 1").select("digest", "first_key")
-    rows = spread(_scoped(df, scope, key, body)).mapInArrow(_canonical_rows(to_bytes), "digest binary, key bigint")
-    return rows.join(groups, "digest").where("key <> first_key").select("first_key", F.col("key").alias("copy_key"))
+    groups, rows = _contents(df, scope, key, body, to_bytes, bucket_rows)
+    return rows.join(groups.where("copies > 1").select("digest", "first_key"), "digest").where("key <> first_key").select("first_key", F.col("key").alias("copy_key"))
