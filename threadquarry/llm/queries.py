@@ -220,7 +220,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = _sample(spark, d)
     own = table(spark, d, "sampling_targets").where("request_id is not null").select("request_id", "source_stratum", stratified.stratum_name(F.col("source_stratum")).alias("s")).distinct()
     gaps = report.where((F.col("chosen") < F.col("needed")) & (F.col("available") < F.col("needed"))).select("request_id", F.col("source_stratum").alias("s"))
-    return own.join(gaps, ["request_id", "s"]).select("request_id", "source_stratum")
+    return own.join(gaps.hint("merge"), ["request_id", "s"]).select("request_id", "source_stratum")
 
 
 def p6_sample(spark: SparkSession, d: str) -> DataFrame:

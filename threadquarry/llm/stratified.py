@@ -238,6 +238,11 @@ def requests_of(targets: DataFrame, scope: list[str]) -> DataFrame:
     ).select("request_id", *scope, "target", F.col("x.s").alias("t_names"), F.col("x.p").alias("t_shares"), F.col("x.m").alias("t_mins"))
 
 
+def _grows(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with requests or records: merged, never broadcast."""
+    return df.hint("merge")
+
+
 def stratified_sample(records: DataFrame, requests: DataFrame, scope: list[str], record: str, side: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Draw each request's sample.
 
@@ -249,35 +254,35 @@ def stratified_sample(records: DataFrame, requests: DataFrame, scope: list[str],
     spark = records.sparkSession
     scratch = Scratch(spark, "stratified")
     requests = scratch.keep(requests, "requests")
-    wanted = records.join(requests.select(*scope).distinct(), scope, "left_semi").where(F.col(record).isNotNull())
+    wanted = records.join(_grows(requests.select(*scope).distinct()), scope, "left_semi").where(F.col(record).isNotNull())
     pool = wanted.groupBy(*scope, F.col(record).alias("record")).agg(
         F.array_sort(F.collect_set("stratum")).alias("strata"), F.max(F.col(side).cast("string")).alias("side"))
     pool = scratch.keep(pool.withColumn("side", F.coalesce("side", F.lit("?"))), "pool")
     cells = pool.groupBy(*scope, "strata", "side").agg(F.count("*").alias("n"))
-    raked = cells.join(requests, scope).select("request_id", "strata", "side", "n", "t_names", "t_shares").repartition("request_id").sortWithinPartitions("request_id", "strata", "side")
+    raked = cells.join(_grows(requests), scope).select("request_id", "strata", "side", "n", "t_names", "t_shares").repartition("request_id").sortWithinPartitions("request_id", "strata", "side")
     raked = scratch.keep(raked.mapInArrow(_rake_sorted, "request_id string, cell int, strata array<string>, side string, weight double"), "raked")
     unit = (F.pmod(F.xxhash64("request_id", "record", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     keyed = (
-        pool.join(requests.select("request_id", *scope), scope).join(raked, ["request_id", "strata", "side"])
+        pool.join(_grows(requests.select("request_id", *scope)), scope).join(_grows(raked), ["request_id", "strata", "side"])
         .select("request_id", "record", "cell", (-F.log(unit) / F.col("weight")).alias("key"))
         .withColumn("bucket", F.floor(F.log2("key") * BUCKETS).cast("int"))
     )
     keyed = scratch.keep(keyed, "keyed")
     counted = keyed.groupBy("request_id", "cell", "bucket").agg(F.count("*").alias("n"))
-    counted = counted.join(raked.select("request_id", "cell", "strata"), ["request_id", "cell"]).join(requests.drop(*scope), "request_id")
+    counted = counted.join(_grows(raked.select("request_id", "cell", "strata")), ["request_id", "cell"]).join(_grows(requests.drop(*scope)), "request_id")
     counted = counted.repartition("request_id").sortWithinPartitions("request_id", "cell", "bucket")
     ends = scratch.keep(counted.mapInArrow(_settle_sorted, "request_id string, cell int, last int, rest bigint"), "ends")
-    reached = keyed.join(ends, ["request_id", "cell"]).where("bucket <= last")
+    reached = keyed.join(_grows(ends), ["request_id", "cell"]).where("bucket <= last")
     rank = F.row_number().over(W.partitionBy("request_id", "cell").orderBy("key", "record"))
     won = reached.where("bucket < last").select("request_id", "cell", "record").unionByName(
         reached.where("bucket = last").withColumn("k", rank).where("k <= rest").select("request_id", "cell", "record"))
-    chosen = scratch.keep(won.join(raked.select("request_id", "cell", "strata", "weight"), ["request_id", "cell"]).select("request_id", "record", "strata", "weight"), "chosen")
+    chosen = scratch.keep(won.join(_grows(raked.select("request_id", "cell", "strata", "weight")), ["request_id", "cell"]).select("request_id", "record", "strata", "weight"), "chosen")
     have = chosen.select("request_id", F.explode("strata").alias("s")).groupBy("request_id", "s").agg(F.count("*").alias("chosen"))
     there = pool.select(*scope, F.explode("strata").alias("s")).groupBy(*scope, "s").agg(F.count("*").alias("available"))
     lines = requests.select("request_id", *scope, "target", F.explode(F.arrays_zip("t_names", "t_shares", "t_mins")).alias("t")).select(
         "request_id", *scope, F.col("t.t_names").alias("s"), F.col("target"), F.col("t.t_shares").alias("target_share"), F.col("t.t_mins").alias("min_count"))
     report = (
-        lines.join(there, [*scope, "s"], "left").join(have, ["request_id", "s"], "left")
+        lines.join(_grows(there), [*scope, "s"], "left").join(_grows(have), ["request_id", "s"], "left")
         .select(
             "request_id", *scope, F.col("s").alias("source_stratum"), "target_share", "min_count",
             F.greatest(F.col("min_count").cast("double"), F.col("target") * F.col("target_share")).alias("needed"),
