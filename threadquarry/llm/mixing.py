@@ -87,17 +87,29 @@ def _fly(seed: int, last: bool):
 
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per mix and source: available tokens, wanted tokens (share of all tokens), the repeats that gives and whether the cap
-    binds. ``sizes`` is (source, tokens, docs) per source with canonical names. Sources without documents have 0 tokens;
-    repeated rows of a mix and source: the largest figures hold; null mixes and sources are left out."""
+    """Per mix and source: available tokens, wanted tokens (share of all tokens), whether even the cap falls ``short`` of them, the
+    ``goal`` in tokens and the average repeats that gives.
+
+    Where sources are short, a mix of all tokens' size would give the others more than their shares of what is there. The mix
+    then has the largest size at which short sources are used up to their caps and all others meet their shares: what the
+    short ones have, over the share that is theirs. A source without tokens leaves its share to all others alike.
+    ``exact_tokens`` is the largest size at which every share could be met. ``sizes`` is (source, tokens, docs) per source with
+    canonical names. Sources without documents have 0 tokens; repeated rows of a mix and source: the largest figures hold; null
+    mixes and sources are left out."""
     t = targets.withColumn("source", source_name(F.col("source"))).where("mix_id is not null and source is not null")
     t = t.groupBy("mix_id", "source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"))
     all_tokens = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
     out = t.join(sizes, "source", "left").crossJoin(F.broadcast(all_tokens))  # one row
     out = out.select("mix_id", "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), "all_tokens")
     wanted = F.col("target_share") * F.col("all_tokens")
-    return out.withColumn("wanted", wanted).withColumn("short", F.col("tokens") * F.col("max_repeats") < F.col("wanted")).withColumn(
-        "repeats", F.when(F.col("tokens") > 0, F.least(F.col("wanted") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0))
+    out = out.withColumn("wanted", wanted).withColumn("cap", F.col("tokens") * F.col("max_repeats")).withColumn("short", F.col("cap") < F.col("wanted"))
+    bound = F.col("short") & (F.col("cap") > 0)
+    exact = F.min(F.when(F.col("target_share") > 0, F.least(F.col("all_tokens").cast("double"), F.col("cap") / F.col("target_share"))))
+    per_mix = out.groupBy("mix_id").agg(
+        exact.alias("exact_tokens"), (F.sum(F.when(bound, F.col("cap"))) / F.sum(F.when(bound, F.col("target_share")))).alias("_size"))
+    out = out.join(per_mix, "mix_id")
+    goal = F.least(F.when(bound, F.col("cap")).otherwise(F.col("target_share") * F.coalesce("_size", "all_tokens")), F.col("cap"))
+    return out.withColumn("goal", goal.cast("double")).withColumn("repeats", F.when(F.col("tokens") > 0, F.col("goal") / F.col("tokens")).otherwise(0.0)).drop("_size", "cap")
 
 
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -141,9 +153,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame,
     report = (
         planned.join(actual, ["mix_id", "source"], "left").join(totals, "mix_id", "left")
         .select(
-            "mix_id", "source", "target_share", "max_repeats", F.col("tokens").cast("bigint").alias("available_tokens"), "wanted", "short", "repeats",
+            "mix_id", "source", "target_share", "max_repeats", F.col("tokens").cast("bigint").alias("available_tokens"), "wanted", "short", "goal", "repeats", "exact_tokens",
             F.coalesce("actual_tokens", F.lit(0)).cast("bigint").alias("actual_tokens"), F.coalesce("actual_documents", F.lit(0)).cast("bigint").alias("actual_documents"),
             F.coalesce(F.col("actual_tokens") / F.col("mix_tokens"), F.lit(0.0)).alias("actual_share"),
-        )
+        ).withColumn("share_error", F.col("actual_share") - F.col("target_share"))
     )
     return chosen, report

@@ -30,18 +30,6 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return _video_groups(spark, d).select(F.col("id").alias("video_id"), F.col("component").alias("group_id"))
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Listed videos whose group earlier runs put into more than one split."""
-    s = table(spark, d, "dataset_splits")
-    listed = None
-    for name in splits.PROPORTIONS:
-        part = s.select(F.explode(name).alias("id"), F.lit(name).alias("split"))
-        listed = part if listed is None else listed.unionByName(part)
-    listed = listed.distinct().join(_video_groups(spark, d), "id")
-    torn = listed.groupBy("component").agg(F.count_distinct("split").alias("n")).where("n > 1").select("component")
-    return listed.join(torn, "component", "left_semi").select(F.col("id").alias("video_id")).distinct()
-
-
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "p1")
     groups = scratch.keep(_video_groups(spark, d), "groups")
@@ -50,6 +38,20 @@ def _assigned(spark: SparkSession, d: str) -> DataFrame:
     return groups.join(splits.balanced_splits(weighted).select("component", "split"), "component")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Listed videos whose group earlier runs put into more than one split: of the groups that the balanced splits would move
+    somewhere, those that no single listed split holds."""
+    s = table(spark, d, "dataset_splits")
+    listed = None
+    for name in splits.PROPORTIONS:
+        part = s.select(F.explode(name).alias("id"), F.lit(name).alias("listed"))
+        listed = part if listed is None else listed.unionByName(part)
+    listed = listed.distinct().join(_assigned(spark, d), "id")
+    torn = listed.where(F.col("listed") != F.col("split")).groupBy("component").agg(F.first("split").alias("_s"))
+    torn = listed.join(torn, "component", "left_semi").groupBy("component").agg(F.count_distinct("listed").alias("n")).where("n > 1").select("component")
+    return listed.join(torn, "component", "left_semi").select(F.col("id").alias("video_id")).distinct()
+
+
 def p1_video_split(spark: SparkSession, d: str) -> DataFrame:
     return _assigned(spark, d).select(F.col("id").alias("video_id"), F.col("component").alias("group_id"), "split")
 
@@ -65,6 +67,22 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return got.crossJoin(F.broadcast(total)).select("split", "records", "videos", (F.col("records") / F.col("total")).alias("share"))  # one row
 
 
+def p1_balance(spark: SparkSession, d: str) -> DataFrame:
+    """One row: videos, groups and records of known videos, groups in several splits, and whether each split has its share of
+    the weight to within a bin or, where a group is heavier than a bin, that group."""
+    placed = Scratch(spark, "p1").keep(_assigned(spark, d), "placed")
+    records = table(spark, d, "evaluation_records").groupBy(F.col("video_id").alias("id")).agg(F.count("*").alias("records"))
+    groups = placed.join(records, "id", "left").groupBy("component").agg(
+        F.count("*").alias("videos"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.count_distinct("split").alias("splits"), F.first("split").alias("split"))
+    groups = groups.withColumn("weight", F.col("videos") + F.col("records"))
+    total = groups.agg(F.sum("videos").alias("videos"), F.count("*").alias("groups"), F.sum("records").alias("records"), F.count_if(F.col("splits") > 1).alias("torn"), F.max("weight").alias("heaviest"), F.sum("weight").alias("weight"))
+    shares = groups.groupBy("split").agg(F.sum("weight").alias("w"))
+    shares = spark.createDataFrame([*splits.PROPORTIONS.items()], "split string, p double").join(shares, "split", "left")
+    far = shares.crossJoin(F.broadcast(total.select("weight", "heaviest"))).agg(  # one row
+        F.max(F.abs(F.coalesce("w", F.lit(0)) - F.col("p") * F.col("weight")) - F.greatest(F.col("heaviest"), 2 * F.col("weight") / splits.BINS)).alias("beyond"))
+    return total.crossJoin(F.broadcast(far)).select("videos", "groups", "records", "torn", (F.col("beyond") <= 0).alias("balanced"))  # one row
+
+
 _GROUPS = """
 WITH RECURSIVE listed AS (
   SELECT DISTINCT unnest(development) AS v, 'development' AS split FROM dataset_splits
@@ -153,6 +171,18 @@ def p4_fill(spark: SparkSession, d: str) -> DataFrame:
     return groups.join(filled, "grp").select(F.col("grp").alias("plan_id"), F.col("bins").alias("calls"), "lower_bound", (F.col("tokens") / (F.col("bins") * F.col("capacity"))).alias("fill"))
 
 
+def p4_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Per plan: items and tokens that its calls hold, and whether no call is over its room, no item in two calls unless it was
+    cut, and the calls no fewer than the bound and no more than best fit can need (twice the tokens' rooms, and one)."""
+    pieces, groups, _ = _calls(spark, d)
+    calls = pieces.groupBy("grp", "bin").agg(F.sum("size").alias("fill"), F.max("capacity").alias("capacity"))
+    items = pieces.groupBy("grp", "item").agg(F.sum("size").alias("size"), F.max("capacity").alias("capacity"), F.count_distinct("bin").alias("calls"))
+    fits = calls.groupBy("grp").agg(F.bool_and(F.col("fill") <= F.col("capacity")).alias("fits"))
+    held = items.groupBy("grp").agg(F.count("*").alias("items"), F.sum("size").alias("tokens"), F.bool_and(F.col("calls") == F.ceil(F.col("size") / F.col("capacity"))).alias("whole"))
+    few = (F.col("bins") >= F.col("lower_bound")) & (F.col("bins") <= 2 * F.ceil(F.col("tokens") / F.col("capacity")) + 1)
+    return groups.join(fits, "grp").join(held, "grp").select(F.col("grp").alias("plan_id"), "items", "tokens", (F.col("fits") & F.col("whole") & few).alias("sound"))
+
+
 # ---------------------------------------------------------------- problem 5: annotators
 
 LABEL_FIELDS = ["need_signal", "signal_kind", "noise_kind"]
@@ -183,6 +213,12 @@ def p5_consensus(spark: SparkSession, d: str) -> DataFrame:
     return agreed.select(*ITEM, F.col("field").alias("label_field"), "value", "share", "labels")
 
 
+def p5_unanimous(spark: SparkSession, d: str) -> DataFrame:
+    """Consensus values that got all of the vote."""
+    agreed, _ = annotators.consensus(_labels(spark, d), ITEM)
+    return agreed.where("share > 1 - 1e-9").select(*ITEM, F.col("field").alias("label_field"), "value", F.col("labels").cast("bigint").alias("labels"))
+
+
 def p5_reliability(spark: SparkSession, d: str) -> DataFrame:
     _, rel = _reliability(spark, d)
     return rel.select(F.col("annotator").alias("annotator_id"), F.col("field").alias("label_field"), "labels", "accuracy", "weight", "hits", "dealt", "z", "pairs", "observed", "expected", "kappa")
@@ -233,6 +269,13 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return report.withColumn("gap", F.greatest(F.col("needed") - F.col("chosen"), F.lit(0.0)))
 
 
+def p6_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Per request: records chosen, each once and of the request's own video."""
+    chosen, report = _sample(spark, d)
+    have = chosen.groupBy("request_id").agg(F.count("*").alias("n"), F.count_distinct("record").alias("distinct"))
+    return report.select("request_id").distinct().join(have, "request_id", "left").select("request_id", F.coalesce("n", F.lit(0)).alias("chosen"), F.coalesce("distinct", F.lit(0)).alias("distinct"))
+
+
 # ---------------------------------------------------------------- problem 7: copies
 
 
@@ -270,6 +313,11 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.join(docs, "doc_id").where(F.col("decoded") != F.coalesce("text", F.lit(""))).select("doc_id")
 
 
+def p8_empty(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without ids."""
+    return p8_ids(spark, d).where(F.size("ids") == 0).select("doc_id")
+
+
 # ---------------------------------------------------------------- problem 9: mixes
 
 
@@ -279,10 +327,21 @@ def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that even at their cap of repeats stay below their share, from the mix's report."""
+    """Sources that the mix left below their share although their documents were used as often as they may be."""
     _, report = _mixed(spark, d)
     own = table(spark, d, "mix_targets").select("mix_id", F.col("source").alias("asked"), mixing.source_name(F.col("source")).alias("source")).distinct()
-    return report.where("short").join(own, ["mix_id", "source"]).select("mix_id", F.col("asked").alias("source"))
+    return report.where((F.col("actual_tokens") < F.col("wanted")) & F.col("short")).join(own, ["mix_id", "source"]).select("mix_id", F.col("asked").alias("source"))
+
+
+def p9_caps(spark: SparkSession, d: str) -> DataFrame:
+    """Per mix and source: its cap, and whether its documents stay within it, its tokens within two documents of its goal,
+    and the mix's shares add up to 1."""
+    chosen, report = _mixed(spark, d)
+    used = chosen.groupBy("mix_id", "source").agg(F.max("repeats").alias("most"), F.max("tokens").alias("largest"))
+    sums = report.groupBy("mix_id").agg(F.sum("actual_share").alias("shares"))
+    near = F.abs(F.col("actual_tokens") - F.col("goal")) <= 2 * F.coalesce("largest", F.lit(0))
+    out = report.join(used, ["mix_id", "source"], "left").join(sums, "mix_id")
+    return out.select("mix_id", "source", F.col("max_repeats").cast("bigint").alias("max_repeats"), ((F.coalesce("most", F.lit(0)) <= F.col("max_repeats")) & near & (F.abs(F.col("shares") - 1) < 1e-9)).alias("sound"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -322,13 +381,13 @@ def p10_sketches(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_patterns": p2_patterns,
     "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_sketches": p10_sketches,
-    "p1_found": p1_found, "p1_groups": p1_groups, "p1_video_split": p1_video_split, "p1_record_split": p1_record_split, "p1_shares": p1_shares,
-    "p4_found": p4_found, "p4_calls": p4_calls, "p4_fill": p4_fill,
-    "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_reliability": p5_reliability, "p5_agreement": p5_agreement,
-    "p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p1_video_split": p1_video_split, "p1_record_split": p1_record_split, "p1_shares": p1_shares, "p1_balance": p1_balance,
+    "p4_found": p4_found, "p4_calls": p4_calls, "p4_fill": p4_fill, "p4_plans": p4_plans,
+    "p5_found": p5_found, "p5_consensus": p5_consensus, "p5_unanimous": p5_unanimous, "p5_reliability": p5_reliability, "p5_agreement": p5_agreement,
+    "p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report, "p6_sizes": p6_sizes,
     "p7_found": p7_found, "p7_representatives": p7_representatives, "p7_against_manifests": p7_against_manifests,
-    "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
-    "p9_found": p9_found, "p9_mix": p9_mix, "p9_report": p9_report,
+    "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p8_empty": p8_empty,
+    "p9_found": p9_found, "p9_mix": p9_mix, "p9_report": p9_report, "p9_caps": p9_caps,
 }
 
 _WIDE, _NARROW = ("".join(chr(c + d) for c in range(0x21, 0x7F)) for d in (0xFEE0, 0))
@@ -352,6 +411,25 @@ SELECT table_name, first_key, k AS copy_key FROM p WHERE k <> first_key""",
     "p1_found": _GROUPS + """SELECT DISTINCT l.v AS video_id FROM listed l JOIN groups g ON g.video_id = l.v WHERE g.group_id IN (
   SELECT g2.group_id FROM listed l2 JOIN groups g2 ON g2.video_id = l2.v GROUP BY 1 HAVING count(DISTINCT l2.split) > 1)""",
     "p1_groups": _GROUPS + "SELECT video_id, group_id FROM groups",
+    "p1_balance": _GROUPS + """SELECT (SELECT count(*) FROM groups) AS videos, (SELECT count(DISTINCT group_id) FROM groups) AS groups,
+  (SELECT count(*) FROM evaluation_records WHERE video_id IS NOT NULL) AS records, 0::BIGINT AS torn, true AS balanced""",
+    "p4_plans": """WITH p AS (SELECT plan_id, max(per_call_input_limit - coalesce(fixed_input_tokens, 0)) AS room FROM batch_plans WHERE plan_id IS NOT NULL GROUP BY 1),
+i AS (SELECT plan_id, item_id, estimated_input_tokens AS t FROM batch_items WHERE plan_id IS NOT NULL AND item_id IS NOT NULL QUALIFY row_number() OVER (
+  PARTITION BY plan_id, item_id ORDER BY estimated_at DESC NULLS LAST, estimated_input_tokens DESC NULLS LAST) = 1)
+SELECT plan_id, count(*) AS items, sum(t)::BIGINT AS tokens, true AS sound FROM i JOIN p USING (plan_id) WHERE t > 0 AND room > 0 GROUP BY 1""",
+    "p5_unanimous": _HELD + """SELECT coalesce(video_id, '') AS video_id, comment_id, f AS label_field, min(v) AS value, count(*) AS labels FROM lab GROUP BY 1, 2, 3 HAVING count(DISTINCT v) = 1""",
+    "p6_sizes": """WITH r AS (SELECT request_id, platform, raw_video_id, greatest(coalesce(max(target_count), 0), 0) AS t FROM sampling_targets WHERE request_id IS NOT NULL AND source_stratum IS NOT NULL GROUP BY 1, 2, 3),
+n AS (SELECT platform, raw_video_id, count(DISTINCT raw_comment_id) AS n FROM raw_comments GROUP BY 1, 2)
+SELECT request_id, least(t, coalesce(n, 0))::BIGINT AS chosen, least(t, coalesce(n, 0))::BIGINT AS "distinct" FROM r LEFT JOIN n USING (platform, raw_video_id)""",
+    "p7_representatives": f"""WITH c AS (SELECT platform, raw_video_id, arrival_seq, text, {_canonical('text')} AS t FROM raw_comments WHERE text IS NOT NULL AND arrival_seq IS NOT NULL)
+SELECT platform, raw_video_id, min(arrival_seq) AS first_key, count(*) AS copies, arg_min(text, arrival_seq) AS text FROM c WHERE t <> '' GROUP BY platform, raw_video_id, t""",
+    "p7_against_manifests": f"""WITH c AS (SELECT platform, raw_video_id, {_canonical('text')} AS t FROM raw_comments WHERE text IS NOT NULL),
+n AS (SELECT platform, raw_video_id, count(*) - count(DISTINCT t) AS n FROM c WHERE t <> '' GROUP BY 1, 2)
+SELECT manifest_id, m.platform, m.video_id AS raw_video_id, exact_duplicate_count, normalized_duplicate_count, coalesce(n, 0)::BIGINT AS counted
+FROM sampling_manifests m LEFT JOIN n ON n.platform = m.platform AND n.raw_video_id = m.video_id""",
+    "p8_round_trip": "SELECT doc_id FROM documents WHERE false",
+    "p8_empty": "SELECT doc_id FROM documents WHERE text IS NULL OR text = ''",
+    "p9_caps": r"SELECT mix_id, regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') AS source, max(max_repeats)::BIGINT AS max_repeats, true AS sound FROM mix_targets WHERE mix_id IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2",
     "p4_found": """WITH p AS (SELECT plan_id, max(per_call_input_limit - coalesce(fixed_input_tokens, 0)) AS room FROM batch_plans GROUP BY 1),
 i AS (SELECT * FROM batch_items WHERE plan_id IS NOT NULL AND item_id IS NOT NULL QUALIFY row_number() OVER (
   PARTITION BY plan_id, item_id ORDER BY estimated_at DESC NULLS LAST, estimated_input_tokens DESC NULLS LAST) = 1)
