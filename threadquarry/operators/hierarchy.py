@@ -74,6 +74,7 @@ def resolve(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFram
     frontier = top.unionByName(lost)
     left = None
     rounds = 0
+    stride = None
     while left is None or left > 0:
         doubling = rounds >= FRONTIER_ROUNDS
         step = (
@@ -89,6 +90,7 @@ def resolve(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFram
         )
         seen = Observation()
         step = scratch.keep(step.observe(seen, F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("rows")), f"step{rounds}", ["hit"])
+        scratch.drop(stride)
         hit, miss = step.where("hit"), step.where("not hit").select(*scopes, "id", "ptr", "seg")
         # What landed now is all that the next round can land on: every end was looked up before and had not been reached.
         frontier = hit.select(*reached_cols)
@@ -107,7 +109,7 @@ def resolve(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFram
                     F.when(F.col("u.ptr").isNotNull(), F.concat("u.seg", "w.seg")).otherwise(F.col("w.seg")).alias("seg"),
                 )
             )
-            waiting = scratch.keep(waiting, f"stride{rounds}")
+            waiting = stride = scratch.keep(waiting, f"stride{rounds}")
         rounds += 1
 
     # The stretches of ring nodes grew with the strides; start again from plain parents.
@@ -124,6 +126,7 @@ def resolve(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFram
         )
         image = doubled.select(*scopes, F.col("ptr").alias("id")).distinct()
         now = image.count()
+        scratch.drop(ring)
         ring = doubled
         if now == size:
             break
@@ -156,9 +159,25 @@ def descendant_pairs(resolved: DataFrame, scope: list[str], node: str) -> DataFr
 
 
 def with_descendant_counts(resolved: DataFrame, scope: list[str], node: str) -> DataFrame:
-    """``resolved`` plus the number of descendants of each node (0 for leaves and for ring nodes)."""
-    counts = descendant_pairs(resolved, scope, node).groupBy(*scope, F.col("ancestor").alias("_a")).agg(F.count("*").alias("descendants"))
-    cond = F.col(f"r.{node}") == F.col("c._a")
-    for s in scope:
-        cond = cond & F.col(f"r.{s}").eqNullSafe(F.col(f"c.{s}"))
-    return resolved.alias("r").join(counts.alias("c"), cond, "left").select("r.*", F.coalesce("c.descendants", F.lit(0).cast("bigint")).alias("descendants"))
+    """``resolved`` plus the number of descendants of each node (0 for leaves and for ring nodes).
+
+    Counts are added up by doubling: a node that knows how many nodes hang less than 2^k below it hands that number to its
+    2^k-th ancestor, so a tree of depth d takes log2(d) rounds over as many rows as there are nodes, never a row per pair.
+    """
+    scratch = Scratch(resolved.sparkSession, "descendants")
+    placed = scratch.keep(resolved, "placed")
+    names = [f"s{i}" for i in range(len(scope))]
+    own = placed.where("path is not null").select(*[F.col(c).alias(s) for c, s in zip(scope, names)], F.col(node).alias("id"), "path", F.lit(1).cast("bigint").alias("n"))
+    deepest = own.agg(F.max(F.size("path"))).first()[0] or 0
+    step, last = 1, None
+    while step < deepest:
+        up = own.where(F.size("path") > step).groupBy(*names, F.element_at("path", -1 - step).alias("up")).agg(F.sum("n").alias("more"))
+        added = own.alias("o").join(up.hint("merge").alias("u"), _on("o", "u", names, "id", "up"), "left").select("o.*", "u.more")
+        own = scratch.keep(added.select(*names, "id", "path", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), f"sums{step}")
+        scratch.drop(last)
+        last, step = own, 2 * step
+    counts = own.where("n > 1")
+    cond = F.col(f"r.{node}") == F.col("c.id")
+    for c, s in zip(scope, names):
+        cond = cond & F.col(f"r.{c}").eqNullSafe(F.col(f"c.{s}"))
+    return placed.alias("r").join(counts.hint("merge").alias("c"), cond, "left").select("r.*", F.coalesce(F.col("c.n") - 1, F.lit(0)).alias("descendants"))
