@@ -208,8 +208,10 @@ def pack_items(items: DataFrame, exchanges: int = EXCHANGES) -> tuple[DataFrame,
             .join(again.groupBy("grp").agg(F.count_distinct("bin").alias("after")), "grp").where("after < before").select("grp")
         )
         saved = scratch.keep(saved, f"saved{r}")
+        before = done
         kept = done.join(gapped.join(saved, "grp", "left_semi").select("grp", "item", "part"), ["grp", "item", "part"], "left_anti")
         done = scratch.keep(kept.unionByName(again.join(saved, "grp", "left_semi")), f"done{r}")
+        scratch.drop(before if r > 1 else None, gapped, again, saved)
     out = done.select("grp", "item", "part", "size", "capacity", "bin", "fill").unionByName(full)
     groups = (
         out.groupBy("grp").agg(F.max("capacity").alias("capacity"), F.count_distinct("bin").alias("bins"), F.count_if(F.col("bin").startswith("w/")).alias("_w"))

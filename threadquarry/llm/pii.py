@@ -597,6 +597,7 @@ def _typed_patterns(pairs: DataFrame, scratch: Scratch) -> tuple[list[tuple[str,
         if r < FORM_ROUNDS:
             # What refuses has no say in what is believed: number patterns repeat the contexts of both kinds.
             own = graph.where("pattern not like 'number|%'").join(scored.select("pattern", "score"), "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.95)))))).alias("own"))
+            scratch.drop(belief)
             belief = scratch.keep(own.select("instance", F.when(F.col("seed"), 1.0).when(~F.col("seed"), 0.0).otherwise(F.col("own")).alias("belief")), f"said{r}")
     kept = scored.where(f"pattern not like 'number|%' and score >= case when pattern like '%|form|%' then {FORM_SCORE} else {ADMIT_SCORE} end and all >= 2")
     forms = [tuple(r["pattern"].split("|form|")) for r in kept.where("pattern like '%|form|%'").collect()]  # at most those of FORMS

@@ -168,6 +168,7 @@ def balanced_splits(weighted: DataFrame, proportions: dict[str, float] | None =
         place = place.join(step.select(F.col("shard").alias("at_shard"), F.col("bin").alias("at_bin"), "to_shard", "to_bin"), ["at_shard", "at_bin"]).select(
             "shard", "bin", F.col("to_shard").alias("at_shard"), F.col("to_bin").alias("at_bin"))
         place = scratch.keep(place, "place")
+        scratch.drop(sums if level < shards else None)
         sums = scratch.keep(step.select(F.col("to_shard").alias("shard"), F.col("to_bin").alias("bin"), F.col("to_sum").alias("bin_sum")).distinct(), "sums")
         level = -(-level // MERGE_SHARDS)
     final = {r["bin"]: r["bin_sum"] for r in sums.select("bin", "bin_sum").collect()}  # at most ``bins`` rows

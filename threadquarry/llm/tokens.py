@@ -8,11 +8,12 @@ that until no pair is left. An ordered aggregation puts ids together, and back i
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadquarry.runtime import spread
@@ -176,6 +177,24 @@ class Encoder:
         return out
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def _send(spark: SparkSession, path: str) -> None:
+    """Give a vocabulary file to the executors, once per application: only the driver needs the folder."""
+    sent = (spark.sparkContext.applicationId, path)
+    if sent not in _SENT:
+        spark.sparkContext.addFile(path)
+        _SENT.add(sent)
+
+
+def _here(path: str) -> str:
+    """Where a sent file lies on this worker."""
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -188,10 +207,11 @@ def encoder(path: str) -> Encoder:
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>) of every row. Null and empty texts have an empty list; repeated keys stay repeated."""
     path = f"{tokenizers}/{vocabulary}"
+    _send(docs.sparkSession, path)
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(_here(path))
         for b in batches:
             ids = enc.encode(b.column("text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -204,10 +224,11 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
 def decode_corpus(encoded: DataFrame, key: str = "doc_id", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, text) from (key, ids). Null and empty lists become the empty text, unknown ids nothing."""
     path = f"{tokenizers}/{vocabulary}"
+    _send(encoded.sparkSession, path)
     kind = encoded.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(_here(path))
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -220,11 +241,12 @@ def token_counts(docs: DataFrame, key: str, text: str = "text", tokenizers: str
     """``docs``' columns without the text, plus ``tokens``: the number of tokens, 0 for null and empty texts. A column of that name
     is replaced."""
     path = f"{tokenizers}/{ranks}"
+    _send(docs.sparkSession, path)
     docs = docs.select(*[c for c in docs.columns if c != "tokens"])
     keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _rank_encoding(path)
+        enc = _rank_encoding(_here(path))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n, pa.int64())], [*keep, "tokens"])
