@@ -21,6 +21,10 @@ def test_merge_run(spark):
     ]
     got = {(r["platform"], r["raw_comment_id"]): (r["arrival_seq"], r["conflict"], r["exact_duplicates"]) for r in merging.merge_run(spark.createDataFrame(rows, COMMENT).repartition(3)).collect()}
     assert got == {("b", "1"): (1, False, 2), ("b", "2"): (5, True, 0), ("b", "3"): (7, False, 1), (None, None): (9, False, 0)}
+    # A null is a value of its own, wherever it stands.
+    null = spark.createDataFrame([("b", "v", "1", None, "x", 5, None, 1), ("b", "v", "1", None, "x", None, 5, 2), ("b", "v", "2", None, "t", 1, 1, 3), ("b", "v", "2", "t", None, 1, 1, 4), ("b", "v", "3", "t", "t", 1, 1, 5), ("b", "v", "3", "t", "t", 1, 1, 6)],
+                                 "platform string, raw_video_id string, raw_comment_id string, raw_author_id string, text string, like_count bigint, reply_count bigint, arrival_seq bigint")
+    assert {r["raw_comment_id"]: (r["arrival_seq"], r["conflict"], r["exact_duplicates"]) for r in merging.merge_run(null).collect()} == {"1": (1, False, 0), "2": (3, True, 0), "3": (5, False, 1)}
     assert merging.merge_run(spark.createDataFrame([], COMMENT)).count() == 0
 
 

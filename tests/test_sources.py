@@ -118,6 +118,11 @@ def test_budget_and_cache(spark):
     att = spark.createDataFrame([("s", 1, 10, 1, 12, 5), ("s", 2, None, None, 12, 5), ("s", 3, 1, 1, 12, 5)], "scope string, attempt int, input_tokens bigint, output_tokens bigint, reserved_input bigint, reserved_output bigint")
     lim = spark.createDataFrame([("s", 9, 30, 100)], "scope string, max_calls bigint, max_input bigint, max_output bigint")
     assert [r["refused"] for r in model_step.replay_budget(att, lim).orderBy("attempt").collect()] == [None, None, "input_tokens"]
+    # A refused attempt charges nothing, so a smaller one fits; usage beyond a reservation or a limit is charged and told.
+    att = spark.createDataFrame([("s", i, u, o, r, 5) for i, (u, o, r) in enumerate([(None, None, 12), (12, 5, 12), (12, 5, 12), (5, 5, 5), (2, 5, 1), (None, None, 1)])] + [("t", 1, 1, 9, 12, 5), ("gone", 1, 1, 1, 1, 1)], "scope string, attempt int, input_tokens bigint, output_tokens bigint, reserved_input bigint, reserved_output bigint")
+    lim = spark.createDataFrame([("s", 4, 30, 100), ("t", 1, 30, 100)], "scope string, max_calls bigint, max_input bigint, max_output bigint")
+    got = [(r["scope"], r["refused"], r["exceeded"]) for r in model_step.replay_budget(att, lim).orderBy("scope", "attempt").collect()]
+    assert got == [("s", None, None), ("s", None, None), ("s", "input_tokens", None), ("s", None, None), ("s", None, "input_tokens"), ("s", "model_calls", None), ("t", None, "output_tokens")]
     keys = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
     cache = spark.createDataFrame([("a", "1", 10), ("b", "2", 5)], "key string, value string, expires_at int")
     assert {r["key"]: (r["event"], r["value"]) for r in model_step.probe_cache(keys, cache, F.lit(5)).collect()} == {"a": ("hit", "1"), "b": ("expired", None), "c": ("miss", None)}

@@ -65,6 +65,12 @@ def direction_factor(direction: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DIRECTION_FACTORS.items() for x in kv]), direction), F.lit(1.0))
 
 
+def direction_name(direction: Column) -> Column:
+    """A collector's direction name as profiles spell it; singular names stay, others are unknown."""
+    known = DIRECTION_NAMES | {v: v for v in DIRECTION_FACTORS}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), direction), F.lit("unknown"))
+
+
 def text_tokens(text: Column) -> Column:
     """A tokenizer-free bound: a third of the UTF-8 bytes of the NFC text, at least one; null for null."""
     return F.greatest(F.lit(1), F.ceil(F.octet_length(nfc(text)) / F.lit(3.0))).cast("bigint")
@@ -117,10 +123,6 @@ def cluster_id(members: Column, summary: Column, version: str) -> Column:
     return short_digest("clu_", F.concat_ws(RECORD, F.array_join(F.array_sort(members), UNIT), summary_text(summary), F.lit(version)))
 
 
-def batch_id(platform: Column, video: Column, members: Column) -> Column:
-    return short_digest("batch_", F.concat_ws(UNIT, platform, video, F.array_join(members, UNIT)))
-
-
 def conflict_fields(a: str, b: str, fields: tuple[str, ...] = ("raw_author_id", "text")) -> Column:
     """The identity fields in which rows ``a`` and ``b`` differ, in fixed order; null equals null."""
     return F.filter(F.array(*[F.when(~F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())

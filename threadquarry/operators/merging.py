@@ -17,13 +17,14 @@ def merge_run(rows: DataFrame, order: str = "arrival_seq", key: tuple[str, ...]
 
     One aggregation, combinable map-side: no comment's rows are gathered. Null keys form comments of their own.
     """
-    payload = [c for c in rows.columns if c != order]
-    digest = F.xxhash64(*[F.col(c) for c in payload])
-    grouped = rows.groupBy(*key, digest.alias("_p"), F.xxhash64(*IDENTITY).alias("_i")).agg(
-        F.min(order).alias("_first"), F.count("*").alias("_n"), F.min_by(F.struct(*[c for c in rows.columns if c not in key]), order).alias("_row"))
+    payload = [c for c in rows.columns if c != order and c not in key]
+    # Rows are grouped by their values themselves, in which a null is a value: no digest that skips nulls or collides.
+    said = F.struct(*payload)
+    grouped = rows.groupBy(*key, said.alias("_p")).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    identity = F.struct(*[F.col(f"_p.{c}") for c in IDENTITY])
     merged = grouped.groupBy(*key).agg(
-        F.min_by("_row", "_first").alias("r"), (F.min("_i") != F.max("_i")).alias("conflict"), (F.sum("_n") - F.count("*")).cast("bigint").alias("exact_duplicates"))
-    return merged.select(*key, "r.*", "conflict", "exact_duplicates")
+        F.min_by("_p", "_first").alias("r"), F.min("_first").alias("_first"), (~F.min(identity).eqNullSafe(F.max(identity))).alias("conflict"), (F.sum("_n") - F.count("*")).cast("bigint").alias("exact_duplicates"))
+    return merged.select(*key, *[F.col("_first").alias(c) if c == order else F.col(f"r.{c}").alias(c) for c in rows.columns if c not in key], "conflict", "exact_duplicates")
 
 
 def upsert(previous: DataFrame, current: DataFrame, key: tuple[str, ...] = KEY) -> tuple[DataFrame, DataFrame]:

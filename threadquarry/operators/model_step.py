@@ -1,7 +1,7 @@
 """The model step: a port, a deterministic stub, calls per partition, and distrust of what comes back.
 
 Calls carry ids and text only. Answers are verified set-at-a-time: a batch whose answer names a comment outside of it is
-rejected whole. Budgets replay as running sums, stage results are cached by content.
+rejected whole. Budgets replay as folds in order, stage results are cached by content.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadquarry.functions.scalars import nfc, signal_id, summary_text
@@ -91,18 +91,60 @@ def trusted_signals(answers: DataFrame, batches: DataFrame, version: str) -> tup
 
 
 def replay_budget(attempts: DataFrame, limits: DataFrame) -> DataFrame:
-    """``attempts`` (scope, attempt, input_tokens, output_tokens, reserved_input, reserved_output) plus what they used so far and
-    ``refused``: the first limit, of calls, input and output in this order, that the reservation would break. A missing usage
-    charges the reservation. A scope's attempts are bounded by its calls."""
-    used_in, used_out = F.coalesce("input_tokens", "reserved_input"), F.coalesce("output_tokens", "reserved_output")
-    before = W.partitionBy("scope").orderBy("attempt").rowsBetween(W.unboundedPreceding, -1)
-    run = attempts.withColumn("calls_before", F.count("*").over(before)).withColumn("input_before", F.coalesce(F.sum(used_in).over(before), F.lit(0))).withColumn("output_before", F.coalesce(F.sum(used_out).over(before), F.lit(0)))
-    run = run.join(limits, "scope")
-    refused = (
-        F.when(F.col("calls_before") + 1 > F.col("max_calls"), "model_calls").when(F.col("input_before") + F.col("reserved_input") > F.col("max_input"), "input_tokens")
-        .when(F.col("output_before") + F.col("reserved_output") > F.col("max_output"), "output_tokens")
-    )
-    return run.withColumn("refused", refused)
+    """``attempts`` (scope, attempt, input_tokens, output_tokens, reserved_input, reserved_output) plus what was used before
+    each, ``refused`` and ``exceeded``.
+
+    refused: the first limit, of calls, input and output in this order, that the reservation would break; such an attempt is
+    never made and charges nothing. exceeded: the first of input and output whose usage went beyond its reservation or took the
+    scope over its limit; it is charged all the same. A missing usage charges the reservation. ``limits``: scope, max_calls,
+    max_input, max_output; a scope without limits is left out.
+
+    No running sum can tell this, since what is charged depends on what was refused. Attempts are folded in order, a scope
+    after the other, with three numbers held: nothing is gathered, however many attempts a scope has.
+    """
+    cols = ["scope", "attempt", "input_tokens", "output_tokens", "reserved_input", "reserved_output", "max_calls", "max_input", "max_output"]
+    rows = attempts.join(limits, "scope").select("scope", *[F.col(c).cast("bigint").alias(c) for c in cols[1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scope, used = None, Ledger()
+        for b in batches:
+            before, verdicts = [], []
+            for r in b.to_pylist():
+                if r["scope"] != scope:
+                    scope, used = r["scope"], Ledger()
+                before.append((used.calls, used.input, used.output))
+                limit = (r["max_calls"], r["max_input"], r["max_output"])
+                refused = used.refuses(r["reserved_input"], r["reserved_output"], limit)
+                verdicts.append((refused, None if refused else used.settle(r["reserved_input"], r["reserved_output"], r["input_tokens"], r["output_tokens"], limit)))
+            cols_of = lambda rows, n: list(zip(*rows)) or [()] * n
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *[pa.array(c, pa.int64()) for c in cols_of(before, 3)], *[pa.array(c, pa.string()) for c in cols_of(verdicts, 2)]],
+                [*b.schema.names, "calls_before", "input_before", "output_before", "refused", "exceeded"])
+
+    schema = "scope string, " + ", ".join(f"{c} bigint" for c in [*cols[1:], "calls_before", "input_before", "output_before"]) + ", refused string, exceeded string"
+    return rows.repartition("scope").sortWithinPartitions("scope", "attempt").mapInArrow(run, schema)
+
+
+class Ledger:
+    """What a scope has used: calls, input and output tokens."""
+
+    def __init__(self, calls: int = 0, input: int = 0, output: int = 0):
+        self.calls, self.input, self.output = calls, input, output
+
+    def refuses(self, input: int, output: int, limit: tuple[int, int, int]) -> str | None:
+        """The first limit that a reservation would break."""
+        for name, total, most in (("model_calls", self.calls + 1, limit[0]), ("input_tokens", self.input + input, limit[1]), ("output_tokens", self.output + output, limit[2])):
+            if total > most:
+                return name
+        return None
+
+    def settle(self, held_input: int, held_output: int, input: int | None, output: int | None, limit: tuple[int, int, int]) -> str | None:
+        """Charge a call, by its reservation where no usage is known; the first token limit that it went beyond."""
+        input, output = held_input if input is None else input, held_output if output is None else output
+        self.calls, self.input, self.output = self.calls + 1, self.input + input, self.output + output
+        if input > held_input or self.input > limit[1]:
+            return "input_tokens"
+        return "output_tokens" if output > held_output or self.output > limit[2] else None
 
 
 def cache_key(*parts) -> F.Column:

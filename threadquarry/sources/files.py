@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadquarry.runtime import Scratch
 from threadquarry.sources.payloads import read_lines
 
 NAMES = ("video.json", "comments.jsonl", "collection.json")
@@ -27,7 +29,10 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 def whole_json(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """One row per file of that name: keys from the path, ``j`` by schema, ``code`` (too_large, not_utf8, not_json or null)."""
-    files = spark.read.format("binaryFile").load(f"{root}/*/*/{name}").select(F.col("path").alias("_file"), "length", "content")
+    files = spark.read.format("binaryFile").load(f"{root}/*/*/{name}").withColumnRenamed("path", "_file")
+    # The scan skips the contents of what its filter on length leaves out.
+    small = files.where(F.col("length") <= MOST_BYTES).select("_file", "length", "content")
+    files = small.unionByName(files.where(F.col("length") > MOST_BYTES).select("_file", "length", F.lit(None).cast("binary").alias("content")))
     text = F.regexp_replace(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")), "^﻿", "")
     out = _with_path(files).withColumn("text", text).withColumn("j", F.from_json("text", schema))
     code = F.when(F.col("length") > MOST_BYTES, "too_large").when(F.col("text").isNull(), "not_utf8").when(F.json_object_keys("text").isNull(), "not_json")
@@ -37,12 +42,16 @@ def whole_json(spark: SparkSession, root: str, name: str, schema: str) -> DataFr
 def comment_lines(spark: SparkSession, root: str) -> DataFrame:
     """Lines of comments.jsonl, split at line feeds only, with line_number and what is wrong with them.
 
-    A file is one directory's comments, so its text is a row; lines become rows at once, and nothing but the file is gathered.
+    Large files are read in blocks. A line's number is its place in its block plus the lines of the blocks before it.
     """
-    files = spark.read.text(f"{root}/*/*/comments.jsonl", wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.col("value"))
-    body = F.regexp_replace("value", r"\n\z", "")
-    lines = _with_path(files).where(F.length("value") > 0).select("platform", "raw_video_id", F.posexplode(F.split(body, "\n", -1)).alias("pos", "body"))
-    return read_lines(lines.select("platform", "raw_video_id", (F.col("pos") + 1).alias("line_number"), "body"))
+    lines = spark.read.option("lineSep", "\n").text(f"{root}/*/*/comments.jsonl").select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.col("value").alias("body"), F.monotonically_increasing_id().alias("_id"))
+    lines = Scratch(spark, "lines").keep(lines, "lines")  # so that ids stay
+    blocks = lines.groupBy("_file", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))  # a file's blocks
+    blocks = blocks.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    numbered = lines.join(blocks, ["_file", "_at"]).withColumn("line_number", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int"))
+    return read_lines(_with_path(numbered).select("platform", "raw_video_id", "line_number", "body"))
 
 
 def bundle_violations(spark: SparkSession, root: str) -> DataFrame:
