@@ -30,24 +30,40 @@ class TransientError(Exception):
 
 
 class KeywordGateway:
-    """A deterministic stand-in: a signal for each comment that holds one of the words, of the first such word; ``forge`` adds an id of its own, and
-    ``fail_first`` makes first attempts fail."""
+    """A deterministic stand-in: a signal for each comment that holds one of the words, of the first such word, and a cluster for
+    each summary. ``forge`` adds an id of its own, ``fail_first`` makes first attempts fail, ``break_first`` makes first answers
+    unreadable, ``usage`` is what it says each call used, ``model`` and ``revision`` who it says it is."""
 
-    def __init__(self, words: dict[str, str], forge: str | None = None, fail_first: bool = False):
-        self.words, self.forge, self.fail_first = words, forge, fail_first
+    def __init__(self, words: dict[str, str], forge: str | None = None, fail_first: bool = False, break_first: bool = False, usage: tuple[int, int] | None = None, model: str | None = None, revision: str | None = None):
+        self.words, self.forge, self.fail_first, self.break_first = words, forge, fail_first, break_first
+        self.usage, self.model, self.revision = usage or (None, None), model, revision
 
-    def invoke(self, request: dict, attempt: int) -> str:
+    def invoke(self, request: dict, attempt: int):
         if self.fail_first and attempt == 1:
             raise TransientError("rate_limited")
-        held = ((c, next((w for w in self.words if w in (c["text"] or "")), None)) for c in request["comments"])
+        if "prompt" not in request:
+            return json.dumps({"signals": self._signals(request["comments"])}, ensure_ascii=False)
+        from threadquarry.operators.analysis import Answer, data_of
+
+        data = data_of(request["prompt"])
+        if "comments" in data:
+            out = {"signals": self._signals(data["comments"])}
+        else:
+            groups: dict[str, list[str]] = {}
+            for n in data["items"]:
+                groups.setdefault(n["summary"], []).extend(n["comment_ids"])
+            out = {"clusters": [{"comment_ids": ids, "summary": s} for s, ids in sorted(groups.items())] + ([{"comment_ids": [self.forge], "summary": "forged"}] if self.forge else [])}
+        text = "{" if self.break_first and attempt == 1 else json.dumps(out, ensure_ascii=False)
+        return Answer(text, *self.usage, self.model, self.revision)
+
+    def _signals(self, comments: list[dict]) -> list[dict]:
+        held = ((c, next((w for w in self.words if w in (c["text"] or "")), None)) for c in comments)
         out = [{"comment_id": c["comment_id"], "kind": self.words[w], "summary": w, "disputed": False} for c, w in held if w is not None]
-        if self.forge:
-            out.append({"comment_id": self.forge, "kind": "need", "summary": "forged", "disputed": False})
-        return json.dumps({"signals": out}, ensure_ascii=False)
+        return [*out, {"comment_id": self.forge, "kind": "need", "summary": "forged", "disputed": False}] if self.forge else out
 
 
 def requests(batches: DataFrame, comments: DataFrame) -> DataFrame:
-    """(batch_id, request): ids and text of a batch between markers of untrusted data. A batch is bounded by its call."""
+    """(batch_id, request): ids and text of a batch. A batch is bounded by its call."""
     rows = batches.join(comments.select("comment_id", "text"), "comment_id")
     listed = F.array_sort(F.collect_list(F.struct("comment_id", "text")))
     return rows.groupBy("batch_id").agg(F.to_json(F.struct(F.first("batch_id").alias("batch_id"), listed.alias("comments")), {"ignoreNullFields": "false"}).alias("request"))  # a comment without text keeps its field

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadquarry.functions import redaction, scalars
-from threadquarry.operators import batching, consensus, merging, model_step, profiling, ranking, sampling
+from threadquarry.operators import analysis, batching, consensus, merging, model_step, profiling, ranking, sampling
 from threadquarry.plans.reference_sql import SQL as _ALL
 from threadquarry.runtime import Scratch, table
 
@@ -61,43 +61,63 @@ def prepare(comments: DataFrame, videos: DataFrame, approved: DataFrame, secret:
     return out, profiles, ranking.dataset_split(out, "video_id").withColumnRenamed("id", "video_id")
 
 
-def analyse(comments: DataFrame, videos: DataFrame, gateway: model_step.Gateway, per_call: int = 800, budget: int = 12_000, version: str = "v1") -> DataFrame:
-    """Batches, calls, verified signals, clusters of like signals and their consensus: one row per cluster.
-
-    ``comments``: video_id, comment_id, author_id, text, first_collected_at; ``videos``: video_id, author_id. Signals of one
-    kind and summary in a video form a cluster. A batch whose answer can't be trusted adds nothing; ``analyse_all`` says so.
-    """
-    return analyse_all(comments, videos, gateway, per_call, budget, version)[0]
+def analyse(comments: DataFrame, videos: DataFrame, gateway: model_step.Gateway, **limits) -> DataFrame:
+    """The clusters of ``analyse_all`` alone."""
+    return analyse_all(comments, videos, gateway, **limits)[0]
 
 
-def analyse_all(comments: DataFrame, videos: DataFrame, gateway: model_step.Gateway, per_call: int = 800, budget: int = 12_000, version: str = "v1") -> tuple[DataFrame, DataFrame]:
-    """The clusters of ``analyse``, and one row per video of either table: how far it came.
+def analyse_all(comments: DataFrame, videos: DataFrame, gateway: model_step.Gateway, per_call: int = 2_000, max_calls: int = 64, max_input: int = 64_000, max_output: int = 64_000, version: str = "v1", insufficient: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Batches, calls, verified signals, clusters merged in layers and their consensus: one row per cluster, and one row per video of
+    either table that says how far it came.
 
-    status: no_comments, what stopped its plan (item_exceeds_call, budget_exhausted), model_failed or answer_rejected where some
-    batch has no answer or an untrusted one, else complete; with counts of batches, and the codes of rejected answers.
+    ``comments``: video_id, comment_id, author_id, text, first_collected_at; ``videos``: video_id, author_id; ``insufficient``: ids
+    of videos whose data may not be analysed. Each video has a ledger of its own. status is ``complete``, ``no_signal``, or what
+    stopped it: ``no_comments``, ``insufficient_data``, ``plan`` (code: what its batches broke), ``budget`` (code: the resource),
+    ``error``, ``invalid`` or ``identity``. A video that stopped has no clusters. Also counts of batches, calls and tokens.
     """
     scratch = Scratch(comments.sparkSession, "analyse")
-    items = comments.select(F.col("video_id").alias("plan_id"), F.col("comment_id").alias("item_id"), scalars.text_tokens(F.col("text")).alias("tokens")).where("tokens is not null")
-    plans = items.select("plan_id").distinct().select("plan_id", F.lit(per_call).alias("per_call"), F.lit(budget).alias("budget"), F.lit(32).alias("fixed"), F.lit(None).cast("bigint").alias("max_calls"))
+    every = comments.select("video_id").unionByName(videos.select("video_id")).where("video_id is not null").distinct()
+    barred = every.limit(0) if insufficient is None else insufficient.select("video_id").distinct()
+    mine = comments.join(barred, "video_id", "left_anti")
+    empty = analysis.prompt(analysis.INSTRUCTION["signals"], F.to_json(F.struct("video_id", F.array().cast("array<string>").alias("comments"))))
+    items = mine.select(F.col("video_id").alias("plan_id"), F.col("comment_id").alias("item_id"), scalars.row_tokens("comment_id", "text").alias("tokens"))
+    signal_input = max_input - -(-max_input // 4)  # the quarter, rounded up, is kept for merging
+    plans = mine.select("video_id").distinct().select(
+        F.col("video_id").alias("plan_id"), F.lit(per_call).alias("per_call"), F.lit(signal_input).alias("budget"), analysis.call_tokens(empty).alias("fixed"), F.lit(max_calls).alias("max_calls"))
     packed, planned = batching.plan_batches(items, plans)
-    batches = scratch.keep(packed.select(F.concat_ws("/", "plan_id", "batch").alias("batch_id"), F.col("item_id").alias("comment_id"), F.col("plan_id").alias("video_id")), "batches")
-    answers = scratch.keep(model_step.invoke(model_step.requests(batches, comments), gateway), "answers")
-    signals, rejected = model_step.trusted_signals(answers, batches, version)
-    members = signals.join(batches.select("batch_id", "comment_id", "video_id"), ["batch_id", "comment_id"]).select("video_id", F.concat_ws("/", "kind", "summary").alias("cluster_id"), "comment_id")
-    members = scratch.keep(members, "members")
+    packed, planned = scratch.keep(packed, "packed"), scratch.keep(planned, "planned")
+    limits = [F.lit(max_calls).alias("max_calls"), F.lit(max_input).alias("max_input"), F.lit(max_output).alias("max_output"), F.lit(max_output // max_calls if max_calls else 0).alias("reserved_output")]
+    listed = F.array_sort(F.collect_list(F.struct("comment_id", "text")))  # a batch is bounded by its call
+    full = packed.select(F.col("plan_id").alias("video_id"), F.col("item_id").alias("comment_id"), "batch", "tokens").join(mine.select("video_id", "comment_id", "text"), ["video_id", "comment_id"])
+    full = full.groupBy("video_id", "batch").agg(listed.alias("comments"), F.sum("tokens").alias("tokens"))
+    full = full.withColumn("prompt", analysis.prompt(analysis.INSTRUCTION["signals"], F.to_json(F.struct("video_id", "comments"), {"ignoreNullFields": "false"})))
+    zero = [F.lit(0).alias(c) for c in ("calls", "input", "output")]
+    called = scratch.keep(analysis.run_stage(full.select("video_id", "batch", "prompt", (F.col("tokens") + analysis.call_tokens(empty)).alias("tokens"), *limits, *zero), gateway, analysis.check_signals), "called")
+    last = scratch.keep(analysis.last_attempts(called), "last")
+    signals = scratch.keep(analysis.stage_signals(called, version).join(last.where("status = 'ok'").select("video_id"), "video_id", "left_semi"), "signals")
+    state = last.select("video_id", F.lit(per_call).alias("per_call"), *limits, "calls", "input", "output")
+    clusters, ended, merging_calls = analysis.merge_layers(signals, state, gateway, version)
+    clusters, ended = scratch.keep(clusters, "clusters"), scratch.keep(ended, "ended")
+    members = scratch.keep(clusters.select("video_id", "cluster_id", F.explode("comment_ids").alias("comment_id")), "members")
     decided = consensus.decide(members, comments.select("video_id", "comment_id", "author_id", "first_collected_at"), videos)
-
-    answered = answers.where("status = 'ok'").select("batch_id").distinct().withColumn("ok", F.lit(True))
-    codes = rejected.groupBy("batch_id").agg(F.collect_set("code").alias("codes"))  # of four codes
-    calls = batches.select("batch_id", "video_id").distinct().join(answered, "batch_id", "left").join(codes, "batch_id", "left")
-    calls = calls.groupBy("video_id").agg(
-        F.count("*").alias("calls"), F.count_if(F.col("ok").isNull()).alias("failed"), F.count_if(F.col("codes").isNotNull()).alias("rejected"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
-    clusters = members.groupBy("video_id").agg(F.count_distinct("cluster_id").alias("clusters"))
-    every = comments.select("video_id").unionByName(videos.select("video_id")).where("video_id is not null").distinct()
-    got = every.join(planned.select(F.col("plan_id").alias("video_id"), "items", F.col("status").alias("plan")), "video_id", "left").join(calls, "video_id", "left").join(clusters, "video_id", "left")
-    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    status = F.when(F.col("plan").isNull(), "no_comments").when(F.col("plan") != "planned", F.col("plan")).when(F.col("failed") > 0, "model_failed").when(F.col("rejected") > 0, "answer_rejected").otherwise("complete")
-    return decided, got.select("video_id", count("items"), count("calls"), count("failed"), count("rejected"), F.coalesce(F.array_join("codes", ","), F.lit("")).alias("codes"), count("clusters"), status.alias("status"))
+    decided = decided.join(clusters.select("video_id", "cluster_id", "summary", F.size("comment_ids").cast("bigint").alias("comments")), ["video_id", "cluster_id"])
+
+    spent = called.unionByName(merging_calls.drop("layer")).groupBy("video_id").agg(F.max("calls").alias("calls"), F.max("input").alias("input_tokens"))
+    got = (
+        every.join(barred.withColumn("barred", F.lit(True)), "video_id", "left")
+        .join(planned.select(F.col("plan_id").alias("video_id"), "items", "batches", F.col("status").alias("plan")), "video_id", "left")
+        .join(last.select("video_id", F.col("status").alias("at"), F.col("code").alias("at_code")), "video_id", "left")
+        .join(ended.select("video_id", F.col("status").alias("end"), F.col("code").alias("end_code"), "layers"), "video_id", "left")
+        .join(spent, "video_id", "left").join(clusters.groupBy("video_id").agg(F.count("*").alias("clusters")), "video_id", "left")
+    )
+    c = F.col
+    status = (
+        F.when(c("barred"), "insufficient_data").when(c("plan").isNull(), "no_comments").when(c("plan") != "planned", "plan").when(c("at") != "ok", c("at"))
+        .when(c("end").isNull(), "no_signal").when(c("end") != "ok", c("end")).otherwise("complete")
+    )
+    code = F.when(c("plan") != "planned", c("plan")).when(c("at") != "ok", c("at_code")).otherwise(c("end_code"))
+    count = lambda n: F.coalesce(n, F.lit(0)).cast("bigint").alias(n)
+    return decided, got.select("video_id", status.alias("status"), code.alias("code"), count("items"), count("batches"), count("calls"), count("input_tokens"), count("layers"), count("clusters"))
 
 
 # ---------------------------------------------------------------- queries
@@ -151,10 +171,10 @@ def _analysis(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chosen = sampling.select(pool, c.select("video_id").distinct().withColumn("target", F.lit(200).cast("bigint")), ["video_id"], sampling.sampling_quotas, ["id"])
     c = c.join(chosen.select("video_id", F.col("id").alias("comment_id")), ["video_id", "comment_id"], "left_semi").drop("stratum")
     v = table(spark, d, "raw_videos").groupBy(F.col("raw_video_id").alias("video_id")).agg(F.max(F.when(~F.col("raw_author_id").isin("0", "unknown"), F.col("raw_author_id"))).alias("author_id"))
-    return analyse_all(c, v, model_step.KeywordGateway({"闪退": "pain", "白屏": "pain", "希望": "need", "wish": "need"}), budget=64_000)
+    return analyse_all(c, v, model_step.KeywordGateway({"闪退": "pain", "白屏": "pain", "希望": "need", "wish": "need"}))
 
 
-def analysis(spark: SparkSession, d: str) -> DataFrame:
+def analysis_clusters(spark: SparkSession, d: str) -> DataFrame:
     """The analysis of up to 200 comments a video, chosen over its strata, with the keyword stand-in for a model."""
     return _analysis(spark, d)[0]
 
@@ -164,5 +184,5 @@ def analysis_status(spark: SparkSession, d: str) -> DataFrame:
     return _analysis(spark, d)[1]
 
 
-QUERIES = {f"ref_{f.__name__}": f for f in (collection_status, collected_comments, prepared_splits, prepared_comments, prepared_profiles, prepared_splits_all, analysis, analysis_status)}
+QUERIES = {f"ref_{f.__name__}": f for f in (collection_status, collected_comments, prepared_splits, prepared_comments, prepared_profiles, prepared_splits_all, analysis_status)} | {"ref_analysis": analysis_clusters}
 SQL = {name: sql for name, sql in _ALL.items() if name in QUERIES}
