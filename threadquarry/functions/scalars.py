@@ -195,6 +195,34 @@ def search_url(platform: Column, query: Column, page: Column) -> Column:
         F.concat(F.lit("https://www.douyin.com/search/"), q, F.lit("?type=general&page="), n))
 
 
+def is_candidate_page(platform: Column, url: Column) -> Column:
+    """Whether a URL is a page that lists candidates: a search or a popular list of its platform."""
+    host, path = F.try_parse_url(url, F.lit("HOST")), F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+$", "")
+    b = ((host == "search.bilibili.com") & path.isin("/all", "/video")) | ((host == "www.bilibili.com") & path.startswith("/v/popular/"))
+    d = (host == "www.douyin.com") & path.rlike("^/search/.")
+    return F.coalesce(F.when(platform == "bilibili", b).when(platform == "douyin", d), F.lit(False))
+
+
+def douyin_batch(url: Column) -> Column:
+    """The page that an answer's offset and count stand for, counted from 1 batch on; null where they name no batch."""
+    o, c = (one_query_value(url, k).try_cast("bigint") for k in ("offset", "count"))
+    return F.when((c > 0) & (o >= c) & (o % c == 0), F.floor(o / c)).cast("bigint")
+
+
+def answers_page(platform: Column, url: Column, query: Column, page: Column) -> Column:
+    """Whether a candidate answer belongs to the page of a query that was asked for."""
+    keyword = F.try_url_decode(one_query_value(url, "keyword"))
+    own = F.when(platform == "bilibili", one_query_value(url, "page") == page.cast("string")).otherwise(douyin_batch(url) == page)
+    return F.coalesce((keyword == query) & own, F.lit(False))
+
+
+def source_page_fits(asked: Column, seen: Column, page: Column) -> Column:
+    """Whether a page that was reached is the one asked for: the same URL but for what pages it, and the page's number."""
+    bare = lambda u: F.regexp_replace(F.regexp_replace(F.regexp_replace(u, r"([?&])(?:page|offset|count)=[^&#]*", "$1"), r"&{2,}", "&"), r"\?&|[?&](?=#|$)", "?")
+    plain = lambda u: F.regexp_replace(bare(u), r"\?$", "")
+    return F.coalesce((plain(asked) == plain(seen)) & (page_number(seen) == page), F.lit(False))
+
+
 def safe_file_name(key: Column) -> Column:
     """Whether an id can name a file everywhere."""
     return (

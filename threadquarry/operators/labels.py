@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadquarry.functions.scalars import looks_raw
@@ -42,6 +43,14 @@ def structure_violations(labels: DataFrame, clusters: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def dispute_violations(files: DataFrame) -> DataFrame:
+    """(video_id, annotator_id, code) of files (disputed, reasons array<string>) that are disputed without a reason, or give reasons
+    without a dispute."""
+    said = F.size(F.filter(F.coalesce("reasons", F.array().cast("array<string>")), lambda r: F.trim(r) != "")) > 0
+    code = F.when(F.col("disputed") & ~said, "dispute_without_reason").when(~F.col("disputed") & said, "reason_without_dispute")
+    return files.select("video_id", "annotator_id", code.alias("code")).where("code is not null")
+
+
 def side_by_side(labels: DataFrame) -> DataFrame:
     """Per comment: annotators and whether they all agree, by field. Counted from distinct values, without pairs."""
     aggs = [(F.count_distinct(f) <= 1).alias(f"{f}_agreed") for f in FIELDS]
@@ -54,3 +63,12 @@ def blank_labels(comments: DataFrame) -> DataFrame:
     for f in FIELDS:
         out = out.withColumn(f, F.lit("unlabeled"))
     return out.withColumn("normalized_need", F.lit(None).cast("string"))
+
+
+def export(labels: DataFrame, path: str) -> None:
+    """Write the complete files of labels (a file is a video's by one annotator) as JSON lines, numbered in the order of their
+    comments; incomplete ones are held back whole. A path that exists is refused."""
+    whole = completeness(labels).where("complete").select("video_id", "annotator_id")
+    line = (F.row_number().over(W.partitionBy("video_id", "annotator_id").orderBy("comment_id")) - 1).cast("bigint")  # one person's work on one video
+    rows = labels.join(whole, ["video_id", "annotator_id"], "left_semi").select("video_id", "annotator_id", "comment_id", line.alias("line"), *FIELDS, "normalized_need")
+    rows.repartition("video_id", "annotator_id").sortWithinPartitions("video_id", "annotator_id", "line").write.mode("errorifexists").json(path)

@@ -38,6 +38,13 @@ def profile(comments: DataFrame, exact: DataFrame, scope: tuple[str, ...] = VIDE
     )
 
 
+def stratum_ids(rows: DataFrame, scope: list[str], stratum: str = "source_stratum", node: str = "raw_comment_id") -> DataFrame:
+    """Per scope and stratum the distinct ids, in order, and their number. An array per row: use it on scopes that a sample or a
+    collection target bounds, and keep rows elsewhere."""
+    ids = rows.where(F.col(stratum).isNotNull() & F.col(node).isNotNull()).select(*scope, stratum, node).distinct()
+    return ids.groupBy(*scope, stratum).agg(F.array_sort(F.collect_list(node)).alias("ids"), F.count("*").alias("comments"))
+
+
 def quality(manifests: DataFrame) -> DataFrame:
     """Completion, page, author and duplicate rates of manifests, and their grade.
 

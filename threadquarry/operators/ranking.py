@@ -69,6 +69,22 @@ def coverage_gaps(df: DataFrame, targets: dict[str, dict[str, int]], total: int)
     return out.where("expected <> actual")
 
 
+def coverage_report(videos: DataFrame, targets: dict[str, dict[str, int]], total: int, unavailable: list[str]) -> DataFrame:
+    """(code, expected, actual, unavailable_platforms) for each dimension whose counts differ from their targets, as
+    ``value=count`` lists in the order of the targets. A platform that can't be reached replaces the platforms' own gap."""
+    spark = videos.sparkSession
+    line = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat("value", F.lit("="), F.col(c).cast("string")).alias("v")))), lambda x: x["v"]), ",")
+    out = videos.agg(F.count("*").alias("n")).where(F.col("n") != total).select(F.lit("video_total").alias("code"), F.lit(str(total)).alias("expected"), F.col("n").cast("string").alias("actual"), F.lit("").alias("unavailable_platforms"))
+    for column, wanted in targets.items():
+        order = spark.createDataFrame([(v, i) for i, v in enumerate(wanted)], "value string, at int")
+        both = distribution(videos, column, wanted).join(order, "value").agg(line("expected").alias("expected"), line("actual").alias("actual"))
+        gone = column == "platform" and unavailable
+        code = "platform_unavailable" if gone else f"{column.removeprefix('comment_')}_distribution"
+        both = both if gone else both.where("expected <> actual")
+        out = out.unionByName(both.select(F.lit(code).alias("code"), "expected", "actual", F.lit(",".join(dict.fromkeys(unavailable)) if gone else "").alias("unavailable_platforms")))
+    return out
+
+
 def suggestions(candidates: DataFrame, selected: DataFrame, key: list[str], order: str, scales: list[str], count: str) -> DataFrame:
     """Candidates that are not selected, one per key (first by ``order``), with their priority: a scale that is still missing
     first, then others, then unknown ones; then order and key."""
@@ -90,9 +106,11 @@ def page_ranks(rows: DataFrame, scope: list[str], page: str) -> DataFrame:
     return rows.join(pages, [*scope, page])
 
 
-def discover(rows: DataFrame, key: list[str], page: str, order: str, most: int) -> DataFrame:
-    """Candidates in page order, one per key, the first ``most``; with ``pages``, how many pages that took. The limit is the
-    feature: discovery stops there."""
+def discover(rows: DataFrame, key: list[str], page: str, order: str, most: int, most_pages: int | None = None) -> DataFrame:
+    """Candidates in page order, one per key, the first ``most``, of the first ``most_pages`` pages; with ``pages``, how many pages that
+    took. The limits are the feature: discovery stops there."""
+    if most_pages is not None:
+        rows = rows.join(F.broadcast(rows.select(page).distinct().orderBy(page).limit(most_pages)), page, "left_semi")  # a bounded side
     rest = [c for c in rows.columns if c not in key]
     first = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(page, order)).alias("r")).select(*key, "r.*")
     taken = first.orderBy(page, order).limit(most)

@@ -33,8 +33,11 @@ def _struct(fields: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (f.strip().split(" ", 1) for f in fields.split("; ")))
 
 
-_R = _struct("rpid string; member struct<mid: string>; content struct<message: string>; ctime bigint; like bigint; rcount bigint")
-B_COMMENTS = f"code int, data struct<upper: struct<mid: string>, cursor: struct<all_count: bigint, is_end: boolean>, replies: array<struct<{_R}, replies: array<struct<{_R}>>>>>"
+_R = _struct("rpid string; root string; parent string; member struct<mid: string>; content struct<message: string>; ctime bigint; like bigint; rcount bigint")
+B_COMMENTS = (
+    "code int, data struct<upper: struct<mid: string>, cursor: struct<all_count: bigint, is_end: boolean, next: string>, root: struct<rpid: string>, "
+    f"page: struct<count: bigint, num: bigint, size: bigint>, replies: array<struct<{_R}, replies: array<struct<{_R}>>>>>"
+)
 B_VIDEO = "code int, data struct<bvid: string, owner: struct<mid: string>, title: string, desc: string, pubdate: bigint, duration: bigint, stat: struct<reply: bigint, view: bigint, like: bigint, favorite: bigint, share: bigint>>"
 B_CANDIDATES = "code int, data struct<result: array<struct<bvid: string, title: string, review: bigint>>>"
 D_COMMENTS = "status_code int, comments array<struct<cid: string, user: struct<uid: string, sec_uid: string>, text: string, reply_id: string, create_time: bigint, digg_count: bigint, reply_comment_total: bigint>>, has_more int, cursor string"
@@ -77,33 +80,82 @@ def _text(c: Column) -> Column:
     return F.when(c.rlike(r"(?U)\S"), c)
 
 
+def _kept(pages: DataFrame) -> list[str]:
+    """Columns of a page table that its rows keep."""
+    return [c for c in pages.columns if c not in ("body", "j", "code")]
+
+
+_SHAPE = "response_shape_changed"
+
+
+def bilibili_pages(pages: DataFrame) -> DataFrame:
+    """Pages of comments: their columns, ``owner``, ``total``, ``has_more``, ``next_cursor`` and ``code``, null for a page that holds to
+    its contract: code 0, a list of replies that each have an id and a text, under the asked parent where the page table names
+    one (``parent_comment_id``), and a cursor, or a page count, that says whether and where it goes on."""
+    p = pages.withColumn("j", F.from_json("body", B_COMMENTS))
+    parent = F.col("parent_comment_id") if "parent_comment_id" in pages.columns else F.lit(None).cast("string")
+    d = F.col("j.data")
+    sound = lambda r: optional_identifier(r["rpid"]).isNotNull() & _text(r["content"]["message"]).isNotNull()
+    rooted = lambda r: parent.isNull() | r["root"].isNull() | (r["root"] == parent)
+    replies = F.forall(d["replies"], lambda r: sound(r) & rooted(r) & (parent.isNotNull() | r["replies"].isNull() | F.forall(r["replies"], sound)))
+    counted = parent.isNotNull() & d["page"].isNotNull()
+    pc, pn, ps = (d["page"][x] for x in ("count", "num", "size"))
+    more = F.when(counted, pn * ps < pc).otherwise(~d["cursor"]["is_end"])
+    cursor = F.when(counted, F.when(pn * ps < pc, (pn + 1).cast("string"))).otherwise(optional_identifier(d["cursor"]["next"]))
+    paged = F.when(counted, (pc >= 0) & (pn >= 1) & (ps >= 1)).otherwise(d["cursor"]["is_end"].isNotNull() & (d["cursor"]["is_end"] | cursor.isNotNull()))
+    holds = (F.col("j.code") == 0) & replies & (parent.isNull() | d["root"].isNull() | (d["root"]["rpid"] == parent)) & paged
+    code = F.when(~F.coalesce(holds, F.lit(False)), _SHAPE)
+    good = lambda c: F.when(code.isNull(), c)
+    return p.select(*pages.columns, "j", optional_identifier(d["upper"]["mid"]).alias("owner"), optional_count(d["cursor"]["all_count"]).alias("total"), good(more).alias("has_more"), good(cursor).alias("next_cursor"), code.alias("code"))
+
+
+def context_code(pages: DataFrame) -> Column:
+    """Why a page of ``bilibili_pages`` can't name its video's author and total; null where it does."""
+    return F.when(F.col("owner").isNull() | F.col("total").isNull() | F.coalesce(F.col("j.code") != 0, F.lit(True)), _SHAPE)
+
+
 def bilibili_comments(pages: DataFrame) -> DataFrame:
-    """Top-level comments and one level of inline replies, in page order: platform, page_number, pos, sub_pos (null for the
-    comment itself), ids, text, counts, whether the video's author wrote it. Pages with a code other than 0 give nothing."""
-    p = pages.withColumn("j", F.from_json("body", B_COMMENTS)).where("j.code = 0")
-    top = p.select("platform", "page_number", F.col("j.data.upper.mid").alias("owner"), F.posexplode("j.data.replies").alias("pos", "r"))
-    inline = top.select("platform", "page_number", "owner", "pos", F.col("r.rpid").alias("parent"), F.posexplode("r.replies").alias("sub_pos", "r"))
+    """Comments and one level of inline replies, in page order: the page's columns, pos, sub_pos (null for the comment itself), ids,
+    text, counts, whether the video's author wrote it. Under a ``parent_comment_id`` all are replies. A page that breaks its
+    contract gives nothing; ``bilibili_pages`` says so."""
+    keep = _kept(pages)
+    p = bilibili_pages(pages).where("code is null")
+    asked = F.col("parent_comment_id") if "parent_comment_id" in pages.columns else F.lit(None).cast("string")
+    top = p.select(*keep, "owner", F.posexplode("j.data.replies").alias("pos", "r"))
+    inline = top.where(asked.isNull()).select(*keep, "owner", "pos", F.col("r.rpid").alias("above"), F.posexplode("r.replies").alias("sub_pos", "r"))
 
     def project(df: DataFrame, parent: Column, sub: Column) -> DataFrame:
         author = optional_identifier(F.col("r.member.mid"))
         return df.select(
-            "platform", "page_number", "pos", sub.cast("int").alias("sub_pos"), optional_identifier(F.col("r.rpid")).alias("raw_comment_id"), author.alias("raw_author_id"), parent.cast("string").alias("raw_parent_comment_id"),
+            *keep, "pos", sub.cast("int").alias("sub_pos"), optional_identifier(F.col("r.rpid")).alias("raw_comment_id"), author.alias("raw_author_id"), parent.cast("string").alias("raw_parent_comment_id"),
             _text(F.col("r.content.message")).alias("text"), from_unix(F.col("r.ctime")).alias("published_at"), optional_count(F.col("r.like")).alias("like_count"), optional_count(F.col("r.rcount")).alias("reply_count"),
             (author == F.col("owner")).alias("is_video_author"),
         )
 
-    return project(top, F.lit(None), F.lit(None)).unionByName(project(inline, F.col("parent"), F.col("sub_pos")))
+    return project(top, F.when(asked.isNotNull(), F.coalesce(optional_identifier(F.col("r.parent")), asked)), F.lit(None)).unionByName(project(inline, F.col("above"), F.col("sub_pos")))
+
+
+def douyin_pages(pages: DataFrame) -> DataFrame:
+    """Pages of comments: their columns, ``has_more``, ``next_cursor`` and ``code``, null for a page that holds to its contract: status
+    0, a list of comments with ids, has_more of 0 or 1, and a cursor where it goes on."""
+    p = pages.withColumn("j", F.from_json("body", D_COMMENTS))
+    cursor = optional_identifier(F.col("j.cursor"))
+    sound = F.forall("j.comments", lambda r: optional_identifier(r["cid"]).isNotNull() & r["text"].isNotNull())
+    holds = (F.col("j.status_code") == 0) & sound & F.col("j.has_more").isin(0, 1) & ((F.col("j.has_more") == 0) | cursor.isNotNull())
+    code = F.when(~F.coalesce(holds, F.lit(False)), _SHAPE)
+    return p.select(*pages.columns, "j", F.when(code.isNull(), F.col("j.has_more") == 1).alias("has_more"), F.when(code.isNull(), cursor).alias("next_cursor"), code.alias("code"))
 
 
 def douyin_comments(pages: DataFrame, owner: str = "video_author") -> DataFrame:
-    """Comments of a page; rows of blank text are dropped. ``pages`` names the video's author in ``owner``."""
-    p = pages.withColumn("j", F.from_json("body", D_COMMENTS)).where("j.status_code = 0 and j.has_more in (0, 1)")
-    rows = p.select("platform", "page_number", F.col(owner).alias("owner"), F.posexplode("j.comments").alias("pos", "r")).where(F.col("r.text").rlike(r"(?U)\S"))
+    """Comments of pages that hold to their contract; rows of blank text are dropped. ``pages`` names the video's author in
+    ``owner``."""
+    keep = _kept(pages)
+    rows = douyin_pages(pages).where("code is null").select(*keep, F.posexplode("j.comments").alias("pos", "r")).where(F.col("r.text").rlike(r"(?U)\S"))
     author = F.coalesce(optional_identifier(F.col("r.user.sec_uid")), optional_identifier(F.col("r.user.uid")))
     return rows.select(
-        "platform", "page_number", "pos", F.lit(None).cast("int").alias("sub_pos"), optional_identifier(F.col("r.cid")).alias("raw_comment_id"), author.alias("raw_author_id"),
+        *keep, "pos", F.lit(None).cast("int").alias("sub_pos"), optional_identifier(F.col("r.cid")).alias("raw_comment_id"), author.alias("raw_author_id"),
         optional_identifier(F.col("r.reply_id")).alias("raw_parent_comment_id"), F.col("r.text").alias("text"), from_unix(F.col("r.create_time")).alias("published_at"),
-        optional_count(F.col("r.digg_count")).alias("like_count"), optional_count(F.col("r.reply_comment_total")).alias("reply_count"), (author == F.col("owner")).alias("is_video_author"),
+        optional_count(F.col("r.digg_count")).alias("like_count"), optional_count(F.col("r.reply_comment_total")).alias("reply_count"), (author == F.col(owner)).alias("is_video_author"),
     )
 
 
@@ -111,19 +163,34 @@ _VIDEO = ("raw_video_id", "raw_author_id", "title", "description", "published_at
 
 
 def videos(pages: DataFrame) -> DataFrame:
-    """Video rows of either platform's metadata pages; a page that fails or lacks an id or author gives none."""
-    b = pages.where("platform = 'bilibili'").withColumn("j", F.from_json("body", B_VIDEO)).where("j.code = 0")
+    """Video rows of either platform's metadata pages; a page that fails or lacks an id, author or title gives none."""
+    return video_pages(pages).where("code is null").select("platform", *_VIDEO)
+
+
+def video_pages(pages: DataFrame) -> DataFrame:
+    """Metadata pages: their columns, the video's, and ``code``, null for a page that holds to its contract. A failing page keeps
+    its row, with nulls."""
+    keep = _kept(pages)
+    b = pages.where("platform = 'bilibili'").withColumn("j", F.from_json("body", B_VIDEO)).withColumn("ok", F.col("j.code") == 0)
     d, s = "j.data", "j.data.stat"
-    b = b.select("platform", *[c.alias(n) for n, c in zip(_VIDEO, (
+    b = b.select(*keep, "ok", *[c.alias(n) for n, c in zip(_VIDEO, (
         optional_identifier(F.col(f"{d}.bvid")), optional_identifier(F.col(f"{d}.owner.mid")), F.col(f"{d}.title"), F.col(f"{d}.desc"), from_unix(F.col(f"{d}.pubdate")), optional_count(F.col(f"{d}.duration")),
         *[optional_count(F.col(f"{s}.{x}")) for x in ("reply", "view", "like", "favorite", "share")], F.lit(None).cast("bigint")))])
-    y = pages.where("platform = 'douyin'").withColumn("j", F.from_json("body", D_VIDEO)).where("j.status_code = 0")
+    y = pages.where("platform = 'douyin'").withColumn("j", F.from_json("body", D_VIDEO)).withColumn("ok", F.col("j.status_code") == 0)
     d, s = "j.aweme_detail", "j.aweme_detail.statistics"
-    y = y.select("platform", *[c.alias(n) for n, c in zip(_VIDEO, (
+    y = y.select(*keep, "ok", *[c.alias(n) for n, c in zip(_VIDEO, (
         optional_identifier(F.col(f"{d}.aweme_id")), F.coalesce(optional_identifier(F.col(f"{d}.author.sec_uid")), optional_identifier(F.col(f"{d}.author.uid"))), F.col(f"{d}.desc"), F.col(f"{d}.desc"), from_unix(F.col(f"{d}.create_time")),
         F.floor(optional_count(F.col(f"{d}.duration")) / 1000).cast("bigint"), *[optional_count(F.col(f"{s}.{x}")) for x in ("comment_count", "play_count", "digg_count", "collect_count", "share_count")],
         optional_count(F.col(f"{d}.author.follower_count"))))])
-    return b.unionByName(y).where("raw_video_id is not null and raw_author_id is not null")
+    holds = F.coalesce("ok", F.lit(False)) & F.col("raw_video_id").isNotNull() & F.col("raw_author_id").isNotNull() & _text(F.col("title")).isNotNull()
+    both = b.unionByName(y).withColumn("code", F.when(~holds, _SHAPE))
+    return both.select(*keep, *[F.when(F.col("code").isNull(), F.col(c)).alias(c) for c in _VIDEO], "code")
+
+
+def reported_counts(pages: DataFrame) -> DataFrame:
+    """(platform, raw_video_id, total_comment_count) of the videos whose metadata page states a count; the largest of several."""
+    stated = videos(pages).where("total_comment_count is not null")
+    return stated.groupBy("platform", "raw_video_id").agg(F.max("total_comment_count").alias("total_comment_count"))
 
 
 def candidates(pages: DataFrame) -> DataFrame:
