@@ -13,10 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadquarry.functions import scalars
-from threadquarry.operators import checks, labels, merging, profiling, ranking, verification
+from threadquarry.operators import cache, checks, labels, merging, model_step, profiling, ranking, verification
 from threadquarry.plans.reference_sql import _LABELS, _QUALITY
 from threadquarry.runtime import Scratch, table
-from threadquarry.sources import payloads
+from threadquarry.sources import payloads, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -407,3 +407,183 @@ def set_equality(s, d):
     a = table(s, d, "raw_videos").where("raw_video_id is not null").select(F.col("raw_video_id").alias("v"))
     b = table(s, d, "dataset_splits").select(F.explode("development").alias("v")).where("v is not null")
     return checks.set_difference(b, a, "split", ["v"], "not_listed", "only_listed")
+
+
+# ---------------------------------------------------------------- budgets, caches, reports
+
+_ATTEMPTS = """held AS (SELECT plan_id, item_id, estimated_input_tokens AS t FROM batch_items WHERE plan_id IS NOT NULL AND item_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY plan_id, item_id ORDER BY estimated_at DESC NULLS LAST, estimated_input_tokens DESC NULLS LAST) = 1),
+att AS MATERIALIZED (SELECT plan_id AS scope, row_number() OVER (PARTITION BY plan_id ORDER BY item_id) AS attempt, CASE item_id % 3 WHEN 1 THEN t - 1 WHEN 2 THEN t + (item_id % 50 = 2)::INT END AS i, CASE WHEN item_id % 4 <> 0 THEN 5 END AS o, t AS ri, 10 AS ro, item_id FROM held WHERE t > 1),
+lim AS (SELECT plan_id AS scope, 30 AS mc, signal_input_limit AS mi, 200 AS mo FROM batch_plans WHERE plan_id IS NOT NULL)"""
+
+
+def _attempts(s: SparkSession, d: str) -> DataFrame:
+    held = table(s, d, "batch_items").where("plan_id is not null and item_id is not null").groupBy("plan_id", "item_id").agg(F.max(F.struct("estimated_at", "estimated_input_tokens")).alias("r"))
+    held = held.select(F.col("plan_id").alias("scope"), "item_id", F.col("r.estimated_input_tokens").alias("t")).where("t > 1")
+    i = F.when(F.col("item_id") % 3 == 1, F.col("t") - 1).when(F.col("item_id") % 3 == 2, F.col("t") + (F.col("item_id") % 50 == 2).cast("int"))
+    return held.select("scope", F.row_number().over(W.partitionBy("scope").orderBy("item_id")).alias("attempt"), i.alias("input_tokens"), F.when(F.col("item_id") % 4 != 0, 5).alias("output_tokens"), F.col("t").alias("reserved_input"), F.lit(10).alias("reserved_output"), "item_id")
+
+
+@query(f"""WITH RECURSIVE {_ATTEMPTS},
+a AS MATERIALIZED (SELECT * FROM att JOIN lim USING (scope)),
+w AS (SELECT scope, 0::BIGINT AS attempt, 0::BIGINT AS calls, 0::BIGINT AS inp, 0::BIGINT AS outp, 0::BIGINT AS cb, 0::BIGINT AS ib, 0::BIGINT AS ob, NULL::VARCHAR AS refused, NULL::VARCHAR AS exceeded FROM lim
+UNION ALL SELECT scope, attempt, calls + (refused IS NULL)::INT, inp + CASE WHEN refused IS NULL THEN ai ELSE 0 END, outp + CASE WHEN refused IS NULL THEN ao ELSE 0 END, calls, inp, outp, refused,
+  CASE WHEN refused IS NULL THEN CASE WHEN ai > ri OR inp + ai > mi THEN 'input_tokens' WHEN ao > ro OR outp + ao > mo THEN 'output_tokens' END END
+  FROM (SELECT a.*, w.calls, w.inp, w.outp, coalesce(i, ri) AS ai, coalesce(o, ro) AS ao, CASE WHEN w.calls + 1 > mc THEN 'model_calls' WHEN w.inp + ri > mi THEN 'input_tokens' WHEN w.outp + ro > mo THEN 'output_tokens' END AS refused
+    FROM w JOIN a ON a.scope = w.scope AND a.attempt = w.attempt + 1))
+SELECT scope, attempt, cb AS calls_before, ib AS input_before, ob AS output_before, refused, exceeded FROM w WHERE attempt > 0""")
+def budget(s, d):
+    """Items of a plan as attempts in order: what each found used, and what it broke."""
+    limits = table(s, d, "batch_plans").where("plan_id is not null").select(F.col("plan_id").alias("scope"), F.lit(30).alias("max_calls"), F.col("signal_input_limit").alias("max_input"), F.lit(200).alias("max_output"))
+    return model_step.replay_budget(_attempts(s, d), limits).select("scope", "attempt", "calls_before", "input_before", "output_before", "refused", "exceeded")
+
+
+@query(f"""WITH {_ATTEMPTS} SELECT scope, count(*) FILTER (WHERE item_id % 5 <> 0) AS calls, coalesce(sum(coalesce(i, ri)) FILTER (WHERE item_id % 5 <> 0), 0)::BIGINT AS input_tokens, coalesce(sum(coalesce(o, ro)) FILTER (WHERE item_id % 5 <> 0), 0)::BIGINT AS output_tokens,
+  count(*) FILTER (WHERE item_id % 5 = 0) AS calls_reserved, coalesce(sum(ri) FILTER (WHERE item_id % 5 = 0), 0)::BIGINT AS input_reserved, coalesce(sum(ro) FILTER (WHERE item_id % 5 = 0), 0)::BIGINT AS output_reserved FROM att GROUP BY 1""")
+def budget_snapshots(s, d):
+    """What each plan has used, and what its open attempts (every fifth item) hold."""
+    return verification.budget_snapshot(_attempts(s, d).withColumn("status", F.when(F.col("item_id") % 5 == 0, "open").otherwise("done")))
+
+
+_KEYS = """SELECT plan_id, stage, platform, sha256(to_json({'batch_manifest_hash': sha256(to_json({'fixed_input_tokens': fixed_input_tokens, 'per_call_input_limit': per_call_input_limit})::VARCHAR), 'identity_verification_required': false, 'model_config_ref': 'c',
+  'model_name': NULL::VARCHAR, 'model_revision': NULL::VARCHAR, 'normalized_input_hash': sha256(to_json({'plan_id': plan_id, 'video_id': video_id})::VARCHAR), 'prompt_version': 'p', 'rules_version': 'r', 'sampling_policy_version': 's', 'schema_version': '1', 'stage': stage})::VARCHAR) AS key FROM batch_plans"""
+
+
+def _keys(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "batch_plans").withColumn("batch_manifest_hash", cache.batch_manifest_hash("fixed_input_tokens", "per_call_input_limit")).withColumn("normalized_input_hash", verification.digest("plan_id", "video_id"))
+    fixed = {"sampling_policy_version": "s", "rules_version": "r", "prompt_version": "p", "schema_version": "1", "model_config_ref": "c"}
+    p = p.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("identity_verification_required", F.lit(False))
+    return p.select("plan_id", "stage", "platform", "video_id", cache.stage_key("model_name", "model_revision").alias("key"))
+
+
+@query(_KEYS)
+def stage_keys(s, d):
+    return _keys(s, d).select("plan_id", "stage", "platform", "key")
+
+
+@query(f"""WITH k AS ({_KEYS}), o AS (SELECT *, row_number() OVER (ORDER BY plan_id) AS r FROM k)
+SELECT plan_id, stage, CASE WHEN stage <> 'signal' OR r % 3 = 0 THEN 'miss' WHEN r % 3 = 1 THEN 'hit' ELSE 'expired' END AS event FROM o""")
+def cache_probe(s, d):
+    """Entries for two of three keys of one stage, put twice, half of them expired: hits, misses and what is dead."""
+    k = Scratch(s, "probe").keep(_keys(s, d).withColumn("r", F.row_number().over(W.orderBy("plan_id"))), "keys")
+    entries = lambda at: k.where("stage = 'signal' and r % 3 > 0").select("key", "stage", F.lit("{}").alias("payload"), F.lit("h").alias("result_hash"), F.array().cast("array<string>").alias("sources"), at.alias("expires_at"))
+    day = lambda n: F.expr(f"TIMESTAMP '2026-06-{n:02d} 00:00:00'")
+    held = cache.put(cache.put(None, entries(day(1))), entries(F.when(F.col("r") % 3 == 1, day(21)).otherwise(day(20))))
+    return cache.probe(k.select("key", "stage", "plan_id"), held, day(20)).select("plan_id", "stage", "event")
+
+
+_SAID = """s AS MATERIALIZED (SELECT label_seq, video_id, comment_id, signal_kind AS kind, trim(regexp_replace(nfc_normalize(normalized_need), """ + r"'[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'" + """, ' ', 'g')) AS summary FROM comment_labels
+  WHERE video_id IS NOT NULL AND comment_id IS NOT NULL AND signal_kind IS NOT NULL AND normalized_need IS NOT NULL QUALIFY row_number() OVER (PARTITION BY video_id, comment_id ORDER BY label_seq) = 1),
+v AS (SELECT video_id, count(*) AS n, min(label_seq) AS k FROM s GROUP BY 1)"""
+
+
+def _said(s: SparkSession, d: str) -> DataFrame:
+    l = table(s, d, "comment_labels").where("video_id is not null and comment_id is not null and signal_kind is not null and normalized_need is not null")
+    return l.groupBy("video_id", "comment_id").agg(F.min_by(F.struct(F.col("signal_kind").alias("kind"), scalars.summary_text(F.col("normalized_need")).alias("summary")), "label_seq").alias("r"), F.min("label_seq").alias("label_seq")).select("video_id", "comment_id", "r.*", "label_seq")
+
+
+@query(f"WITH {_SAID} SELECT video_id, CASE k % 6 WHEN 0 THEN 'result_hash_mismatch' WHEN 1 THEN 'sources_differ' WHEN 2 THEN 'payload_invalid' WHEN 3 THEN 'reference_invalid' WHEN 4 THEN 'identity_invalid' END AS code FROM v WHERE k % 6 < 5")
+def cached_signals(s, d):
+    """Cached signals of each video's labels, spoilt in each way that reading them must notice."""
+    said = Scratch(s, "said").keep(_said(s, d).withColumn("signal_id", scalars.signal_id(F.col("comment_id"), F.col("kind"), F.col("summary"), "v1")), "said")
+    k = said.groupBy("video_id").agg(F.min("label_seq").alias("k"), F.array_sort(F.collect_set("comment_id")).alias("expected"))
+    spoilt = said.join(k.select("video_id", F.col("k") % 6), "video_id").withColumnRenamed("(k % 6)", "m")
+    spoilt = spoilt.withColumn("signal_id", F.when(F.col("m") == 4, F.concat("signal_id", F.lit("x"))).otherwise(F.col("signal_id"))).withColumn("comment_id", F.when(F.col("m") == 3, F.concat("comment_id", F.lit("-other"))).otherwise(F.col("comment_id")))
+    members = said.select(F.col("video_id").alias("batch_id"), "comment_id", F.expr("TIMESTAMP '2026-06-30 00:00:00'").alias("expires_at"))
+    entries = cache.signal_entries(k.select(F.col("video_id").alias("key"), F.col("video_id").alias("batch_id")), members, spoilt.select(F.col("video_id").alias("batch_id"), "signal_id", "comment_id", "kind", "summary"))
+    hits = entries.join(k.select(F.col("video_id").alias("key"), "expected", (F.col("k") % 6).alias("m")), "key")
+    payload = F.when(F.col("m") == 2, F.lit("[1")).otherwise(F.col("payload"))
+    hits = hits.withColumn("payload", payload).withColumn("result_hash", F.when(F.col("m") == 0, "0").otherwise(F.sha2("payload", 256))).withColumn("sources", F.when(F.col("m") == 1, F.array(F.lit("z"))).otherwise(F.col("sources")))
+    return cache.signal_faults(hits, "v1").withColumnRenamed("key", "video_id")
+
+
+@query(f"WITH {_SAID} SELECT video_id, CASE k % 5 WHEN 0 THEN 'result_hash_mismatch' WHEN 1 THEN 'sources_differ' WHEN 2 THEN 'cover_not_exact' WHEN 3 THEN 'identity_invalid' END AS code FROM v WHERE k % 5 < 4")
+def cached_clusters(s, d):
+    """Cached clusters likewise: one cluster a video, of all its labelled comments."""
+    said = _said(s, d)
+    k = said.groupBy("video_id").agg(F.min("label_seq").alias("k"), F.array_sort(F.collect_set("comment_id")).alias("expected"))
+    m = F.col("k") % 5
+    ids = F.when(m == 2, F.slice("expected", F.lit(2), F.size("expected"))).otherwise(F.col("expected"))
+    c = k.select("video_id", "k", "expected", ids.alias("comment_ids"), F.lit("what they need").alias("summary"))
+    c = c.withColumn("cluster_id", F.concat(scalars.cluster_id(F.col("comment_ids"), F.col("summary"), "v1"), F.when(F.col("k") % 5 == 3, "x").otherwise("")))
+    members = said.select("video_id", "comment_id", F.expr("TIMESTAMP '2026-06-30 00:00:00'").alias("expires_at"))
+    entries = cache.cluster_entries(k.select(F.col("video_id").alias("key"), "video_id"), members, c.select("video_id", "cluster_id", "comment_ids", "summary"))
+    hits = entries.join(k.select(F.col("video_id").alias("key"), "expected", m.alias("m")), "key")
+    hits = hits.withColumn("result_hash", F.when(F.col("m") == 0, "0").otherwise(F.col("result_hash"))).withColumn("sources", F.when(F.col("m") == 1, F.array(F.lit("z"))).otherwise(F.col("sources")))
+    return cache.cluster_faults(hits, "v1").withColumnRenamed("key", "video_id")
+
+
+@query(f"WITH {_SAID} SELECT video_id, sha256(string_agg(sha256(to_json({{'comment_id': comment_id, 'kind': kind, 'summary': summary}})::VARCHAR), ',' ORDER BY label_seq)) AS digest FROM s GROUP BY 1")
+def input_digests(s, d):
+    """The digest of each video's stated needs in order: what a stage's key says of its input."""
+    return verification.group_digest(_said(s, d), ["video_id"], ["comment_id", "kind", "summary"], "label_seq")
+
+
+@query("""WITH e AS (SELECT split_id AS name, unnest(development) AS code FROM dataset_splits UNION SELECT split_id, unnest(calibration) FROM dataset_splits),
+o AS (SELECT split_id AS name, unnest(development) AS code FROM dataset_splits WHERE len(development) % 2 = 0 UNION SELECT split_id, unnest(calibration) FROM dataset_splits)
+SELECT count(*) AS checked, count(*) FILTER (WHERE x.c IS DISTINCT FROM y.c) AS failed FROM (SELECT name, list_sort(list(DISTINCT code)) AS c FROM e GROUP BY 1) x LEFT JOIN (SELECT name, list_sort(list(DISTINCT code)) AS c FROM o GROUP BY 1) y USING (name)""")
+def fixture_report(s, d):
+    """Split runs as cases: the codes each should give against those it gave."""
+    t = table(s, d, "dataset_splits")
+    cal = t.select(F.col("split_id").alias("name"), F.explode("calibration").alias("code"))
+    dev = lambda df: df.select(F.col("split_id").alias("name"), F.explode("development").alias("code"))
+    return verification.fixture_report(dev(t).unionByName(cal), dev(t.where(F.size("development") % 2 == 0)).unionByName(cal))
+
+
+@query("""SELECT manifest_id, CASE WHEN pages_succeeded % 3 = 0 THEN 'rate_limited' WHEN pages_succeeded % 3 = 1 THEN 'collection_error' END AS category, pages_succeeded = pages_requested AS complete FROM sampling_manifests""")
+def run_report(s, d):
+    """A run's report: categories that it may name, and whether all pages came."""
+    m = table(s, d, "sampling_manifests").withColumn("status", F.when(F.col("pages_succeeded") % 3 == 0, "rate_limited").when(F.col("pages_succeeded") % 3 == 1, "cookie of somebody"))
+    path = Scratch(s, "report").path("report")
+    sinks.write_report(m.select("manifest_id", F.when(F.col("status").isNotNull(), verification.masked(F.col("status"), ["rate_limited", "timeout"])).alias("category"), (F.col("pages_succeeded") == F.col("pages_requested")).alias("complete")), path)
+    return s.read.schema("manifest_id string, category string, complete boolean").json(path)
+
+
+@query("""WITH p AS (SELECT platform, raw_video_id, title, duration_seconds, capture_seq FROM raw_videos QUALIFY row_number() OVER (PARTITION BY platform, raw_video_id ORDER BY capture_seq) = 1),
+a AS (SELECT * FROM p WHERE capture_seq % 3 > 0), b AS (SELECT * FROM p WHERE capture_seq % 3 < 2)
+SELECT platform, raw_video_id, CASE WHEN capture_seq % 3 = 0 OR title IS NULL THEN 'page of ' || raw_video_id WHEN capture_seq % 3 = 1 AND title IS NULL THEN 'page of ' || raw_video_id ELSE title END AS title, CASE WHEN capture_seq % 3 = 0 THEN duration_seconds + 1 WHEN capture_seq % 3 = 1 THEN coalesce(duration_seconds, NULL) ELSE duration_seconds END AS duration_seconds FROM p
+WHERE platform IS NOT NULL AND raw_video_id IS NOT NULL""")
+def filled_videos(s, d):
+    """Videos from payloads, from their page where there is none, and from both."""
+    p = merging.first_per_key(table(s, d, "raw_videos"), ["platform", "raw_video_id"], "capture_seq").where("platform is not null and raw_video_id is not null").select("platform", "raw_video_id", "title", "duration_seconds", "capture_seq")
+    page = p.where("capture_seq % 3 < 2").select("platform", "raw_video_id", F.concat(F.lit("page of "), "raw_video_id").alias("title"), (F.col("duration_seconds") + 1).alias("duration_seconds"))
+    return verification.fill_videos(p.where("capture_seq % 3 > 0").drop("capture_seq"), page, ["platform", "raw_video_id"])
+
+
+# ---------------------------------------------------------------- sinks
+
+
+@query("""SELECT platform, raw_video_id, capture_seq, title FROM raw_videos WHERE platform IS NOT NULL QUALIFY row_number() OVER (PARTITION BY platform, raw_video_id ORDER BY capture_seq) = 1""")
+def generations(s, d):
+    """Videos committed as a version, a second version that its check refuses, a third that may only create, and what a failed write
+    left removed: readers still see the first."""
+    v = merging.first_per_key(table(s, d, "raw_videos").where("platform is not null"), ["platform", "raw_video_id"], "capture_seq").select("platform", "raw_video_id", "capture_seq", "title")
+    scratch = Scratch(s, "generations")
+    g = sinks.Generations(s, scratch.path("videos"))
+    g.commit(v, create_only=True, partition_by=["platform"])
+    for kwargs in ({"check": lambda df: checks.require_none(df.select(F.lit("video").alias("entity"), F.col("raw_video_id").alias("key"), F.lit("no").alias("code")))}, {"create_only": True}):
+        try:
+            g.commit(v.limit(1), **kwargs)
+            raise AssertionError("a refused version was published")
+        except (ValueError, FileExistsError):
+            pass
+    v.limit(1).write.parquet(f"{g.root}/vlost")
+    if g.recover() != 1:
+        raise AssertionError("what an interrupted write left is still there")
+    return g.read().select("platform", "raw_video_id", "capture_seq", "title")
+
+
+@query("""SELECT split_id, unnest([1, 2])::INT AS run, len(development)::BIGINT AS videos FROM dataset_splits""")
+def audit_trail(s, d):
+    """Audit rows appended twice; a table whose fields, or keys of maps, are sensitive is refused before anything is written."""
+    path = Scratch(s, "audit").path("audit")
+    t = table(s, d, "dataset_splits").select("split_id", F.size("development").cast("bigint").alias("videos"))
+    for i in (1, 2):
+        sinks.append_audit(t.withColumn("run", F.lit(i)), path)
+    for bad in (t.withColumn("x", F.struct(F.lit("a").alias("access_token"))), t.withColumn("x", F.create_map(F.lit("Cookie"), F.lit("a")))):
+        try:
+            sinks.append_audit(bad, path)
+            raise AssertionError("sensitive keys were written")
+        except ValueError:
+            pass
+    return s.read.schema("split_id string, run int, videos bigint").json(path).select("split_id", "run", "videos")

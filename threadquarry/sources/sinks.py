@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 #: Parts of keys that an audit must not hold.
@@ -36,9 +37,22 @@ def append_audit(df: DataFrame, path: str) -> None:
     bad = sensitive_keys(df.schema)
     if bad:
         raise ValueError(f"sensitive audit keys: {', '.join(sorted(bad))}")
+    for column in [f.name for f in df.schema.fields if isinstance(f.dataType, MapType)]:
+        named = df.select(F.explode(F.map_keys(column)).alias("k")).where(" or ".join(f"lower(cast(k as string)) like '%{x}%'" for x in SENSITIVE))
+        if not named.isEmpty():
+            raise ValueError(f"sensitive audit keys in {column}")
     df.write.mode("append").json(path)
 
 
+def write_report(df: DataFrame, path: str) -> None:
+    """Write a report once: a path that exists is refused, sensitive fields are refused before anything is written, null fields are
+    written as such."""
+    bad = sensitive_keys(df.schema)
+    if bad:
+        raise ValueError(f"sensitive report keys: {', '.join(sorted(bad))}")
+    df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+
+
 class Generations:
     """Versions of a table below a root. A version is written and checked in full before the pointer names it, so readers see
     the old one or the new one and a failed write leaves the old one in force."""
