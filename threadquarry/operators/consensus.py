@@ -49,3 +49,10 @@ def decide(members: DataFrame, comments: DataFrame, videos: DataFrame) -> DataFr
 def earliest_expiry(members: DataFrame, comments: DataFrame) -> DataFrame:
     """When a cluster's cached result expires: with the first of its members."""
     return members.distinct().join(comments, ["video_id", "comment_id"]).groupBy("video_id", "cluster_id").agg((F.min("first_collected_at") + F.expr(LIFETIME)).alias("expires_at"))
+
+
+def fingerprints(comments: DataFrame, at: Column, key: list[str], parts: list[str], first: str = "first_collected_at") -> DataFrame:
+    """What outlives comments: key, the digest of their parts, and whether they are alive at ``at``. Texts may go when they expire,
+    fingerprints stay, so that a comment that comes again is known."""
+    digest = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(p), F.lit("")) for p in parts]), 256)
+    return comments.select(*key, digest.alias("fingerprint"), ((F.col(first) <= at) & (F.col(first) > at - F.expr(LIFETIME))).alias("alive"))

@@ -13,10 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadquarry.functions import scalars
-from threadquarry.operators import cache, checks, labels, merging, model_step, profiling, ranking, verification
+from threadquarry.operators import analysis, cache, checks, consensus, labels, merging, model_step, profiling, ranking, verification
 from threadquarry.plans.reference_sql import _LABELS, _QUALITY
 from threadquarry.runtime import Scratch, table
-from threadquarry.sources import payloads, sinks
+from threadquarry.sources import files, payloads, sinks
+from threadquarry.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -539,9 +540,8 @@ def run_report(s, d):
     return s.read.schema("manifest_id string, category string, complete boolean").json(path)
 
 
-@query("""WITH p AS (SELECT platform, raw_video_id, title, duration_seconds, capture_seq FROM raw_videos QUALIFY row_number() OVER (PARTITION BY platform, raw_video_id ORDER BY capture_seq) = 1),
-a AS (SELECT * FROM p WHERE capture_seq % 3 > 0), b AS (SELECT * FROM p WHERE capture_seq % 3 < 2)
-SELECT platform, raw_video_id, CASE WHEN capture_seq % 3 = 0 OR title IS NULL THEN 'page of ' || raw_video_id WHEN capture_seq % 3 = 1 AND title IS NULL THEN 'page of ' || raw_video_id ELSE title END AS title, CASE WHEN capture_seq % 3 = 0 THEN duration_seconds + 1 WHEN capture_seq % 3 = 1 THEN coalesce(duration_seconds, NULL) ELSE duration_seconds END AS duration_seconds FROM p
+@query("""WITH p AS (SELECT platform, raw_video_id, title, duration_seconds, capture_seq FROM raw_videos QUALIFY row_number() OVER (PARTITION BY platform, raw_video_id ORDER BY capture_seq) = 1)
+SELECT platform, raw_video_id, CASE capture_seq % 3 WHEN 0 THEN 'page of ' || raw_video_id WHEN 1 THEN coalesce(title, 'page of ' || raw_video_id) ELSE title END AS title, duration_seconds + (capture_seq % 3 = 0)::INT AS duration_seconds FROM p
 WHERE platform IS NOT NULL AND raw_video_id IS NOT NULL""")
 def filled_videos(s, d):
     """Videos from payloads, from their page where there is none, and from both."""
@@ -587,3 +587,199 @@ def audit_trail(s, d):
         except ValueError:
             pass
     return s.read.schema("split_id string, run int, videos bigint").json(path).select("split_id", "run", "videos")
+
+
+# ---------------------------------------------------------------- directories
+
+#: Rows of one captured directory.
+FOLDER = 4_000
+_LINE = list(payloads.LINE_FIELDS)
+_ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+
+
+def _folders(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """Directories of the comments below platform/video-block/, written by the workers: (root, one row per directory)."""
+    c = table(s, d, "raw_comments").where("platform is not null and raw_video_id is not null and raw_comment_id is not null").where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
+    k = F.floor(F.col("arrival_seq") / FOLDER)
+    line = F.struct("arrival_seq", F.to_json(F.struct(*[F.date_format(x, _ISO).alias(x) if x in ("published_at", "collected_at") else F.col(x) for x in _LINE]), {"ignoreNullFields": "false"}).alias("line"))
+    f = c.withColumn("k", k).groupBy("platform", "raw_video_id", "k").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.max(F.crc32("raw_video_id")).alias("h"))
+    f = f.withColumn("m", F.col("h") + F.col("k")).withColumn("folder", F.concat_ws("-", "raw_video_id", F.col("k").cast("string")))
+    video = F.to_json(F.struct("platform", F.when(F.col("m") % 5 == 0, "another").otherwise(F.col("folder")).alias("raw_video_id"), F.lit("t").alias("title"), F.col("k").alias("view_count")))
+    total = F.size("lines") + (F.col("m") % 7 == 0).cast("int")
+    coll = F.when(F.col("m") % 6 == 0, F.to_json(F.struct(F.lit("1.1").alias("collection_schema_version"), total.alias("collected_total")))).otherwise(F.to_json(F.struct(F.lit("1.1").alias("collection_schema_version"), F.lit(0).alias("exact_duplicate_count"), total.alias("collected_total"))))
+    text = F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
+    files = f.select("platform", "folder", video.alias("video"), text.alias("comments"), F.when(F.col("m") % 11 != 0, coll).alias("collection"))
+    root = Scratch(s, "folders").path("raw")
+
+    def write(batches):
+        from pyarrow import fs
+
+        target, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for r in b.to_pylist():
+                at = f"{base}/{r['platform']}/{r['folder']}"
+                target.create_dir(at, recursive=True)
+                for name, body in (("video.json", r["video"]), ("comments.jsonl", r["comments"]), ("collection.json", r["collection"])):
+                    if body is not None:
+                        with target.open_output_stream(f"{at}/{name}") as out:
+                            out.write(body.encode())
+            yield b.select(["folder"])
+
+    if files.mapInArrow(write, "folder string").count() == 0:
+        raise ValueError("no comments to lay out")
+    return root, f.select("platform", "folder", "k", "m")
+
+
+_FOLDERS = rf"""c AS (SELECT *, arrival_seq // {FOLDER} AS k FROM raw_comments WHERE platform IS NOT NULL AND raw_video_id IS NOT NULL AND raw_comment_id IS NOT NULL AND NOT {_BLANK}),
+l AS MATERIALIZED (SELECT *, raw_video_id || '-' || k AS folder, row_number() OVER (PARTITION BY platform, raw_video_id, k ORDER BY arrival_seq) AS line_number FROM c),
+f AS MATERIALIZED (SELECT platform, folder, k, count(*) AS n FROM l GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_FOLDERS} SELECT platform, folder AS raw_video_id, line_number, raw_comment_id, text, like_count, NULL::VARCHAR AS code FROM l")
+def folder_lines(s, d):
+    """Every line of every directory, in order."""
+    root, _ = _folders(s, d)
+    return files.comment_lines(s, root).select("platform", "raw_video_id", F.col("line_number").cast("bigint").alias("line_number"), F.col("l_raw_comment_id").alias("raw_comment_id"), F.col("l_text").alias("text"), F.col("l_like_count").alias("like_count"), "code")
+
+
+@query(f"WITH {_FOLDERS} SELECT platform, folder AS raw_video_id, 't' AS title, k AS view_count, NULL::VARCHAR AS code FROM f")
+def folder_videos(s, d):
+    root, _ = _folders(s, d)
+    return files.whole_json(s, root, "video.json", files.VIDEO).select("platform", "raw_video_id", F.col("j.title").alias("title"), F.col("j.view_count").alias("view_count"), "code")
+
+
+@query(f"""WITH {_FOLDERS} SELECT 'sound' AS kind, count(*) AS folders FROM f UNION ALL SELECT 'repeats', count(DISTINCT (platform, folder)) FROM (SELECT platform, folder FROM l GROUP BY platform, folder, raw_comment_id HAVING count(*) > 1)
+UNION ALL SELECT 'replies', count(DISTINCT (platform, folder)) FROM l WHERE raw_parent_comment_id = raw_comment_id UNION ALL SELECT 'spoilt', 0""")
+def folder_faults(s, d):
+    """Directories checked: as many as there are, those whose comments repeat or answer themselves, and those that were spoilt on
+    purpose without being noticed, or noticed without having been (none)."""
+    root, f = _folders(s, d)
+    f = Scratch(s, "faults").keep(f, "folders")
+    bad = Scratch(s, "faults").keep(files.bundle_violations(s, root), "bad")
+    m = F.col("m")
+    spoilt = {"identity_mismatch": m % 5 == 0, "unexpected_files": m % 11 == 0, "total_mismatch": (m % 7 == 0) & (m % 11 != 0), "version_pair_incomplete": (m % 6 == 0) & (m % 11 != 0)}
+    want = f.select("platform", F.col("folder").alias("raw_video_id"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in spoilt.items()]))).alias("code"))
+    got = bad.where(F.col("code").isin(*spoilt))
+    off = want.exceptAll(got).unionByName(got.exceptAll(want))
+    count = lambda df, kind: df.agg(F.count("*").alias("folders")).select(F.lit(kind).alias("kind"), "folders")
+    return count(f, "sound").unionByName(count(bad.where("code = 'duplicate_comment_id'"), "repeats")).unionByName(count(bad.where("code = 'replies_to_itself'"), "replies")).unionByName(count(off, "spoilt"))
+
+
+@query(f"WITH {_FOLDERS} SELECT platform, folder AS raw_video_id FROM f WHERE k % 2 = 1")
+def unapproved_folders(s, d):
+    """Directories that the allow-list, a file of its own, doesn't name."""
+    root, f = _folders(s, d)
+    listed = f.where("k % 2 = 0").select("platform", F.col("folder").alias("video_key"), F.lit("https://example.org/").alias("url"), F.lit("life_services").alias("direction"), F.lit("up_to_200").alias("comment_scale"))
+    path = Scratch(s, "plan").path("plan")
+    listed.agg(F.collect_list(F.struct(*listed.columns)).alias("videos")).select(F.lit("1").alias("manifest_version"), "videos").write.json(path)  # an allow-list is one small file
+    return files.unapproved(files.listing(s, root), files.approved(s, path))
+
+
+# ---------------------------------------------------------------- redaction
+
+_W = r"\p{L}\p{N}_"
+
+
+def _twice(column: str, pattern: str, mark: str) -> str:
+    """A rule whose neighbours are captured and put back; twice, since neighbouring matches share one."""
+    once = lambda x: f"regexp_replace({x}, '{pattern}', '\\1{mark}\\2', 'g')"
+    return once(once(column))
+
+
+_S = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}\x{0b}]"
+_RULES = [
+    ("email", rf"(?i)(^|[^{_W}.+-])[{_W}.+-]+@[{_W}-]+(?:\.[{_W}-]+)+($|[^{_W}.-])", "[EMAIL]"),
+    ("phone", r"(^|[^\p{Nd}])1[3-9]\p{Nd}{9}($|[^\p{Nd}])", "[PHONE]"),
+    ("identity", r"(^|[^\p{Nd}])\p{Nd}{17}[\p{Nd}Xx]($|[^\p{Nd}])", "[IDENTIFIER]"),
+    ("handle", rf"(?i)(^|[^a-z0-9_])(?:(?:微信号?|wx|vx|v信|私信|qq号)(?:[:：]|{_S})*|qq(?:[:：]|{_S})+)[a-z0-9_-]{{5,32}}($|[^a-z0-9_-])", "[HANDLE]"),
+    ("at", r"(?i)()@[a-z0-9_][a-z0-9_-]{1,31}($|[^a-z0-9_-])", "[HANDLE]"),
+    ("address", rf"()地址[:：]{_S}*[^，,。\n]{{4,80}}($|[，,。\n])", "[ADDRESS]"),
+    ("precise", rf"()[\x{{4e00}}-\x{{9fff}}]{{2,}}(?:路|街|巷){_S}*\p{{Nd}}+{_S}*号()", "[ADDRESS]"),
+]
+
+
+def _redaction_sql() -> str:
+    steps = [rf"r0 AS MATERIALIZED (SELECT arrival_seq, regexp_replace(nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g')), '^{_S}+|{_S}+$', '', 'g') AS t0 FROM raw_comments)"]
+    for i, (name, pattern, mark) in enumerate(_RULES, 1):
+        count = f"((length(t{i}) - length(replace(t{i}, '{mark}', ''))) - (length(t{i - 1}) - length(replace(t{i - 1}, '{mark}', '')))) // {len(mark)}"
+        steps.append(f"s{i} AS (SELECT *, {_twice(f't{i - 1}', pattern, mark)} AS t{i} FROM r{i - 1}), r{i} AS MATERIALIZED (SELECT *, coalesce({count}, 0) AS n{i} FROM s{i})")
+    return "WITH " + ",\n".join(steps)
+
+
+SQL["ref_redacted"] = _redaction_sql() + " SELECT arrival_seq, t7 AS redacted, n1 AS n_email, n2 AS n_phone, n3 AS n_identity, n4 + n5 AS n_handle, n6 + n7 AS n_address, n7 > 0 AS review FROM r7"
+SQL["ref_redaction_counts"] = _redaction_sql() + " SELECT sum(n1)::BIGINT AS n_email, sum(n2)::BIGINT AS n_phone, sum(n3)::BIGINT AS n_identity, sum(n4 + n5)::BIGINT AS n_handle, sum(n6 + n7)::BIGINT AS n_address, count(*) FILTER (WHERE n7 > 0) AS reviews FROM r7"
+
+
+# ---------------------------------------------------------------- layers
+
+WORDS = {"闪退": "pain", "白屏": "pain", "希望": "need", "wish": "need"}
+_WORD = "CASE " + " ".join(f"WHEN text LIKE '%{w}%' THEN '{w}'" for w in WORDS) + " END"
+
+
+@query(f"""WITH f AS (SELECT raw_video_id AS video_id, raw_comment_id AS comment_id, arg_min_null(text, arrival_seq) AS text FROM raw_comments WHERE raw_video_id IS NOT NULL AND raw_comment_id IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT video_id, comment_id, {_WORD} AS summary FROM f)
+SELECT video_id, summary, count(*) AS comments, 'clu_' || left(sha256(string_agg(comment_id, chr(31) ORDER BY comment_id) || chr(30) || summary || chr(30) || 'v1'), 24) AS cluster_id FROM w WHERE summary IS NOT NULL GROUP BY 1, 2""")
+def cluster_layers(s, d):
+    """Signals of all comments that hold one of a few words, merged in layers of small calls until each video has one batch."""
+    c = table(s, d, "raw_comments").where("raw_video_id is not null and raw_comment_id is not null").groupBy(F.col("raw_video_id").alias("video_id"), F.col("raw_comment_id").alias("comment_id")).agg(F.min_by("text", "arrival_seq").alias("text"))
+    word = F.coalesce(*[F.when(F.col("text").contains(w), F.lit(w)) for w in WORDS])
+    signals = c.withColumn("summary", word).where("summary is not null").withColumn("kind", F.element_at(F.create_map(*[F.lit(x) for kv in WORDS.items() for x in kv]), F.col("summary")))
+    signals = signals.select("video_id", scalars.signal_id(F.col("comment_id"), F.col("kind"), F.col("summary"), "v1").alias("signal_id"), "comment_id", "kind", "summary")
+    state = signals.select("video_id").distinct().select("video_id", F.lit(1_500).alias("per_call"), F.lit(10_000).alias("max_calls"), F.lit(100_000_000).alias("max_input"), F.lit(100_000_000).alias("max_output"), F.lit(100).alias("reserved_output"), *[F.lit(0).alias(x) for x in ("calls", "input", "output")])
+    clusters, _, _ = analysis.merge_layers(signals, state, model_step.KeywordGateway(WORDS), "v1")
+    return clusters.select("video_id", "summary", F.size("comment_ids").cast("bigint").alias("comments"), "cluster_id")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
+    whole = table(s, d, name)
+    return s.readStream.schema(whole.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/{name}.parquet*")
+
+
+def _run(writer, scratch: Scratch) -> None:
+    q = writer.option("checkpointLocation", scratch.path("progress")).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@query("SELECT platform, raw_video_id, raw_comment_id, min(arrival_seq) AS arrival_seq FROM raw_comments GROUP BY 1, 2, 3 HAVING count(DISTINCT (coalesce(raw_author_id, chr(1)), coalesce(text, chr(1)))) = 1")
+def stream_upserts(s, d):
+    """All comments streamed into a table kept in parts."""
+    scratch = Scratch(s, "upserts")
+    parts = lambda i: sinks.Generations(s, f"{scratch.root}/part-{i}")
+    _run(_stream(s, d, "raw_comments").writeStream.foreachBatch(incremental.upsert_into(parts, count=4)), scratch)
+    return incremental.read_parts(parts, 4).select("platform", "raw_video_id", "raw_comment_id", "arrival_seq")
+
+
+@query("SELECT DISTINCT platform, raw_video_id, raw_comment_id FROM raw_comments WHERE collected_at IS NOT NULL")
+def stream_intake(s, d):
+    """Each streamed comment once, whatever its repeats."""
+    scratch = Scratch(s, "intake")
+    out = scratch.path("taken")
+    stream = incremental.intake(_stream(s, d, "raw_comments").where("collected_at is not null").select("platform", "raw_video_id", "raw_comment_id", "collected_at"))
+    _run(stream.writeStream.format("parquet").option("path", out), scratch)
+    return s.read.schema("platform string, raw_video_id string, raw_comment_id string").parquet(out)
+
+
+_STREAM_AUTHORS = """own AS (SELECT raw_video_id AS video_id, max(raw_author_id) AS owner FROM raw_videos WHERE raw_video_id IS NOT NULL GROUP BY 1),
+a AS (SELECT DISTINCT raw_video_id AS video_id, coalesce(source_stratum, '-') AS cluster_id, raw_author_id AS author FROM raw_comments c JOIN own ON own.video_id = c.raw_video_id WHERE raw_author_id IS NOT NULL AND owner IS NOT NULL AND raw_author_id <> owner AND collected_at IS NOT NULL)"""
+
+
+@query(f"WITH {_STREAM_AUTHORS} SELECT video_id, cluster_id FROM a GROUP BY 1, 2 HAVING count(*) >= 3")
+def stream_consensus(s, d):
+    """Clusters (a video's comments of one stratum) that reach three independent authors while streaming, in one batch."""
+    scratch = Scratch(s, "consensus")
+    out = scratch.path("passed")
+    own = table(s, d, "raw_videos").where("raw_video_id is not null").groupBy(F.col("raw_video_id").alias("video_id")).agg(F.max("raw_author_id").alias("author_id"))
+    rows = _stream(s, d, "raw_comments").where("collected_at is not null and raw_video_id is not null").select(F.col("raw_video_id").alias("video_id"), F.coalesce("source_stratum", F.lit("-")).alias("cluster_id"), F.col("raw_author_id").alias("author_id"), F.col("collected_at").alias("at"))
+    _run(incremental.consensus_stream(rows, own).writeStream.outputMode("append").format("parquet").option("path", out), scratch)
+    return s.read.schema("video_id string, cluster_id string, authors int").parquet(out).select("video_id", "cluster_id")
+
+
+@query("""SELECT raw_comment_id, sha256(raw_comment_id || chr(31) || coalesce(text, '')) AS fingerprint, bool_or(collected_at > TIMESTAMP '2026-06-10 00:00:00' AND collected_at <= TIMESTAMP '2026-06-20 00:00:00') AS alive
+FROM (SELECT * FROM raw_comments WHERE raw_comment_id IS NOT NULL AND collected_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY raw_comment_id ORDER BY arrival_seq) = 1) GROUP BY 1, 2""")
+def expired_fingerprints(s, d):
+    """What stays of comments when they expire: a fingerprint, and whether the comment itself is still there."""
+    c = merging.first_per_key(table(s, d, "raw_comments").where("raw_comment_id is not null and collected_at is not null"), ["raw_comment_id"], "arrival_seq")
+    return consensus.fingerprints(c, F.expr("TIMESTAMP '2026-06-20 00:00:00'"), ["raw_comment_id"], ["raw_comment_id", "text"], "collected_at")
