@@ -23,13 +23,13 @@ def plain(rows, columns):
 def test_core_queries_against_sql(spark):
     import duckdb
 
-    from threadquarry.plans import hierarchy, reference
+    from threadquarry.plans import hierarchy, inventory, pipelines, reference
 
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
     for f in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS FROM '{f}'")
-    for module in (hierarchy, reference):
+    for module in (hierarchy, reference, pipelines, inventory):
         for name, query in module.QUERIES.items():
             df = query(spark, DATA)
             got = [r.asDict() for r in df.collect()]
@@ -48,3 +48,17 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     if os.path.isdir(DATA):
         assert e.entry(spark).count() > 0
+
+
+def test_the_rest_stands_without_llm(tmp_path):
+    """A copy without the subpackage for training data imports, registers its queries, and has nothing of that subpackage left."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/threadquarry", tmp_path / "threadquarry", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e, sys; q = e.queries(); assert len(q) > 90 and set(e.oracle_sql()) <= set(q); assert not [m for m in sys.modules if m.startswith('threadquarry.llm')]; print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadquarry.functions import redaction, scalars
 from threadquarry.operators import analysis, batching, consensus, merging, model_step, profiling, ranking, sampling
+from threadquarry.plans.pipelines_sql import SQL as _WHOLE
 from threadquarry.plans.reference_sql import SQL as _ALL
 from threadquarry.runtime import Scratch, table
 
@@ -141,7 +142,8 @@ def prepared_splits(spark: SparkSession, d: str) -> DataFrame:
 
 def collected_comments(spark: SparkSession, d: str) -> DataFrame:
     """The comments that the collection leaves behind, merged with the previous run."""
-    return collect(*_cut(spark, d))[0]
+    out = collect(*_cut(spark, d))[0]
+    return out.select(*[F.unix_micros(c).alias(c.replace("_at", "_us")) if c.endswith("_at") else F.col(c) for c in out.columns])
 
 
 def _prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -181,8 +183,8 @@ def analysis_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def analysis_status(spark: SparkSession, d: str) -> DataFrame:
     """How far that analysis came with each video, and what stopped it."""
-    return _analysis(spark, d)[1]
+    return _analysis(spark, d)[1].select("video_id", "status", "code", "items", "batches", "clusters")
 
 
 QUERIES = {f"ref_{f.__name__}": f for f in (collection_status, collected_comments, prepared_splits, prepared_comments, prepared_profiles, prepared_splits_all, analysis_status)} | {"ref_analysis": analysis_clusters}
-SQL = {name: sql for name, sql in _ALL.items() if name in QUERIES}
+SQL = {name: sql for name, sql in (_ALL | _WHOLE).items() if name in QUERIES}
