@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,14 +62,14 @@ def _patterns():
 
         c = regex.compile
         _P.update(
-            line=c(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"), word=c(r"[\p{Latin}]+(?:['’][\p{Latin}]+)*"), han=c(r"\p{Han}"), digit=c(r"\p{N}+"),
+            line=c(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"), word=c(r"[\p{Latin}]+(?:['’][\p{Latin}]+)*"), han=c(r"\p{Han}+"), digit=c(r"\p{N}+"),
             symbol=c(r"[\p{S}\p{Cn}\p{Co}]+"), odd=c(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\p{Co}\p{Cn}�]|[¡-¿À-ÿ](?=[¡-¿À-ÿ])"),
             space=c(r"[\s\p{Cf}]+"), run=c(r"[^\s\p{Han}\p{P}]+|[A-Za-z0-9+/=_-]+"), end=c(r"""[.!?。！？…～~;；:：][\p{Pf}\p{Pe}"'\p{S}\s]*$"""),
             sentence=c(r"[。！？；]|[.!?;](?=\s|$)|[…～]"), pause=c(r"[，、,](?=\s|\p{Han})"),
             marker=c(r"^\s*(?:[-*+•·●○◦▪■□◆◇→>✓✔✅☑☐※★☆]\s*|\[[ xX✓]?\]\s*|[(（]?(?:\d{1,4}|[A-Za-z]|[一二三四五六七八九十百]{1,5}|[ivxIVX]{1,6})\s*[.、)）:：]\s*|[①-⑳]\s*)(?=\S)"),
             link=c(r"https?://\S+|www\.\S+|[#＃@＠](?!\uFE0F?\u20E3)[^\s#＃@＠，。！？；：、,!?;]+"), cell=c(r"(?i)<t[dh][\s>]"), item=c(r"(?i)<li[\s>]"), tag=c(r"<[^<>\n]{1,80}>"), trail=c(r"[。；;.!！、,，]\s*$"),
             code=c(r"(?<![\p{L}\p{N}])(?:0x)?(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{6,}(?![\p{L}\p{N}])"),
-            rule=c(r"^[\s|│┃+\-=─━┌┐└┘├┤┬┴┼╔╗╚╝╠╣╦╩╬═║:]+$"), letters=c(r"[\p{L}\p{N}]+"),
+            rule=c(r"^[\s|│┃+\-=─━┌┐└┘├┤┬┴┼╔╗╚╝╠╣╦╩╬═║:]+$"),
         )
     return _P
 
@@ -151,14 +152,22 @@ def entry_share(lines: list[str]) -> float:
     return got / total if total and n >= LEAST_ENTRIES else 0.0
 
 
-def repeat_ratio(text: str) -> float:
-    """Share of the text's shingles that it has more than once; of very short texts, of characters."""
-    t = _patterns()["space"].sub("", text)
-    k = 6 if len(t) >= 40 else 1
-    n = len(t) - k + 1
-    if n < 8:
-        return 0.0
-    return 1 - len({t[i : i + k] for i in range(n)}) / n
+#: Odd factors of the hashes of shingles.
+_SHINGLE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], dtype=np.uint64)
+
+
+def repeat_ratio(flat: str) -> float:
+    """Share of the shingles of a text without spaces that it has more than once; of very short texts, of characters."""
+    if len(flat) < 40:
+        return 1 - len(set(flat)) / len(flat) if len(flat) >= 8 else 0.0
+    x = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(x) - 5
+    h = np.zeros(n, np.uint64)
+    for i, f in enumerate(_SHINGLE):
+        h += x[i : i + n] * f
+    h ^= h >> np.uint64(29)
+    h.sort()
+    return 1 - (1 + int(np.count_nonzero(h[1:] != h[:-1]))) / n
 
 
 def language(m: dict[str, float]) -> str:
@@ -166,16 +175,20 @@ def language(m: dict[str, float]) -> str:
     return "zh" if 2 * m["han"] > m["words"] else "en"
 
 
-def rare_share(text: str) -> float:
+def rare_share(han: str) -> float:
     """Share of Han characters outside the first levels (the commoner characters) of GB 2312 and Big5."""
-    han = _patterns()["han"].findall(text)
     return sum(n for c, n in Counter(han).items() if _is_rare(c)) / len(han) if han else 0.0
 
 
+_PAIRS = frozenset((x[0], x[1]) for x in COMMON_PAIRS)
+
+
 def pair_share(words: list[str]) -> float:
     """Share of common English letter pairs among the pairs of words; 1 without any."""
-    pairs = [w[i : i + 2] for w in words if w.isascii() for i in range(len(w) - 1)]
-    return sum(1 for x in pairs if x in COMMON_PAIRS) / len(pairs) if pairs else 1.0
+    line = " ".join(w for w in words if w.isascii())
+    pairs = Counter(zip(line, line[1:]))
+    total = sum(n for (a, b), n in pairs.items() if a != " " != b)
+    return sum(pairs[x] for x in _PAIRS) / total if total else 1.0
 
 
 class Measures:
@@ -192,7 +205,8 @@ class Measures:
         flat = p["space"].sub("", text)
         n = max(1, len(flat))
         words = [w.lower() for w in p["word"].findall(text)]
-        han = len(p["han"].findall(text))
+        hans = "".join(p["han"].findall(text))
+        han = len(hans)
         common = sum(1 for w in words if w in self.en) + (sum(len(x) for x in self.zh.findall(text)) if self.zh and han else 0)
         return {
             "han": float(han), "words": float(len(words) + han), "lines": float(len(lines)), "chars": float(len(flat)),
@@ -201,9 +215,9 @@ class Measures:
             "symbol_ratio": sum(map(len, p["symbol"].findall(flat))) / n, "digit_ratio": sum(map(len, p["digit"].findall(flat))) / n,
             "ending_share": sum(1 for x in lines if p["end"].search(x)) / max(1, len(lines)),
             "common_share": common / max(1, len(words) + han), "mean_line_length": sum(_width(x) for x in lines) / max(1, len(lines)),
-            "entry_share": entry_share(lines), "cell_share": table_share(lines), "repeat_ratio": repeat_ratio(text),
-            "rare_share": rare_share(text), "pair_share": pair_share(words), "code_share": sum(map(len, p["code"].findall(text))) / n,
-            "letter_share": sum(map(len, p["letters"].findall(text))) / n, "link_share": sum(map(len, p["link"].findall(text))) / n,
+            "entry_share": entry_share(lines), "cell_share": table_share(lines), "repeat_ratio": repeat_ratio(flat),
+            "rare_share": rare_share(hans), "pair_share": pair_share(words), "code_share": sum(map(len, p["code"].findall(text))) / n,
+            "letter_share": sum(map(str.isalnum, flat)) / n, "link_share": sum(map(len, p["link"].findall(text))) / n,
             "odd_ratio": len(p["odd"].findall(text)) / n, "longest_run": float(max((len(x) for x in p["run"].findall(text)), default=0)),
         }
 
