@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,7 +25,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    base = os.path.join(tempfile.mkdtemp(prefix="threadquarry-"), "threadquarry")
+    folder = tempfile.mkdtemp(prefix="threadquarry-")  # the driver's own; executors fetch the file from it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    base = os.path.join(folder, "threadquarry")
     sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here)))
     _SHIPPED.add(sc.applicationId)
 
@@ -37,7 +40,7 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files make fewer partitions than there are cores: costly functions of rows should not
     wait for one task. Tables with enough partitions, and what comes out of a shuffle, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if re.search("(?<!Broadcast)Exchange", df._jdf.queryExecution().executedPlan().toString()):
         return df  # shuffled anyway; counting its partitions would run it
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
