@@ -145,8 +145,7 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
         cast = weighted.select("it", "w", F.explode("said").alias("s")).groupBy("it", "s.field", "s.value").agg(F.sum(F.col("w")[F.col("s.field")]).alias("w"), F.count("*").alias("n"))
         scratch.drop(votes)
         votes = scratch.keep(cast.groupBy("it").agg(F.collect_list(F.struct("field", "value", "w", "n")).alias("votes")), f"votes{r}")  # bounded by the values
-        judged = _judged(weighted, votes)
-        score = judged.groupBy("an", "field").agg(F.sum(_credit(F.col("others"), F.col("value"))).alias("hits"), F.count("*").alias("seen"))
+        score = _led(weighted, votes).groupBy("an", "field").agg(F.sum("hit").alias("hits"), F.count("*").alias("seen"))
         accuracy = (F.coalesce("hits", F.lit(0.0)) + SMOOTHING * PRIOR) / (F.coalesce("seen", F.lit(0)) + SMOOTHING)
         new = state.select("an", "field", F.col("accuracy").alias("before"), F.col("weight").alias("used")).join(score, ["an", "field"], "left").withColumn("accuracy", accuracy)
         new = new.withColumn("weight", F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.log(F.col("accuracy") / (1 - F.col("accuracy"))))))
@@ -181,6 +180,25 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
     return agreed, reliability
 
 
+def _led(weighted: DataFrame, votes: DataFrame) -> DataFrame:
+    """The hit of each label (an, field, hit), from the best and second best of its field's vote: what leads the others is the best
+    if that is another value, else the second. Labels that nobody else's label meets are left out."""
+    w = lambda v: v["w"]
+    fields = F.array_distinct(F.transform("votes", lambda v: v["field"]))
+
+    def of(f):
+        own = F.array_sort(F.filter("votes", lambda v: v["field"] == f), lambda a, b: F.when(w(a) > w(b), -1).when(w(a) < w(b), 1).otherwise(0))
+        return F.struct(
+            F.aggregate(own, F.lit(0).cast("bigint"), lambda a, v: a + v["n"]).alias("total"), own[0]["value"].alias("best"), own[0]["w"].alias("first"), F.coalesce(F.get(own, F.lit(1))["w"], F.lit(0.0)).alias("second"),
+            F.map_from_arrays(F.transform(own, lambda v: v["value"]), F.transform(own, w)).alias("by"))
+
+    by_field = votes.select("it", F.map_from_arrays(fields, F.transform(fields, of)).alias("m"))
+    said = weighted.join(by_field, "it").select("an", "w", "m", F.explode("said").alias("s")).select("an", "s.field", "s.value", F.col("w")[F.col("s.field")].alias("w"), F.col("m")[F.col("s.field")].alias("x"))
+    rest = F.when(F.col("x.best") == F.col("value"), F.col("x.second")).otherwise(F.col("x.first"))
+    lead = F.col("x.by")[F.col("value")] - F.col("w") - rest
+    return said.where("x.total > 1").select("an", "field", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + lead / (2 * MARGIN))).alias("hit"))
+
+
 def _judged(weighted: DataFrame, votes: DataFrame) -> DataFrame:
     """Each label (an, field, value) with the vote of the others on its item: own weight taken from own value, and that value
     gone if nobody else gave it. Labels that nobody else's label meets are left out."""
