@@ -74,9 +74,14 @@ def video_urls(s, d):
 
 
 def response_kinds(s, d):
-    rows = [("https://api.bilibili.com/x/v2/reply/wbi/main/",), ("https://www.douyin.com/aweme/v1/web/aweme/detail?x=1",), ("http://api.bilibili.com/x/v2/reply/reply",), ("https://notbilibili.com/x/v2/reply/reply",)]
-    pages = table(s, d, "raw_videos").select("platform").where("platform is not null").distinct().crossJoin(F.broadcast(s.createDataFrame(rows, "url string")))  # a few rows
-    return pages.select("platform", "url", payloads.response_kind(F.col("platform"), F.col("url")).alias("kind"))
+    """An address for each capture, of a known answer or of something near it."""
+    seq = F.col("capture_seq")
+    forms = [
+        "https://api.bilibili.com/x/v2/reply/wbi/main/?oid=", "https://www.douyin.com/aweme/v1/web/aweme/detail?id=", "http://api.bilibili.com/x/v2/reply/reply?id=", "https://notbilibili.com/x/v2/reply/reply?id=",
+        "https://www.douyin.com/aweme/v1/web/comment/list/reply/?id=", "https://api.bilibili.com/x/web-interface/view?id=", "https://api.bilibili.com/x/v2/reply/other?id=",
+    ]
+    url = F.concat(F.element_at(F.array(*map(F.lit, forms)), (seq % len(forms) + 1).cast("int")), seq.cast("string"))
+    return table(s, d, "raw_videos").select("capture_seq", "platform", url.alias("url")).withColumn("kind", payloads.response_kind(F.col("platform"), F.col("url")))
 
 
 # ---------------------------------------------------------------- ids and redaction
@@ -189,16 +194,16 @@ def quotas_double(s, d):
 
 
 def selected_comments(s, d):
-    pool = _firsts(s, d).select(*VIDEO, F.col("source_stratum").alias("stratum"), F.col("raw_comment_id").alias("id"), "source_page_or_rank").where("source_page_or_rank is not null")
-    totals = merging.first_per_key(table(s, d, "raw_videos"), VIDEO, "capture_seq").select(*VIDEO, F.floor(scalars.collection_target(F.col("total_comment_count")) / 10).alias("target"))
-    return sampling.select(pool, totals, VIDEO, sampling.collection_quotas, ["source_page_or_rank", "id"]).select(*VIDEO, "stratum", F.col("id").alias("raw_comment_id"))
+    pool = _firsts(s, d).select(*VIDEO, F.col("source_stratum").alias("stratum"), F.col("raw_comment_id").alias("id"), F.coalesce("source_page_or_rank", F.lit(1 << 40)).alias("rank")).where("id is not null")
+    totals = merging.first_per_key(table(s, d, "raw_videos"), VIDEO, "capture_seq").select(*VIDEO, scalars.collection_target(F.col("total_comment_count")).alias("target")).where("target is not null")
+    return sampling.select(pool, totals, VIDEO, sampling.collection_quotas, ["rank", "id"]).select(*VIDEO, "stratum", F.col("id").alias("raw_comment_id"))
 
 
 def sampling_plan(s, d):
     m = profiling.quality(table(s, d, "sampling_manifests")).where("status <> 'insufficient'")
     factor = F.when(F.col("status") == "degraded", 1.2).otherwise(1.0)
     population = F.coalesce("reported_total", F.size("candidate_comment_ids"))
-    target = scalars.dynamic_target(population, F.lit(60), scalars.direction_factor(F.col("direction")), factor)
+    target = scalars.dynamic_target(population, F.lit(200), scalars.direction_factor(F.col("direction")), factor)
     long = m.select("manifest_id", F.explode("stratum_comment_ids").alias("stratum", "ids")).select("manifest_id", "stratum", F.explode("ids").alias("id")).distinct()
     eligible = long.groupBy("manifest_id").agg(F.count_distinct("id").alias("n"))
     targets = m.select("manifest_id", target.alias("t")).join(eligible, "manifest_id").select("manifest_id", F.least("t", "n").alias("target"))
@@ -230,8 +235,11 @@ def skipped(s, d):
 
 
 def page_ranks(s, d):
-    rows = _comments(s, d).where("source_page_or_rank is not null and source_stratum is not null")
-    return ranking.page_ranks(rows, [*VIDEO, "source_stratum"], "source_page_or_rank").select("arrival_seq", F.col("page_rank").cast("bigint").alias("page_rank"))
+    """Pages numbered by arrival within video and stratum; a row without page or stratum has no rank."""
+    c = _comments(s, d)
+    placed = (F.col("source_page_or_rank").isNotNull() & F.col("source_stratum").isNotNull())
+    ranked = ranking.page_ranks(c.where(placed), [*VIDEO, "source_stratum"], "source_page_or_rank").select("arrival_seq", F.col("page_rank").cast("bigint").alias("page_rank"))
+    return ranked.unionByName(c.where(~placed).select("arrival_seq", F.lit(None).cast("bigint").alias("page_rank")))
 
 
 def discovered(s, d):

@@ -157,9 +157,9 @@ SELECT video_id, CASE WHEN r <= CASE WHEN n = 24 THEN 10 ELSE ceil(n * 0.4::DOUB
     "ref_input_split": "SELECT plan_id, ceil(t * 0.25::DOUBLE)::BIGINT AS merge_tokens, (t - ceil(t * 0.25::DOUBLE))::BIGINT AS signal_tokens, (t // 8)::BIGINT AS per_call FROM (SELECT plan_id, signal_input_limit + merge_input_reserve AS t FROM batch_plans)",
     "ref_active_comments": "SELECT arrival_seq FROM raw_comments WHERE collected_at <= TIMESTAMP '2026-06-20 00:00:00' AND TIMESTAMP '2026-06-20 00:00:00' < collected_at + INTERVAL 10 DAY",
     "ref_safe_names": r"SELECT DISTINCT raw_video_id, regexp_full_match(raw_video_id, '[A-Za-z0-9][A-Za-z0-9._-]{0,127}') AND NOT raw_video_id LIKE '%.' AND NOT regexp_full_match(upper(split_part(raw_video_id, '.', 1)), 'CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]') AS safe, regexp_matches(raw_video_id, '^(?:raw[-_]|BV[0-9A-Za-z]|\d{15,})', 'i') AS raw FROM raw_videos",
-    "ref_response_kinds": """SELECT p.platform, u.url, CASE WHEN p.platform = 'bilibili' AND u.url LIKE 'https://api.bilibili.com/x/v2/reply/wbi/main%' THEN 'comments'
-  WHEN p.platform = 'douyin' AND u.url LIKE 'https://www.douyin.com/aweme/v1/web/aweme/detail%' THEN 'video' END AS kind
-FROM (SELECT DISTINCT platform FROM raw_videos WHERE platform IS NOT NULL) p, (VALUES ('https://api.bilibili.com/x/v2/reply/wbi/main/'), ('https://www.douyin.com/aweme/v1/web/aweme/detail?x=1'), ('http://api.bilibili.com/x/v2/reply/reply'), ('https://notbilibili.com/x/v2/reply/reply')) u(url)""",
+    "ref_response_kinds": """WITH u AS (SELECT capture_seq, platform, capture_seq % 7 AS k, ['https://api.bilibili.com/x/v2/reply/wbi/main/?oid=', 'https://www.douyin.com/aweme/v1/web/aweme/detail?id=', 'http://api.bilibili.com/x/v2/reply/reply?id=',
+  'https://notbilibili.com/x/v2/reply/reply?id=', 'https://www.douyin.com/aweme/v1/web/comment/list/reply/?id=', 'https://api.bilibili.com/x/web-interface/view?id=', 'https://api.bilibili.com/x/v2/reply/other?id='][k + 1] || capture_seq AS url FROM raw_videos)
+SELECT capture_seq, platform, url, CASE WHEN platform = 'bilibili' THEN CASE k WHEN 0 THEN 'comments' WHEN 5 THEN 'video' END WHEN platform = 'douyin' THEN CASE k WHEN 1 THEN 'video' WHEN 4 THEN 'replies' END END AS kind FROM u""",
     "ref_pseudonyms": f"SELECT DISTINCT raw_author_id, {_pseudonym('author', 'raw_author_id')} AS author_id FROM raw_comments WHERE raw_author_id IS NOT NULL",
     "ref_profiles": f"""WITH r AS (SELECT platform, raw_video_id, sum(exact_duplicates) AS ex FROM {_run('raw_comments')} GROUP BY 1, 2), {_FIRSTS},
 st AS (SELECT platform, raw_video_id, string_agg(source_stratum || '=' || n, ',' ORDER BY source_stratum) AS strata FROM (SELECT platform, raw_video_id, source_stratum, count(*) AS n FROM firsts WHERE source_stratum IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)
@@ -184,10 +184,10 @@ SELECT platform, raw_video_id, (CASE WHEN k IS NULL THEN rep + again ELSE p + re
     "ref_platform_results": "SELECT platform, bool_or(pages_succeeded = 0) AS stopped, count(*) FILTER (WHERE pages_succeeded = pages_requested) AS successes, bool_and(pages_succeeded = pages_requested) AS success FROM sampling_manifests GROUP BY 1",
     "ref_quotas_whole": f"SELECT target, {_QSEL} FROM {_quotas(_QSRC, True)}",
     "ref_quotas_double": f"SELECT target, {_QSEL} FROM {_quotas(_QSRC, False)}",
-    "ref_selected_comments": f"WITH {_FIRSTS}, pool AS MATERIALIZED (SELECT platform, raw_video_id, source_stratum AS stratum, raw_comment_id AS id, source_page_or_rank AS o FROM firsts WHERE source_page_or_rank IS NOT NULL AND raw_comment_id IS NOT NULL),\n"
-    + f"vid AS (SELECT platform, raw_video_id, total_comment_count AS t FROM raw_videos QUALIFY row_number() OVER (PARTITION BY platform, raw_video_id ORDER BY capture_seq) = 1),\ntgt AS (SELECT platform, raw_video_id, greatest(({_TARGET}) // 10, 0) AS target FROM vid),\n"
+    "ref_selected_comments": f"WITH {_FIRSTS}, pool AS MATERIALIZED (SELECT platform, raw_video_id, source_stratum AS stratum, raw_comment_id AS id, coalesce(source_page_or_rank, 1::BIGINT << 40) AS o FROM firsts WHERE raw_comment_id IS NOT NULL),\n"
+    + f"vid AS (SELECT platform, raw_video_id, total_comment_count AS t FROM raw_videos QUALIFY row_number() OVER (PARTITION BY platform, raw_video_id ORDER BY capture_seq) = 1),\ntgt AS (SELECT platform, raw_video_id, {_TARGET} AS target FROM vid WHERE {_TARGET} IS NOT NULL),\n"
     + f"tq AS MATERIALIZED (SELECT * FROM {_quotas('tgt', True)}),\n" + _fold_ctes("platform, raw_video_id", "o, id", _FOLD_Q) + "\nSELECT platform, raw_video_id, stratum, id AS raw_comment_id FROM t8",
-    "ref_sampling_plan": f"WITH {_QUALITY}, ok AS MATERIALIZED (SELECT manifest_id, stratum_comment_ids, {_dynamic(60)} AS t FROM ({_POP}) WHERE status <> 'insufficient'),\n"
+    "ref_sampling_plan": f"WITH {_QUALITY}, ok AS MATERIALIZED (SELECT manifest_id, stratum_comment_ids, {_dynamic(200)} AS t FROM ({_POP}) WHERE status <> 'insufficient'),\n"
     + "pool AS MATERIALIZED (SELECT DISTINCT manifest_id, e.key AS stratum, unnest(e.value) AS id FROM (SELECT manifest_id, unnest(map_entries(stratum_comment_ids)) AS e FROM ok)),\n"
     + "tgt AS (SELECT manifest_id, least(t, n) AS target FROM ok JOIN (SELECT manifest_id, count(DISTINCT id) AS n FROM pool GROUP BY 1) USING (manifest_id)),\n"
     + f"tq AS MATERIALIZED (SELECT * FROM {_quotas('tgt', False)}),\n" + _fold_ctes("manifest_id", "id", _FOLD_Q) + "\nSELECT manifest_id, stratum, id AS comment_id FROM t8",
@@ -202,7 +202,7 @@ SELECT * FROM (SELECT dimension, value, expected::BIGINT AS expected, CASE WHEN
 WHERE raw_video_id IS NOT NULL AND raw_video_id NOT IN (SELECT unnest(development) FROM dataset_splits) QUALIFY row_number() OVER (PARTITION BY raw_video_id ORDER BY capture_seq) = 1""",
     "ref_skipped": """SELECT manifest_id, coalesce(max((pages_succeeded < pages_requested * 0.7::DOUBLE)::INT) OVER (PARTITION BY platform ORDER BY manifest_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS skipped
 FROM sampling_manifests WHERE platform IS NOT NULL""",
-    "ref_page_ranks": "SELECT arrival_seq, dense_rank() OVER (PARTITION BY platform, raw_video_id, source_stratum ORDER BY source_page_or_rank) AS page_rank FROM raw_comments WHERE source_page_or_rank IS NOT NULL AND source_stratum IS NOT NULL",
+    "ref_page_ranks": "SELECT arrival_seq, CASE WHEN source_page_or_rank IS NOT NULL AND source_stratum IS NOT NULL THEN dense_rank() OVER (PARTITION BY platform, raw_video_id, source_stratum ORDER BY source_page_or_rank) END AS page_rank FROM raw_comments",
     "ref_discovered": """WITH f AS (SELECT platform, raw_video_id, capture_seq, capture_seq // 20 AS page FROM raw_videos QUALIFY row_number() OVER (PARTITION BY platform, raw_video_id ORDER BY capture_seq) = 1),
 t AS (SELECT * FROM f ORDER BY page, capture_seq LIMIT 50)
 SELECT platform, raw_video_id, capture_seq, (SELECT count(DISTINCT capture_seq // 20) FROM raw_videos WHERE capture_seq // 20 <= (SELECT max(page) FROM t)) AS pages FROM t""",
