@@ -194,8 +194,8 @@ def settle(strata: list[set[str]], buckets: list[list[tuple[int, int]]], target:
 
 
 def _settle_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (request_id, cell, bucket, n, strata, target, t_names, t_shares, t_mins), sorted, to where each cell ends: below
-    ``bucket`` all its records are chosen, of the bucket itself ``rest``."""
+    """Cells (request_id, cell, buckets, counts, strata, target, t_names, t_shares, t_mins), sorted, to where each ends: below
+    ``last`` all its records are chosen, of that bucket itself ``rest``."""
     out: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
@@ -207,7 +207,7 @@ def _settle_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         cells: dict[int, list[tuple[int, int]]] = {}
         strata = {}
         for r in rows:
-            cells.setdefault(r["cell"], []).append((r["bucket"], r["n"]))
+            cells[r["cell"]] = list(zip(r["buckets"], r["counts"]))
             strata[r["cell"]] = set(r["strata"])
         names = sorted(cells)
         shares, minimum = dict(zip(first["t_names"], first["t_shares"])), dict(zip(first["t_names"], first["t_mins"]))
@@ -269,8 +269,9 @@ def stratified_sample(records: DataFrame, requests: DataFrame, scope: list[str],
     )
     keyed = scratch.keep(keyed, "keyed")
     counted = keyed.groupBy("request_id", "cell", "bucket").agg(F.count("*").alias("n"))
+    counted = counted.groupBy("request_id", "cell").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("x")).select("request_id", "cell", F.col("x.bucket").alias("buckets"), F.col("x.n").alias("counts"))  # bounded by the buckets
     counted = counted.join(_grows(raked.select("request_id", "cell", "strata")), ["request_id", "cell"]).join(_grows(requests.drop(*scope)), "request_id")
-    counted = counted.repartition("request_id").sortWithinPartitions("request_id", "cell", "bucket")
+    counted = counted.repartition("request_id").sortWithinPartitions("request_id", "cell")
     ends = scratch.keep(counted.mapInArrow(_settle_sorted, "request_id string, cell int, last int, rest bigint"), "ends")
     reached = keyed.join(_grows(ends), ["request_id", "cell"]).where("bucket <= last")
     rank = F.row_number().over(W.partitionBy("request_id", "cell").orderBy("key", "record"))
