@@ -39,7 +39,7 @@ def test_holding(spark):
     assert held(spark, []).count() == 0
 
 
-def test_consensus_and_reliability(spark):
+def test_consensus_and_reliability(spark, monkeypatch):
     truth, rows = label_rows()
     labels = held(spark, rows).cache()
     agreed, rel = annotators.consensus(labels, ["video_id", "comment_id"])
@@ -51,6 +51,14 @@ def test_consensus_and_reliability(spark):
     assert {k[0] for k, v in z.items() if v <= NormalDist().inv_cdf(1 - annotators.CHANCE_ERROR)} == {"guess1", "guess2"}
     moved, steady = brute_votes(labels.where("field = 'need_signal'").collect())
     assert moved < annotators.TOLERANCE and all(abs(steady[a] - acc[a]) < 1e-9 for a in acc)
+    # Hot items in rows, and everything by joins, give the same.
+    whole = lambda: [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()) for df in annotators.consensus(labels, ["video_id", "comment_id"])]
+    held_in_rows = whole()
+    monkeypatch.setattr(annotators, "HOT_LABELS", 6)
+    assert whole() == held_in_rows
+    monkeypatch.setattr(annotators, "BROADCAST_BYTES", 0)
+    assert whole() == held_in_rows
+    monkeypatch.undo()
     empty = annotators.consensus(labels.limit(0), ["video_id", "comment_id"])
     assert empty[0].count() == 0 and empty[1].count() == 0
 

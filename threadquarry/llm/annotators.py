@@ -8,6 +8,11 @@ is chance corrected from value counts per item, which copes with missing ratings
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,8 @@ MARGIN = 0.5
 #: Stable: no annotator's accuracy in any field moves by more than this.
 TOLERANCE = 1e-3
 MAX_ROUNDS = 50
+#: Labels of an item up to which they are one row.
+HOT_LABELS = 1_000
 #: Share of the annotators who label at random that p5_found may miss: its one-sided normal deviate is the cut.
 CHANCE_ERROR = 1e-4
 
@@ -126,11 +133,181 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
     without such items the prior stays. hits: leave-one-out hits; dealt: those expected of the same labels dealt to the same
     items at random; z: hits beyond dealt in standard deviations, null without items or variation.
 
-    Items and annotators are numbered once, and rounds move numbers: an item's votes are one sum per value, so a hot item or
-    annotator combines before it moves, and an annotator's weights are broadcast only while they are small.
+    An item's labels are one row, judged in Arrow batches against weights that each task receives, and only sums per annotator
+    are shuffled. Items of more than HOT_LABELS labels stay in rows and are judged by joins with one sum per value, and so is
+    everything where the weights of all annotators are too large to send.
     """
     scratch = Scratch(labels.sparkSession, "annotators")
     labels = scratch.keep(labels.select(*item, "annotator", "field", "value"), "labels")
+    size = labels.select("annotator").distinct().agg(F.count("*").alias("n"), F.sum(F.length("annotator") + 32).alias("bytes")).first()
+    fields = labels.select("field").distinct().count()
+    if (size["bytes"] or 0) * max(1, fields) <= BROADCAST_BYTES:
+        return _packed(labels, item, scratch)
+    return _joined(labels, item, scratch)
+
+
+def _smoothed(hits, seen):
+    return (hits + SMOOTHING * PRIOR) / (seen + SMOOTHING)
+
+
+def _packed(labels: DataFrame, item: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The voting with weights that fit into a task: arrays by annotator and field, whose size the caller has checked."""
+    spark = labels.sparkSession
+    names = [r[0] for r in labels.select("annotator").distinct().orderBy("annotator").collect()]
+    fields = [r[0] for r in labels.select("field").distinct().orderBy("field").collect()]
+    hot = scratch.keep(labels.groupBy(*item).agg(F.count("*").alias("n")).where(F.col("n") > HOT_LABELS).select(*item), "hot")
+    rows = None
+    cold = labels
+    if not hot.isEmpty():
+        cold, rows = labels.join(hot, item, "left_anti"), labels.join(hot, item, "left_semi")
+        rows = scratch.keep(rows.groupBy(*item, "annotator").agg(F.collect_list(F.struct("field", "value")).alias("said")).join(_numbered(rows, item, "it", scratch), item).select("it", F.col("annotator").alias("an"), "said"), "rows")
+    said = scratch.keep(cold.groupBy(*item).agg(F.collect_list(F.struct("annotator", "field", "value")).alias("said")).select("said"), "said")
+    shape = (len(names), len(fields))
+    at, of = {n: i for i, n in enumerate(names)}, {f: i for i, f in enumerate(fields)}
+    accuracy, weight, seen = np.full(shape, PRIOR), np.ones(shape), np.zeros(shape, np.int64)
+    used = weight
+
+    def table(w: np.ndarray) -> DataFrame:
+        return spark.createDataFrame([(n, {f: float(w[i, j]) for j, f in enumerate(fields)}) for i, n in enumerate(names)], "an string, w map<string,double>")
+
+    for _ in range(MAX_ROUNDS if names else 0):
+        used = weight
+        hits, seen = np.zeros(shape), np.zeros(shape, np.int64)
+        for r in said.mapInArrow(_judge(names, fields, used), "a int, f int, hits double, seen bigint").groupBy("a", "f").agg(F.sum("hits").alias("hits"), F.sum("seen").alias("seen")).collect():  # bounded by the weights
+            hits[r["a"], r["f"]], seen[r["a"], r["f"]] = r["hits"], r["seen"]
+        if rows is not None:
+            weighted = rows.join(_small(table(used), len(names), 256), "an")
+            for r in _led(weighted, _cast(weighted)).groupBy("an", "field").agg(F.sum("hit").alias("hits"), F.count("*").alias("seen")).collect():  # bounded likewise
+                hits[at[r["an"]], of[r["field"]]] += r["hits"]
+                seen[at[r["an"]], of[r["field"]]] += r["seen"]
+        before, accuracy = accuracy, _smoothed(hits, seen)
+        weight = np.clip(np.log(accuracy / (1 - accuracy)), LEAST_WEIGHT, MOST_WEIGHT)
+        if np.abs(accuracy - before).max() < TOLERANCE:
+            break
+    final = said.mapInArrow(_chances(names, fields, used), "an string, field string, value string, c array<struct<value:string,c:double>>")
+    if rows is not None:
+        weighted = rows.join(_small(table(used), len(names), 256), "an")
+        final = final.unionByName(_chances_joined(weighted, _cast(weighted)))
+    dealt = _dealt(scratch.keep(final, "judged"), len(names))
+    state = [(n, f, int(seen[i, j]), float(accuracy[i, j]), float(weight[i, j])) for n, i in at.items() for f, j in of.items()]
+    state = spark.createDataFrame(state, "annotator string, field string, labels bigint, accuracy double, weight double")
+    state = labels.select("annotator", "field").distinct().join(state, ["annotator", "field"])
+    flat = spark.createDataFrame([(n, f, float(used[i, j])) for n, i in at.items() for f, j in of.items()], "annotator string, field string, w double")
+    votes = labels.join(_small(flat, len(names) * len(fields), 64), ["annotator", "field"]).groupBy(*item, "field", "value").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    votes = votes.groupBy(*item, "field").agg(F.collect_list(F.struct("value", "w", "n")).alias("votes"))  # bounded by the values
+    return _agreed(votes, item), state.join(dealt.withColumnRenamed("an", "annotator"), ["annotator", "field"], "left")
+
+
+def _agreed(votes: DataFrame, item: list[str]) -> DataFrame:
+    best = _best(F.col("votes"))
+    return votes.select(
+        *item, "field", best["value"].alias("value"), (best["w"] / F.aggregate("votes", F.lit(0.0), lambda a, v: a + v["w"])).alias("share"),
+        F.aggregate("votes", F.lit(0).cast("bigint"), lambda a, v: a + v["n"]).alias("labels"))
+
+
+class _Batch:
+    """The labels of a batch of items, and their votes: groups of equal labels of an item and field, ordered by item and field."""
+
+    def __init__(self, column: pa.ListArray, names: pa.Array, fields: pa.Array, weights: np.ndarray):
+        flat = column.flatten()
+        counts = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        self.a = pc.index_in(flat.field("annotator"), value_set=names).to_numpy(zero_copy_only=False)
+        self.f = pc.index_in(flat.field("field"), value_set=fields).to_numpy(zero_copy_only=False)
+        coded = flat.field("value").dictionary_encode()
+        v, self.values = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        self.w = weights[self.a, self.f]
+        seg = np.repeat(np.arange(len(counts)), counts) * len(fields) + self.f
+        keys, self.group = np.unique(seg * max(1, len(self.values)) + v, return_inverse=True)
+        self.value = keys % max(1, len(self.values))  # of each group
+        _, self.start, self.seg = np.unique(keys // max(1, len(self.values)), return_index=True, return_inverse=True)
+        self.size = np.diff(np.append(self.start, len(keys)))  # groups of each item and field
+        self.n = np.bincount(self.group, minlength=len(keys))
+        self.W = np.bincount(self.group, weights=self.w, minlength=len(keys))
+        self.own = self.seg[self.group]  # item and field of each label
+        self.met = np.bincount(self.own, minlength=len(self.start))[self.own] > 1
+
+
+def _best_two(x: np.ndarray, part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each part (ascending ids) the place of its greatest value, that value, and the next one (0 where there is none)."""
+    order = np.lexsort((-x, part))
+    first = np.searchsorted(part[order], np.arange(parts))
+    top = order[first]
+    nxt = np.minimum(first + 1, len(order) - 1)
+    second = np.where((first + 1 < len(order)) & (part[order[nxt]] == np.arange(parts)), x[order[nxt]], 0.0)
+    return top, x[top], second
+
+
+def _judge(names: list[str], fields: list[str], weights: np.ndarray):
+    """Batches of items to the leave-one-out hits of each annotator and field, one set of sums per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, seen = np.zeros(weights.size), np.zeros(weights.size, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                b = _Batch(batch.column(0), pa.array(names), pa.array(fields), weights)
+                top, first, second = _best_two(b.W, b.seg, len(b.start))
+                rest = np.where(top[b.own] == b.group, second[b.own], first[b.own])
+                hit = np.clip(0.5 + (b.W[b.group] - b.w - rest) / (2 * MARGIN), 0.0, 1.0)
+                cell = (b.a * len(fields) + b.f)[b.met]
+                hits += np.bincount(cell, weights=hit[b.met], minlength=weights.size)
+                seen += np.bincount(cell, minlength=weights.size)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array((at // len(fields)).astype(np.int32)), pa.array((at % len(fields)).astype(np.int32)), pa.array(hits[at]), pa.array(seen[at])], ["a", "f", "hits", "seen"])
+
+    return run
+
+
+def _chances(names: list[str], fields: list[str], weights: np.ndarray):
+    """Batches of items to a row per label that others met: the hit that each value which others gave would have been."""
+    kind = pa.list_(pa.struct([("value", pa.string()), ("c", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b = _Batch(batch.column(0), pa.array(names), pa.array(fields), weights)
+            met = np.flatnonzero(b.met)
+            counts = b.size[b.own[met]]
+            label = np.repeat(np.arange(len(met)), counts)
+            group = np.repeat(b.start[b.own[met]] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            mine = group == b.group[met][label]
+            kept = ~(mine & (b.n[group] == 1))
+            label, group, mine = label[kept], group[kept], mine[kept]
+            x = b.W[group] - np.where(mine, b.w[met][label], 0.0)
+            top, first, second = _best_two(x, label, len(met)) if len(met) else (np.zeros(0, int),) * 3
+            rest = np.where(top[label] == np.arange(len(label)), second[label], first[label])
+            c = np.clip(0.5 + (x - rest) / (2 * MARGIN), 0.0, 1.0)
+            offsets = np.append(0, np.cumsum(np.bincount(label, minlength=len(met)))).astype(np.int32)
+            entries = pa.StructArray.from_arrays([b.values.take(pa.array(b.value[group])), pa.array(c)], fields=list(kind.value_type))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names).take(pa.array(b.a[met])), pa.array(fields).take(pa.array(b.f[met])), b.values.take(pa.array(b.value[b.group[met]])), pa.ListArray.from_arrays(pa.array(offsets), entries).cast(kind)], ["an", "field", "value", "c"])
+
+    return run
+
+
+def _cast(weighted: DataFrame) -> DataFrame:
+    """The votes of items: one sum per value, so that a hot item combines before it moves."""
+    cast = weighted.select("it", "w", F.explode("said").alias("s")).groupBy("it", "s.field", "s.value").agg(F.sum(F.col("w")[F.col("s.field")]).alias("w"), F.count("*").alias("n"))
+    return cast.groupBy("it").agg(F.collect_list(F.struct("field", "value", "w", "n")).alias("votes"))  # bounded by the values
+
+
+def _chances_joined(weighted: DataFrame, votes: DataFrame) -> DataFrame:
+    return _judged(weighted, votes).select("an", "field", "value", F.transform("others", lambda v: F.struct(v["value"].alias("value"), _credit(F.col("others"), v["value"]).alias("c"))).alias("c"))
+
+
+def _dealt(final: DataFrame, people: int) -> DataFrame:
+    """(an, field, hits, dealt, z): own labels against the same labels dealt at random to the same items, value by value."""
+    habit = final.groupBy("an", "field", "value").agg(F.count("*").alias("k")).groupBy("an", "field").agg(F.map_from_entries(F.collect_list(F.struct("value", "k"))).alias("k"), F.sum("k").alias("all"))  # bounded by the values
+    p = lambda x: F.coalesce(F.try_element_at("k", x["value"]), F.lit(0)) / F.col("all")
+    zero = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("q"), F.lit(0.0).alias("h"))
+    step = lambda a, x: F.struct((a["e"] + p(x) * x["c"]).alias("e"), (a["q"] + p(x) * x["c"] * x["c"]).alias("q"), F.when(x["value"] == F.col("value"), x["c"]).otherwise(a["h"]).alias("h"))
+    sums = final.join(_small(habit, 4 * people, 256), ["an", "field"]).select("an", "field", F.aggregate("c", zero, step).alias("s"))
+    sums = sums.groupBy("an", "field").agg(F.sum("s.h").alias("hits"), F.sum("s.e").alias("dealt"), F.sum(F.col("s.q") - F.col("s.e") * F.col("s.e")).alias("v"))
+    return sums.select("an", "field", "hits", "dealt", F.when(F.col("v") > 1e-9, (F.col("hits") - F.col("dealt")) / F.sqrt("v")).alias("z"))
+
+
+def _joined(labels: DataFrame, item: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The voting by joins alone: items and annotators are numbered once, and rounds move numbers."""
     items = _numbered(labels, item, "it", scratch)
     people = _numbered(labels, ["annotator"], "an", scratch)
     count = people.count()
@@ -142,9 +319,8 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
     for r in range(MAX_ROUNDS):
         weights = state.groupBy("an").agg(F.map_from_entries(F.collect_list(F.struct("field", "weight"))).alias("w"))
         weighted = rows.join(_small(weights, count, 256), "an")
-        cast = weighted.select("it", "w", F.explode("said").alias("s")).groupBy("it", "s.field", "s.value").agg(F.sum(F.col("w")[F.col("s.field")]).alias("w"), F.count("*").alias("n"))
         scratch.drop(votes)
-        votes = scratch.keep(cast.groupBy("it").agg(F.collect_list(F.struct("field", "value", "w", "n")).alias("votes")), f"votes{r}")  # bounded by the values
+        votes = scratch.keep(_cast(weighted), f"votes{r}")
         score = _led(weighted, votes).groupBy("an", "field").agg(F.sum("hit").alias("hits"), F.count("*").alias("seen"))
         accuracy = (F.coalesce("hits", F.lit(0.0)) + SMOOTHING * PRIOR) / (F.coalesce("seen", F.lit(0)) + SMOOTHING)
         new = state.select("an", "field", F.col("accuracy").alias("before"), F.col("weight").alias("used")).join(score, ["an", "field"], "left").withColumn("accuracy", accuracy)
@@ -155,29 +331,11 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
         state = new
         if moved is None or moved < TOLERANCE:
             break
-    # The last votes with the weights they were cast by: own labels dealt at random to the same items, value by value.
     used = state.groupBy("an").agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("used").alias("weight")))).alias("w"))
-    final = _judged(rows.join(_small(used, count, 256), "an"), votes)
-    final = scratch.keep(final.select("an", "field", "value", F.transform("others", lambda v: F.struct(v["value"].alias("value"), _credit(F.col("others"), v["value"]).alias("c"))).alias("c")), "judged")
-    habit = final.groupBy("an", "field", "value").agg(F.count("*").alias("k")).groupBy("an", "field").agg(F.map_from_entries(F.collect_list(F.struct("value", "k"))).alias("k"), F.sum("k").alias("all"))  # bounded by the values
-    p = lambda x: F.coalesce(F.try_element_at("k", x["value"]), F.lit(0)) / F.col("all")
-    dealt = (
-        final.join(_small(habit, 4 * count, 256), ["an", "field"])
-        .withColumn("e", F.aggregate("c", F.lit(0.0), lambda a, x: a + p(x) * x["c"])).withColumn("q", F.aggregate("c", F.lit(0.0), lambda a, x: a + p(x) * x["c"] * x["c"]))
-        .withColumn("hit", F.aggregate("c", F.lit(0.0), lambda a, x: F.when(x["value"] == F.col("value"), x["c"]).otherwise(a)))
-        .groupBy("an", "field").agg(F.sum("hit").alias("hits"), F.sum("e").alias("dealt"), F.sum(F.col("q") - F.col("e") * F.col("e")).alias("v"))
-    )
-    reliability = state.join(people, "an").join(dealt, ["an", "field"], "left").select(
-        "annotator", "field", "labels", "accuracy", "weight", "hits", "dealt", F.when(F.col("v") > 1e-9, (F.col("hits") - F.col("dealt")) / F.sqrt("v")).alias("z"))
+    dealt = _dealt(scratch.keep(_chances_joined(rows.join(_small(used, count, 256), "an"), votes), "judged"), count)
+    reliability = state.join(people, "an").join(dealt, ["an", "field"], "left").select("annotator", "field", "labels", "accuracy", "weight", "hits", "dealt", "z")
     each = votes.join(items, "it").select(*item, F.explode(F.array_distinct(F.transform("votes", lambda v: v["field"]))).alias("field"), "votes")
-    each = each.withColumn("votes", F.filter("votes", lambda v: v["field"] == F.col("field")))
-    best = _best(F.col("votes"))
-    agreed = each.select(
-        *item, "field", best["value"].alias("value"),
-        (best["w"] / F.aggregate("votes", F.lit(0.0), lambda a, v: a + v["w"])).alias("share"),
-        F.aggregate("votes", F.lit(0).cast("bigint"), lambda a, v: a + v["n"]).alias("labels"),
-    )
-    return agreed, reliability
+    return _agreed(each.withColumn("votes", F.filter("votes", lambda v: v["field"] == F.col("field"))), item), reliability
 
 
 def _led(weighted: DataFrame, votes: DataFrame) -> DataFrame:
