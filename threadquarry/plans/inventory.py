@@ -207,7 +207,7 @@ def discovery_sources(s, d):
 
 @query("""WITH f AS (SELECT platform, raw_video_id, capture_seq, capture_seq // 20 AS page FROM raw_videos WHERE capture_seq // 20 <= (SELECT max(p) FROM (SELECT DISTINCT capture_seq // 20 AS p FROM raw_videos ORDER BY p LIMIT 3))
   QUALIFY row_number() OVER (PARTITION BY platform, raw_video_id ORDER BY capture_seq) = 1)
-SELECT platform, raw_video_id, capture_seq, 3::BIGINT AS pages FROM f""")
+SELECT platform, raw_video_id, capture_seq, (SELECT least(3, count(DISTINCT capture_seq // 20)) FROM raw_videos) AS pages FROM f""")
 def discovered_pages(s, d):
     """Discovery that ends with its third page."""
     v = table(s, d, "raw_videos").withColumn("page", F.floor(F.col("capture_seq") / 20))
