@@ -63,6 +63,13 @@ def test_consensus_and_reliability(spark, monkeypatch):
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+def test_one_label_for_everything_is_no_better_than_chance(spark):
+    _, rows = label_rows(7)
+    rows += [("v", "same", f"c{i}", "no", "unlabeled", T0, 10_000 + i) for i in range(120)] + [("v", "alone", "c999", "no", "unlabeled", T0, 20_000)]
+    rel = {r["annotator"]: r["z"] for r in annotators.consensus(held(spark, rows).where("field = 'need_signal'"), ["video_id", "comment_id"])[1].collect()}
+    assert rel["same"] == 0.0 and rel["alone"] is None and rel["a1"] > 4
+
+
 def brute_votes(rows):
     """The voting over dictionaries: (largest last move, accuracies)."""
     said = [((r["video_id"], r["comment_id"]), r["annotator"], r["value"]) for r in rows]

@@ -131,7 +131,8 @@ def consensus(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]
     ``labels``: one row per item, annotator and field. share is the consensus value's part of the vote weight. An item with one
     label takes it; ties go to the least value. labels and accuracy of an annotator count only items that others labelled too;
     without such items the prior stays. hits: leave-one-out hits; dealt: those expected of the same labels dealt to the same
-    items at random; z: hits beyond dealt in standard deviations, null without items or variation.
+    items at random; z: hits beyond dealt in standard deviations, 0 where dealing changes nothing (always the same label), null
+    without items.
 
     An item's labels are one row, judged in Arrow batches against weights that each task receives, and only sums per annotator
     are shuffled. Items of more than HOT_LABELS labels stay in rows and are judged by joins with one sum per value, and so is
@@ -303,7 +304,7 @@ def _dealt(final: DataFrame, people: int) -> DataFrame:
     step = lambda a, x: F.struct((a["e"] + p(x) * x["c"]).alias("e"), (a["q"] + p(x) * x["c"] * x["c"]).alias("q"), F.when(x["value"] == F.col("value"), x["c"]).otherwise(a["h"]).alias("h"))
     sums = final.join(_small(habit, 4 * people, 256), ["an", "field"]).select("an", "field", F.aggregate("c", zero, step).alias("s"))
     sums = sums.groupBy("an", "field").agg(F.sum("s.h").alias("hits"), F.sum("s.e").alias("dealt"), F.sum(F.col("s.q") - F.col("s.e") * F.col("s.e")).alias("v"))
-    return sums.select("an", "field", "hits", "dealt", F.when(F.col("v") > 1e-9, (F.col("hits") - F.col("dealt")) / F.sqrt("v")).alias("z"))
+    return sums.select("an", "field", "hits", "dealt", F.when(F.col("v") > 1e-9, (F.col("hits") - F.col("dealt")) / F.sqrt("v")).otherwise(F.lit(0.0)).alias("z"))
 
 
 def _joined(labels: DataFrame, item: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
