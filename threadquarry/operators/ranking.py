@@ -20,6 +20,12 @@ def least_per_group(df: DataFrame, keys: list[str], order: list[str], limit: str
     return part.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= F.col(limit)).drop("_s", "_k")
 
 
+def placed(df: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """``df`` plus ``place``, each row's place (from 1) in its scope's order: results as rows that any writer may put in order. A scope
+    is one task's work, so it is for results that a budget or a sample bounds."""
+    return df.withColumn("place", F.row_number().over(W.partitionBy(*scope).orderBy(*order)))
+
+
 def hash_ranks(df: DataFrame, id_column: str) -> DataFrame:
     """Distinct ids with their rank (from 1) by SHA-256 and the number of ids. Null ids are left out.
 

@@ -151,6 +151,22 @@ def candidates(s, d):
     return payloads.candidates(_search_pages(s, d)).select("platform", "page_number", F.col("source_rank").cast("bigint").alias("source_rank"), "video_key", "title", "reported_comment_count")
 
 
+@query(f"""WITH v AS (SELECT *, capture_seq // {SEARCH} AS page_number, row_number() OVER (PARTITION BY capture_seq // {SEARCH} ORDER BY capture_seq) AS source_rank FROM raw_videos WHERE platform = 'bilibili')
+SELECT platform, page_number, source_rank, raw_video_id AS video_key, title FROM v WHERE capture_seq % 6 <> 0 AND capture_seq % 7 <> 0 AND regexp_full_match(raw_video_id, 'BV[0-9A-Za-z]{{10}}') AND NOT {_BLANK.replace('text', 'title')}
+QUALIFY row_number() OVER (PARTITION BY page_number, raw_video_id ORDER BY source_rank) = 1""")
+def card_candidates(s, d):
+    """Rendered search pages; every sixth card has two titles and every seventh names no video."""
+    v = table(s, d, "raw_videos").where("platform = 'bilibili'").withColumn("page_number", F.floor(F.col("capture_seq") / SEARCH))
+    title = F.coalesce("title", F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        title = F.replace(title, F.lit(a), F.lit(b))
+    k = F.col("capture_seq")
+    card = F.concat(F.lit('<article><a href="https://www.bilibili.com'), F.when(k % 7 != 0, F.concat(F.lit("/video/"), "raw_video_id")).otherwise("/read/x"), F.lit('" title="'), title, F.lit('">go</a>'), F.when(k % 6 == 0, '<img title="another">').otherwise(""), F.lit("</article>"))
+    p = v.withColumn("card", card).groupBy("platform", "page_number").agg(F.array_sort(F.collect_list(F.struct("capture_seq", "card"))).alias("x"))
+    p = p.select("platform", "page_number", F.concat(F.lit("<html><body>"), F.array_join(F.transform("x", lambda x: F.coalesce(x["card"], F.lit("<article></article>"))), "\n"), F.lit("</body></html>")).alias("html"))
+    return payloads.card_candidates(p).select("platform", "page_number", F.col("source_rank").cast("bigint").alias("source_rank"), "video_key", "title")
+
+
 @query("SELECT line_id, line_id % 3 = 0 AND json_valid(body) AS refused FROM comment_lines WHERE body IS NOT NULL")
 def forbidden_keys(s, d):
     """Lines wrapped into pages; every third hides a list of comments deep inside."""
@@ -589,6 +605,31 @@ def audit_trail(s, d):
     return s.read.schema("split_id string, run int, videos bigint").json(path).select("split_id", "run", "videos")
 
 
+@query("""SELECT capture_seq, title, true AS plain FROM raw_videos""")
+def published_candidates(s, d):
+    """Captures published as candidates in sorted ASCII JSON, refused the second time, and read again."""
+    path = Scratch(s, "candidates").path("published")
+    v = table(s, d, "raw_videos").select("capture_seq", "title", "platform")
+    audit = v.groupBy("platform").agg(F.count("*").alias("rows"))
+    sinks.publish_candidates(v, audit, path)
+    try:
+        sinks.publish_candidates(v, audit, path)
+        raise AssertionError("published twice")
+    except Exception as e:
+        if "ALREADY_EXISTS" not in str(e):
+            raise
+    lines = s.read.text(f"{path}/candidates")
+    plain = F.col("value").rlike(r"^[\x00-\x7f]*$") & F.col("value").startswith('{"capture_seq":')
+    return lines.select(F.from_json("value", "capture_seq bigint, title string").alias("j"), plain.alias("plain")).select("j.*", "plain")
+
+
+@query(f"WITH {_SAID} SELECT video_id, comment_id, row_number() OVER (PARTITION BY video_id ORDER BY comment_id) AS place FROM s")
+def signal_order(s, d):
+    """The place of each video's signals in the order that results have: by comment, then by signal."""
+    said = _said(s, d).withColumn("signal_id", scalars.signal_id(F.col("comment_id"), F.col("kind"), F.col("summary"), "v1"))
+    return ranking.placed(said, ["video_id"], ["comment_id", "signal_id"]).select("video_id", "comment_id", F.col("place").cast("bigint").alias("place"))
+
+
 # ---------------------------------------------------------------- directories
 
 #: Rows of one captured directory.

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadquarry.functions import redaction, scalars
-from threadquarry.operators import analysis, batching, consensus, merging, model_step, profiling, ranking, sampling
+from threadquarry.operators import analysis, batching, checks, consensus, merging, model_step, profiling, ranking, sampling
 from threadquarry.plans.pipelines_sql import SQL as _WHOLE
 from threadquarry.plans.reference_sql import SQL as _ALL
 from threadquarry.runtime import Scratch, table
+from threadquarry.sources import sinks
 
 VIDEO = ["platform", "raw_video_id"]
+#: A fixed secret for the queries; real runs pass their own.
+_SECRET = b"0123456789abcdef0123456789abcdef"
 
 
 def collect(previous: DataFrame, observed: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,6 +65,35 @@ def prepare(comments: DataFrame, videos: DataFrame, approved: DataFrame, secret:
     return out, profiles, ranking.dataset_split(out, "video_id").withColumnRenamed("id", "video_id")
 
 
+def sanitize_report(comments: DataFrame, secret: bytes) -> DataFrame:
+    """Per video, under its pseudonym: comments, replacements by rule, and how many comments somebody should look at."""
+    clean = redaction.redact(merging.first_per_key(comments, list(merging.KEY), "arrival_seq"), "text", "clean")
+    counts = [F.sum(c).alias(c) for c in clean.columns if c.startswith("n_")]
+    return clean.groupBy("platform", scalars.pseudonym("video", F.col("raw_video_id"), secret).alias("video_id")).agg(F.count("*").alias("comments"), *counts, F.count_if("review").alias("reviews"))
+
+
+def publish_dataset(generations: sinks.Generations, comments: DataFrame, videos: DataFrame, approved: DataFrame, secret: bytes) -> str:
+    """Prepare a data set and publish its comments, profiles, splits, reports and manifest (rows per table) as one version. A data
+    set in which an author, comment or video still bears a platform's own id, or a table lacks videos, is refused whole."""
+    out, profiles, split = prepare(comments, videos, approved, secret)
+    report = sanitize_report(comments.join(approved.select(*VIDEO), VIDEO, "left_semi"), secret)
+    tables = {"comments": out, "profiles": profiles, "splits": split, "reports": report}
+    manifest = None
+    for name, df in tables.items():
+        n = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+        manifest = n if manifest is None else manifest.unionByName(n)
+
+    def check(got: dict[str, DataFrame]) -> None:
+        raw = [F.col(c).isNotNull() & ~F.col(c).rlike("^(video|comment|author)_[0-9a-f]{32}$") for c in ("video_id", "comment_id", "author_id", "parent_comment_id")]
+        bad = got["comments"].where(raw[0] | raw[1] | raw[2] | raw[3]).select(F.lit("comment").alias("entity"), F.lit("-").alias("key"), F.lit("raw_identifier").alias("code"))
+        ids = got["comments"].select("platform", "video_id").distinct()
+        for name in ("profiles", "reports"):
+            bad = bad.unionByName(checks.set_difference(got[name], ids, name, ["platform", "video_id"], "video_missing", "video_unknown"))
+        checks.require_none(bad)
+
+    return generations.commit_tables({**tables, "manifest": manifest}, check)
+
+
 def analyse(comments: DataFrame, videos: DataFrame, gateway: model_step.Gateway, **limits) -> DataFrame:
     """The clusters of ``analyse_all`` alone."""
     return analyse_all(comments, videos, gateway, **limits)[0]
@@ -137,7 +169,7 @@ def collection_status(spark: SparkSession, d: str) -> DataFrame:
 
 def prepared_splits(spark: SparkSession, d: str) -> DataFrame:
     videos = merging.first_per_key(table(spark, d, "raw_videos"), VIDEO, "capture_seq")
-    return prepare(table(spark, d, "raw_comments"), videos, videos.where("platform = 'bilibili'").select(*VIDEO), b"0123456789abcdef0123456789abcdef")[2]
+    return prepare(table(spark, d, "raw_comments"), videos, videos.where("platform = 'bilibili'").select(*VIDEO), _SECRET)[2]
 
 
 def collected_comments(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +182,7 @@ def _prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     """The preparation of all captured videos."""
     videos = merging.first_per_key(table(spark, d, "raw_videos"), VIDEO, "capture_seq")
     approved = videos.where("platform is not null and raw_video_id is not null").select(*VIDEO)
-    return prepare(table(spark, d, "raw_comments"), videos, approved, b"0123456789abcdef0123456789abcdef")
+    return prepare(table(spark, d, "raw_comments"), videos, approved, _SECRET)
 
 
 def prepared_comments(spark: SparkSession, d: str) -> DataFrame:
@@ -161,6 +193,23 @@ def prepared_profiles(spark: SparkSession, d: str) -> DataFrame:
     return _prepared(spark, d)[1]
 
 
+def sanitize_reports(spark: SparkSession, d: str) -> DataFrame:
+    videos = merging.first_per_key(table(spark, d, "raw_videos"), VIDEO, "capture_seq").where("platform is not null and raw_video_id is not null")
+    return sanitize_report(table(spark, d, "raw_comments").join(videos.select(*VIDEO), VIDEO, "left_semi"), _SECRET)
+
+
+def published_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest of a data set of all captured videos, published as one version and read again beside what it says."""
+    videos = merging.first_per_key(table(spark, d, "raw_videos"), VIDEO, "capture_seq")
+    g = sinks.Generations(spark, Scratch(spark, "dataset").path("dataset"))
+    publish_dataset(g, table(spark, d, "raw_comments"), videos, videos.where("platform is not null and raw_video_id is not null").select(*VIDEO), _SECRET)
+    found = None
+    for name in ("comments", "profiles", "splits", "reports"):
+        n = g.read_table(name).agg(F.count("*").alias("found")).select(F.lit(name).alias("name"), "found")
+        found = n if found is None else found.unionByName(n)
+    return g.read_table("manifest").join(found, "name").select("name", "rows", "found")
+
+
 def prepared_splits_all(spark: SparkSession, d: str) -> DataFrame:
     """The splits over the videos of all platforms; ``prepared_splits`` is one platform's data set."""
     return _prepared(spark, d)[2]
@@ -186,5 +235,5 @@ def analysis_status(spark: SparkSession, d: str) -> DataFrame:
     return _analysis(spark, d)[1].select("video_id", "status", "code", "items", "batches", "clusters")
 
 
-QUERIES = {f"ref_{f.__name__}": f for f in (collection_status, collected_comments, prepared_splits, prepared_comments, prepared_profiles, prepared_splits_all, analysis_status)} | {"ref_analysis": analysis_clusters}
+QUERIES = {f"ref_{f.__name__}": f for f in (collection_status, collected_comments, prepared_splits, prepared_comments, prepared_profiles, prepared_splits_all, sanitize_reports, published_dataset, analysis_status)} | {"ref_analysis": analysis_clusters}
 SQL = {name: sql for name, sql in (_ALL | _WHOLE).items() if name in QUERIES}

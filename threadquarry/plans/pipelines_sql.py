@@ -64,6 +64,10 @@ SELECT platform, video_id, count(*) AS collected_total, count(author_id) AS auth
 r AS (SELECT video_id, row_number() OVER (ORDER BY sha256(video_id), video_id) AS r, count(*) OVER () AS n FROM v)
 SELECT video_id, CASE WHEN r <= CASE WHEN n = 24 THEN 10 ELSE ceil(n * 0.4::DOUBLE) END THEN 'development'
   WHEN r <= CASE WHEN n = 24 THEN 17 ELSE ceil(n * 0.4::DOUBLE) + floor(n * 0.3::DOUBLE) END THEN 'calibration' ELSE 'holdout' END AS split FROM r""",
+    "ref_sanitize_reports": _CLEAN + f"""SELECT f.platform, {_pseudonym('video', 'f.raw_video_id')} AS video_id, count(*) AS comments, sum(n1)::BIGINT AS n_email, sum(n2)::BIGINT AS n_phone, sum(n3)::BIGINT AS n_identity, sum(n4 + n5)::BIGINT AS n_handle,
+  sum(n6 + n7)::BIGINT AS n_address, count(*) FILTER (WHERE n7 > 0) AS reviews FROM firsts f JOIN r7 r USING (arrival_seq) SEMI JOIN ok USING (platform, raw_video_id) GROUP BY 1, 2""",
+    "ref_published_dataset": _CLEAN + """, n AS (SELECT 'comments' AS name, count(*) AS rows FROM pc UNION ALL SELECT 'profiles', count(DISTINCT (platform, video_id)) FROM pc UNION ALL SELECT 'splits', count(DISTINCT video_id) FROM pc
+  UNION ALL SELECT 'reports', count(DISTINCT (platform, video_id)) FROM pc) SELECT name, rows, rows AS found FROM n""",
     "ref_analysis": _ANALYSIS + """, m AS (SELECT video_id, summary, count(*) AS comments, 'clu_' || left(sha256(string_agg(comment_id, chr(31) ORDER BY comment_id) || chr(30) || summary || chr(30) || 'v1'), 24) AS cluster_id FROM w GROUP BY 1, 2),
 e AS (SELECT video_id, summary, count(DISTINCT author) FILTER (WHERE author <> owner) AS authors FROM w LEFT JOIN own USING (video_id) GROUP BY 1, 2),
 x AS (SELECT m.*, e.authors, CASE WHEN owner IS NULL THEN 'video_author_unknown' WHEN authors < 3 THEN 'insufficient_independent_authors' ELSE 'independent_author_threshold_met' END AS reason_code FROM m JOIN e USING (video_id, summary) LEFT JOIN own USING (video_id))

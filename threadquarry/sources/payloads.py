@@ -205,6 +205,23 @@ def candidates(pages: DataFrame) -> DataFrame:
     return b.unionByName(d).where("video_key is not null and title is not null")
 
 
+#: What a card of a rendered search page is, and where it names its video and title.
+CARD, CARD_TITLE, CARD_KEY = r"(?s)<article\b.*?</article>", r'\btitle="([^"]*)"', r"/video/(BV[0-9A-Za-z]{10})(?![0-9A-Za-z])"
+
+
+def card_candidates(pages: DataFrame, card: str = CARD, title: str = CARD_TITLE, key: str = CARD_KEY) -> DataFrame:
+    """Candidates of rendered pages (platform, page_number, html): a card needs exactly one title and one video key; of several cards
+    of a video on a page the first one holds. Ranks count cards, unusable ones included."""
+    cards = pages.select("platform", "page_number", F.posexplode(F.regexp_extract_all("html", F.lit(card), F.lit(0))).alias("pos", "c"))
+    distinct = lambda pattern: F.array_distinct(F.regexp_extract_all("c", F.lit(pattern), F.lit(1)))
+    one = cards.select("platform", "page_number", (F.col("pos") + 1).alias("source_rank"), distinct(title).alias("t"), distinct(key).alias("k")).where((F.size("t") == 1) & (F.size("k") == 1))
+    plain = F.col("t")[0]
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    named = one.select("platform", "page_number", "source_rank", F.col("k")[0].alias("video_key"), _text(plain).alias("title")).where("title is not null")
+    return named.groupBy("platform", "page_number", "video_key").agg(F.min_by(F.struct("source_rank", "title"), "source_rank").alias("r")).select("platform", "page_number", "video_key", "r.*")
+
+
 @F.pandas_udf(BooleanType())
 def holds_forbidden_keys(body: pd.Series, preview: pd.Series) -> pd.Series:
     """Whether a JSON text has a forbidden key at any depth; with ``preview``, data[i].aweme_info.comment_list is allowed.

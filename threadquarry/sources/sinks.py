@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 #: Parts of keys that an audit must not hold.
 SENSITIVE = ("cookie", "token", "authorization", "password", "request_headers", "response_body", "storage_state")
@@ -53,6 +55,22 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+@F.pandas_udf(StringType())
+def ascii_json(text: pd.Series) -> pd.Series:
+    """JSON texts with sorted keys, in ASCII; null stays null."""
+    return text.map(lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True, ensure_ascii=True, separators=(",", ":")))
+
+
+def publish_candidates(candidates: DataFrame, audit: DataFrame, path: str) -> None:
+    """Candidates and how they were found, each as lines of sorted ASCII JSON below ``path``, once: what exists is refused, and
+    sensitive fields are before anything is written."""
+    bad = sensitive_keys(candidates.schema) + sensitive_keys(audit.schema)
+    if bad:
+        raise ValueError(f"sensitive keys: {', '.join(sorted(bad))}")
+    for name, df in (("candidates", candidates), ("audit", audit)):
+        df.select(ascii_json(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).alias("value")).write.mode("errorifexists").text(f"{path}/{name}")
+
+
 class Generations:
     """Versions of a table below a root. A version is written and checked in full before the pointer names it, so readers see
     the old one or the new one and a failed write leaves the old one in force."""
@@ -74,15 +92,32 @@ class Generations:
 
     def commit(self, df: DataFrame, check: Callable[[DataFrame], None] | None = None, create_only: bool = False, partition_by: list[str] | None = None) -> str:
         """Write, check and publish a version. ``check`` raises to refuse it; ``create_only`` refuses where a version exists."""
+        writer = lambda path: (df.write.mode("errorifexists").partitionBy(*partition_by) if partition_by else df.write.mode("errorifexists")).parquet(path)
+        return self._version(writer, (lambda path: check(self.spark.read.parquet(path))) if check else None, create_only)
+
+    def commit_tables(self, tables: dict[str, DataFrame], check: Callable[[dict[str, DataFrame]], None] | None = None, create_only: bool = False) -> str:
+        """Write, check and publish several tables as one version: readers see all of them or none."""
+
+        def write(path: str) -> None:
+            for name, df in tables.items():
+                df.write.mode("errorifexists").parquet(f"{path}/{name}")
+
+        return self._version(write, (lambda path: check({n: self.spark.read.parquet(f"{path}/{n}") for n in tables})) if check else None, create_only)
+
+    def read_table(self, name: str) -> DataFrame | None:
+        """One table of a version of several."""
+        at = self.current()
+        return None if at is None else self.spark.read.parquet(f"{at}/{name}")
+
+    def _version(self, write: Callable[[str], None], check: Callable[[str], None] | None, create_only: bool) -> str:
         before = self.current()
         if create_only and before is not None:
             raise FileExistsError(self.root)
         name = f"v{uuid.uuid4().hex[:12]}"
-        writer = df.write.mode("errorifexists")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}")
         try:
+            write(f"{self.root}/{name}")
             if check:
-                check(self.spark.read.parquet(f"{self.root}/{name}"))
+                check(f"{self.root}/{name}")
         except Exception:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
             raise
