@@ -252,6 +252,18 @@ def test_every_learned_row_is_kept_and_joined(spark):
     assert {k for _, k in kinds} == {"name", "email"} and (len(texts) - 5, "name") in kinds and (len(texts) - 4, "name") in kinds
 
 
+def test_common_words_beside_names_are_none(spark):
+    """A word that looks like a name and stands before what also follows names is one instance, but many observations."""
+    names = ["".join(x) for x in zip("禹麦芮缪", ("怀舟", "知微", "怀舟", "知微"))]
+    texts = [f"{seed}{x}" for x in names for seed in ("我叫", "联系人")] + [f"{x}之前买过类似的" for x in names] + [f"周会之前用{x}" for x in ("剪贴板", "表格", "模板")] * 20
+    # Words that only each other's contexts believe are no names either: no seed leads to them.
+    texts += [f"{a}{b}" for a in ("可惜没有历", "希望支持历", "只有这个有历") for b in ("史记录", "史记本")]
+    model = pii.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    found = lambda x: [x[a:b] for _, a, b in model.find(x)]
+    assert found("周会之前用番茄钟") == [] and found("可惜没有历史记录") == []
+    assert found("禹怀舟之前买过类似的") == ["禹怀舟"] and found("联系人麦知微") == ["麦知微"]
+
+
 def test_bootstrap(spark):
     families, given = ["阮", "麦", "司空", "缪", "芮", "桑"], ["若溪", "听澜", "怀舟", "竹筠", "棠", "以宁"]
     rnd = random.Random(6)

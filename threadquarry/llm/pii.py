@@ -638,7 +638,7 @@ def learned(texts: DataFrame) -> tuple[Model, DataFrame]:
     # A family and a given name are instances too: belief flows through them to names seen only once.
     known = graph.select("kind", "instance", F.when(F.col("kind") == "en", F.substring_index("instance", " ", 1)).otherwise(F.expr("substring(instance, -2)")).alias("part")).distinct()
     known = scratch.keep(known, "parts")
-    belief = graph.groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(0.5).alias("belief"))
+    belief = graph.groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(0.0).alias("belief"))
     for r in range(ROUNDS):
         scored = graph.join(belief, ["kind", "instance"]).groupBy("kind", "before", "after").agg((F.sum("belief") / (F.max("all") + 0.5)).alias("score"), F.max("seed").alias("seed"), F.sum("belief").alias("mass"))
         scored = scratch.keep(scored.withColumn("score", F.when(F.col("seed"), F.greatest("score", F.lit(0.8))).otherwise(F.col("score"))), f"patterns{r}")
@@ -658,15 +658,17 @@ def learned(texts: DataFrame) -> tuple[Model, DataFrame]:
     families = fresh.groupBy("c").agg(F.count("m").alias("m"), F.count("*").alias("all")).where("m >= 3 and m >= 0.25 * all")
     sure = believed.where("kind = 'zh' and valid").select("instance", "score", F.when(F.substring("instance", 1, 2).isin(*sorted(FAMILIES_2)), F.expr("substring(instance, 3)")).otherwise(F.expr("substring(instance, 2)")).alias("g"))
     sure = scratch.keep(sure.join(given, "g", "left").where("score >= 0.75 or m is not null").select("instance").distinct().withColumn("hit", F.lit(True)), "sure")
-    # Open contexts are scored by the believed names beside them; what else begins or ends like a name there speaks against them.
+    # Open contexts are scored by the believed names beside them; what else begins or ends like a name there speaks against them,
+    # each once and as often as it stands there: a common word is one instance, however many texts hold it.
+    share = F.least(F.count_if("hit") / F.count("*"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)) / F.sum("n"))
     windows = pairs.where("kind = 'open' and before <> ''").select("before", "instance", "n")
-    starts = windows.select("before", "instance", F.explode(F.array(*[F.substring("instance", 1, k) for k in (2, 3, 4)])).alias("p")).join(sure.withColumnRenamed("instance", "p"), "p", "left")
-    starts = starts.groupBy("before", "instance").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
+    starts = windows.select("before", "instance", "n", F.explode(F.array(*[F.substring("instance", 1, k) for k in (2, 3, 4)])).alias("p")).join(sure.withColumnRenamed("instance", "p"), "p", "left")
+    starts = starts.groupBy("before", "instance").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"), F.max("n").alias("n"))
     led = F.col("before").isin(*[b for b, _ in SEED_PATTERNS if b and not b.isascii()])
     keep = f"seed or good >= 2 and score >= {PATTERN_SCORE}"
-    left = starts.where("before <> '^'").groupBy("before").agg(F.count_if("hit").alias("good"), (F.count_if("hit") / F.count("*")).alias("score")).withColumn("seed", led).where(keep)
+    left = starts.where("before <> '^'").groupBy("before").agg(F.count_if("hit").alias("good"), share.alias("score")).withColumn("seed", led).where(keep)
     left = scratch.keep(left.select("before", F.when(F.col("seed"), F.greatest("score", F.lit(0.8))).otherwise(F.col("score")).alias("score")), "left")
-    ends = pairs.where("kind = 'open' and before = ''").select("after", "instance").join(sure, "instance", "left").groupBy("after").agg(F.count_if("hit").alias("good"), (F.count_if("hit") / F.count("*")).alias("score"))
+    ends = pairs.where("kind = 'open' and before = ''").select("after", "instance", "n").join(sure, "instance", "left").groupBy("after").agg(F.count_if("hit").alias("good"), share.alias("score"))
     right = scratch.keep(ends.withColumn("seed", F.lit(False)).where(keep).select("after", "score"), "right")
     # Words that begin like a name after an open context, yet stand elsewhere more often.
     begin = F.substring("instance", 1, 2).alias("w")
@@ -678,7 +680,7 @@ def learned(texts: DataFrame) -> tuple[Model, DataFrame]:
     beside = pairs.where("kind = 'eopen'").join(en_sure, "instance", "left")
 
     def induced(c: str) -> DataFrame:
-        got = beside.where(F.col(c) != "").groupBy(c).agg(F.count_if(F.col("hit")).alias("good"), (F.count_if(F.col("hit")) / F.count("*")).alias("score"))
+        got = beside.where(F.col(c) != "").groupBy(c).agg(F.count_if("hit").alias("good"), share.alias("score"))
         return got.where(f"good >= 2 and score >= {PATTERN_SCORE}").select(c, "score")
 
     def shared(c: str) -> DataFrame:
