@@ -72,6 +72,39 @@ def test_bundles(spark, tmp_path):
     assert [r["raw_video_id"] for r in files.unapproved(files.listing(spark, str(tmp_path / "raw")), files.approved(spark, str(plan))).collect()] == ["bad"]
 
 
+def test_many_directories_of_odd_names(spark, tmp_path, monkeypatch):
+    """Names are taken as they are, in whole files and in blocks, and directories are no tasks of their own."""
+    odd = ["a b", "a+b%20c", "视频", "[x]{y}*?", "_v", "plain"]
+    bodies = [b"\xef\xbb\xbf" + line().encode() + b"\n", line().encode(), b"", b"\n\n" + line().encode() + b"\r\n", b"\xff\xfe\n" + line().encode() + b"\n\n", "\u2028".join(["x", "y"]).encode()]
+    for i in range(400):
+        name = odd[i] if i < len(odd) else f"v{i}"
+        p = tmp_path / "raw" / "bilibili" / name
+        p.mkdir(parents=True)
+        (p / "video.json").write_text(json.dumps({"platform": "bilibili", "raw_video_id": name}))
+        (p / "comments.jsonl").write_bytes(bodies[i] if i < len(bodies) else (line() + "\n").encode())
+        (p / "collection.json").write_text(json.dumps({"collected_total": 1}))
+        (p / ".hidden").write_text("")
+    root = str(tmp_path / "raw")
+    rows = lambda: sorted((r["platform"], r["raw_video_id"], r["line_number"], str(r["l_raw_comment_id"]), str(r["code"])) for r in files.comment_lines(spark, root).collect())
+    whole = rows()
+    assert [(v, n, c) for _, v, n, _, c in whole if v in odd] == sorted([
+        ("a b", 1, "None"), ("a+b%20c", 1, "None"), ("[x]{y}*?", 1, "blank_line"), ("[x]{y}*?", 2, "blank_line"), ("[x]{y}*?", 3, "None"), ("_v", 1, "not_json"), ("_v", 2, "None"), ("_v", 3, "blank_line"), ("plain", 1, "not_json")])
+    monkeypatch.setattr(files, "WHOLE_BYTES", 300)
+    (tmp_path / "raw" / "bilibili" / "a b" / "comments.jsonl").write_bytes(bodies[0] * 3)
+    (tmp_path / "raw" / "bilibili" / "[x]{y}*?" / "comments.jsonl").write_bytes(bodies[3] * 3)
+    blocks = rows()
+    monkeypatch.undo()
+    assert blocks == rows() and len(blocks) == len(whole) + 8
+    sc = spark.sparkContext
+    sc.setJobGroup("bundles", "")
+    bad = files.bundle_violations(spark, root).collect()
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("bundles") for s in tracker.getJobInfo(j).stageIds}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s))) < 400
+    assert {(r["raw_video_id"], r["code"]) for r in bad if r["raw_video_id"] not in odd} == set() and ("视频", "total_mismatch") in {(r["raw_video_id"], r["code"]) for r in bad}
+
+
 def test_generations(spark, tmp_path):
     g = Generations(spark, f"file://{tmp_path}/g")
     assert g.read() is None

@@ -656,10 +656,12 @@ def _folders(s: SparkSession, d: str) -> tuple[str, DataFrame]:
         from pyarrow import fs
 
         target, base = fs.FileSystem.from_uri(root)
+        above = set()
         for b in batches:
             for r in b.to_pylist():
                 at = f"{base}/{r['platform']}/{r['folder']}"
-                target.create_dir(at, recursive=True)
+                target.create_dir(at, recursive=r["platform"] not in above)
+                above.add(r["platform"])
                 for name, body in (("video.json", r["video"]), ("comments.jsonl", r["comments"]), ("collection.json", r["collection"])):
                     if body is not None:
                         with target.open_output_stream(f"{at}/{name}") as out:
