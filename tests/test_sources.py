@@ -105,6 +105,19 @@ def test_many_directories_of_odd_names(spark, tmp_path, monkeypatch):
     assert {(r["raw_video_id"], r["code"]) for r in bad if r["raw_video_id"] not in odd} == set() and ("视频", "total_mismatch") in {(r["raw_video_id"], r["code"]) for r in bad}
 
 
+def test_lines_of_many_directories(spark, tmp_path):
+    for i in range(300):
+        (p := tmp_path / "raw" / "douyin" / f"v{i}").mkdir(parents=True)
+        (p / "comments.jsonl").write_text(line() + "\n")
+    sc = spark.sparkContext
+    sc.setJobGroup("lines", "")
+    assert len(files.comment_lines(spark, str(tmp_path / "raw")).collect()) == 300
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("lines") for s in tracker.getJobInfo(j).stageIds}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s))) < 150
+
+
 def test_generations(spark, tmp_path):
     g = Generations(spark, f"file://{tmp_path}/g")
     assert g.read() is None
