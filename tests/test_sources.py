@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from threadquarry.operators import model_step
+from threadquarry.plans import inventory
 from threadquarry.sources import files, payloads
 from threadquarry.sources.sinks import Generations, append_audit, sensitive_keys
 
@@ -118,6 +120,32 @@ def test_lines_of_many_directories(spark, tmp_path):
     assert sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s))) < 150
 
 
+def test_folder_lines_keep_no_directories(spark, tmp_path):
+    """The query lays out directories in rounds and leaves none behind; a round holds its own directories and bytes only."""
+    stamp = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    c = spark.range(900).select(
+        F.col("id").alias("arrival_seq"), F.when(F.col("id") % 3 == 0, "douyin").otherwise("bilibili").alias("platform"), F.concat(F.lit("v"), F.col("id") % 450).alias("raw_video_id"), F.concat(F.lit("c"), F.col("id")).alias("raw_comment_id"),
+        F.lit(None).cast("string").alias("raw_author_id"), F.lit(None).cast("string").alias("raw_parent_comment_id"), F.expr("repeat('x', int(1 + id * 7919 % 4000))").alias("text"), stamp.alias("published_at"), stamp.alias("collected_at"),
+        F.col("id").alias("like_count"), F.lit(0).cast("bigint").alias("reply_count"), F.lit(False).alias("is_video_author"), F.lit("top").alias("source_stratum"), F.lit(1).cast("bigint").alias("source_page_or_rank"))
+    c.repartition(1).write.parquet(str(tmp_path / "raw_comments.parquet"))
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    there = set(os.listdir(shared))
+    got = {(r["platform"], r["raw_video_id"], r["line_number"], r["raw_comment_id"], len(r["text"]), r["like_count"], r["code"]) for r in inventory.folder_lines(spark, str(tmp_path)).collect()}
+    assert got == {(("bilibili", "douyin")[i % 3 == 0], f"v{i % 450}-0", 1 + i // 450, f"c{i}", 1 + i * 7919 % 4000, i, None) for i in range(900)}
+    assert set(os.listdir(shared)) == there
+
+    folders = inventory._OwnFolders(str(tmp_path / "own"))
+    for n in range(12):  # rounds of changing size, lengths and files
+        rows = [{"platform": ("bilibili", "douyin")[i % 2], "folder": f"v{n}-{i}", "video": "v" * (1 + n * i % 7), "comments": f"{n} {i}\n" * (1 + (n * 5 + i) % 9), "collection": None if (n + i) % (2 + n % 5) == 0 else "c" * (n + i)} for i in range(3 + n * 7 % 11)]
+        folders.lay_out(rows)
+        read = [(r["platform"], r["raw_video_id"], r["line_number"], r["body"].decode()) for b in files.own_lines(folders.root) for r in b.to_pylist()]
+        assert sorted(read) == sorted((r["platform"], r["folder"], i, x) for r in rows for i, x in enumerate(r["comments"].splitlines(), 1))
+        for r in rows:
+            at = tmp_path / "own" / "raw" / r["platform"] / r["folder"]
+            assert {p.name: p.read_text() for p in at.iterdir()} == {k: v for k, v in (("video.json", r["video"]), ("comments.jsonl", r["comments"]), ("collection.json", r["collection"])) if v is not None}
+    assert sum(p.name == "video.json" for p in (tmp_path / "own").rglob("*")) <= 2 * 13
+
+
 def test_generations(spark, tmp_path):
     g = Generations(spark, f"file://{tmp_path}/g")
     assert g.read() is None

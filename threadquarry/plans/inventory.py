@@ -6,6 +6,8 @@ come out.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -634,12 +636,14 @@ def signal_order(s, d):
 
 #: Rows of one captured directory.
 FOLDER = 4_000
+#: Directories that a task has on its worker's disk at once.
+ROUND = 100
 _LINE = list(payloads.LINE_FIELDS)
 _ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
-def _folders(s: SparkSession, d: str) -> tuple[str, DataFrame]:
-    """Directories of the comments below platform/video-block/, written by the workers: (root, one row per directory)."""
+def _folder_files(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Directories of the comments, platform/video-block/: (the files of each, one row per directory)."""
     c = table(s, d, "raw_comments").where("platform is not null and raw_video_id is not null and raw_comment_id is not null").where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
     k = F.floor(F.col("arrival_seq") / FOLDER)
     line = F.struct("arrival_seq", F.to_json(F.struct(*[F.date_format(x, _ISO).alias(x) if x in ("published_at", "collected_at") else F.col(x) for x in _LINE]), {"ignoreNullFields": "false"}).alias("line"))
@@ -650,6 +654,12 @@ def _folders(s: SparkSession, d: str) -> tuple[str, DataFrame]:
     coll = F.when(F.col("m") % 6 == 0, F.to_json(F.struct(F.lit("1.1").alias("collection_schema_version"), total.alias("collected_total")))).otherwise(F.to_json(F.struct(F.lit("1.1").alias("collection_schema_version"), F.lit(0).alias("exact_duplicate_count"), total.alias("collected_total"))))
     text = F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
     files = f.select("platform", "folder", video.alias("video"), text.alias("comments"), F.when(F.col("m") % 11 != 0, coll).alias("collection"))
+    return files, f.select("platform", "folder", "k", "m")
+
+
+def _folders(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The directories, written by the workers to the shared folder: (root, one row per directory)."""
+    files, f = _folder_files(s, d)
     root = Scratch(s, "folders").path("raw")
 
     def write(batches):
@@ -670,7 +680,51 @@ def _folders(s: SparkSession, d: str) -> tuple[str, DataFrame]:
 
     if files.mapInArrow(write, "folder string").count() == 0:
         raise ValueError("no comments to lay out")
-    return root, f.select("platform", "folder", "k", "m")
+    return root, f
+
+
+class _OwnFolders:
+    """Directories below a root that one process has to itself, a round of them at a time. Those of the last round are renamed and
+    written over: a file system takes many times longer to make files where it has just removed others."""
+
+    def __init__(self, own: str):
+        self.root, self._aside, self._n = f"{own}/raw", f"{own}/aside", 0
+        os.makedirs(self._aside)
+        self._laid: list[tuple[bool, str]] = []
+        self._spare: dict[bool, list[str]] = {True: [], False: []}  # with or without a collection.json
+
+    @staticmethod
+    def _write(path: str, body: bytes) -> None:
+        f = os.open(path, os.O_WRONLY | os.O_CREAT, 0o666)
+        try:
+            if os.write(f, body) < len(body):
+                raise OSError(f"{path} was not written whole")
+            if os.fstat(f).st_size > len(body):  # never to nothing first: its blocks stay
+                os.ftruncate(f, len(body))
+        finally:
+            os.close(f)
+
+    def lay_out(self, rows: list[dict]) -> None:
+        """The next round of directories: platform, folder, video, comments and collection (null: that file is missing)."""
+        for full, at in self._laid:
+            self._spare[full].append(at)
+        self._laid = []
+        for platform in {r["platform"] for r in rows}:
+            os.makedirs(f"{self.root}/{platform}", exist_ok=True)
+        for r in rows:
+            at, spare = f"{self.root}/{r['platform']}/{r['folder']}", self._spare[r["collection"] is not None]
+            old = spare.pop() if spare else None
+            os.rename(old, at) if old else os.mkdir(at)
+            for name, body in (("video.json", r["video"]), ("comments.jsonl", r["comments"]), ("collection.json", r["collection"])):
+                if body is not None:
+                    self._write(f"{at}/{name}", body.encode())
+            self._laid.append((r["collection"] is not None, at))
+        for spare in self._spare.values():
+            for i, at in enumerate(spare):
+                if at.startswith(f"{self.root}/"):
+                    self._n += 1
+                    os.rename(at, f"{self._aside}/{self._n}")
+                    spare[i] = f"{self._aside}/{self._n}"
 
 
 _FOLDERS = rf"""c AS (SELECT *, arrival_seq // {FOLDER} AS k FROM raw_comments WHERE platform IS NOT NULL AND raw_video_id IS NOT NULL AND raw_comment_id IS NOT NULL AND NOT {_BLANK}),
@@ -680,9 +734,20 @@ f AS MATERIALIZED (SELECT platform, folder, k, count(*) AS n FROM l GROUP BY 1,
 
 @query(f"WITH {_FOLDERS} SELECT platform, folder AS raw_video_id, line_number, raw_comment_id, text, like_count, NULL::VARCHAR AS code FROM l")
 def folder_lines(s, d):
-    """Every line of every directory, in order."""
-    root, _ = _folders(s, d)
-    return files.comment_lines(s, root).select("platform", "raw_video_id", F.col("line_number").cast("bigint").alias("line_number"), F.col("l_raw_comment_id").alias("raw_comment_id"), F.col("l_text").alias("text"), F.col("l_like_count").alias("like_count"), "code")
+    """Every line of every directory, in order. A worker lays out, lists and reads ROUND directories of its own at a time, so that
+    the disk never holds them all."""
+    laid, _ = _folder_files(s, d)
+
+    def lines(batches):
+        with tempfile.TemporaryDirectory(prefix="threadquarry-folders-") as own:
+            folders = _OwnFolders(own)
+            for b in batches:
+                for at in range(0, b.num_rows, ROUND):
+                    folders.lay_out(b.slice(at, ROUND).to_pylist())
+                    yield from files.own_lines(folders.root)
+
+    read = payloads.read_lines(laid.mapInArrow(lines, files.RAW_LINE).withColumn("body", F.col("body").cast("string")))
+    return read.select("platform", "raw_video_id", F.col("line_number").cast("bigint").alias("line_number"), F.col("l_raw_comment_id").alias("raw_comment_id"), F.col("l_text").alias("text"), F.col("l_like_count").alias("like_count"), "code")
 
 
 @query(f"WITH {_FOLDERS} SELECT platform, folder AS raw_video_id, 't' AS title, k AS view_count, NULL::VARCHAR AS code FROM f")

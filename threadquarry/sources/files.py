@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ WHOLE_BYTES = 16 << 20
 #: Bytes and rows that a worker reads before it passes them on.
 PASS_BYTES, PASS_ROWS = 4 << 20, 10_000
 
+#: What the workers read of a comments.jsonl.
+RAW_LINE = "platform string, raw_video_id string, line_number int, body binary"
+
 _KEY = ["platform", "raw_video_id"]
 
 
@@ -47,6 +51,13 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
+def _platforms(root: str) -> list[str]:
+    from pyarrow import fs
+
+    system, base = _open(root)
+    return [x.base_name for x in system.get_file_info(fs.FileSelector(base)) if x.type == fs.FileType.Directory]
+
+
 def _names(root: str):
     """Platforms to their directories."""
 
@@ -111,16 +122,20 @@ def _lines(root: str):
     return run
 
 
+def own_lines(root: str) -> Iterator[pa.RecordBatch]:
+    """RAW_LINE of every comments.jsonl below a root that only this process sees, listed and read as the workers of ``comment_lines``
+    do; no file is read in blocks."""
+    names = _names(root)(iter([pa.record_batch({"platform": pa.array(_platforms(root), pa.string())})]))
+    found = (b.filter(pc.equal(b.column("name"), "comments.jsonl")).select(_KEY) for b in _files(root)(names))
+    return _lines(root)(found)
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(platform, raw_video_id, name, length) of every file below root/platform/video/; contents are not read.
 
     The workers list: directories may be too many for the driver, whose part are the platforms.
     """
-    from pyarrow import fs
-
-    system, base = _open(root)
-    platforms = [(x.base_name,) for x in system.get_file_info(fs.FileSelector(base)) if x.type == fs.FileType.Directory]
-    names = spark.createDataFrame(platforms, "platform string").mapInArrow(_names(root), "platform string, raw_video_id string")
+    names = spark.createDataFrame([(p,) for p in _platforms(root)], "platform string").mapInArrow(_names(root), "platform string, raw_video_id string")
     parts = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return names.repartition(parts).mapInArrow(_files(root), "platform string, raw_video_id string, length bigint, name string").select(*_KEY, "name", "length")
 
@@ -140,7 +155,7 @@ def comment_lines(spark: SparkSession, root: str, listed: DataFrame | None = Non
     ``listing``."""
     listed = Scratch(spark, "listing").keep(listing(spark, root), "files") if listed is None else listed
     own = listed.where("name = 'comments.jsonl'")
-    small = own.where(F.col("length") <= WHOLE_BYTES).select(*_KEY).mapInArrow(_lines(root), "platform string, raw_video_id string, line_number int, body binary")
+    small = own.where(F.col("length") <= WHOLE_BYTES).select(*_KEY).mapInArrow(_lines(root), RAW_LINE)
     lines = small.withColumn("body", F.col("body").cast("string"))
     large = own.where(F.col("length") > WHOLE_BYTES).collect()  # at most one for each WHOLE_BYTES of all files
     if large:
